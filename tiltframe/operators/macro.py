@@ -142,7 +142,7 @@ def macro_kmeans(points: DataFrame, k: int, max_iter: int = 20, tol: float = 1e-
 
 
 def sampled_macro_kmeans(mcs: DataFrame, k: int, num_points: int, max_iter: int = 20, seed: int = 42,
-                         key: list[str] | None = None, deterministic: bool = False) -> DataFrame:
+                         key: list[str] | None = None, deterministic: bool = False, tol: float = 1e-4) -> DataFrame:
     """k-means on ``num_points`` weighted draws of the micro-cluster centers,
     started at k further draws. Draws of the same center are the same point,
     so the sample is carried as draw counts (exactly the same iterations)."""
@@ -154,13 +154,16 @@ def sampled_macro_kmeans(mcs: DataFrame, k: int, num_points: int, max_iter: int
     start_rows = start.select(*key, "center", F.explode(F.sequence(F.lit(1), F.col("draws").cast("int"))).alias("_r"), "slot")
     w = Window.partitionBy(*key).orderBy("slot", "_r") if key else Window.orderBy("slot", "_r")
     init = start_rows.select(*key, "center", (F.row_number().over(w) - 1).alias("cluster"))
-    return macro_kmeans(sample.withColumnRenamed("draws", "weight"), k, max_iter, 1e-4, key, "weight", init)
+    return macro_kmeans(sample.withColumnRenamed("draws", "weight"), k, max_iter, tol, key, "weight", init)
 
 
-def centers_csv(centers: DataFrame, center: str = "center") -> DataFrame:
-    """One CSV line per center (``line``), keeping the other columns."""
-    return centers.select(*[c for c in centers.columns if c != center], F.array_join(F.transform(center, lambda v: v.cast("string")), ",").alias("line"))
+def centers_csv(centers: DataFrame, center: str = "center", fmt: str | None = None) -> DataFrame:
+    """One CSV line per center (``line``), keeping the other columns.
+    Numbers print as Spark casts doubles, or with ``fmt`` (e.g. '%.6f')."""
+    el = (lambda v: F.format_string(fmt, v)) if fmt else (lambda v: v.cast("string"))
+    return centers.select(*[c for c in centers.columns if c != center], F.array_join(F.transform(center, el), ",").alias("line"))
 
 
-def append_centers(centers: DataFrame, path: str, center: str = "center") -> None:
-    centers_csv(centers, center).select("line").write.mode("append").text(path)
+def append_centers(centers: DataFrame, path: str, center: str = "center", fmt: str | None = None) -> None:
+    """Sink: append the CSV lines of the centers to a text folder."""
+    centers_csv(centers, center, fmt).select("line").write.mode("append").text(path)

@@ -152,6 +152,9 @@ def horizon_subtract(s1: DataFrame, s2: DataFrame, h, t1, t2, key: list[str] | N
     ``h``, ``t1``, ``t2`` are column names of ``s1`` (per request) or ints.
     """
     key = key or []
+    # fresh attribute ids: both sides may derive from the same request plan
+    s1 = s1.select(*[F.col(c).alias(c) for c in s1.columns])
+    s2 = s2.select(*[F.col(c).alias(c) for c in s2.columns])
     lit = lambda v: s1[v] if isinstance(v, str) else F.lit(v)
     rel = lineage_match(s1, s2, key)
     b = s2.select(
@@ -168,7 +171,8 @@ def horizon_subtract(s1: DataFrame, s2: DataFrame, h, t1, t2, key: list[str] | N
         F.sum("_t22").alias("_t22"),
         F.flatten(F.collect_list("_ids2")).alias("_ids2"),
     )
-    cond = [s1[k] == sub[k] for k in key] + [s1["slot"] == sub["slot1"]]
+    sub = sub.select(*[F.col(k).alias(f"_key_{k}") for k in key], *[c for c in sub.columns if c not in key])
+    cond = [s1[k] == F.col(f"_key_{k}") for k in key] + [s1["slot"] == sub["slot1"]]
     j = s1.join(sub, cond, "left")
     exact = (lit(t1) - lit(h)) >= lit(t2)
     do = F.col("_n2").isNotNull() & exact
@@ -199,19 +203,21 @@ def horizon_clusters(snapshots: DataFrame, requests: DataFrame) -> DataFrame:
     )
 
 
-def _fmt_vec(c) -> Column:
-    return F.concat(F.lit("["), F.array_join(F.transform(c, lambda v: v.cast("string")), ","), F.lit("]"))
+def _fmt_vec(c, fmt: str | None) -> Column:
+    el = (lambda v: F.format_string(fmt, v)) if fmt else (lambda v: v.cast("string"))
+    return F.concat(F.lit("["), F.array_join(F.transform(c, el), ","), F.lit("]"))
 
 
-def snapshot_text(snapshots: DataFrame, limit: int | None = None) -> DataFrame:
-    """Text block per micro-cluster of every snapshot with tick <= limit."""
+def snapshot_text(snapshots: DataFrame, limit: int | None = None, fmt: str | None = None) -> DataFrame:
+    """Text block per micro-cluster of every snapshot with tick <= limit.
+    Doubles print as Spark casts them, or with ``fmt`` (e.g. '%.4f')."""
     s = snapshots if limit is None else snapshots.where(F.col("tick") <= F.lit(int(limit)))
     nl = F.lit("\n")
     text = F.concat(
         F.lit(BLOCK_RULE), nl,
         F.lit(LABEL_IDS), F.concat(F.lit("["), F.array_join(F.transform("ids", lambda v: v.cast("string")), ","), F.lit("]")), nl,
-        F.lit(LABEL_CF2X), _fmt_vec("cf2x"), nl,
-        F.lit(LABEL_CF1X), _fmt_vec("cf1x"), nl,
+        F.lit(LABEL_CF2X), _fmt_vec("cf2x", fmt), nl,
+        F.lit(LABEL_CF1X), _fmt_vec("cf1x", fmt), nl,
         F.lit(LABEL_CF2T), F.col("cf2t").cast("string"), nl,
         F.lit(LABEL_CF1T), F.col("cf1t").cast("string"), nl,
         F.lit(LABEL_N), F.col("n").cast("string"), nl,
@@ -219,6 +225,6 @@ def snapshot_text(snapshots: DataFrame, limit: int | None = None) -> DataFrame:
     return s.select("tick", "slot", text.alias("text"))
 
 
-def export_text(snapshots: DataFrame, out_dir: str, limit: int | None = None) -> None:
+def export_text(snapshots: DataFrame, out_dir: str, limit: int | None = None, fmt: str | None = None) -> None:
     """One text folder per snapshot tick."""
-    snapshot_text(snapshots, limit).repartition("tick").sortWithinPartitions("tick", "slot").select("tick", "text").write.mode("overwrite").partitionBy("tick").text(out_dir)
+    snapshot_text(snapshots, limit, fmt).repartition("tick").sortWithinPartitions("tick", "slot").select("tick", "text").write.mode("overwrite").partitionBy("tick").text(out_dir)

@@ -19,11 +19,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def event_tick(ts_col: str = "ts", interval_seconds: int = 86400, origin: str = EVENTS_ORIGIN):
-    """floor((ts - origin) / interval) as BIGINT; works for TIMESTAMP and
-    TIMESTAMP_NTZ (micros since the epoch of the wall-clock value)."""
-    micros = F.unix_micros(F.col(ts_col).cast("timestamp_ntz").cast("timestamp"))
-    o = F.unix_micros(F.lit(origin).cast("timestamp_ntz").cast("timestamp"))
-    return F.floor((micros - o) / F.lit(interval_seconds * 1_000_000)).cast("long")
+    """floor((ts - origin) / interval) as BIGINT, on wall-clock values
+    (TIMESTAMP_NTZ arithmetic: independent of the session time zone)."""
+    diff = F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ '{origin}', CAST(`{ts_col}` AS TIMESTAMP_NTZ))")
+    return F.floor(diff / F.lit(float(interval_seconds * 1_000_000))).cast("long")
 
 
 def embedding_points(spark: SparkSession, sf_dir: str) -> DataFrame:
