@@ -448,3 +448,116 @@ def merge_pair(state: DataFrame, pair: DataFrame) -> DataFrame:
         F.when(is_a, F.col("cf1t") + F.col("_bt1")).when(is_b, F.lit(0).cast("long")).otherwise(F.col("cf1t")).alias("cf1t"),
         F.when(is_a, F.col("cf2t") + F.col("_bt2")).when(is_b, F.lit(0).cast("long")).otherwise(F.col("cf2t")).alias("cf2t"),
     )
+
+
+# ---------------------------------------------------------------------------
+# one-task state update of the online step
+
+
+def _stamp_np(n, t1, t2, m):
+    from ..functions.probit import probit_py
+
+    out = np.zeros(len(n))
+    for i in range(len(n)):
+        nd = float(n[i])
+        mu = t1[i] / nd if nd > 0 else 0.0
+        if nd < 2.0 * m:
+            out[i] = mu
+        else:
+            sigma = math.sqrt(max(t2[i] / nd - mu * mu, 0.0))
+            out[i] = mu + sigma * probit_py(1.0 - m / (2.0 * nd))
+    return out
+
+
+UPDATE_IN = T.StructType(
+    [
+        T.StructField("kind", T.ByteType()),  # 0 state, 1 candidate, 2 batch sums
+        T.StructField("slot", T.IntegerType()),
+        T.StructField("ids", T.ArrayType(T.LongType())),
+        T.StructField("n", T.LongType()),
+        T.StructField("cf1x", T.ArrayType(T.DoubleType())),
+        T.StructField("cf2x", T.ArrayType(T.DoubleType())),
+        T.StructField("cf1t", T.LongType()),
+        T.StructField("cf2t", T.LongType()),
+        T.StructField("centroid", T.ArrayType(T.DoubleType())),
+        T.StructField("rmsd", T.DoubleType()),
+        T.StructField("seq_tick", T.LongType()),
+        T.StructField("seq_id", T.LongType()),
+    ]
+)
+
+
+def update_state(state: DataFrame, sums: DataFrame, candidates: DataFrame | None, params: OnlineParams, now: int) -> DataFrame:
+    """The whole end of an online step in ONE task: add the batch sums
+    (ON9), stamp and split stale/keep (ON12/13), run the outlier rule over
+    the candidates in arrival order (ON14-18) and refresh (ON10/11).
+
+    Its input is bounded: q state rows, at most q aggregated sum rows (the
+    data-sized aggregate runs distributed before it) and the bounded
+    candidate set. Same rules as ``cf_apply``, ``with_staleness``,
+    ``reconcile`` and ``refresh`` (which the tests compare it with).
+    """
+    nulls = lambda names: [F.lit(None).cast(UPDATE_IN[c].dataType).alias(c) for c in names]
+    st = state.select(F.lit(0).cast("byte").alias("kind"), "slot", "ids", "n", "cf1x", "cf2x", "cf1t", "cf2t", "centroid", "rmsd",
+                      *nulls(["seq_tick", "seq_id"]))
+    sm = sums.select(F.lit(2).cast("byte").alias("kind"), "slot", *nulls(["ids"]), "n", "cf1x", "cf2x", "cf1t", "cf2t",
+                     *nulls(["centroid", "rmsd", "seq_tick", "seq_id"]))
+    parts = [st, sm]
+    if candidates is not None:
+        parts.append(candidates.select(F.lit(1).cast("byte").alias("kind"), *nulls(["slot", "ids"]), "n", "cf1x", "cf2x", "cf1t", "cf2t",
+                                       *nulls(["centroid", "rmsd"]), "seq_tick", "seq_id"))
+    both = parts[0]
+    for p_ in parts[1:]:
+        both = both.unionByName(p_)
+    t_factor, recursive, m, delta = params.t_factor, params.recursive_outliers, params.m, params.delta
+
+    def fn(batches):
+        pdf = pd.concat(list(batches), ignore_index=True)
+        st_ = pdf[pdf["kind"] == 0].sort_values("slot").reset_index(drop=True)
+        sm_ = pdf[pdf["kind"] == 2]
+        cd = pdf[pdf["kind"] == 1].sort_values(["seq_tick", "seq_id"])
+        pos = {int(s): i for i, s in enumerate(st_["slot"])}
+        n = st_["n"].to_numpy(np.int64).copy()
+        c1 = np.stack(st_["cf1x"].to_numpy()).astype(np.float64)
+        c2 = np.stack(st_["cf2x"].to_numpy()).astype(np.float64)
+        t1 = st_["cf1t"].to_numpy(np.int64).copy()
+        t2 = st_["cf2t"].to_numpy(np.int64).copy()
+        for r_ in sm_.itertuples(index=False):
+            i = pos[int(r_.slot)]
+            n[i] += int(r_.n)
+            c1[i] += np.asarray(r_.cf1x, dtype=np.float64)
+            c2[i] += np.asarray(r_.cf2x, dtype=np.float64)
+            t1[i] += int(r_.cf1t)
+            t2[i] += int(r_.cf2t)
+        state = {
+            "ids": [list(map(int, v)) for v in st_["ids"]],
+            "n": n, "cf1x": c1, "cf2x": c2, "cf1t": t1, "cf2t": t2,
+            "centroid": np.stack(st_["centroid"].to_numpy()).astype(np.float64),
+            "rmsd": st_["rmsd"].to_numpy(np.float64).copy(),
+        }
+        if len(cd):
+            stamp = _stamp_np(n, t1, t2, m)
+            state["stamp"] = stamp
+            state["stale"] = (stamp < float(now - delta)) | (n == 0)
+            next_id = max(max(v) for v in state["ids"] if len(v)) + 1
+            cands = [
+                (int(r_.n), np.asarray(r_.cf1x, dtype=np.float64), np.asarray(r_.cf2x, dtype=np.float64), int(r_.cf1t), int(r_.cf2t))
+                for r_ in cd.itertuples(index=False)
+            ]
+            state = reconcile_arrays(state, cands, t_factor, recursive, next_id)
+        state = refresh_arrays(state)
+        yield pd.DataFrame(
+            {
+                "slot": st_["slot"].astype(np.int32),
+                "ids": state["ids"],
+                "n": state["n"],
+                "cf1x": list(state["cf1x"]),
+                "cf2x": list(state["cf2x"]),
+                "cf1t": state["cf1t"],
+                "cf2t": state["cf2t"],
+                "centroid": list(state["centroid"]),
+                "rmsd": state["rmsd"],
+            }
+        )
+
+    return both.coalesce(1).mapInPandas(fn, STATE_SCHEMA)

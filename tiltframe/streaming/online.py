@@ -29,7 +29,7 @@ from ..operators.features import (
     refresh,
 )
 from ..operators.kmeans import batch_kmeans, random_gaussian_centers, streaming_kmeans_update
-from ..operators.maintain import leader_pass, leader_reduce, outliers_as_candidates, reconcile
+from ..operators.maintain import leader_pass, leader_reduce, outliers_as_candidates, update_state
 from ..operators.recency import with_staleness
 from ..operators import snapshots as snaps
 from ..params import STATE_SCHEMA, OnlineParams, SnapshotParams
@@ -84,6 +84,7 @@ class OnlineClusterer:
         self._staged = 0
         self._view: CenterView | None = None
         self._prev_prev = -1
+        self._state_df = None
         self._resume()
 
     # -- storage ----------------------------------------------------------
@@ -122,7 +123,23 @@ class OnlineClusterer:
         """Current micro-clusters (ON19)."""
         if not self.initialized:
             return self.spark.createDataFrame([], STATE_SCHEMA)
-        return self.spark.read.parquet(self._state_version_path(self.version)).select(*STATE_SCHEMA.fieldNames())
+        if self._state_df is None or self._state_df[0] != self.version:
+            df = self.spark.read.schema(self._stored_schema()).parquet(self._state_version_path(self.version))
+            self._state_df = (self.version, df.select(*STATE_SCHEMA.fieldNames()))
+        return self._state_df[1]
+
+    @staticmethod
+    def _stored_schema():
+        from pyspark.sql import types as T
+
+        return T.StructType(
+            list(STATE_SCHEMA.fields)
+            + [
+                T.StructField("n_batch", T.LongType()),
+                T.StructField("n_total", T.LongType()),
+                T.StructField("initialized", T.BooleanType()),
+            ]
+        )
 
     def states(self) -> DataFrame:
         """Every kept version (``tick`` + state + progress columns)."""
@@ -185,14 +202,11 @@ class OnlineClusterer:
             if n_in + n_out == 0:
                 return 0
             sums = cf_merge_partials(fused.where("kind = 0").select("slot", "n", "cf1x", "cf2x", "cf1t", "cf2t"), p.dim)
-            st1 = cf_apply(st, sums)
+            cands = None
             if n_out:
                 outl = fused.where("kind = 1").select("seq_tick", "seq_id", "x")
                 cands = self._candidates(outl, n_out, view)
-                new = reconcile(with_staleness(st1, now, p.delta, p.m), cands, p, finalize=True)
-            else:
-                new = refresh(st1)
-            self._write_state(new, version, n_in + n_out, True)
+            self._write_state(update_state(st, sums, cands, p, now), version, n_in + n_out, True)
             return n_in + n_out
         finally:
             fused.unpersist()
