@@ -98,7 +98,14 @@ def expire(spark: SparkSession, path: str, tc: int, p: SnapshotParams) -> None:
 
 
 def read_snapshots(spark: SparkSession, path: str) -> DataFrame:
-    """The snapshot table (``tick`` partition column + state columns)."""
+    """The snapshot table (``tick`` partition column + state columns); an
+    empty table when nothing was saved yet."""
+    jvm = spark.sparkContext._jvm
+    hp = jvm.org.apache.hadoop.fs.Path(path)
+    if not hp.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hp):
+        from pyspark.sql import types as T
+
+        return spark.createDataFrame([], T.StructType([T.StructField("tick", T.LongType())] + list(STATE_SCHEMA.fields)))
     return spark.read.parquet(path)
 
 

@@ -46,6 +46,7 @@ SNAP = SnapshotParams(alpha=2, l=2)
 # clock before any snapshot, no snapshot at or before tc).
 REQUESTS = [(6, 1), (21, 1), (29, 5), (30, 16), (30, 29), (7, 2), (0, 1)]
 MILESTONES = [2500, 5000, 7500]
+MIN_INIT = 200  # points before the online phase starts (reached at every scale)
 MILESTONE_BAND = 100
 
 
@@ -281,15 +282,15 @@ def init_random_q(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def init_kmeans_q(spark: SparkSession, sf: str) -> DataFrame:
-    """ON4: buffer days until 1,000 points, then batch k-means with q centers."""
-    m = _online(spark, sf, "kmeans", 1000)
+    """ON4: buffer days until 200 points, then batch k-means with q centers."""
+    m = _online(spark, sf, "kmeans", MIN_INIT)
     m.run_ticks(ev_points(spark, sf), last_tick=5)
     return _state_out(m.state())
 
 
 def init_streaming_kmeans_q(spark: SparkSession, sf: str) -> DataFrame:
-    """ON5: streaming k-means until 1,000 points were seen before the batch."""
-    m = _online(spark, sf, "streaming", 1000)
+    """ON5: streaming k-means until 200 points were seen before the batch."""
+    m = _online(spark, sf, "streaming", MIN_INIT)
     m.run_ticks(ev_points(spark, sf), last_tick=5)
     return _state_out(m.state())
 
@@ -297,7 +298,7 @@ def init_streaming_kmeans_q(spark: SparkSession, sf: str) -> DataFrame:
 def online_run_q(spark: SparkSession, sf: str) -> DataFrame:
     """ON1/ON19: every day of events through the online phase (streaming
     k-means start), snapshots on the pyramidal frame; final state."""
-    m = _online(spark, sf, "streaming", 1000, snapshot=SNAP)
+    m = _online(spark, sf, "streaming", MIN_INIT, snapshot=SNAP)
     m.run_ticks(ev_points(spark, sf))
     return _state_out(m.state())
 
@@ -305,7 +306,7 @@ def online_run_q(spark: SparkSession, sf: str) -> DataFrame:
 def online_horizon_q(spark: SparkSession, sf: str) -> DataFrame:
     """OFF6 over the online phase's own snapshots: horizon micro-clusters
     and k = 3 macro-clusters for each request."""
-    m = _online(spark, sf, "streaming", 1000, snapshot=SNAP)
+    m = _online(spark, sf, "streaming", MIN_INIT, snapshot=SNAP)
     m.run_ticks(ev_points(spark, sf))
     snaps = sn.read_snapshots(spark, m.snapshot_path).select("tick", "slot", "ids", "n", "cf1x", "cf2x", "cf1t", "cf2t")
     hc = sn.horizon_clusters(snaps, _requests(spark).where("tc >= 10"))
