@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
@@ -31,7 +32,8 @@ def decay_from_half_life(half_life: float) -> float:
     return math.exp(math.log(0.5) / half_life)
 
 
-def streaming_kmeans_update(model: DataFrame, batch: DataFrame, decay: float = 1.0, time_unit: str = "batches", x: str = "x") -> DataFrame:
+def streaming_kmeans_update(model: DataFrame, batch: DataFrame, decay: float = 1.0, time_unit: str = "batches", x: str = "x",
+                            with_total: bool = False) -> DataFrame:
     """One update of streaming k-means with forgetting.
 
     discount a = decay (per batch) or decay^(points in batch);
@@ -39,7 +41,13 @@ def streaming_kmeans_update(model: DataFrame, batch: DataFrame, decay: float = 1
     Then, if the lightest weight is below 1e-8 of the heaviest, the heaviest
     center is split in two (+-1e-14 max(|c|, 1) per coordinate) and both get
     the mean of the two weights.
+
+    The data-sized part (assignment + per-center sums) runs distributed with
+    partial aggregation; the k-row update itself is one small task.
+    ``with_total`` adds ``batch_points`` (points in the batch) to every row.
     """
+    if time_unit not in ("batches", "points"):
+        raise ValueError("time_unit must be 'batches' or 'points'")
     view = collect_view(model, "slot", "center", None)
     dim = view.dim
     sums = (
@@ -47,51 +55,47 @@ def streaming_kmeans_update(model: DataFrame, batch: DataFrame, decay: float = 1
         .groupBy("slot")
         .agg(F.count(F.lit(1)).alias("cnt"), array_sum_agg(x, dim, "sx"))
     )
-    total = sums.agg(F.sum("cnt").alias("tot"))
-    if time_unit == "batches":
-        a = F.lit(decay)
-    elif time_unit == "points":
-        a = F.pow(F.lit(decay), F.coalesce(F.col("tot"), F.lit(0)).cast("double"))
-    else:
-        raise ValueError("time_unit must be 'batches' or 'points'")
-    m = model.join(F.broadcast(sums), "slot", "left").crossJoin(F.broadcast(total))
-    cnt = F.coalesce(F.col("cnt"), F.lit(0)).cast("double")
-    w1 = F.col("weight") * a + cnt
-    lam = cnt / F.greatest(w1, F.lit(1e-16))
-    c1 = F.when(
-        F.col("_cnt") > 0,
-        F.zip_with("center", "sx", lambda c, s: (F.lit(1.0) - F.col("_lam")) * c + (F.col("_lam") / F.col("_cnt")) * s),
-    ).otherwise(F.col("center"))
-    upd = m.select("slot", "center", "sx", cnt.alias("_cnt"), lam.alias("_lam"), w1.alias("_w")).select(
-        "slot", c1.alias("center"), F.col("_w").alias("weight")
-    )
-    return _split_dying(upd)
-
-
-def _split_dying(model: DataFrame) -> DataFrame:
-    stats = model.agg(
-        F.max(F.struct(F.col("weight"), (-F.col("slot")).alias("ns"))).alias("big"),
-        F.min(F.struct(F.col("weight"), F.col("slot"))).alias("small"),
-    ).select(
-        F.col("big.weight").alias("max_w"),
-        (-F.col("big.ns")).alias("largest"),
-        F.col("small.weight").alias("min_w"),
-        F.col("small.slot").alias("smallest"),
-    )
-    lc = model.select(F.col("slot").alias("_ls"), F.col("center").alias("_lc"))
-    j = model.crossJoin(F.broadcast(stats)).join(F.broadcast(lc), F.col("_ls") == F.col("largest"), "left")
-    dying = (F.col("min_w") < F.lit(1e-8) * F.col("max_w")) & (F.col("largest") != F.col("smallest"))
-    pert = lambda sign: F.transform("_lc", lambda v: v + F.lit(sign) * F.lit(1e-14) * F.greatest(F.abs(v), F.lit(1.0)))
-    center = (
-        F.when(dying & (F.col("slot") == F.col("largest")), pert(1.0))
-        .when(dying & (F.col("slot") == F.col("smallest")), pert(-1.0))
-        .otherwise(F.col("center"))
+    rows = model.select(
+        F.lit(0).cast("byte").alias("kind"), "slot", "center", F.col("weight").cast("double").alias("weight"),
+        F.lit(None).cast("long").alias("cnt"), F.lit(None).cast("array<double>").alias("sx"),
+    ).unionByName(
+        sums.select(
+            F.lit(1).cast("byte").alias("kind"), "slot", F.lit(None).cast("array<double>").alias("center"),
+            F.lit(None).cast("double").alias("weight"), "cnt", "sx",
+        )
     )
-    weight = F.when(
-        dying & ((F.col("slot") == F.col("largest")) | (F.col("slot") == F.col("smallest"))),
-        (F.col("max_w") + F.col("min_w")) / 2.0,
-    ).otherwise(F.col("weight"))
-    return j.select("slot", center.alias("center"), weight.alias("weight"))
+
+    def fn(batches):
+        pdf = pd.concat(list(batches), ignore_index=True)
+        m = pdf[pdf["kind"] == 0].sort_values("slot").reset_index(drop=True)
+        st = {int(r.slot): (int(r.cnt), np.asarray(r.sx, dtype=np.float64)) for r in pdf[pdf["kind"] == 1].itertuples(index=False)}
+        C = np.stack(m["center"].to_numpy()).astype(np.float64)
+        w = m["weight"].to_numpy(np.float64).copy()
+        total = sum(c for c, _ in st.values())
+        a = decay if time_unit == "batches" else decay ** total
+        w = w * a
+        for i, slot in enumerate(m["slot"]):
+            if int(slot) in st:
+                cnt, sx = st[int(slot)]
+                w1 = w[i] + cnt
+                lam = cnt / max(w1, 1e-16)
+                w[i] = w1
+                C[i] = (1.0 - lam) * C[i] + (lam / cnt) * sx
+        big, small = int(np.argmax(w)), int(np.argmin(w))
+        if w[small] < 1e-8 * w[big]:
+            mean = (w[big] + w[small]) / 2.0
+            w[big] = w[small] = mean
+            cl = C[big].copy()
+            pert = 1e-14 * np.maximum(np.abs(cl), 1.0)
+            C[big] = cl + pert
+            C[small] = cl - pert
+        out = pd.DataFrame({"slot": m["slot"].astype(np.int32), "center": list(C), "weight": w})
+        if with_total:
+            out["batch_points"] = np.int64(total)
+        yield out
+
+    schema = "slot int, center array<double>, weight double" + (", batch_points bigint" if with_total else "")
+    return rows.coalesce(1).mapInPandas(fn, schema)
 
 
 def batch_kmeans(points: DataFrame, k: int, max_iter: int = 20, seed: int = 42, x: str = "x", weight: str | None = None, tol: float = 1e-4):

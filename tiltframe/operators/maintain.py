@@ -95,15 +95,18 @@ def reconcile_arrays(state: dict, cands: list, t_factor: float, recursive: bool,
         cen[i] = cx1 / cn
         rad[i] = _rmsd(cn, cx1, cx2) if cn > 1 else _nearest_nonzero(cen[i], cen)
 
+    keep_idx = np.array(keep, dtype=np.int64)
+    upper = np.triu(np.ones((len(keep), len(keep)), dtype=bool), k=1)
+
     for cn, cx1, cx2, ct1, ct2 in cands:
         p = cx1 / cn
-        best, bi = math.inf, -1
-        if recursive:
-            for i in new_mc:
-                d = p - c1[i] / n[i]
-                d2 = float(d @ d)
-                if d2 < best:
-                    best, bi = d2, i
+        bi = -1
+        if recursive and new_mc:
+            idx = np.array(new_mc, dtype=np.int64)
+            diff = c1[idx] / n[idx][:, None] - p
+            d2 = np.einsum("ij,ij->i", diff, diff)
+            k = int(np.argmin(d2))  # first minimum: order of creation, as a strict < scan
+            bi, best = int(idx[k]), float(d2[k])
         if bi >= 0 and math.sqrt(best) <= t_factor * rad[bi]:
             n[bi] += cn
             c1[bi] += cx1
@@ -117,13 +120,15 @@ def reconcile_arrays(state: dict, cands: list, t_factor: float, recursive: bool,
             new_mc.append(safe[j])
             j += 1
         else:
-            best, a, b = math.inf, -1, -1
-            for ia in range(len(keep)):
-                for ib in range(ia + 1, len(keep)):
-                    d = cen[keep[ia]] - cen[keep[ib]]
-                    d2 = float(d @ d)
-                    if d2 < best:
-                        best, a, b = d2, keep[ia], keep[ib]
+            a = -1
+            if len(keep) >= 2:
+                K = cen[keep_idx]
+                diff = K[:, None, :] - K[None, :, :]
+                D = np.where(upper, np.einsum("ijk,ijk->ij", diff, diff), np.inf)
+                flat = int(np.argmin(D))  # row-major first minimum: lowest (a, b) on ties
+                ia, ib = divmod(flat, len(keep))
+                if np.isfinite(D[ia, ib]):
+                    a, b = int(keep_idx[ia]), int(keep_idx[ib])
             if a < 0:
                 # fewer than two merge candidates: reuse the slot with the oldest stamp
                 b = int(np.argmin(state["stamp"]))

@@ -101,6 +101,10 @@ class OnlineClusterer:
 
     def _resume(self) -> None:
         """Pick up the last written version (restart after a failure)."""
+        skm = f"{self.base}/skm"
+        if _path_exists(self.spark, skm):
+            v = self.spark.read.parquet(skm).agg(F.max("version")).first()[0]
+            self._skm_version = None if v is None else int(v)
         if not _path_exists(self.spark, self.state_path):
             return
         prog = (
@@ -266,15 +270,18 @@ class OnlineClusterer:
             if self._skm_version is None
             else self.spark.read.parquet(f"{skm_dir}/version={self._skm_version}")
         )
-        n_batch = pts.count()
+        # one job: the update (k rows, bounded by q) and the batch size
+        rows = streaming_kmeans_update(model, pts, 1.0, "batches", with_total=True).collect()
+        n_batch = int(rows[0]["batch_points"]) if rows else 0
         if n_batch == 0:
             return 0
-        new_model = streaming_kmeans_update(model, pts, 1.0, "batches")
+        new_model = self.spark.createDataFrame(
+            [(r["slot"], r["center"], r["weight"]) for r in rows], "slot int, center array<double>, weight double"
+        )
         new_model.coalesce(1).write.mode("overwrite").parquet(f"{skm_dir}/version={version}")
         self._skm_version = version
         if self.total >= p.min_init_points:
-            centers = self.spark.read.parquet(f"{skm_dir}/version={version}").select("slot", "center")
-            self._build_from_centers(centers, pts, version, n_batch)
+            self._build_from_centers(new_model.select("slot", "center"), pts, version, n_batch)
         return n_batch
 
     # -- drivers ------------------------------------------------------------
