@@ -234,11 +234,14 @@ class OnlineClusterer:
 
     # -- initialisation routes -------------------------------------------
     def _build_from_centers(self, centers: DataFrame, pts: DataFrame, version: int, n_batch: int) -> None:
+        """Seed q empty slots with the init centers, fold the batch in (every
+        point inside) and refresh: the data pass + one bounded task."""
         st0 = empty_state(self.spark, centers, self.p.dim, "center")
         view = collect_view(st0)
-        sums = cf_aggregate(assign(pts, view), self.p.dim, "x", "tick")
+        fused = assign_and_summarize(pts, view, None)
+        sums = cf_merge_partials(fused.where("kind = 0").select("slot", "n", "cf1x", "cf2x", "cf1t", "cf2t"), self.p.dim)
         self.initialized = True
-        self._write_state(refresh(cf_apply(st0, sums)), version, n_batch, True)
+        self._write_state(update_state(st0, sums, None, self.p, version - 1), version, n_batch, True)
 
     def _init(self, pts: DataFrame, now: int, version: int) -> int:
         p = self.p
@@ -285,9 +288,18 @@ class OnlineClusterer:
         return n_batch
 
     # -- drivers ------------------------------------------------------------
-    def run_ticks(self, points: DataFrame, tick: str = "tick", last_tick: int | None = None) -> "OnlineClusterer":
+    def run_ticks(self, points: DataFrame, tick: str = "tick", last_tick: int | None = None, stage: bool = True) -> "OnlineClusterer":
         """Batch form of the stream: one step per tick value, in order,
-        empty ticks included (they only advance the clock)."""
+        empty ticks included (they only advance the clock).
+
+        With ``stage`` the input is written once to the shared folder,
+        partitioned by tick, so every step reads only its own partition
+        (partition pruning) instead of rescanning the whole table per tick.
+        """
+        if stage:
+            path = f"{self.base}/input-{self.time}"
+            points.repartition(tick).write.mode("overwrite").partitionBy(tick).parquet(path)
+            points = self.spark.read.parquet(path)
         if last_tick is None:
             last_tick = int(points.agg(F.max(tick)).first()[0])
         for t in range(self.time, last_tick + 1):
