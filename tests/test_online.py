@@ -136,3 +136,16 @@ def test_init_routes(spark):
         m = OnlineClusterer(spark, OnlineParams(q=5, dim=2, min_init_points=min_init, init=init))
         m.run_ticks(pts, last_tick=6)
         assert m.initialized and m.state().count() == 5
+
+
+def test_milestone_hook_writes_centers(spark, tmp_path):
+    from tiltframe.streaming.online import Milestones
+
+    total = ev_points(spark, SF_SMALL).count()
+    sink = str(tmp_path / "centers")
+    ms = Milestones([total // 2], band=40, horizon=8, k=3, sink=sink)
+    m = OnlineClusterer(spark, P, snapshot=SnapshotParams(2, 2), milestones=ms)
+    m.run_ticks(ev_points(spark, SF_SMALL))
+    lines = spark.read.text(sink).collect()
+    assert len(lines) >= 3 and all(len(r["value"].split(",")) == 2 for r in lines)
+    assert m.macro_at(m.time, 8, 3).count() == 3

@@ -51,6 +51,15 @@ def _delete_path(spark: SparkSession, path: str) -> None:
         fs.delete(p, True)
 
 
+class Milestones:
+    """When the running total falls in (mark - band, mark + band] after a
+    batch: macro-cluster the last ``horizon`` ticks into ``k`` clusters and
+    append the centers as CSV lines to ``sink`` (when given)."""
+
+    def __init__(self, marks, band: int = 100, horizon: int = 256, k: int = 5, sink: str | None = None):
+        self.marks, self.band, self.horizon, self.k, self.sink = list(marks), band, horizon, k, sink
+
+
 class OnlineClusterer:
     """State table: ``<base>/states/tick=<clock>``, one partition per
     non-empty batch (q rows + progress columns). With a snapshot schedule the
@@ -68,8 +77,10 @@ class OnlineClusterer:
         snapshot: SnapshotParams | None = None,
         x: str = "x",
         order: str = "id",
+        milestones: "Milestones | None" = None,
     ):
         self.spark = spark
+        self.milestones = milestones
         self.p = params
         self.base = base_dir or new_run_dir(spark, "online")
         self.snapshot = snapshot
@@ -194,6 +205,13 @@ class OnlineClusterer:
         self.total += n_batch
         if n_batch:
             self.progress.append((self.time, n_batch, self.total))
+            ms = self.milestones
+            if ms is not None and self.initialized and any(mk - ms.band < self.total <= mk + ms.band for mk in ms.marks):
+                centers = self.macro_at(self.time, ms.horizon, ms.k)
+                if ms.sink:
+                    from ..operators.macro import append_centers
+
+                    append_centers(centers, ms.sink)
 
     def _maintain(self, pts: DataFrame, now: int, version: int) -> int:
         p = self.p
@@ -287,6 +305,19 @@ class OnlineClusterer:
             self._build_from_centers(new_model.select("slot", "center"), pts, version, n_batch)
         return n_batch
 
+    # -- offline front door ---------------------------------------------------
+    def macro_at(self, tc: int, h: int, k: int, max_iter: int = 20) -> DataFrame:
+        """Macro-clusters of the last ``h`` ticks before ``tc`` (OFF6):
+        snapshot pair, horizon subtraction, weighted k-means over the
+        horizon's micro-clusters (k heaviest start). Needs snapshots."""
+        from ..operators.macro import centers_and_weights, macro_kmeans
+
+        snaps_df = snaps.read_snapshots(self.spark, self.snapshot_path).select("tick", *STATE_SCHEMA.fieldNames()[:7])
+        req = self.spark.createDataFrame([(int(tc), int(h))], "tc bigint, h bigint")
+        hc = snaps.horizon_clusters(snaps_df, req)
+        cw = centers_and_weights(hc, ["tc", "h"]).withColumn("w", F.col("n").cast("double"))
+        return macro_kmeans(cw, k, max_iter, 1e-4, ["tc", "h"], "w")
+
     # -- drivers ------------------------------------------------------------
     def run_ticks(self, points: DataFrame, tick: str = "tick", last_tick: int | None = None, stage: bool = True) -> "OnlineClusterer":
         """Batch form of the stream: one step per tick value, in order,
