@@ -353,11 +353,10 @@ def leader_reduce(cands: DataFrame, base_centers: np.ndarray, params: OnlinePara
         out = _leader_fold(rows, base_centers, t_factor, recursive, cap)
         return _cands_to_batch(out, dim).to_pandas()
 
-    w = Window.orderBy("seq_tick", "seq_id")
-    # the candidate table is bounded (partitions x cap rows), so a global
-    # rank over it is cheap; groups hold fanout x cap rows
-    ranked = cands.withColumn("_g", F.floor((F.row_number().over(w) - 1) / F.lit(fanout * cap)))
-    return ranked.groupBy("_g").applyInPandas(fn, CAND_SCHEMA)
+    # groups of ``fanout`` input partitions (each holds at most cap
+    # candidates): no global sort, every group bounded by fanout x cap rows
+    grouped = cands.withColumn("_g", F.floor(F.spark_partition_id() / F.lit(fanout)))
+    return grouped.groupBy("_g").applyInPandas(fn, CAND_SCHEMA)
 
 
 def outliers_as_candidates(outliers: DataFrame) -> DataFrame:
