@@ -61,13 +61,22 @@ def user_snapshot_at(spark: SparkSession, sf: str, tc, ticks: DataFrame | None =
     pts = ev_points(spark, sf)
     if ticks is None:
         ticks = spark.range(1).select(F.lit(int(tc)).cast("long").alias("tick"))
-    j = pts.join(F.broadcast(ticks.select(F.col("tick").alias("clock"))), F.col("tick") < F.col("clock"))
-    sums = j.groupBy("clock", "user_id").agg(
+    # pre-aggregate per (user, day) before the range join with the clocks:
+    # the join then sees users x days rows, not every event once per clock
+    daily = pts.groupBy("user_id", "tick").agg(
         F.count(F.lit(1)).alias("n"),
-        F.array(F.sum(F.col("x")[0]), F.sum(F.col("x")[1])).alias("cf1x"),
-        F.array(F.sum(F.col("x")[0] * F.col("x")[0]), F.sum(F.col("x")[1] * F.col("x")[1])).alias("cf2x"),
-        F.sum("tick").alias("cf1t"),
-        F.sum(F.col("tick") * F.col("tick")).alias("cf2t"),
+        F.sum(F.col("x")[0]).alias("s0"),
+        F.sum(F.col("x")[1]).alias("s1"),
+        F.sum(F.col("x")[0] * F.col("x")[0]).alias("q0"),
+        F.sum(F.col("x")[1] * F.col("x")[1]).alias("q1"),
+    )
+    j = daily.join(F.broadcast(ticks.select(F.col("tick").alias("clock"))), F.col("tick") < F.col("clock"))
+    sums = j.groupBy("clock", "user_id").agg(
+        F.sum("n").alias("n"),
+        F.array(F.sum("s0"), F.sum("s1")).alias("cf1x"),
+        F.array(F.sum("q0"), F.sum("q1")).alias("cf2x"),
+        F.sum(F.col("tick") * F.col("n")).alias("cf1t"),
+        F.sum(F.col("tick") * F.col("tick") * F.col("n")).alias("cf2t"),
     )
     return sums.select(
         F.col("clock").alias("tick"),

@@ -84,7 +84,7 @@ def stream_source_q(spark: SparkSession, sf: str) -> DataFrame:
         F.floor(F.col("tick") / 10).alias("part"),
         F.concat_ws(" ", F.col("id").cast("string"), F.col("x")[0].cast("string"), F.col("x")[1].cast("string")).alias("value"),
     )
-    lines.repartition("part").sortWithinPartitions("value").write.mode("overwrite").partitionBy("part").text(f"{base}/in")
+    lines.sortWithinPartitions("part").write.mode("overwrite").partitionBy("part").text(f"{base}/in")
     stream = spark.readStream.option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").text(f"{base}/in")
     out = f"{base}/out"
 

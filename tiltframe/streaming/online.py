@@ -329,7 +329,9 @@ class OnlineClusterer:
         """
         if stage:
             path = f"{self.base}/input-{self.time}"
-            points.repartition(tick).write.mode("overwrite").partitionBy(tick).parquet(path)
+            # no shuffle: every task writes its own rows per tick, so a hot
+            # tick is spread over all tasks instead of landing in one
+            points.sortWithinPartitions(tick).write.mode("overwrite").partitionBy(tick).parquet(path)
             points = self.spark.read.parquet(path)
         if last_tick is None:
             last_tick = int(points.agg(F.max(tick)).first()[0])
