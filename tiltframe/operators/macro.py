@@ -15,14 +15,15 @@ from pyspark.sql import types as T
 from ..functions.vec import centroid
 
 
-def centers_and_weights(mcs: DataFrame, key: list[str] | None = None) -> DataFrame:
+def centers_and_weights(mcs: DataFrame, key: list[str] | None = None, keep: tuple = ()) -> DataFrame:
     """Micro-clusters with n > 0: ``center = cf1x / n``, ``weight = n / sum n``
-    (per request key)."""
+    (per request key); ``keep`` carries more columns along."""
     key = key or []
     w = Window.partitionBy(*key) if key else Window.partitionBy()
     live = mcs.where(F.col("n") > 0)
     return live.select(
         *key,
+        *keep,
         "slot",
         "n",
         centroid("n", "cf1x").alias("center"),

@@ -196,10 +196,12 @@ def horizon_subtract(s1: DataFrame, s2: DataFrame, h, t1, t2, key: list[str] | N
     return j.select(*cols)
 
 
-def horizon_clusters(snapshots: DataFrame, requests: DataFrame) -> DataFrame:
+def horizon_clusters(snapshots: DataFrame, requests: DataFrame, ticks: DataFrame | None = None) -> DataFrame:
     """For every request (tc, h): its pair (t1, t2) and the horizon's
-    micro-clusters, all requests in one plan (keys tc, h)."""
-    pairs = snapshot_pairs(requests, live_ticks(snapshots)).where(F.col("t1") >= 0)
+    micro-clusters, all requests in one plan (keys tc, h). ``ticks``: the
+    snapshot ticks when the caller has them (default: listed from the
+    table's partitions)."""
+    pairs = snapshot_pairs(requests, live_ticks(snapshots) if ticks is None else ticks).where(F.col("t1") >= 0)
     s1 = snapshots.join(F.broadcast(pairs), snapshots["tick"] == pairs["t1"]).drop("tick")
     s2 = (
         snapshots.join(F.broadcast(pairs.select("tc", "h", "t2")), snapshots["tick"] == F.col("t2"))

@@ -329,7 +329,7 @@ def _lineage_ctes() -> str:
     return f"""ev AS ({EV_PTS}),
 {_user_snap(20, 'u20')},
 {_user_snap(10, 'u10')},
-p20 AS (SELECT CAST(floor(slot / 2) AS INTEGER) AS slot, sum(n) AS n, sum(s10) AS s10, sum(s11) AS s11, sum(s20) AS s20, sum(s21) AS s21,
+p20 AS (SELECT CAST(floor(slot / 2) AS INTEGER) AS slot, CAST(sum(n) AS BIGINT) AS n, sum(s10) AS s10, sum(s11) AS s11, sum(s20) AS s20, sum(s21) AS s21,
                CAST(sum(t1) AS BIGINT) AS t1, CAST(sum(t2) AS BIGINT) AS t2, list(CAST(slot AS BIGINT) ORDER BY slot) AS ids FROM u20 GROUP BY 1),
 rel AS (SELECT p20.slot AS slot1, u10.slot AS slot2 FROM p20 JOIN u10 ON list_contains(p20.ids, CAST(u10.slot AS BIGINT)))"""
 
@@ -340,7 +340,7 @@ def _lineage_match() -> str:
 
 def _horizon_subtract() -> str:
     return f"""WITH {_lineage_ctes()},
-sub AS (SELECT rel.slot1, sum(u10.n) AS n, sum(u10.s10) AS s10, sum(u10.s11) AS s11, sum(u10.s20) AS s20, sum(u10.s21) AS s21,
+sub AS (SELECT rel.slot1, CAST(sum(u10.n) AS BIGINT) AS n, sum(u10.s10) AS s10, sum(u10.s11) AS s11, sum(u10.s20) AS s20, sum(u10.s21) AS s21,
                CAST(sum(u10.t1) AS BIGINT) AS t1, CAST(sum(u10.t2) AS BIGINT) AS t2, list(CAST(u10.slot AS BIGINT)) AS ids
         FROM rel JOIN u10 ON rel.slot2 = u10.slot GROUP BY rel.slot1),
 res AS (SELECT p.slot,

@@ -386,12 +386,10 @@ def horizon_sweep_q(spark: SparkSession, sf: str) -> DataFrame:
     their centers and weights (one plan for all requests)."""
     live = _daily_live(spark, sf)
     snaps = user_snapshot_at(spark, sf, None, live)
-    hc = sn.horizon_clusters(snaps, _requests(spark))
-    cw = mac.centers_and_weights(hc, ["tc", "h"])
+    hc = sn.horizon_clusters(snaps, _requests(spark), live)
     # centers are reported as their linear sums (n x center): exact decimals
     # of the input, so no half-way rounding differs between engines
-    sums = hc.select("tc", "h", "slot", "t1", "t2", "cf1x").distinct()
-    j = cw.join(sums, ["tc", "h", "slot"])
+    j = mac.centers_and_weights(hc, ["tc", "h"], keep=("t1", "t2", "cf1x"))
     return j.select(
         "tc", "h", "t1", "t2", "slot", "n",
         r("weight", 9).alias("weight"),
