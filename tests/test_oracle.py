@@ -54,3 +54,13 @@ def test_entry(spark):
     df = E.entry(spark)
     assert df.count() > 0
     assert set(df.columns) == {"cluster", "weight", "pos", "center"}
+
+
+def test_oracle_column_types(spark, con):
+    to_duck = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
+    for name, sql in SQL.items():
+        df = E.queries()[name](spark, SF_SMALL)
+        rel = con.sql(sql)
+        duck = dict(zip(rel.columns, [str(t) for t in rel.types]))
+        for f in df.schema.fields:
+            assert to_duck[f.dataType.simpleString()] == duck[f.name], (name, f.name)

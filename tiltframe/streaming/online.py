@@ -351,13 +351,19 @@ class OnlineClusterer:
             if mode == "batch":
                 self.step(df, int(batch_id))
                 return
-            ticks = sorted(int(r[0]) for r in df.select(tick).distinct().collect())
-            late = [t for t in ticks if t < self.time]
-            if late and rejects:
-                df.where(F.col(tick) < self.time).withColumn("reason", F.lit("late")).write.mode("append").parquet(rejects)
-            for t in ticks:
-                if t >= self.time:
-                    self.step(df.where(F.col(tick) == t), t)
+            # the trigger may span several ticks: keep it cached while they
+            # are processed in order (one scan of the source per trigger)
+            df = df.persist(StorageLevel.MEMORY_AND_DISK)
+            try:
+                ticks = sorted(int(r[0]) for r in df.select(tick).distinct().collect())
+                late = [t for t in ticks if t < self.time]
+                if late and rejects:
+                    df.where(F.col(tick) < self.time).withColumn("reason", F.lit("late")).write.mode("append").parquet(rejects)
+                for t in ticks:
+                    if t >= self.time:
+                        self.step(df.where(F.col(tick) == t), t)
+            finally:
+                df.unpersist()
 
         return fn
 
