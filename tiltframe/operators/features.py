@@ -1,4 +1,4 @@
-"""Cluster-feature (CF) vectors: aggregate, apply, refresh, merge.
+"""Cluster-feature (CF) vectors: aggregate, apply, refresh; fused batch kernel.
 
 A CF is additive: (n, sum x, sum x^2, sum t, sum t^2). Everything here is
 either a keyed aggregate with map-side partial aggregation (data-sized
@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -120,26 +120,6 @@ def empty_state(spark, centers: DataFrame, dim: int, center: str = "center") ->
     )
 
 
-def merge_slots(state: DataFrame, slot_a: int, slot_b: int) -> DataFrame:
-    """Slot a := a + b on every CF field, ids a ++ b; slot b emptied (n=0)."""
-    tgt = F.when(F.col("slot") == slot_b, F.lit(slot_a)).otherwise(F.col("slot"))
-    grp = state.withColumn("_tgt", tgt)
-    dim_probe = F.first("cf1x")
-    merged = grp.groupBy("_tgt").agg(
-        F.sum("n").alias("n"),
-        F.aggregate(
-            F.collect_list("cf1x"), F.transform(dim_probe, lambda v: F.lit(0.0)), lambda acc, v: vadd(acc, v)
-        ).alias("cf1x"),
-        F.aggregate(
-            F.collect_list("cf2x"), F.transform(dim_probe, lambda v: F.lit(0.0)), lambda acc, v: vadd(acc, v)
-        ).alias("cf2x"),
-        F.sum("cf1t").alias("cf1t"),
-        F.sum("cf2t").alias("cf2t"),
-        F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(F.col("slot"), F.col("ids")))), lambda s: s["ids"])).alias("ids"),
-    )
-    return merged.withColumnRenamed("_tgt", "slot")
-
-
 # ---------------------------------------------------------------------------
 # Fused batch kernel: assign + inside/outlier split + per-batch partial CFs
 

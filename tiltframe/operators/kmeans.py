@@ -13,7 +13,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -126,5 +126,4 @@ __all__ = [
     "streaming_kmeans_update",
     "batch_kmeans",
     "kmeans_cost",
-    "vector_to_array",
 ]

@@ -14,23 +14,14 @@ everything else touches q rows or a bounded candidate set.
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.assign import CenterView, assign, collect_view
-from ..operators.features import (
-    assign_and_summarize,
-    cf_aggregate,
-    cf_apply,
-    cf_merge_partials,
-    empty_state,
-    refresh,
-)
+from ..operators.assign import CenterView, collect_view
+from ..operators.features import assign_and_summarize, cf_merge_partials, empty_state
 from ..operators.kmeans import batch_kmeans, random_gaussian_centers, streaming_kmeans_update
 from ..operators.maintain import leader_pass, leader_reduce, outliers_as_candidates, update_state
-from ..operators.recency import with_staleness
 from ..operators import snapshots as snaps
 from ..params import STATE_SCHEMA, OnlineParams, SnapshotParams
 from ..session import new_run_dir
@@ -388,4 +379,4 @@ def _pad_centers(spark, centers: DataFrame, q: int, dim: int) -> DataFrame:
     return centers.unionByName(zero)
 
 
-__all__ = ["OnlineClusterer", "np"]
+__all__ = ["OnlineClusterer", "Milestones"]
