@@ -143,16 +143,21 @@ FUSED_SCHEMA = T.StructType(
 def assign_and_summarize(points: DataFrame, view: CenterView, t_factor: float | None, x="x", tick="tick", order="id") -> DataFrame:
     """One narrow pass over the batch.
 
-    Inside points are summed per slot inside each Arrow batch (map-side
-    pre-aggregation: at most q rows leave a batch, whatever the skew of the
-    slots); outliers leave as single rows with their arrival key
-    (``seq_tick``, ``seq_id``). ``t_factor=None``: every point is inside
-    (first batch after an initialisation).
+    Inside points are summed per slot across all Arrow batches of a task
+    (map-side pre-aggregation: at most q rows leave a partition, whatever
+    the skew of the slots); outliers stream out as single rows with their
+    arrival key (``seq_tick``, ``seq_id``). ``t_factor=None``: every point
+    is inside (first batch after an initialisation).
     """
     C, slots, R, dim = view.centers, view.slots, view.rmsd, view.dim
     q = len(slots)
 
     def kernel(batches):
+        n = np.zeros(q, dtype=np.int64)
+        s1 = np.zeros((q, dim))
+        s2 = np.zeros((q, dim))
+        t1 = np.zeros(q, dtype=np.int64)
+        t2 = np.zeros(q, dtype=np.int64)
         for b in batches:
             if b.num_rows == 0:
                 continue
@@ -160,36 +165,12 @@ def assign_and_summarize(points: DataFrame, view: CenterView, t_factor: float |
             t = b.column(b.schema.get_field_index(tick)).to_numpy(zero_copy_only=False).astype(np.int64)
             idx, d2 = nearest(X, C)
             inside = np.ones(len(idx), dtype=bool) if t_factor is None else (np.sqrt(d2) <= t_factor * R[idx])
-            ii = idx[inside]
-            Xi = X[inside]
-            ti = t[inside]
-            n = np.bincount(ii, minlength=q)
-            present = np.nonzero(n)[0]
-            if present.size:
-                s1 = np.zeros((q, dim))
-                s2 = np.zeros((q, dim))
-                np.add.at(s1, ii, Xi)
-                np.add.at(s2, ii, Xi * Xi)
-                t1 = np.zeros(q, dtype=np.int64)
-                t2 = np.zeros(q, dtype=np.int64)
-                np.add.at(t1, ii, ti)
-                np.add.at(t2, ii, ti * ti)
-                k = present.size
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.zeros(k, dtype=np.int8)),
-                        pa.array(slots[present], type=pa.int32()),
-                        pa.array(n[present].astype(np.int64)),
-                        list_array(s1[present]),
-                        list_array(s2[present]),
-                        pa.array(t1[present]),
-                        pa.array(t2[present]),
-                        pa.nulls(k, pa.int64()),
-                        pa.nulls(k, pa.int64()),
-                        pa.nulls(k, pa.list_(pa.float64())),
-                    ],
-                    schema=_FUSED_ARROW,
-                )
+            ii, Xi, ti = idx[inside], X[inside], t[inside]
+            n += np.bincount(ii, minlength=q)
+            np.add.at(s1, ii, Xi)
+            np.add.at(s2, ii, Xi * Xi)
+            np.add.at(t1, ii, ti)
+            np.add.at(t2, ii, ti * ti)
             out = ~inside
             k = int(out.sum())
             if k:
@@ -209,6 +190,24 @@ def assign_and_summarize(points: DataFrame, view: CenterView, t_factor: float |
                     ],
                     schema=_FUSED_ARROW,
                 )
+        present = np.nonzero(n)[0]
+        k = present.size
+        if k:
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.zeros(k, dtype=np.int8)),
+                    pa.array(slots[present], type=pa.int32()),
+                    pa.array(n[present]),
+                    list_array(s1[present]),
+                    list_array(s2[present]),
+                    pa.array(t1[present]),
+                    pa.array(t2[present]),
+                    pa.nulls(k, pa.int64()),
+                    pa.nulls(k, pa.int64()),
+                    pa.nulls(k, pa.list_(pa.float64())),
+                ],
+                schema=_FUSED_ARROW,
+            )
 
     return points.select(x, tick, order).mapInArrow(kernel, FUSED_SCHEMA)
 

@@ -316,26 +316,29 @@ def _cands_to_batch(out, dim) -> pa.RecordBatch:
 
 def leader_pass(outliers: DataFrame, base_centers: np.ndarray, params: OnlineParams) -> DataFrame:
     """Fold each partition's outliers (``seq_tick, seq_id, x``) into at most
-    ``params.cap`` candidate CFs. Narrow; the partition is sorted locally by
-    arrival key first."""
+    ``params.cap`` candidate CFs. Narrow: the partition is sorted by arrival
+    key with Spark's (spill-capable) sort, then folded as it streams by."""
     dim = base_centers.shape[1]
     t_factor, recursive, cap = params.t_factor, params.recursive_outliers, params.cap
 
-    def kernel(batches):
-        xs, ts, ids = [], [], []
+    def rows_of(batches):
         for b in batches:
-            if b.num_rows:
-                xs.append(vectors_of(b, "x", dim))
-                ts.append(b.column(b.schema.get_field_index("seq_tick")).to_numpy(zero_copy_only=False))
-                ids.append(b.column(b.schema.get_field_index("seq_id")).to_numpy(zero_copy_only=False))
-        if not xs:
-            return
-        X, tt, ii = np.vstack(xs), np.concatenate(ts).astype(np.int64), np.concatenate(ids).astype(np.int64)
-        order = np.lexsort((ii, tt))
-        rows = ((int(tt[k]), int(ii[k]), 1, X[k], X[k] * X[k], int(tt[k]), int(tt[k]) * int(tt[k])) for k in order)
-        yield _cands_to_batch(_leader_fold(rows, base_centers, t_factor, recursive, cap), dim)
-
-    return outliers.select("seq_tick", "seq_id", "x").mapInArrow(kernel, CAND_SCHEMA)
+            if not b.num_rows:
+                continue
+            X = vectors_of(b, "x", dim)
+            tt = b.column(b.schema.get_field_index("seq_tick")).to_numpy(zero_copy_only=False).astype(np.int64)
+            ii = b.column(b.schema.get_field_index("seq_id")).to_numpy(zero_copy_only=False).astype(np.int64)
+            for k in range(b.num_rows):
+                t = int(tt[k])
+                yield (t, int(ii[k]), 1, X[k], X[k] * X[k], t, t * t)
+
+    def kernel(batches):
+        out = _leader_fold(rows_of(batches), base_centers, t_factor, recursive, cap)
+        if out:
+            yield _cands_to_batch(out, dim)
+
+    ordered = outliers.select("seq_tick", "seq_id", "x").sortWithinPartitions("seq_tick", "seq_id")
+    return ordered.mapInArrow(kernel, CAND_SCHEMA)
 
 
 def leader_reduce(cands: DataFrame, base_centers: np.ndarray, params: OnlineParams, fanout: int) -> DataFrame:
