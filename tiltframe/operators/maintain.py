@@ -504,18 +504,17 @@ def update_state(state: DataFrame, sums: DataFrame, candidates: DataFrame | None
     candidate set. Same rules as ``cf_apply``, ``with_staleness``,
     ``reconcile`` and ``refresh`` (which the tests compare it with).
     """
-    nulls = lambda names: [F.lit(None).cast(UPDATE_IN[c].dataType).alias(c) for c in names]
-    st = state.select(F.lit(0).cast("byte").alias("kind"), "slot", "ids", "n", "cf1x", "cf2x", "cf1t", "cf2t", "centroid", "rmsd",
-                      *nulls(["seq_tick", "seq_id"]))
-    sm = sums.select(F.lit(2).cast("byte").alias("kind"), "slot", *nulls(["ids"]), "n", "cf1x", "cf2x", "cf1t", "cf2t",
-                     *nulls(["centroid", "rmsd", "seq_tick", "seq_id"]))
-    parts = [st, sm]
+    def row(kind: int, present: set) -> list:
+        # one SQL string per column: a single JVM call builds each branch
+        return [f"CAST({kind} AS TINYINT) AS kind"] + [
+            f.name if f.name in present else f"CAST(NULL AS {f.dataType.simpleString()}) AS {f.name}"
+            for f in UPDATE_IN.fields[1:]
+        ]
+
+    cf = {"n", "cf1x", "cf2x", "cf1t", "cf2t"}
+    both = state.selectExpr(*row(0, cf | {"slot", "ids", "centroid", "rmsd"})).union(sums.selectExpr(*row(2, cf | {"slot"})))
     if candidates is not None:
-        parts.append(candidates.select(F.lit(1).cast("byte").alias("kind"), *nulls(["slot", "ids"]), "n", "cf1x", "cf2x", "cf1t", "cf2t",
-                                       *nulls(["centroid", "rmsd"]), "seq_tick", "seq_id"))
-    both = parts[0]
-    for p_ in parts[1:]:
-        both = both.unionByName(p_)
+        both = both.union(candidates.selectExpr(*row(1, cf | {"seq_tick", "seq_id"})))
     t_factor, recursive, m, delta = params.t_factor, params.recursive_outliers, params.m, params.delta
 
     def fn(batches):

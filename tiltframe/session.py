@@ -35,19 +35,18 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "til
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Read from the session; only when it is unset (local tests) a fresh
-    scratch folder is created and registered, so lineage cuts and state
-    tables always land where every executor can read them.
+    Read from the session (then from the context's checkpoint folder). Only
+    when neither is set (local tests) a scratch folder is created and
+    registered with ``setCheckpointDir``; ``spark.checkpoint.dir`` itself is
+    a core setting that cannot change at runtime.
     """
-    conf = spark.sparkContext.getConf()
-    d = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    d = sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
-        d = spark.sparkContext.getCheckpointDir()
+        d = sc.getCheckpointDir()
     if not d:
         d = tempfile.mkdtemp(prefix="tiltframe-ckpt-", dir=os.environ.get("TILTFRAME_SCRATCH", "/tmp"))
-        spark.conf.set("spark.checkpoint.dir", d)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(d)
+        sc.setCheckpointDir(d)
     return d.rstrip("/")
 
 
