@@ -55,9 +55,12 @@ def weighted_sample(cw: DataFrame, num_points: int, seed: int | None = 42, key:
     u = ((F.col("id") + F.lit(0.5)) / F.lit(float(num_points))) if deterministic else F.rand(seed)
     draws = spark.range(num_points).select(F.col("id").alias("draw"), u.alias("u"))
     if key:
-        draws = draws.crossJoin(F.broadcast(cw.select(*key).distinct()))
+        # one set of draws per request key; the keys are not size-bounded,
+        # so no broadcast hint (AQE picks the join from statistics)
+        draws = draws.crossJoin(cw.select(*key).distinct())
     cond = [draws[k] == iv[k] for k in key] + [(F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi"))]
-    hit = draws.join(F.broadcast(iv.drop("weight")), cond)
+    ivs = iv.drop("weight")
+    hit = draws.join(ivs if key else F.broadcast(ivs), cond)  # without keys: q intervals
     return hit.groupBy(*[draws[k] for k in key], "slot").agg(F.count(F.lit(1)).alias("draws")).join(
         iv.select(*key, "slot", "center"), key + ["slot"]
     )
