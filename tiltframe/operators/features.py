@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.vec import array_sum_agg, centroid, rmsd_formula, sqdist, vadd, vsquare
+from ..functions.vec import array_sum_agg, centroid, rmsd_formula, sqdist_sql, vadd, vsquare
 from ..params import STATE_SCHEMA
 from .assign import CenterView, list_array, nearest, vectors_of
 
@@ -72,11 +72,15 @@ def cf_apply(state: DataFrame, sums: DataFrame) -> DataFrame:
 
 def nearest_other_distance(state: DataFrame, center: str = "centroid") -> DataFrame:
     """Per slot: distance to the nearest OTHER center (a distance of exactly
-    0 is ignored; +inf when there is none). Self cross join of q rows."""
-    a = state.select(F.col("slot").alias("_a"), F.col(center).alias("_ca")).where(F.col("_ca").isNotNull())
-    b = state.select(F.col("slot").alias("_b"), F.col(center).alias("_cb")).where(F.col("_cb").isNotNull())
-    d = a.crossJoin(F.broadcast(b)).select("_a", sqdist("_ca", "_cb").alias("_d2")).where(F.col("_d2") != 0.0)
-    return d.groupBy("_a").agg(F.sqrt(F.min("_d2")).alias("nn_dist")).withColumnRenamed("_a", "slot")
+    0 is ignored; slots without any other center are left out).
+
+    The q centers travel as ONE broadcast row (an array of q structs); each
+    slot takes its minimum in place, so no slot x slot rows are produced."""
+    live = state.where(F.col(center).isNotNull())
+    one = live.agg(F.collect_list(F.struct(F.col("slot").alias("s"), F.col(center).alias("c"))).alias("_all"))
+    d2 = F.expr(f"array_min(filter(transform(_all, o -> {sqdist_sql(center, 'o.c')}), d -> d <> 0.0))")
+    out = live.crossJoin(F.broadcast(one)).select("slot", d2.alias("_d2"))
+    return out.where(F.col("_d2").isNotNull()).select("slot", F.sqrt("_d2").alias("nn_dist"))
 
 
 def refresh(state: DataFrame) -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.vec import sqdist
+from ..functions.vec import sqdist_sql
 from ..params import STATE_SCHEMA, OnlineParams
 from .assign import list_array, vectors_of
 
@@ -380,12 +380,19 @@ def outliers_as_candidates(outliers: DataFrame) -> DataFrame:
 
 def closest_pair(state_with_stale: DataFrame) -> DataFrame:
     """The non-stale pair (a < b) with the smallest squared centroid
-    distance; ties go to the lowest (a, b). One row: slot_a, slot_b, d2."""
+    distance; ties go to the lowest (a, b). One row: slot_a, slot_b, d2.
+
+    The keep centroids travel as ONE broadcast row; each slot a finds its
+    best partner b > a in place, then a global min over q candidates."""
     keep = state_with_stale.where(~F.col("stale")).select("slot", "centroid")
-    a = keep.select(F.col("slot").alias("slot_a"), F.col("centroid").alias("ca"))
-    b = keep.select(F.col("slot").alias("slot_b"), F.col("centroid").alias("cb"))
-    pairs = a.crossJoin(F.broadcast(b)).where(F.col("slot_a") < F.col("slot_b"))
-    best = pairs.select(F.struct(sqdist("ca", "cb").alias("d2"), "slot_a", "slot_b").alias("p")).agg(F.min("p").alias("p"))
+    one = keep.agg(F.collect_list(F.struct(F.col("slot").alias("s"), F.col("centroid").alias("c"))).alias("_all"))
+    best_b = F.expr(
+        "array_min(transform(filter(_all, o -> o.s > slot), "
+        f"o -> named_struct('d2', {sqdist_sql('centroid', 'o.c')}, 'slot_b', o.s)))"
+    )
+    per_a = keep.crossJoin(F.broadcast(one)).select(F.col("slot").alias("slot_a"), best_b.alias("_b"))
+    cand = per_a.where(F.col("_b").isNotNull()).select(F.struct(F.col("_b.d2").alias("d2"), "slot_a", F.col("_b.slot_b").alias("slot_b")).alias("p"))
+    best = cand.agg(F.min("p").alias("p"))
     return best.select("p.slot_a", "p.slot_b", "p.d2").where(F.col("slot_a").isNotNull())
 
 
