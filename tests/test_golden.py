@@ -145,3 +145,17 @@ def test_outlier_rule_not_recursive():
     assert st["cf1x"][1][0] == 20 + 22 + 60
     assert st["cf1x"][2][0] == 500
     assert st["ids"][1] == [1, 2, 4]
+
+
+def test_expire_all_after_gaps(spark, tmp_path):
+    p = SnapshotParams(2, 2)
+    path = str(tmp_path / "snaps")
+    st = spark.createDataFrame([(0, [0], 1, [1.0], [1.0], 0, 0, [1.0], 0.0)], "slot int, ids array<bigint>, n bigint, cf1x array<double>, cf2x array<double>, cf1t bigint, cf2t bigint, centroid array<double>, rmsd double")
+    for tc in range(1, 41):
+        if tc % 3 == 0:
+            continue  # empty ticks: no write, so no expiry at those clocks
+        sn.save_snapshot(spark, st, path, tc, p)
+    sn.expire_all(spark, path, 40, p)
+    kept = sorted(int(r["tick"]) for r in sn.live_ticks(sn.read_snapshots(spark, path)).collect())
+    want = [t for t in [4, 8, 12, 16, 20, 22, 24, 26, 28, 30, 31, 32, 33, 34, 35, 36, 37, 38, 39, 40] if t % 3]
+    assert kept == want

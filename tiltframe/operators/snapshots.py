@@ -97,6 +97,32 @@ def expire(spark: SparkSession, path: str, tc: int, p: SnapshotParams) -> None:
             fs.delete(hp, True)
 
 
+def expire_all(spark: SparkSession, path: str, now: int, p: SnapshotParams) -> list[int]:
+    """Maintenance: drop every tick partition that is not live at clock
+    ``now`` (closed form of the retention rule). Needed after empty ticks,
+    when the per-write rule had no write to hang the expiry on. Returns the
+    dropped ticks. Works on the partition listing only."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return []
+    dropped = []
+    for st in fs.listStatus(root):
+        name = st.getPath().getName()
+        if not (st.isDirectory() and name.startswith("tick=")):
+            continue
+        t = int(name.split("=", 1)[1])
+        order = 0
+        while t >= 1 and t % (p.alpha ** (order + 1)) == 0:
+            order += 1
+        live = 1 <= t <= now and t + (p.alpha**p.l + 1) * p.alpha ** (order + 1) > now
+        if not live and t != now:
+            fs.delete(st.getPath(), True)
+            dropped.append(t)
+    return sorted(dropped)
+
+
 def read_snapshots(spark: SparkSession, path: str) -> DataFrame:
     """The snapshot table (``tick`` partition column + state columns); an
     empty table when nothing was saved yet."""
@@ -114,9 +140,13 @@ def snapshot_at(snapshots: DataFrame, tick: int) -> DataFrame:
     return snapshots.where(F.col("tick") == F.lit(int(tick)))
 
 
-def live_ticks(snapshots: DataFrame) -> DataFrame:
-    """Distinct ticks present in the snapshot table (partition listing)."""
-    return snapshots.select("tick").distinct()
+def live_ticks(snapshots: DataFrame, now=None, p: SnapshotParams | None = None) -> DataFrame:
+    """Distinct ticks present in the snapshot table (partition listing);
+    with ``now`` and ``p`` only those the retention rule keeps at ``now``."""
+    t = snapshots.select("tick").distinct()
+    if now is not None and p is not None:
+        t = t.where(is_live("tick", now, p.alpha, p.l))
+    return t
 
 
 def snapshot_pairs(requests: DataFrame, ticks: DataFrame) -> DataFrame:

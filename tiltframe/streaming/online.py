@@ -169,7 +169,11 @@ class OnlineClusterer:
         self.version = version
         self._view = collect_view(self.state()) if initialized else None
         if self.snapshot is not None:
-            snaps.expire(self.spark, self.state_path, version, self.snapshot)
+            if prev >= 0 and version - prev > 1:
+                # empty ticks since the last write: their expiries had no write
+                snaps.expire_all(self.spark, self.state_path, version, self.snapshot)
+            else:
+                snaps.expire(self.spark, self.state_path, version, self.snapshot)
         elif prev >= 0 and self._prev_prev >= 0:
             _delete_path(self.spark, self._state_version_path(self._prev_prev))
         self._prev_prev = prev
