@@ -18,13 +18,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.vec import array_sum_agg
-from .assign import assign, collect_view
+from .assign import CenterView, assign, collect_view
 
 
-def random_gaussian_centers(spark: SparkSession, k: int, dim: int, seed: int, weight: float = 0.0) -> DataFrame:
-    """k centers with N(0,1) coordinates (k x dim numbers from a seed)."""
+def random_gaussian_model(k: int, dim: int, seed: int, weight: float = 0.0):
+    """Driver-side start model: k centers with N(0,1) coordinates (k x dim
+    numbers from a seed), all with the same weight."""
     rng = np.random.default_rng(seed)
-    rows = [(i, [float(v) for v in rng.standard_normal(dim)], float(weight)) for i in range(k)]
+    return np.arange(k, dtype=np.int32), rng.standard_normal((k, dim)), np.full(k, float(weight))
+
+
+def random_gaussian_centers(spark: SparkSession, k: int, dim: int, seed: int, weight: float = 0.0) -> DataFrame:
+    """The same start model as a k-row DataFrame ``slot, center, weight``."""
+    slots, C, w = random_gaussian_model(k, dim, seed, weight)
+    rows = [(int(s), [float(v) for v in c], float(x)) for s, c, x in zip(slots, C, w)]
     return spark.createDataFrame(rows, "slot int, center array<double>, weight double")
 
 
@@ -32,7 +39,17 @@ def decay_from_half_life(half_life: float) -> float:
     return math.exp(math.log(0.5) / half_life)
 
 
-def streaming_kmeans_update(model: DataFrame, batch: DataFrame, decay: float = 1.0, time_unit: str = "batches", x: str = "x",
+def model_arrays(model) -> tuple:
+    """(slots, centers, weights) of a model given as a k-row DataFrame or as
+    arrays. The DataFrame is bounded by k; ``collect_view`` checks it."""
+    if isinstance(model, DataFrame):
+        view = collect_view(model, "slot", "center", "weight")
+        return view.slots, view.centers, view.rmsd
+    slots, C, w = model
+    return np.asarray(slots, dtype=np.int32), np.asarray(C, dtype=np.float64), np.asarray(w, dtype=np.float64)
+
+
+def streaming_kmeans_update(model, batch: DataFrame, decay: float = 1.0, time_unit: str = "batches", x: str = "x",
                             with_total: bool = False) -> DataFrame:
     """One update of streaming k-means with forgetting.
 
@@ -42,39 +59,35 @@ def streaming_kmeans_update(model: DataFrame, batch: DataFrame, decay: float = 1
     center is split in two (+-1e-14 max(|c|, 1) per coordinate) and both get
     the mean of the two weights.
 
-    The data-sized part (assignment + per-center sums) runs distributed with
-    partial aggregation; the k-row update itself is one small task.
-    ``with_total`` adds ``batch_points`` (points in the batch) to every row.
+    ``model``: k-row DataFrame ``slot, center, weight`` or driver arrays
+    (slots, centers, weights) - k x d numbers, as MLlib keeps them. The
+    data-sized part (assignment + per-center sums) runs distributed with
+    partial aggregation; the k-row update is one small task. ``with_total``
+    adds ``batch_points`` (points in the batch) to every row.
     """
     if time_unit not in ("batches", "points"):
         raise ValueError("time_unit must be 'batches' or 'points'")
-    view = collect_view(model, "slot", "center", None)
+    slots, C0, w0 = model_arrays(model)
+    view = CenterView(slots, C0)
     dim = view.dim
     sums = (
         assign(batch.select(x), view, x)
         .groupBy("slot")
         .agg(F.count(F.lit(1)).alias("cnt"), array_sum_agg(x, dim, "sx"))
     )
-    rows = model.select(
-        F.lit(0).cast("byte").alias("kind"), "slot", "center", F.col("weight").cast("double").alias("weight"),
-        F.lit(None).cast("long").alias("cnt"), F.lit(None).cast("array<double>").alias("sx"),
-    ).unionByName(
-        sums.select(
-            F.lit(1).cast("byte").alias("kind"), "slot", F.lit(None).cast("array<double>").alias("center"),
-            F.lit(None).cast("double").alias("weight"), "cnt", "sx",
-        )
-    )
 
     def fn(batches):
-        pdf = pd.concat(list(batches), ignore_index=True)
-        m = pdf[pdf["kind"] == 0].sort_values("slot").reset_index(drop=True)
-        st = {int(r.slot): (int(r.cnt), np.asarray(r.sx, dtype=np.float64)) for r in pdf[pdf["kind"] == 1].itertuples(index=False)}
-        C = np.stack(m["center"].to_numpy()).astype(np.float64)
-        w = m["weight"].to_numpy(np.float64).copy()
+        frames = [b for b in batches if len(b)]
+        st = {}
+        for pdf in frames:
+            for r in pdf.itertuples(index=False):
+                st[int(r.slot)] = (int(r.cnt), np.asarray(r.sx, dtype=np.float64))
+        C = C0.copy()
+        w = w0.copy()
         total = sum(c for c, _ in st.values())
         a = decay if time_unit == "batches" else decay ** total
         w = w * a
-        for i, slot in enumerate(m["slot"]):
+        for i, slot in enumerate(slots):
             if int(slot) in st:
                 cnt, sx = st[int(slot)]
                 w1 = w[i] + cnt
@@ -89,13 +102,13 @@ def streaming_kmeans_update(model: DataFrame, batch: DataFrame, decay: float = 1
             pert = 1e-14 * np.maximum(np.abs(cl), 1.0)
             C[big] = cl + pert
             C[small] = cl - pert
-        out = pd.DataFrame({"slot": m["slot"].astype(np.int32), "center": list(C), "weight": w})
+        out = pd.DataFrame({"slot": slots.astype(np.int32), "center": list(C), "weight": w})
         if with_total:
             out["batch_points"] = np.int64(total)
         yield out
 
     schema = "slot int, center array<double>, weight double" + (", batch_points bigint" if with_total else "")
-    return rows.coalesce(1).mapInPandas(fn, schema)
+    return sums.coalesce(1).mapInPandas(fn, schema)
 
 
 def batch_kmeans(points: DataFrame, k: int, max_iter: int = 20, seed: int = 42, x: str = "x", weight: str | None = None, tol: float = 1e-4):

@@ -14,13 +14,14 @@ everything else touches q rows or a bounded candidate set.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.assign import CenterView, collect_view
 from ..operators.features import assign_and_summarize, cf_merge_partials, empty_state
-from ..operators.kmeans import batch_kmeans, random_gaussian_centers, streaming_kmeans_update
+from ..operators.kmeans import batch_kmeans, random_gaussian_model, streaming_kmeans_update
 from ..operators.maintain import leader_pass, leader_reduce, outliers_as_candidates, update_state
 from ..operators import snapshots as snaps
 from ..params import STATE_SCHEMA, OnlineParams, SnapshotParams
@@ -83,6 +84,7 @@ class OnlineClusterer:
         self.version = -1  # clock value of the last written state
         self.progress: list[tuple[int, int, int]] = []
         self._skm_version = None
+        self._skm = None  # streaming k-means start model (slots, centers, weights)
         self._staged = 0
         self._view: CenterView | None = None
         self._prev_prev = -1
@@ -106,7 +108,10 @@ class OnlineClusterer:
         skm = f"{self.base}/skm"
         if _path_exists(self.spark, skm):
             v = self.spark.read.parquet(skm).agg(F.max("version")).first()[0]
-            self._skm_version = None if v is None else int(v)
+            if v is not None:
+                self._skm_version = int(v)
+                rows = sorted(self.spark.read.parquet(f"{skm}/version={v}").collect(), key=lambda r: r["slot"])
+                self._skm = _rows_to_model(rows)
         if not _path_exists(self.spark, self.state_path):
             return
         prog = (
@@ -246,11 +251,11 @@ class OnlineClusterer:
         return cands
 
     # -- initialisation routes -------------------------------------------
-    def _build_from_centers(self, centers: DataFrame, pts: DataFrame, version: int, n_batch: int) -> None:
+    def _build_from_centers(self, centers: DataFrame, pts: DataFrame, version: int, n_batch: int, view: CenterView | None = None) -> None:
         """Seed q empty slots with the init centers, fold the batch in (every
         point inside) and refresh: the data pass + one bounded task."""
         st0 = empty_state(self.spark, centers, self.p.dim, "center")
-        view = collect_view(st0)
+        view = view if view is not None else collect_view(st0)
         fused = assign_and_summarize(pts, view, None)
         sums = cf_merge_partials(fused.where("kind = 0").select("slot", "n", "cf1x", "cf2x", "cf1t", "cf2t"), self.p.dim)
         self.initialized = True
@@ -279,25 +284,24 @@ class OnlineClusterer:
                 centers = _pad_centers(self.spark, centers, p.q, p.dim)
                 self._build_from_centers(centers, buf, version, n_batch)
             return n_batch
-        # streaming k-means route (default)
+        # streaming k-means route (default): the k-row model lives on the
+        # driver between batches (bounded by q) and is persisted per version
         skm_dir = f"{self.base}/skm"
-        model = (
-            random_gaussian_centers(self.spark, p.q, p.dim, p.seed, 0.0)
-            if self._skm_version is None
-            else self.spark.read.parquet(f"{skm_dir}/version={self._skm_version}")
-        )
-        # one job: the update (k rows, bounded by q) and the batch size
-        rows = streaming_kmeans_update(model, pts, 1.0, "batches", with_total=True).collect()
+        model = self._skm if self._skm is not None else random_gaussian_model(p.q, p.dim, p.seed, 0.0)
+        out_path = f"{skm_dir}/version={version}"
+        streaming_kmeans_update(model, pts, 1.0, "batches", with_total=True).write.mode("overwrite").parquet(out_path)
+        rows = sorted(self.spark.read.parquet(out_path).collect(), key=lambda r: r["slot"])
         n_batch = int(rows[0]["batch_points"]) if rows else 0
         if n_batch == 0:
             return 0
-        new_model = self.spark.createDataFrame(
-            [(r["slot"], r["center"], r["weight"]) for r in rows], "slot int, center array<double>, weight double"
-        )
-        new_model.coalesce(1).write.mode("overwrite").parquet(f"{skm_dir}/version={version}")
+        self._skm = _rows_to_model(rows)
         self._skm_version = version
         if self.total >= p.min_init_points:
-            self._build_from_centers(new_model.select("slot", "center"), pts, version, n_batch)
+            slots, C, _ = self._skm
+            centers = self.spark.createDataFrame(
+                [(int(sl), [float(v) for v in c]) for sl, c in zip(slots, C)], "slot int, center array<double>"
+            )
+            self._build_from_centers(centers, pts, version, n_batch, CenterView(slots, C, np.zeros(len(slots))))
         return n_batch
 
     # -- offline front door ---------------------------------------------------
@@ -372,6 +376,14 @@ class OnlineClusterer:
         return w.start()
 
 
+def _rows_to_model(rows) -> tuple:
+    return (
+        np.array([r["slot"] for r in rows], dtype=np.int32),
+        np.array([r["center"] for r in rows], dtype=np.float64),
+        np.array([r["weight"] for r in rows], dtype=np.float64),
+    )
+
+
 def _pad_centers(spark, centers: DataFrame, q: int, dim: int) -> DataFrame:
     """Fewer centers than q: the remaining slots start at the zero vector."""
     have = centers.count()
