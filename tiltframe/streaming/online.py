@@ -328,9 +328,10 @@ class OnlineClusterer:
         """
         if stage:
             path = f"{self.base}/input-{self.time}"
-            # no shuffle: every task writes its own rows per tick, so a hot
-            # tick is spread over all tasks instead of landing in one
-            points.sortWithinPartitions(tick).write.mode("overwrite").partitionBy(tick).parquet(path)
+            # range partitioning on (tick, arrival key): balanced tasks, a
+            # hot tick is split over several tasks, few files per tick
+            keys = [tick] + ([self.order] if self.order in points.columns else [])
+            points.repartitionByRange(*keys).write.mode("overwrite").partitionBy(tick).parquet(path)
             points = self.spark.read.parquet(path)
         if last_tick is None:
             last_tick = int(points.agg(F.max(tick)).first()[0])
