@@ -149,3 +149,30 @@ def test_milestone_hook_writes_centers(spark, tmp_path):
     lines = spark.read.text(sink).collect()
     assert len(lines) >= 3 and all(len(r["value"].split(",")) == 2 for r in lines)
     assert m.macro_at(m.time, 8, 3).count() == 3
+
+
+def test_merge_preserves_cf_totals(spark):
+    from tiltframe.operators.maintain import closest_pair, merge_pair
+
+    st = ev_state(spark, SF_SMALL, q=12, split=20)
+    sws = with_staleness(st, 20, 5, 20)
+    merged = merge_pair(st, closest_pair(sws))
+    tot = lambda df: df.agg(F.sum("n"), F.sum(F.col("cf1x")[0]), F.sum(F.col("cf2x")[1]), F.sum("cf1t"), F.sum("cf2t")).first()
+    a, b = tot(st), tot(merged)
+    assert a[0] == b[0] and a[3] == b[3] and a[4] == b[4]
+    assert a[1] == pytest.approx(b[1]) and a[2] == pytest.approx(b[2])
+    assert merged.where("n = 0").count() >= 1
+
+
+def test_horizon_counts_non_negative_on_online_snapshots(spark, full_run):
+    from tiltframe.operators import snapshots as sn
+
+    snaps = sn.read_snapshots(spark, full_run.snapshot_path).select("tick", "slot", "ids", "n", "cf1x", "cf2x", "cf1t", "cf2t")
+    req = spark.createDataFrame([(30, h) for h in (1, 2, 5, 8, 16)], "tc bigint, h bigint")
+    hc = sn.horizon_clusters(snaps, req)
+    assert hc.count() == 5 * P.q
+    assert hc.where("n < 0").count() == 0
+    # an exact horizon never holds more points than the batches inside it
+    prog = {t: n for t, n, _ in full_run.progress}
+    for r in hc.where("horizon_exact").groupBy("tc", "h", "t1", "t2").agg(F.sum("n").alias("n")).collect():
+        assert r["n"] <= sum(v for t, v in prog.items() if r["t2"] < t <= r["t1"])
