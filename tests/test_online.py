@@ -176,3 +176,15 @@ def test_horizon_counts_non_negative_on_online_snapshots(spark, full_run):
     prog = {t: n for t, n, _ in full_run.progress}
     for r in hc.where("horizon_exact").groupBy("tc", "h", "t1", "t2").agg(F.sum("n").alias("n")).collect():
         assert r["n"] <= sum(v for t, v in prog.items() if r["t2"] < t <= r["t1"])
+
+
+def test_restart_during_start_phase(spark, full_run):
+    base = new_run_dir(spark, "restart-start")
+    pts = ev_points(spark, SF_SMALL)
+    a = OnlineClusterer(spark, P, base_dir=base, snapshot=SnapshotParams(2, 2))
+    a.run_ticks(pts, last_tick=1)  # ~66 points < 100: still in the start phase
+    assert not a.initialized
+    b = OnlineClusterer(spark, P, base_dir=base, snapshot=SnapshotParams(2, 2))
+    assert (b.time, b.total) == (a.time, a.total)
+    b.run_ticks(pts)
+    assert _rows(b.state()) == _rows(full_run.state())

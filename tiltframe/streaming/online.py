@@ -59,8 +59,6 @@ class OnlineClusterer:
     time frame are dropped after each write; without one only the last two
     versions are kept. One Parquet write per step."""
 
-    META = ["n_batch", "n_total", "initialized"]
-
     def __init__(
         self,
         spark: SparkSession,
@@ -107,11 +105,22 @@ class OnlineClusterer:
         """Pick up the last written version (restart after a failure)."""
         skm = f"{self.base}/skm"
         if _path_exists(self.spark, skm):
-            v = self.spark.read.parquet(skm).agg(F.max("version")).first()[0]
-            if v is not None:
-                self._skm_version = int(v)
+            # start phase: one model version per batch, each with its size
+            per = (
+                self.spark.read.parquet(skm).groupBy("version").agg(F.first("batch_points").alias("n")).orderBy("version").collect()
+            )
+            if per:
+                v = int(per[-1]["version"])
+                self._skm_version = v
                 rows = sorted(self.spark.read.parquet(f"{skm}/version={v}").collect(), key=lambda r: r["slot"])
                 self._skm = _rows_to_model(rows)
+                self.time = v
+                self.total = sum(int(r["n"]) for r in per)
+                self.progress = []
+                run = 0
+                for r in per:
+                    run += int(r["n"])
+                    self.progress.append((int(r["version"]), int(r["n"]), run))
         if not _path_exists(self.spark, self.state_path):
             return
         prog = (
@@ -128,7 +137,8 @@ class OnlineClusterer:
         self.total = int(last["n_total"])
         self.initialized = bool(last["initialized"])
         self.version = self.time
-        self.progress = [(int(r["tick"]), int(r["n_batch"]), int(r["n_total"])) for r in prog]
+        earlier = [t for t in self.progress if t[0] < int(prog[0]["tick"])]
+        self.progress = earlier + [(int(r["tick"]), int(r["n_batch"]), int(r["n_total"])) for r in prog]
 
     def state(self) -> DataFrame:
         """Current micro-clusters (ON19)."""
