@@ -188,3 +188,26 @@ def test_restart_during_start_phase(spark, full_run):
     assert (b.time, b.total) == (a.time, a.total)
     b.run_ticks(pts)
     assert _rows(b.state()) == _rows(full_run.state())
+
+
+def test_progress_listener_counts_stream_rows(spark, tmp_path):
+    import time
+
+    from tiltframe.streaming.progress import ProgressListener
+
+    pts = ev_points(spark, SF_SMALL)
+    src = str(tmp_path / "src")
+    for lo, hi in [(0, 15), (15, 30)]:
+        pts.where((F.col("tick") >= lo) & (F.col("tick") < hi)).coalesce(1).write.mode("append").parquet(src)
+    listener = ProgressListener()
+    spark.streams.addListener(listener)
+    try:
+        stream = spark.readStream.schema(pts.schema).option("maxFilesPerTrigger", 1).parquet(src)
+        m = OnlineClusterer(spark, P)
+        q = m.start(stream, checkpoint=str(tmp_path / "ckpt"), mode="event", trigger={"availableNow": True})
+        q.awaitTermination()
+        time.sleep(2)  # listener events are delivered asynchronously
+        rows = listener.table(spark).collect()
+    finally:
+        spark.streams.removeListener(listener)
+    assert sum(r["n_batch"] for r in rows) == pts.count() == m.total
