@@ -137,3 +137,147 @@ def test_absorb_outliers_against_brute_force(spark, sf):
         assert g["n"] == s["n"] and g["cf1t"] == s["t1"] and g["cf2t"] == s["t2"], i
         assert g["cf1x0"] == pytest.approx(round(s["s1"][0], 4), abs=1e-3)
         assert g["cf2x1"] == pytest.approx(round(s["s2"][1], 4), abs=1e-3)
+
+
+def brute_online(points, q, dim, min_init, t, m, delta, seed):
+    """Plain-Python run of the online phase, one batch per day."""
+    import numpy as np
+
+    rng = np.random.default_rng(seed)
+    C = [list(map(float, row)) for row in rng.standard_normal((q, dim))]
+    W = [0.0] * q
+    days = sorted({d for _, _, d in points})
+    by_day = {d: sorted((pid, x) for pid, x, dd in points if dd == d) for d in days}
+    slots, total, next_id = None, 0, q
+
+    def nearest(x, cents):
+        return min(range(len(cents)), key=lambda k: (_d2(x, cents[k]), k))
+
+    def refresh():
+        for s in slots:
+            if s["n"] > 0:
+                s["c"] = [v / s["n"] for v in s["s1"]]
+            if s["n"] > 1:
+                s["r"] = _rmsd(s["n"], s["s1"], s["s2"])
+        for s in slots:
+            if s["n"] == 1:
+                ds = [d for d in (_d2(s["c"], o["c"]) for o in slots) if d != 0.0]
+                s["r"] = math.sqrt(min(ds)) if ds else math.inf
+
+    def add(s, x, day):
+        s["n"] += 1
+        s["s1"] = [a + b for a, b in zip(s["s1"], x)]
+        s["s2"] = [a + b * b for a, b in zip(s["s2"], x)]
+        s["t1"] += day
+        s["t2"] += day * day
+
+    def stamp(s):
+        n = s["n"]
+        mu = s["t1"] / n if n > 0 else 0.0
+        if n < 2 * m:
+            return mu
+        sd = math.sqrt(max(s["t2"] / n - mu * mu, 0.0))
+        return mu + sd * probit_py(1 - m / (2.0 * n))
+
+    for day in range(max(days) + 1):
+        batch = by_day.get(day, [])
+        if not batch:
+            continue
+        if slots is None:
+            # streaming k-means update (decay 1, per batch), then maybe start
+            stats = {}
+            for _, x in batch:
+                j = nearest(x, C)
+                c, sx = stats.get(j, (0, [0.0] * dim))
+                stats[j] = (c + 1, [a + b for a, b in zip(sx, x)])
+            for j, (cnt, sx) in stats.items():
+                w1 = W[j] + cnt
+                lam = cnt / max(w1, 1e-16)
+                W[j] = w1
+                C[j] = [(1.0 - lam) * c + (lam / cnt) * s_ for c, s_ in zip(C[j], sx)]
+            big = max(range(q), key=lambda k: (W[k], -k))
+            small = min(range(q), key=lambda k: (W[k], k))
+            if W[small] < 1e-8 * W[big]:
+                mean = (W[big] + W[small]) / 2.0
+                W[big] = W[small] = mean
+                cl = list(C[big])
+                C[big] = [v + 1e-14 * max(abs(v), 1.0) for v in cl]
+                C[small] = [v - 1e-14 * max(abs(v), 1.0) for v in cl]
+            if total >= min_init:
+                slots = [dict(ids=[i], n=0, s1=[0.0] * dim, s2=[0.0] * dim, t1=0, t2=0, c=list(C[i]), r=0.0) for i in range(q)]
+                for _, x in batch:
+                    add(slots[nearest(x, [list(c) for c in C])], x, day)
+                refresh()
+            total += len(batch)
+            continue
+        view = [(list(s["c"]), s["r"]) for s in slots]
+        outl = []
+        for pid, x in batch:
+            j = nearest(x, [v[0] for v in view])
+            if math.sqrt(_d2(x, view[j][0])) <= t * view[j][1]:
+                add(slots[j], x, day)
+            else:
+                outl.append((pid, x))
+        if outl:
+            stamps = [stamp(s) for s in slots]
+            stale = [i for i, s in enumerate(slots) if stamps[i] < day - delta or s["n"] == 0]
+            keep = [i for i in range(q) if i not in stale]
+            new, used = [], 0
+            for pid, x in outl:
+                best, bi = math.inf, None
+                for i in new:
+                    d = _d2(x, [v / slots[i]["n"] for v in slots[i]["s1"]])
+                    if d < best:
+                        best, bi = d, i
+                if bi is not None and math.sqrt(best) <= t * slots[bi]["r"]:
+                    s = slots[bi]
+                    add(s, x, day)
+                    s["c"] = [v / s["n"] for v in s["s1"]]
+                    s["r"] = _rmsd(s["n"], s["s1"], s["s2"])
+                    continue
+                if used < len(stale):
+                    target = stale[used]
+                    used += 1
+                else:
+                    best, pa = math.inf, None
+                    for ia in range(len(keep)):
+                        for ib in range(ia + 1, len(keep)):
+                            d = _d2(slots[keep[ia]]["c"], slots[keep[ib]]["c"])
+                            if d < best:
+                                best, pa = d, (keep[ia], keep[ib])
+                    if pa is None:
+                        target = min(range(q), key=lambda k: (stamps[k], k))
+                    else:
+                        a, b = pa
+                        A, B = slots[a], slots[b]
+                        for key in ("n", "t1", "t2"):
+                            A[key] += B[key]
+                        A["s1"] = [u + v for u, v in zip(A["s1"], B["s1"])]
+                        A["s2"] = [u + v for u, v in zip(A["s2"], B["s2"])]
+                        A["ids"] = A["ids"] + B["ids"]
+                        A["c"] = [v / A["n"] for v in A["s1"]]
+                        A["r"] = _rmsd(A["n"], A["s1"], A["s2"])
+                        target = b
+                s = slots[target]
+                s.update(ids=[next_id], n=1, s1=list(x), s2=[v * v for v in x], t1=day, t2=day * day, c=list(x))
+                next_id += 1
+                ds = [d for d in (_d2(s["c"], o["c"]) for o in slots) if d != 0.0]
+                s["r"] = math.sqrt(min(ds)) if ds else math.inf
+                new.append(target)
+        refresh()
+        total += len(batch)
+    return slots
+
+
+def test_online_run_against_brute_force(spark):
+    from tiltframe.plans.common import ev_points
+    from tiltframe.plans.queries import MIN_INIT
+
+    pts = [(r["id"], list(r["x"]), r["tick"]) for r in ev_points(spark, SF_SMALL).collect()]
+    want = brute_online(pts, EV_Q, 2, MIN_INIT, T_FACTOR, M_LAST, DELTA_DAYS, 42)
+    got = {r["slot"]: r for r in E.queries()["online_run"](spark, SF_SMALL).collect()}
+    for i, s in enumerate(want):
+        g = got[i]
+        assert g["ids"] == ",".join(map(str, s["ids"])), i
+        assert (g["n"], g["cf1t"], g["cf2t"]) == (s["n"], s["t1"], s["t2"]), i
+        assert g["cf1x0"] == pytest.approx(round(s["s1"][0], 4), abs=1e-3)
