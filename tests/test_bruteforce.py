@@ -269,13 +269,14 @@ def brute_online(points, q, dim, min_init, t, m, delta, seed):
     return slots
 
 
-def test_online_run_against_brute_force(spark):
+@pytest.mark.parametrize("sf", [SF_SMALL, "/root/testdata/sf0.01"])
+def test_online_run_against_brute_force(spark, sf):
     from tiltframe.plans.common import ev_points
     from tiltframe.plans.queries import MIN_INIT
 
-    pts = [(r["id"], list(r["x"]), r["tick"]) for r in ev_points(spark, SF_SMALL).collect()]
+    pts = [(r["id"], list(r["x"]), r["tick"]) for r in ev_points(spark, sf).collect()]
     want = brute_online(pts, EV_Q, 2, MIN_INIT, T_FACTOR, M_LAST, DELTA_DAYS, 42)
-    got = {r["slot"]: r for r in E.queries()["online_run"](spark, SF_SMALL).collect()}
+    got = {r["slot"]: r for r in E.queries()["online_run"](spark, sf).collect()}
     for i, s in enumerate(want):
         g = got[i]
         assert g["ids"] == ",".join(map(str, s["ids"])), i
