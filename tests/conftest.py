@@ -28,5 +28,8 @@ def spark():
         .getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")
+    from tiltframe.session import ship_package
+
+    ship_package(s)
     yield s
     s.stop()

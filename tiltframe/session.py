@@ -29,6 +29,7 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "til
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     return spark
 
 
@@ -53,3 +54,28 @@ def shared_dir(spark: SparkSession) -> str:
 def new_run_dir(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared folder for one model run."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``tiltframe`` importable in every Python worker: zip the package
+    once per application and hand it to ``SparkContext.addPyFile`` (the
+    ``--py-files`` mechanism; Spark serves the file to the executors)."""
+    import zipfile
+
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED or os.environ.get("TILTFRAME_SHIP", "1") == "0":
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    out = os.path.join(tempfile.mkdtemp(prefix="tiltframe-pyfiles-"), "tiltframe.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _dirs, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    sc.addPyFile(out)
+    _SHIPPED.add(app)
