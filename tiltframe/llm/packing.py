@@ -38,8 +38,10 @@ END_ID = 0
 #: Pieces in one rank bucket of one length.
 BUCKET_PIECES = 50_000
 #: The program stops when padding is below this share of all tokens.
-MAX_PADDING = 0.0005
-MAX_PIVOTS = 6000
+MAX_PADDING = 0.002
+MAX_PIVOTS = 400
+#: Weight of the lengths against the duals when new patterns are priced.
+TRUST = 0.9
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -129,27 +131,52 @@ def solve(histogram: dict[int, int], seq_len: int = SEQ_LEN, max_padding: float
     return out
 
 
+def _first_basis(lengths, need, seq_len):
+    """Greedy patterns, each used (fractionally) until one of its lengths is
+    used up: later patterns do not hold that length, so the columns form a
+    triangular, feasible basis."""
+    m = len(lengths)
+    left, alive = need.copy(), np.ones(m, dtype=bool)
+    basis, times = np.zeros((m, m)), np.zeros(m)
+    for j in range(m):
+        room, a = seq_len, np.zeros(m)
+        for i in np.flatnonzero(alive)[::-1].tolist():
+            if lengths[i] > room:
+                continue
+            # a length once used stops at what is there; the first one fills up
+            k = min(room // int(lengths[i]), max(1, int(left[i])))
+            a[i], room = k, room - k * int(lengths[i])
+            if room == 0:
+                break
+        used = a > 0
+        ratio = np.where(used, left / np.where(used, a, 1.0), np.inf)
+        r = int(np.argmin(ratio))
+        times[j], basis[:, j] = ratio[r], a
+        left = np.maximum(left - ratio[r] * a, 0.0)
+        alive[r] = False
+    return basis, times
+
+
 def _column_generation(lengths, need, seq_len, max_padding, max_pivots):
-    """Revised simplex on min cost x, A x = need; starts from one pattern per
-    length that repeats it as often as it fits."""
-    m, tokens = len(lengths), float(lengths @ need)
+    """Revised simplex on min cost x, A x = need, from greedy patterns.
+    Lengths themselves are feasible duals (no pattern costs less than its
+    tokens), so pricing looks between them and the current duals, nearer to
+    the latter when that finds no pattern."""
+    tokens = float(lengths @ need)
     prices = _Prices(lengths, seq_len)
-    basis = np.diag((seq_len // lengths).astype(float))
-    inverse = np.diag(1.0 / np.diag(basis))
-    cost = np.array([padded_size(int(t), seq_len) for t in np.diag(basis) * lengths], dtype=float)
-    x = inverse @ need
-    pivots = 0
+    basis, x = _first_basis(lengths, need, seq_len)
+    inverse = np.linalg.inv(basis)
+    cost = np.array([padded_size(int(t), seq_len) for t in lengths @ basis], dtype=float)
+    pivots, trust = 0, TRUST
     while pivots < max_pivots and cost @ x > (1 + max_padding) * tokens:
         duals = cost @ inverse
-        new = prices.patterns(duals, 48)
-        if not new:
-            break
-        for a in new:
+        moved = 0
+        for a in prices.patterns(trust * lengths + (1 - trust) * duals, 48):
             c = float(padded_size(int(a @ lengths), seq_len))
-            if pivots and c - duals @ a > -1e-7 * seq_len:
+            if c - duals @ a > -1e-7 * seq_len:
                 continue
             d = inverse @ a
-            up = d > 1e-9
+            up = d > 1e-6
             if not up.any():
                 continue
             ratio = np.where(up, x / np.where(up, d, 1.0), np.inf)
@@ -157,15 +184,16 @@ def _column_generation(lengths, need, seq_len, max_padding, max_pivots):
             x = np.maximum(x - ratio[r] * d, 0.0)
             x[r] = ratio[r]
             row = inverse[r] / d[r]
+            duals = duals + (c - duals @ a) * row
             inverse -= np.outer(d, row)
             inverse[r] = row
             basis[:, r], cost[r] = a, c
-            duals = cost @ inverse
-            pivots += 1
-            if pivots % 500 == 0:  # keep rounding errors small
-                inverse = np.linalg.inv(basis)
-                x = np.maximum(inverse @ need, 0.0)
-                duals = cost @ inverse
+            pivots, moved = pivots + 1, moved + 1
+        if not moved:
+            if trust == 0.0:
+                break
+            trust = 0.0 if trust < 0.05 else trust / 2
+    # what rounding errors leave out of the counts goes to first-fit
     for r in np.argsort(-x, kind="stable").tolist():
         k = np.flatnonzero(basis[:, r])
         yield {int(lengths[i]): int(basis[i, r]) for i in k.tolist()}, float(x[r])
