@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import ship_package
 from .bpe import bpe_encode
+from .jaccard_join import near_duplicates
 from .line_dedup import line_dedup
 from .packing import pack
 
@@ -40,7 +41,11 @@ def op6_packing(spark: SparkSession, sf: str) -> DataFrame:
     return pack(spark, _table(spark, sf, "documents"), BYTE_BPE)
 
 
-QUERIES = {f.__name__: f for f in (op2_line_dedup, op5_bpe_encoding, op6_packing)}
+def op10_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
+    return near_duplicates(spark, _table(spark, sf, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_line_dedup, op5_bpe_encoding, op6_packing, op10_jaccard_join)}
 
 _LINE_KEY = (
     "translate(trim(l, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), "
