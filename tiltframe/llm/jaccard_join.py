@@ -42,7 +42,7 @@ from .storage import Scratch
 from .text import U64, as_signed, blocks, mix, shingle_sets
 
 #: Cost of a chance match against an index entry (cost model of allowances).
-MATCH_COST = 400.0
+MATCH_COST = 100.0
 
 
 class Bands:
@@ -75,14 +75,12 @@ def _scheme(num: int, den: int, low: int, top: int) -> tuple[int, int, int]:
     size = (low + top) / 2
     best = None
     for ones in sorted({0, 1, 2, (differ + 1) // 4, (differ + 1) // 2}):
-        spare = 0
-        for _ in range(4):  # spare segments change the mean size of a segment
-            m = max(1, differ + 1 + spare - ones)
-            mean = m * math.exp(-size / m)
-            spare = 0 if mean < 1e-3 else math.ceil(mean + 3 * math.sqrt(mean))
-        m = differ + 1 + spare - ones
+        m = differ + 1 - ones
         if m < max(1, ones):
             continue
+        mean = m * math.exp(-size / m) if m > 1 else 0.0  # empty segments to be expected
+        spare = 0 if mean < 1e-3 else math.ceil(mean + 3 * math.sqrt(mean))
+        m += spare
         c = size / m
         chance = MATCH_COST * math.exp(-c)
         cost = (m - ones) * (1 + chance) + ones * (1 + 2 * c + (1 + 2 * c) * chance)
@@ -102,7 +100,7 @@ def signatures(tokens: np.ndarray, bands: Bands) -> np.ndarray:
         seg, t = seg[order], t[order]
         first = np.flatnonzero(np.concatenate(([True], seg[1:] != seg[:-1])))
         total, where = np.add.reduceat(t, first), seg[first]
-        salt = U64(band + 1) * U64(0x9E3779B97F4A7C15)
+        salt = U64((band + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
         out.append(mix(total ^ (where * U64(0xD1342543DE82EF95) + salt)))
         if ones:  # segments below ``ones``: every subset with one token less
             k = int(np.searchsorted(seg, ones))
