@@ -5,13 +5,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import new_run_dir
+from ..session import new_run_dir, ship_package
 
 
 class Scratch:
     """One folder under ``spark.checkpoint.dir`` per run of an operator."""
 
     def __init__(self, spark: SparkSession, name: str):
+        ship_package(spark)  # the tasks import this package
         self.spark, self.base, self._n = spark, new_run_dir(spark, name), 0
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
