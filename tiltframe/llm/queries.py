@@ -12,6 +12,7 @@ from .bpe import bpe_encode
 from .jaccard_join import near_duplicates
 from .line_dedup import line_dedup
 from .packing import pack
+from .suffix_dedup import suffix_dedup
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -27,6 +28,11 @@ def op2_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    out = suffix_dedup(spark, _table(spark, sf, "documents").select("doc_id", "text"))
+    return out.select("row.doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_bpe_encoding(spark: SparkSession, sf: str) -> DataFrame:
     out = bpe_encode(spark, _table(spark, sf, "documents"), WORD_BPE)
     return out.select(
@@ -45,7 +51,7 @@ def op10_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicates(spark, _table(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_line_dedup, op5_bpe_encoding, op6_packing, op10_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op2_line_dedup, op3_suffix_dedup, op5_bpe_encoding, op6_packing, op10_jaccard_join)}
 
 _LINE_KEY = (
     "translate(trim(l, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), "
