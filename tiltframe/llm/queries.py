@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import ship_package
 from .bpe import bpe_encode
+from .cover_tree import top_k
 from .jaccard_join import near_duplicates
 from .line_dedup import line_dedup
 from .packing import pack
@@ -47,11 +48,15 @@ def op6_packing(spark: SparkSession, sf: str) -> DataFrame:
     return pack(spark, _table(spark, sf, "documents"), BYTE_BPE)
 
 
+def op9_exact_topk(spark: SparkSession, sf: str) -> DataFrame:
+    return top_k(spark, _table(spark, sf, "embeddings"), lambda i: i % 50 == 0, 5)
+
+
 def op10_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicates(spark, _table(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_line_dedup, op3_suffix_dedup, op5_bpe_encoding, op6_packing, op10_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op2_line_dedup, op3_suffix_dedup, op5_bpe_encoding, op6_packing, op9_exact_topk, op10_jaccard_join)}
 
 _LINE_KEY = (
     "translate(trim(l, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), "
@@ -75,4 +80,17 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
 FROM marked GROUP BY doc_id
 """
 
-SQL = {"op2_line_dedup": OP2_SQL}
+_WHOLE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0"
+
+OP9_SQL = f"""
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v
+  FROM embeddings WHERE {_WHOLE}),
+s AS (
+  SELECT q.vec_id AS query_id, p.vec_id AS vec_id, CAST(list_inner_product(q.v, p.v) AS BIGINT) AS score
+  FROM v q JOIN v p ON q.vec_id <> p.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score FROM s
+WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 5
+"""
+
+SQL = {"op2_line_dedup": OP2_SQL, "op9_exact_topk": OP9_SQL}
