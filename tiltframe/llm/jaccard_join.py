@@ -14,11 +14,13 @@ that have more index their empty segments as well.
 
 Candidates are verified exactly on the full sets. Groups never become all
 their pairs: equal sets are one class first; of each signature's bucket the
-class with the smallest id is compared with the others, links are joined into
-components, and only buckets that still hold several components go on, with
-twice as many hubs each round, until every pair of two components in a bucket
-has been compared. Joins are shuffles that Spark can split on a hot bucket or
-hub, tables of each round lie in the shared folder.
+class with the smallest id, its hub, is compared with the others, and links
+are joined into components. The buckets of a hub that still hold several
+components form a group; its classes outside the largest component meet the
+others through an inverted token index, and only links that join components
+leave the task. A group over ``CHUNK_TOKENS`` is cut into parts, and each two
+parts meet in a task of their own. Joins are shuffles that Spark can split on
+a hot bucket or hub; tables in the shared folder cut lineage.
 
 Defined cases: a null or empty text, or one without words, has no shingles and
 is linked with nothing; with fewer than k words the whole sequence is one
@@ -34,7 +36,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
@@ -43,6 +45,8 @@ from .text import U64, as_signed, blocks, mix, shingle_sets
 
 #: Cost of a chance match against an index entry (cost model of allowances).
 MATCH_COST = 100.0
+#: Tokens of one part of a group of candidates (a task holds two parts).
+CHUNK_TOKENS = 2_000_000
 
 
 class Bands:
@@ -170,6 +174,60 @@ def _verify_fn(num: int, den: int):
     return fn
 
 
+def _join_group(nodes: list[int], component: list[int], tokens: list[np.ndarray], side: list[int], num: int, den: int) -> list[tuple[int, int]]:
+    """Links that join components of one group: nodes outside the largest
+    component meet every later node through an inverted token index. With two
+    sides only pairs across count (the others meet elsewhere)."""
+    n = len(nodes)
+    sizes = np.array([len(t) for t in tokens])
+    flat, owner = np.concatenate(tokens), np.repeat(np.arange(n), sizes)
+    by = np.argsort(flat, kind="stable")
+    flat, owner = flat[by], owner[by]
+    root = {c: c for c in component}
+
+    def find(c):
+        while root[c] != c:
+            root[c] = c = root[root[c]]
+        return c
+
+    comp, sides = np.array(component), np.array(side)
+    two = len(np.unique(sides)) > 1
+    names, counts = np.unique(comp, return_counts=True)
+    largest = names[counts.argmax()]
+    waiting = np.ones(n, dtype=bool)
+    out = []
+    for u in np.flatnonzero(comp != largest).tolist():
+        waiting[u] = False
+        a, b = np.searchsorted(flat, tokens[u], side="left"), np.searchsorted(flat, tokens[u], side="right")
+        size = b - a
+        hit = owner[np.arange(size.sum()) + np.repeat(a - (np.cumsum(size) - size), size)]
+        common = np.bincount(hit, minlength=n)
+        ok = waiting & (den * common >= num * (sizes + sizes[u] - common))
+        if two:
+            ok &= sides != sides[u]
+        for v in np.flatnonzero(ok).tolist():
+            p, q = find(component[u]), find(component[v])
+            if p != q:
+                root[max(p, q)] = min(p, q)
+                out.append((nodes[u], nodes[v]))
+    return out
+
+
+def _group_fn(num: int, den: int):
+    def fn(table: pa.Table) -> pa.Table:
+        out = []
+        table = table.sort_by("hub")
+        hubs = table["hub"].to_numpy()
+        cut = np.flatnonzero(np.concatenate(([True], hubs[1:] != hubs[:-1], [True])))
+        reps, comps, side, raw = table["rep"].to_pylist(), table["component"].to_pylist(), table["chunk"].to_pylist(), table["tokens"]
+        for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
+            tokens = [np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in raw.slice(a, b - a)]
+            out.extend(_join_group(reps[a:b], comps[a:b], tokens, side[a:b], num, den))
+        return pa.table({"a": pa.array([o[0] for o in out], pa.int64()), "b": pa.array([o[1] for o in out], pa.int64())})
+
+    return fn
+
+
 def near_duplicates(
     spark: SparkSession, docs: DataFrame, k: int = 3, num: int = 9, den: int = 10, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -196,48 +254,44 @@ def near_duplicates(
     # rows that repeat a doc_id with several texts are one document
     least = member.groupBy("doc_id").agg(F.min("rep").alias("a"))
     links = member.join(least, "doc_id").where("a <> rep").select("a", F.col("rep").alias("b"))
-    found = None
-    done, hubs = None, 1  # compared pairs; hubs a bucket has had, plus one
-    close = F.least("n", "hub_n") * den >= F.greatest("n", "hub_n") * num
-    while True:
-        if found is None:
-            part = entries.withColumn("component", F.col("rep"))
-        else:
-            part = entries.join(found, entries["rep"] == found["node"], "left").select(
-                "sig", "rep", "n", F.coalesce("component", "rep").alias("component")
-            )
-            open_ = part.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("c"))
-            part = part.join(open_.where((F.col("lo") < F.col("hi")) & (F.col("c") >= hubs)).select("sig"), "sig")
-            part = scratch.keep(part, "open")
-            if part.isEmpty():
-                break
-        if hubs == 1:
-            first = part.groupBy("sig").agg(F.min(F.struct("rep", "n", "component")).alias("h"))
-            hub = first.select("sig", F.col("h.rep").alias("hub"), F.col("h.n").alias("hub_n"), F.col("h.component").alias("hub_component"))
-        else:
-            rank = F.row_number().over(Window.partitionBy("sig").orderBy("rep"))
-            hub = (
-                part.withColumn("rank", rank)
-                .where((F.col("rank") >= hubs) & (F.col("rank") < 2 * hubs))
-                .select("sig", F.col("rep").alias("hub"), F.col("n").alias("hub_n"), F.col("component").alias("hub_component"))
-            )
-        pairs = (
-            part.join(hub, "sig")
-            .where((F.col("component") != F.col("hub_component")) & (F.col("rep") > F.col("hub")) & close)
-            .select(F.col("hub").alias("a"), F.col("rep").alias("b"))
-            .distinct()
+
+    # the smallest class of each bucket against the others
+    hub = entries.groupBy("sig").agg(F.min("rep").alias("hub"))
+    met = scratch.keep(entries.join(hub, "sig").select("hub", "rep", "n").distinct(), "met")
+    hub_size = entries.select(F.col("rep").alias("hub"), F.col("n").alias("hub_n")).distinct()
+    pairs = (
+        met.join(hub_size, "hub")
+        .where((F.col("hub") != F.col("rep")) & (F.least("n", "hub_n") * den >= F.greatest("n", "hub_n") * num))
+        .select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
+    )
+    x = sets.select(F.col("node").alias("a"), F.col("tokens").alias("x"))
+    y = sets.select(F.col("node").alias("b"), F.col("tokens").alias("y"))
+    verified = pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(_verify_fn(num, den), "a long, b long")
+    links = scratch.keep(links.unionByName(verified), "verified")
+    found = components(links, scratch)
+
+    # buckets of one hub that still hold several components, in bounded parts
+    part = met.join(found, met["rep"] == found["node"], "left").select("hub", "rep", "n", F.coalesce("component", "rep").alias("component"))
+    group = (
+        part.groupBy("hub").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.sum("n").alias("tokens"))
+        .where("lo < hi").select("hub", F.ceil(F.col("tokens") / F.lit(CHUNK_TOKENS)).cast("int").alias("chunks"), "tokens")
+    )
+    group = scratch.keep(group, "open")
+    total = group.agg(F.sum("tokens")).first()[0]
+    if total:
+        lots = max(1, -(-int(total) // CHUNK_TOKENS))
+        rows = part.join(group, "hub").withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
+        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        one = F.col("chunks") == 1
+        rows = rows.select(
+            F.when(one, F.lit(None).cast("long")).otherwise(F.col("hub")).alias("big"),
+            F.when(one, F.pmod(F.xxhash64("hub"), F.lit(lots))).otherwise(F.lit(-1)).alias("lot"),
+            F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "hub", "rep", "component",
         )
-        if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        pairs = scratch.keep(pairs, "pairs")
-        done = pairs if done is None else done.unionByName(pairs)
-        x = sets.select(F.col("node").alias("a"), F.col("tokens").alias("x"))
-        y = sets.select(F.col("node").alias("b"), F.col("tokens").alias("y"))
-        new = pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(_verify_fn(num, den), "a long, b long")
-        new = scratch.keep(new, "verified")
-        links = new.unionByName(links if found is None else found.select(F.col("node").alias("a"), F.col("component").alias("b")))
-        found = components(links, scratch)
-        hubs *= 2
+        full = rows.join(sets.withColumnRenamed("node", "rep"), "rep")
+        more = full.groupBy("big", "lot", "i", "j").applyInArrow(_group_fn(num, den), "a long, b long")
+        more = scratch.keep(more, "more")
+        found = components(more.unionByName(found.select(F.col("node").alias("a"), F.col("component").alias("b"))), scratch)
     own = member.join(found, member["rep"] == found["node"], "left").select(
         F.col("doc_id").alias("id"), F.coalesce("component", "rep").alias("component")
     )

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
+from .ann import nearest
 from .bpe import bpe_encode
 from .cover_tree import top_k
 from .jaccard_join import near_duplicates
@@ -48,6 +49,10 @@ def op6_packing(spark: SparkSession, sf: str) -> DataFrame:
     return pack(spark, _table(spark, sf, "documents"), BYTE_BPE)
 
 
+def op7_nearest_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    return nearest(spark, _table(spark, sf, "embeddings"), lambda i: i % 20 == 0, 20)
+
+
 def op9_exact_topk(spark: SparkSession, sf: str) -> DataFrame:
     return top_k(spark, _table(spark, sf, "embeddings"), lambda i: i % 50 == 0, 5)
 
@@ -56,7 +61,7 @@ def op10_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicates(spark, _table(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_line_dedup, op3_suffix_dedup, op5_bpe_encoding, op6_packing, op9_exact_topk, op10_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op2_line_dedup, op3_suffix_dedup, op5_bpe_encoding, op6_packing, op7_nearest_neighbours, op9_exact_topk, op10_jaccard_join)}
 
 _LINE_KEY = (
     "translate(trim(l, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), "
