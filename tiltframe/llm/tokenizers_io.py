@@ -2,7 +2,7 @@
 
 The driver reads the JSON file (a few MB: bounded by the vocabulary) and the
 tasks receive its text, so executors need no local copy. A worker keeps the
-parsed tokenizer and a word table between tasks.
+parsed tokenizer between tasks.
 """
 
 from __future__ import annotations
@@ -10,13 +10,11 @@ from __future__ import annotations
 import hashlib
 import re
 
+import numpy as np
 import regex
 
 _LOADED: dict[str, object] = {}
 
-#: Words remembered per worker; the table is emptied when full (only speed).
-MAX_REMEMBERED = 200_000
-
 
 def read_tokenizer(path: str) -> str:
     with open(path, encoding="utf-8") as f:
@@ -44,45 +42,47 @@ def _special_pattern(tok) -> tuple[re.Pattern | None, dict[str, int]]:
     return (re.compile("(" + "|".join(map(re.escape, names)) + ")") if names else None), ids
 
 
-class _Words(dict):
-    """word -> its ids as little-endian unsigned 32-bit bytes."""
+# Fixed value: the split of byte-level BPE.
+BYTE_SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+# Merging one very long word is slow in the fast encoder.
+_LONG_WORD = re.compile(r"\S{2000}|\s{2000}")
+# The split of the lower-case word BPE (white space is dropped).
+WORD_SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
+WORD_SPLIT_ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
 
-    def __init__(self, encode):
-        super().__init__()
-        self.encode = encode
 
-    def __missing__(self, word):
-        if len(self) >= MAX_REMEMBERED:
-            self.clear()
-        v = self[word] = b"".join(i.to_bytes(4, "little") for i in self.encode(word))
-        return v
+def _byte_alphabet() -> dict[int, str]:
+    """The printable character that stands for each byte: printable Latin-1
+    bytes stand for themselves, the others follow from 256 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-# The split of byte-level BPE, for any text and for ASCII text.
-BYTE_SPLIT = regex.compile(
-    r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-)
-BYTE_SPLIT_ASCII = re.compile(
-    r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"
-)
-# The split of the lower-case word BPE (white space is dropped).
-WORD_SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
-WORD_SPLIT_ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
+_ALPHABET = _byte_alphabet()
+_LATIN = {b: c for b, c in _ALPHABET.items()}
 
 
 class ByteBpe:
-    """Byte-level BPE: ids of a text as bytes, through the word table."""
+    """Byte-level BPE: the ids of a text as little-endian unsigned 32-bit
+    bytes. The vocabulary's ids are its merge ranks, so the rank encoder gives
+    the tokenizer's ids, several times faster; texts with very long words go
+    through the tokenizer itself."""
 
     def __init__(self, spec: str):
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_str(spec)
         self.special, self.special_ids = _special_pattern(self.tok)
-        self.table = _Words(lambda w: self.tok.encode(w, add_special_tokens=False).ids)
+        byte_of = {c: b for b, c in _ALPHABET.items()}
+        ranks = {bytes(byte_of[c] for c in t): i for t, i in self.tok.get_vocab(with_added_tokens=False).items() if t not in self.special_ids}
+        self.fast = tiktoken.Encoding("byte-bpe", pat_str=BYTE_SPLIT, mergeable_ranks=ranks, special_tokens={})
 
     def _plain(self, text: str) -> bytes:
-        words = (BYTE_SPLIT_ASCII if text.isascii() else BYTE_SPLIT).findall(text)
-        return b"".join(map(self.table.__getitem__, words))
+        if _LONG_WORD.search(text):
+            return np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
 
     def ids(self, text: str) -> bytes:
         if self.special is None or not self.special.search(text):
@@ -96,18 +96,6 @@ class ByteBpe:
         return b"".join(out)
 
 
-def _byte_alphabet() -> dict[int, str]:
-    """The printable character that stands for each byte: printable Latin-1
-    bytes stand for themselves, the others follow from 256 on."""
-    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = [b for b in range(256) if b not in set(plain)]
-    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
-
-
-_ALPHABET = _byte_alphabet()
-_LATIN = {b: c for b, c in _ALPHABET.items()}
-
-
 class WordBpe:
     """Lower-case BPE with word ends. ``split`` gives a text's words: a
     special token is the word " " + token, which no other word looks like."""
