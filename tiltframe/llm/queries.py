@@ -14,7 +14,10 @@ from .cover_tree import top_k
 from .jaccard_join import near_duplicates
 from .line_dedup import line_dedup
 from .packing import pack
+from .quality import resample
 from .suffix_dedup import suffix_dedup
+from .url_filter import filter_urls, host_of
+from .warc import roundtrip
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -25,6 +28,11 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf.rstrip('/')}/{name}.parquet")
 
 
+def op1_quality(spark: SparkSession, sf: str) -> DataFrame:
+    out = resample(spark, _table(spark, sf, "documents").select("doc_id", "text"), _table(spark, sf, "labels"))
+    return out.select("row.doc_id", "log_weight", "key")
+
+
 def op2_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     out = line_dedup(_table(spark, sf, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -35,6 +43,34 @@ def op3_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("row.doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def url_lists(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Captures and dated entries from the given tables. A page was fetched
+    7,919 s x page_id into January 2024 (round a 30-day month). Event e speaks
+    of the page e mod (largest page_id + 1): "purchase" and "error" block its
+    host from the event's time on, "signup" allows it, "click" blocks the host's
+    first path segment, "view" allows that."""
+    pages, events = _table(spark, sf, "pages"), _table(spark, sf, "events")
+    start = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
+    captures = pages.select("page_id", "url", (start + F.make_dt_interval(secs=(F.col("page_id") * 7919) % 2_592_000)).alias("fetched"))
+    host = host_of(F.col("url"))
+    first = F.regexp_extract("url", r"^[^:]*://[^/?#]*/([^/?#]+)", 1)
+    of = pages.select("page_id", host.alias("host"), first.alias("first"))
+    n = pages.agg(F.max("page_id") + 1).first()[0] or 1
+    kind = F.col("event_type")
+    entries = events.select((F.col("event_id") % n).alias("page_id"), "event_type", "ts").join(of, "page_id")
+    entries = entries.select(
+        F.when(kind.isin("click", "view"), F.concat_ws("/", "host", "first")).otherwise(F.col("host")).alias("pattern"),
+        kind.isin("purchase", "error", "click").alias("blocks"), F.col("ts").alias("since"),
+    )
+    return captures, entries
+
+
+def op4_url_filter(spark: SparkSession, sf: str) -> DataFrame:
+    captures, entries = url_lists(spark, sf)
+    out = filter_urls(captures, entries)
+    return out.select("page_id", "host", "blocked", "blocked_by", F.unix_micros(F.col("blocked_since")).alias("blocked_since"), "n_active")
+
+
 def op5_bpe_encoding(spark: SparkSession, sf: str) -> DataFrame:
     out = bpe_encode(spark, _table(spark, sf, "documents"), WORD_BPE)
     return out.select(
@@ -53,6 +89,10 @@ def op7_nearest_neighbours(spark: SparkSession, sf: str) -> DataFrame:
     return nearest(spark, _table(spark, sf, "embeddings"), lambda i: i % 20 == 0, 20)
 
 
+def op8_warc(spark: SparkSession, sf: str) -> DataFrame:
+    return roundtrip(spark, _table(spark, sf, "pages"))
+
+
 def op9_exact_topk(spark: SparkSession, sf: str) -> DataFrame:
     return top_k(spark, _table(spark, sf, "embeddings"), lambda i: i % 50 == 0, 5)
 
@@ -61,7 +101,13 @@ def op10_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicates(spark, _table(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_line_dedup, op3_suffix_dedup, op5_bpe_encoding, op6_packing, op7_nearest_neighbours, op9_exact_topk, op10_jaccard_join)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_quality, op2_line_dedup, op3_suffix_dedup, op4_url_filter, op5_bpe_encoding,
+        op6_packing, op7_nearest_neighbours, op8_warc, op9_exact_topk, op10_jaccard_join,
+    )
+}
 
 _LINE_KEY = (
     "translate(trim(l, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), "
@@ -85,6 +131,51 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
 FROM marked GROUP BY doc_id
 """
 
+OP4_SQL = r"""
+WITH hosts AS (
+  SELECT page_id, url,
+         translate(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS path,
+         regexp_extract(url, '^[^:]*://[^/?#]*/([^/?#]+)', 1) AS first,
+         TIMESTAMP '2024-01-01 00:00:00' + to_seconds((page_id * 7919) % 2592000) AS t
+  FROM pages),
+entries AS (
+  SELECT CASE WHEN event_type IN ('click', 'view') THEN host || '/' || first ELSE host END AS pattern,
+         ts AS since, max(CASE WHEN event_type IN ('purchase', 'error', 'click') THEN 1 ELSE 0 END) AS blocks
+  FROM events JOIN hosts ON event_id % (SELECT max(page_id) + 1 FROM pages) = page_id
+  GROUP BY 1, 2),
+held AS (
+  SELECT pattern, since, blocks, lead(since) OVER (PARTITION BY pattern ORDER BY since) AS until FROM entries),
+named AS (
+  SELECT page_id, host, t, url,
+         host || '/' || array_to_string(list_filter(string_split(path, '/'), lambda s: s <> ''), '/') || '/' AS full_path
+  FROM hosts),
+active AS (
+  SELECT page_id, url, t, pattern, since FROM named JOIN held
+  ON blocks = 1 AND t >= since AND (until IS NULL OR t < until)
+     AND (host = pattern OR ends_with(host, '.' || pattern) OR (contains(pattern, '/') AND starts_with(full_path, pattern || '/')))),
+best AS (
+  SELECT page_id, count(*) AS n_active, max({'n': length(pattern), 'p': pattern, 's': since}) AS b FROM active GROUP BY page_id)
+SELECT n.page_id, nullif(host, '') AS host, b.page_id IS NOT NULL AS blocked, b.b.p AS blocked_by,
+       epoch_us(b.b.s) AS blocked_since, coalesce(b.n_active, 0) AS n_active
+FROM named n LEFT JOIN best b USING (page_id)
+"""
+
+OP8_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload, sha1(coalesce(html, '')) AS h FROM pages),
+bits AS (SELECT page_id, octet_length(payload) AS n, h, min(page_id) OVER (PARTITION BY h) AS lowest FROM p),
+coded AS (
+  SELECT page_id, n, lowest,
+         array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           1 + CAST(((CAST('0x' || substr(h || '00000000', 1 + (i * 5) // 4, 3) AS BIGINT) << ((i * 5) % 4)) >> 7) & 31 AS INTEGER), 1)), '') AS digest
+  FROM bits)
+SELECT page_id, n AS payload_bytes, digest AS payload_digest,
+       CASE WHEN page_id = lowest THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = lowest THEN NULL ELSE lowest END AS refers_to
+FROM coded
+"""
+
 _WHOLE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0"
 
 OP9_SQL = f"""
@@ -98,4 +189,4 @@ SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score FRO
 WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 5
 """
 
-SQL = {"op2_line_dedup": OP2_SQL, "op9_exact_topk": OP9_SQL}
+SQL = {"op2_line_dedup": OP2_SQL, "op4_url_filter": OP4_SQL, "op8_warc": OP8_SQL, "op9_exact_topk": OP9_SQL}
