@@ -134,16 +134,16 @@ def solve(histogram: dict[int, int], seq_len: int = SEQ_LEN, max_padding: float
 def _first_basis(lengths, need, seq_len):
     """Greedy patterns, each used (fractionally) until one of its lengths is
     used up: later patterns do not hold that length, so the columns form a
-    triangular, feasible basis."""
+    triangular, feasible basis. Returns (basis, its inverse, times used)."""
     m = len(lengths)
     left, alive = need.copy(), np.ones(m, dtype=bool)
     basis, times = np.zeros((m, m)), np.zeros(m)
+    ends = np.zeros(m, dtype=np.int64)  # the length that pattern j uses up
     for j in range(m):
         room, a = seq_len, np.zeros(m)
         for i in np.flatnonzero(alive)[::-1].tolist():
             if lengths[i] > room:
                 continue
-            # a length once used stops at what is there; the first one fills up
             k = min(room // int(lengths[i]), max(1, int(left[i])))
             a[i], room = k, room - k * int(lengths[i])
             if room == 0:
@@ -151,10 +151,15 @@ def _first_basis(lengths, need, seq_len):
         used = a > 0
         ratio = np.where(used, left / np.where(used, a, 1.0), np.inf)
         r = int(np.argmin(ratio))
-        times[j], basis[:, j] = ratio[r], a
+        times[j], basis[:, j], ends[j] = ratio[r], a, r
         left = np.maximum(left - ratio[r] * a, 0.0)
         alive[r] = False
-    return basis, times
+    lower, inverse = basis[ends], np.zeros((m, m))  # row i: the length used up by pattern i
+    for i in range(m):
+        inverse[i] = -np.einsum("j,jk->k", lower[i, :i], inverse[:i])
+        inverse[i, ends[i]] += 1.0
+        inverse[i] /= lower[i, i]
+    return basis, inverse, times
 
 
 def _column_generation(lengths, need, seq_len, max_padding, max_pivots):
@@ -164,18 +169,17 @@ def _column_generation(lengths, need, seq_len, max_padding, max_pivots):
     the latter when that finds no pattern."""
     tokens = float(lengths @ need)
     prices = _Prices(lengths, seq_len)
-    basis, x = _first_basis(lengths, need, seq_len)
-    inverse = np.linalg.inv(basis)
+    basis, inverse, x = _first_basis(lengths, need, seq_len)
     cost = np.array([padded_size(int(t), seq_len) for t in lengths @ basis], dtype=float)
     pivots, trust = 0, TRUST
     while pivots < max_pivots and cost @ x > (1 + max_padding) * tokens:
-        duals = cost @ inverse
+        duals = np.einsum("j,jk->k", cost, inverse)
         moved = 0
         for a in prices.patterns(trust * lengths + (1 - trust) * duals, 48):
             c = float(padded_size(int(a @ lengths), seq_len))
             if c - duals @ a > -1e-7 * seq_len:
                 continue
-            d = inverse @ a
+            d = np.einsum("jk,k->j", inverse, a)
             up = d > 1e-6
             if not up.any():
                 continue
