@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .storage import Scratch
-from .text import mix, utf8_buffers, words as _hash_words
+from .text import mix, release, utf8_buffers, words as _hash_words
 from .tokenizers_io import read_tokenizer, word_encoder
 
 CHUNK_WORDS = 2_000_000
@@ -144,8 +144,10 @@ def _split_fn(spec: str, buckets: int):
                 if total >= CHUNK_WORDS:
                     yield flush(numbers, code_of, ids, lens)
                     numbers, code_of, ids, lens, total, serial = [], {}, [], [], 0, serial + 1
+                    release()
         if ids:
             yield flush(numbers, code_of, ids, lens)
+        release()
 
     return fn
 
@@ -189,6 +191,7 @@ def _assemble_fn(spec: str):
             for word, size in zip(np.cumsum(place).tolist(), sizes.tolist()):
                 end = start + size
                 ids_of[word], piece_of[word], start = raw[4 * start : 4 * end], " ".join(names[start:end]), end
+        release()
         doc_ids, out_ids, out_text = [], [], []
         for payload in coded["payload"].to_pylist():
             d, null, lens, *parts = _unpack(payload)

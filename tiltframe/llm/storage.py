@@ -8,11 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 from ..session import new_run_dir, ship_package
 
 
+#: Rows of one Arrow batch: texts of a few KB each make batches of some MB.
+ARROW_ROWS = 1000
+_DEFAULT_ROWS = "10000"
+
+
 class Scratch:
     """One folder under ``spark.checkpoint.dir`` per run of an operator."""
 
     def __init__(self, spark: SparkSession, name: str):
         ship_package(spark)  # the tasks import this package
+        rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+        if spark.conf.get(rows) == _DEFAULT_ROWS:  # a value of the user's own stays
+            spark.conf.set(rows, str(ARROW_ROWS))
         self.spark, self.base, self._n = spark, new_run_dir(spark, name), 0
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
