@@ -2,7 +2,7 @@
 
 Two generative bag models over hashed word unigrams and bigrams (``BUCKETS``
 buckets) are estimated: one of the target (texts labelled good), one of the
-raw corpus. A document's importance weight is the ratio of its likelihoods;
+raw corpus, which also smooths the target's. A document's importance weight is the ratio of its likelihoods;
 the resample of size k without replacement takes the k largest log weights
 plus Gumbel noise. The noise comes from a hash of the doc_id, so a rerun, or a
 task run again after a lost executor, draws the same sample.
@@ -36,7 +36,10 @@ from .text import U64, blocks, mix, ngrams, words
 
 BUCKETS = 1 << 16
 MAX_TARGET = 20_000
-SMOOTHING = 0.5
+#: Counts by which a bucket's ratio is drawn towards 1.
+SMOOTHING = 20.0
+#: Drawn beyond the share of good texts: labels are a sample.
+MARGIN = 0.01
 SEED = 11
 _RUN = U64(0x6A09E667F3BCC909)  # stands for "the word before, again"
 
@@ -121,7 +124,7 @@ def resample(
 ) -> DataFrame:
     """The drawn rows of ``docs`` as a struct ``row`` with ``log_weight`` and
     ``key``. ``keep`` is the share to draw; by default the share of good texts
-    among the labelled ones."""
+    among the labelled ones and ``MARGIN``."""
     scratch = Scratch(spark, "quality")
     marks = labels.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{label_col}`").cast("double").alias("y"))
     marks = marks.where("id IS NOT NULL AND y IS NOT NULL").groupBy("id").agg(F.min("y").alias("lo"), F.max("y").alias("hi")).where("lo = hi")
@@ -136,13 +139,14 @@ def resample(
     raw, target = np.zeros(buckets), np.zeros(buckets)
     for r in counts.collect():  # at most one row per bucket
         raw[r["bucket"]], target[r["bucket"]] = r["raw"], r["target"]
-    ratio = np.log((target + SMOOTHING) / (target.sum() + SMOOTHING * buckets)) - np.log((raw + SMOOTHING) / (raw.sum() + SMOOTHING * buckets))
+    expected = raw * (target.sum() / max(raw.sum(), 1.0))
+    ratio = np.log((target + SMOOTHING) / (expected + SMOOTHING))
     if not target.sum():
         ratio[:] = 0.0
     share = keep
     if share is None:
         n, hits = marks.agg(F.count(F.lit(1)), F.sum(F.when(F.col("hi") > 0, 1).otherwise(0))).first()
-        share = hits / n if n else 1.0
+        share = min(1.0, hits / n + MARGIN) if n else 1.0
     scores = scratch.keep(
         base.select(F.col("id"), "body", "draw").mapInArrow(_score_fn(ratio, seed), "id long, log_weight double, key double").select("key"), "keys"
     )
