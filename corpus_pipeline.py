@@ -51,9 +51,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated substrings go; a character of which a byte goes, goes whole."""
     out = suffix_dedup(spark, docs)
-    text = F.when(F.col("n_removed") == 0, F.col("row.text")).otherwise(F.make_valid_utf8(F.col("kept").cast("string")))
-    text = F.when(F.col("n_removed") == 0, text).otherwise(F.translate(text, "�", ""))
-    return _documents(out.select(*(F.col("row")[c].alias(c) for c in COLUMNS if c != "text"), text.alias("text")))
+    return _documents(out.select(*(F.col("row")[c].alias(c) for c in COLUMNS if c != "text"), F.col("kept_text").alias("text")))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
