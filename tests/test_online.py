@@ -4,14 +4,13 @@ the fused one-task update against the composition of DataFrame operators."""
 
 import os
 
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
 from tiltframe.operators.assign import assign, assign_sql, collect_view
 from tiltframe.operators.features import cf_aggregate, cf_apply, refresh
-from tiltframe.operators.maintain import leader_pass, outliers_as_candidates, reconcile, update_state
+from tiltframe.operators.maintain import outlier_candidates, outliers_as_candidates, reconcile, update_state
 from tiltframe.operators.recency import with_staleness
 from tiltframe.params import OnlineParams, SnapshotParams
 from tiltframe.plans.common import ev_points, ev_state
@@ -66,8 +65,10 @@ def test_restart_resumes(spark, full_run):
 
 def test_replayed_batch_is_skipped(spark, full_run):
     before = _rows(full_run.state())
-    full_run.step(ev_points(spark, SF_SMALL).where("tick = 3"), 3)
+    full_run.step(ev_points(spark, SF_SMALL).where("tick = 29"), 29)
     assert _rows(full_run.state()) == before
+    with pytest.raises(ValueError, match="older than the clock"):
+        full_run.step(ev_points(spark, SF_SMALL).where("tick = 3"), 3)
 
 
 def test_stream_equals_batch(spark, full_run, tmp_path):
@@ -79,9 +80,69 @@ def test_stream_equals_batch(spark, full_run, tmp_path):
     m = OnlineClusterer(spark, P, snapshot=SnapshotParams(2, 2))
     q = m.start(stream, checkpoint=str(tmp_path / "ckpt"), mode="event", trigger={"availableNow": True})
     q.awaitTermination()
+    assert m.time < 30  # the newest tick waits: it may go on in a later trigger
+    m.flush()
+    assert m.time == 30 and m.rejects().count() == 0
     assert _rows(m.state()) == _rows(full_run.state())
 
 
+def _stream(spark, m, parts, tmp_path, name, **kw):
+    """One trigger per frame of ``parts``, in order."""
+    fn = m.foreach_batch("event", **kw)
+    for i, df in enumerate(parts):
+        fn(df, i)
+    return m
+
+
+def test_tick_over_two_triggers(spark, full_run, tmp_path):
+    pts = ev_points(spark, SF_SMALL)
+    cut = F.col("id") % 2 == 0
+    parts = [pts.where("tick < 10"), pts.where((F.col("tick") == 10) & cut), pts.where((F.col("tick") == 10) & ~cut), pts.where("tick > 10")]
+    m = _stream(spark, OnlineClusterer(spark, P, snapshot=SnapshotParams(2, 2)), parts, tmp_path, "two").flush()
+    assert m.total == pts.count() and m.rejects().count() == 0
+    assert _rows(m.state()) == _rows(full_run.state())
+
+
+def test_replayed_trigger_changes_nothing(spark, full_run):
+    pts = ev_points(spark, SF_SMALL)
+    base = new_run_dir(spark, "replay")
+    m = OnlineClusterer(spark, P, base_dir=base, snapshot=SnapshotParams(2, 2))
+    for i, (lo, hi) in enumerate([(0, 12), (12, 20), (20, 30)]):
+        m.foreach_batch("event")(pts.where((F.col("tick") >= lo) & (F.col("tick") < hi)), i)
+        m = OnlineClusterer(spark, P, base_dir=base, snapshot=SnapshotParams(2, 2))  # a new driver replays
+        m.foreach_batch("event")(pts.where((F.col("tick") >= lo) & (F.col("tick") < hi)), i)
+    m.flush()
+    assert m.rejects().count() == 0 and m.total == pts.count()
+    assert _rows(m.state()) == _rows(full_run.state())
+
+
+def test_points_that_cannot_be_folded_are_kept(spark):
+    schema = "id long, x array<double>, tick long"
+    good = [(i, [float(i), 1.0], 5 + i % 3) for i in range(60)]
+    bad = [(100, [1.0, 2.0], None), (101, [1.0, 2.0], -4), (102, None, 6), (103, [1.0], 6), (104, [1.0, float("nan")], 6), (105, [None, 1.0], 6)]
+    p = OnlineParams(q=4, dim=2, init="random")
+    want = {"null_tick": 1, "late": 1, "broken_vector": 4}
+    for run in (lambda m, df: m.run_ticks(df), lambda m, df: (m.foreach_batch("event")(df, 0), m.flush())):
+        m = OnlineClusterer(spark, p)
+        run(m, spark.createDataFrame(good + bad, schema))
+        assert m.total == 60 and m.time == 8
+        assert {r["reason"]: r["count"] for r in m.rejects().groupBy("reason").count().collect()} == want
+    # late in a later trigger: kept, not folded
+    m.foreach_batch("event")(spark.createDataFrame([(200, [1.0, 1.0], 5), (201, [1.0, 1.0], 9)], schema), 1)
+    m.flush()
+    assert m.total == 61 and m.rejects().where("reason = 'late'").count() == 2
+    one = OnlineClusterer(spark, p)
+    one.step(spark.createDataFrame(good + bad[2:], schema), 0)
+    assert one.total == 60 and one.rejects().count() == 4
+
+
+def test_large_ticks_raise_instead_of_wrapping(spark):
+    p = OnlineParams(q=2, dim=1, init="random")
+    df = spark.createDataFrame([(i, [float(i)], 1_700_000_000) for i in range(8)], "id long, x array<double>, tick long")
+    with pytest.raises(Exception, match="64 bits"):
+        OnlineClusterer(spark, p).run_ticks(df)
+
+
 def test_assignment_partition_independent(spark):
     pts = ev_points(spark, SF_SMALL)
     st = ev_state(spark, SF_SMALL, q=8, split=10)
@@ -109,25 +170,51 @@ def test_fused_update_equals_operator_composition(spark):
     assert _rows(update_state(st, sums, None, p, 20)) == _rows(refresh(cf_apply(st, sums)))
 
 
-def test_leader_pass_preserves_cf_totals(spark):
-    p = OnlineParams(q=4, dim=2, m=20, delta=5, leader_cap=3)
-    pts = ev_points(spark, SF_SMALL).repartition(3)
+def test_candidates_preserve_cf_totals(spark):
+    pts = ev_points(spark, SF_SMALL)
     outl = pts.select(F.col("tick").alias("seq_tick"), F.col("id").alias("seq_id"), "x")
-    c = leader_pass(outl, np.array([[0.0, 0.0]]), p).collect()
-    assert len(c) <= 3 * 3
-    raw = pts.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("x")[0]).alias("s0"), F.sum("tick").alias("t")).first()
-    assert sum(r["n"] for r in c) == raw["n"]
-    assert sum(r["cf1x"][0] for r in c) == pytest.approx(raw["s0"])
-    assert sum(r["cf1t"] for r in c) == raw["t"]
-
-
-def test_large_outlier_batches_use_bounded_candidates(spark):
-    p = OnlineParams(q=6, dim=2, min_init_points=0, m=20, delta=2, exact_outlier_limit=10, leader_cap=4, reconcile_limit=8)
-    m = OnlineClusterer(spark, p)
-    m.run_ticks(ev_points(spark, SF_SMALL).repartition(4), last_tick=6)
-    st = m.state().collect()
-    assert len(st) == 6
-    assert m.total == ev_points(spark, SF_SMALL).where("tick <= 6").count()
+    raw = pts.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("x")[0]).alias("s0"), F.sum("tick").alias("t"), F.sum(F.col("tick") * F.col("tick")).alias("t2")).first()
+    seen = []
+    for parts in (1, 3, 8):
+        c = outlier_candidates(outl.repartition(parts), 2, 25).collect()
+        assert len(c) == 25
+        assert sum(r["n"] for r in c) == raw["n"]
+        assert sum(r["cf1x"][0] for r in c) == pytest.approx(raw["s0"])
+        assert (sum(r["cf1t"] for r in c), sum(r["cf2t"] for r in c)) == (raw["t"], raw["t2"])
+        seen.append(sorted((r["seq_id"], r["n"], round(r["cf1x"][0], 6), r["cf2t"]) for r in c))
+    assert seen[0] == seen[1] == seen[2]
+    # up to the limit every outlier is its own candidate, in arrival order
+    whole = sorted(outlier_candidates(outl, 2, 100_000).collect(), key=lambda r: r["seq_id"])
+    plain = sorted(outliers_as_candidates(outl).collect(), key=lambda r: (r["seq_tick"], r["seq_id"]))
+    assert [(r["n"], r["cf1x"], r["cf1t"]) for r in whole] == [(r["n"], r["cf1x"], r["cf1t"]) for r in plain]
+
+
+def test_state_does_not_depend_on_partitions(spark):
+    p = OnlineParams(q=6, dim=2, min_init_points=0, m=20, delta=2, max_candidates=10)
+    runs = []
+    for parts in (1, 3, 8):
+        m = OnlineClusterer(spark, p)
+        for t in range(7):
+            m.step(ev_points(spark, SF_SMALL).where(F.col("tick") == t).repartition(parts), t)
+        assert m.state().count() == 6
+        runs.append(_rows(m.state()))
+    assert runs[0] == runs[1] == runs[2]
+
+
+def test_batch_kmeans_start_survives_restart_and_replay(spark):
+    p = OnlineParams(q=5, dim=2, min_init_points=150, init="kmeans", m=20, delta=5)
+    pts = ev_points(spark, SF_SMALL)
+    day = lambda t: pts.where(F.col("tick") == t)
+    plain = OnlineClusterer(spark, p)
+    base = new_run_dir(spark, "kmeans-restart")
+    for t in range(8):
+        plain.step(day(t), t)
+        m = OnlineClusterer(spark, p, base_dir=base)
+        m.step(day(t), t)
+        m = OnlineClusterer(spark, p, base_dir=base)
+        m.step(day(t), t)  # replay by a new driver
+        assert (m.time, m.total) == (plain.time, plain.total)
+    assert plain.initialized and _rows(m.state()) == _rows(plain.state())
 
 
 def test_init_routes(spark):
@@ -206,6 +293,7 @@ def test_progress_listener_counts_stream_rows(spark, tmp_path):
         m = OnlineClusterer(spark, P)
         q = m.start(stream, checkpoint=str(tmp_path / "ckpt"), mode="event", trigger={"availableNow": True})
         q.awaitTermination()
+        m.flush()
         time.sleep(2)  # listener events are delivered asynchronously
         rows = listener.table(spark).collect()
     finally:

@@ -17,7 +17,7 @@ its transform. An anchor with more than ``MAX_GROUP`` different stretches
 does not fit a block: its windows are counted one by one by 128-bit hash, an
 exact way that Spark spreads over all tasks.
 
-What moves: one short row per anchor (about one in 85 bytes), the different
+What moves: one short row per anchor (about one in 70 bytes), the different
 stretches, and the texts twice (to cut out stretches, to cut out repeats).
 
 Defined cases: a null text is empty; texts shorter than ``length`` bytes
@@ -38,12 +38,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .storage import Scratch
-from .text import U64, _power_table, as_signed, blocks, mix
+from .text import U64, _power_table, as_signed, blocks, mix, release
 
 LENGTH = 200
-GRAM = 32
-BLOCK_BYTES = 2 << 20
-MAX_GROUP = 2000
+GRAM = 64
+BLOCK_BYTES = 512 << 10
+MAX_GROUP = 500
 PIECE_BYTES = 4 << 20  # longer documents are winnowed piece by piece
 _POSITION = U64((1 << 28) - 1)
 _NO_ID = -(1 << 63)
@@ -68,14 +68,12 @@ def _sliding_min(v: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(v[: len(v) - (width - have)], v[width - have :]) if width > have else v
 
 
-def stretches(data: np.ndarray, off: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
-    """(document, anchor hash, stretch hash, first window, windows) of every
-    anchor of a block of documents."""
+def _owners(data: np.ndarray, off: np.ndarray, length: int):
+    """(8-byte hashes, k-gram hashes, window starts, anchor of each window)."""
     sizes = np.diff(off)
     starts = [np.arange(o, o + s - length + 1) for o, s in zip(off[:-1].tolist(), sizes.tolist()) if s >= length]
     if not starts:
-        z = np.zeros(0, dtype=np.int64)
-        return z, z, z, z, z
+        return None
     window = np.concatenate(starts)
     g = _grams(data)
     n = len(g) - (GRAM - 8)
@@ -85,7 +83,27 @@ def stretches(data: np.ndarray, off: np.ndarray, length: int = LENGTH) -> tuple[
     h = mix(h)
     key = (h & ~_POSITION) | np.arange(n, dtype=np.uint64)
     owner = (_sliding_min(key, length - GRAM + 1)[window] & _POSITION).astype(np.int64)
-    first = np.flatnonzero(np.concatenate(([True], (owner[1:] != owner[:-1]) | (window[1:] != window[:-1] + 1))))
+    return g, h, window, owner
+
+
+def anchors_of(data: np.ndarray, off: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """The anchor hashes of a block of documents, one per anchor."""
+    found = _owners(data, off, length)
+    if found is None:
+        return np.zeros(0, dtype=np.int64)
+    _, h, _, owner = found
+    return as_signed(h[owner[np.concatenate(([True], owner[1:] != owner[:-1]))]])
+
+
+def stretches(data: np.ndarray, off: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
+    """(document, anchor hash, stretch hash, first window, windows) of every
+    anchor of a block of documents."""
+    found = _owners(data, off, length)
+    if found is None:
+        z = np.zeros(0, dtype=np.int64)
+        return z, z, z, z, z
+    g, h, window, owner = found
+    first = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))  # an anchor lies in one document
     count = np.diff(np.append(first, len(owner)))
     lo, at = window[first], owner[first]
     end = lo + count - 1 + length - 7  # grams inside the stretch
@@ -97,20 +115,38 @@ def stretches(data: np.ndarray, off: np.ndarray, length: int = LENGTH) -> tuple[
     return doc, as_signed(h[at]), as_signed(own), lo - off[doc], count
 
 
+def _parts(data: np.ndarray, off: np.ndarray, length: int):
+    """(shift, bytes, offsets) of a block; a very long document comes piece by
+    piece, each window in one of them."""
+    if len(off) > 2 or off[-1] <= PIECE_BYTES:
+        yield 0, data, off
+        return
+    for a in range(0, int(off[1]) - length + 1, PIECE_BYTES):
+        part = data[a : a + PIECE_BYTES + length - 1]
+        yield a, part, np.array([0, len(part)])
+
+
+def _hash_fn(length: int):
+    def fn(batches):
+        for batch in batches:
+            for _, _, data, off in blocks(batch.column(0)):
+                for _, part, o in _parts(data, off, length):
+                    yield pa.RecordBatch.from_arrays([pa.array(anchors_of(part, o, length))], names=["anchor"])
+
+    return fn
+
+
 def _anchor_fn(length: int):
     def fn(batches):
         for batch in batches:
             ids, marks = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
             for i, _, data, off in blocks(batch.column(2)):
-                if len(off) == 2 and off[1] > PIECE_BYTES:
-                    parts = [(a, data[a : a + PIECE_BYTES + length - 1]) for a in range(0, int(off[1]) - length + 1, PIECE_BYTES)]
-                else:
-                    parts = [(0, data)]
-                for shift, part in parts:
-                    doc, anchor, own, lo, count = stretches(part, off if len(parts) == 1 else np.array([0, len(part)]), length)
+                for shift, part, o in _parts(data, off, length):
+                    doc, anchor, own, lo, count = stretches(part, o, length)
                     if len(doc):
                         cols = [ids[i + doc], marks[i + doc], anchor, own, (lo + shift).astype(np.int32), count.astype(np.int32)]
                         yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["id", "mark", "anchor", "own", "lo", "n"])
+        release()
 
     return fn
 
@@ -163,7 +199,7 @@ def repeated_windows(strings: list[bytes], times: np.ndarray, length: int = LENG
     n = len(sym)
     order, place = _suffix_order(sym, length)
     before = np.where(order > 0, sym[order - 1], 0)  # the transform
-    back = place[order - 1]  # where a suffix goes when its previous symbol is put in front
+    back = place[order - 1].astype(np.int32)  # where a suffix goes when its previous symbol is put in front
 
     common = np.full(n + 1, -1, dtype=np.int16)  # common prefix with the suffix above; -1: not fixed yet
     common[0] = common[n] = 0
@@ -181,14 +217,18 @@ def repeated_windows(strings: list[bytes], times: np.ndarray, length: int = LENG
         lo, hi = lo[~one], hi[~one]
         if len(lo):
             size = hi - lo + 1
-            owner = np.repeat(np.arange(len(lo)), size)
-            row = np.arange(size.sum()) + np.repeat(lo - (np.cumsum(size) - size), size)
-            symbol = before[row]
-            ok = symbol != 0
-            owner, row, key = owner[ok], row[ok], owner[ok] * 512 + symbol[ok]
-            if len(row):
+            start = np.cumsum(size) - size
+            row = np.arange(size.sum()) + np.repeat(lo - start, size)
+            symbol, to = before[row], back[row]
+            alike = np.minimum.reduceat(symbol, start) == np.maximum.reduceat(symbol, start)
+            whole = alike & (symbol[start] != 0)  # one symbol precedes all of it
+            new_lo.append(np.minimum.reduceat(to, start)[whole])
+            new_hi.append(np.maximum.reduceat(to, start)[whole])
+            ok = np.repeat(~alike, size) & (symbol != 0)
+            if ok.any():
+                key, to = np.repeat(np.arange(len(lo)), size)[ok] * 512 + symbol[ok], to[ok]
                 by = np.argsort(key, kind="stable")
-                key, to = key[by], back[row[by]]
+                key, to = key[by], to[by]
                 cut = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
                 new_lo.append(np.minimum.reduceat(to, cut))
                 new_hi.append(np.maximum.reduceat(to, cut))
@@ -220,6 +260,7 @@ def _block_fn(length: int):
         for a, o, t, b in zip(*(table[c].to_pylist() for c in ("anchor", "own", "times", "bytes"))):
             seen[(a, o)] = (b, t)  # rows that repeat a document bring a stretch twice
         found = repeated_windows([b for b, _ in seen.values()], np.array([t for _, t in seen.values()], dtype=np.int64), length)
+        release()
         rows = [(a, o, x, y) for (a, o), v in zip(seen, found) for x, y in _runs(v)]
         cols = list(zip(*rows)) or [(), (), (), ()]
         return pa.table({"anchor": pa.array(cols[0], pa.int64()), "own": pa.array(cols[1], pa.int64()), "a": pa.array(cols[2], pa.int32()), "b": pa.array(cols[3], pa.int32())})
@@ -262,31 +303,48 @@ def _window_fn(length: int):
     return fn
 
 
+def _whole(raw: bytes, a: int, b: int) -> tuple[int, int]:
+    """A span made longer until it cuts no UTF-8 character."""
+    while a > 0 and raw[a] & 0xC0 == 0x80:
+        a -= 1
+    while b < len(raw) and raw[b] & 0xC0 == 0x80:
+        b += 1
+    return a, b
+
+
+def _without(raw: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int]:
+    """(bytes left, maximal removed runs)."""
+    kept, at, runs = [], 0, 0
+    for a, b in sorted(spans):
+        if a > at or not runs:
+            kept.append(raw[at:a])
+            runs += 1
+        at = max(at, b)
+    kept.append(raw[at:])
+    return b"".join(kept), runs
+
+
 def _remove_fn():
     def fn(batches):
         for batch in batches:
-            cols: list[list] = [[], [], [], []]
-            for body, spans in zip(batch.column("body"), batch.column("spans").to_pylist()):
+            cols: list[list] = [[], [], [], [], []]
+            for body, found in zip(batch.column("body"), batch.column("spans").to_pylist()):
                 raw = body.as_buffer().to_pybytes()
-                kept, at, runs = [], 0, 0
-                for a, b in sorted((s["a"], s["b"]) for s in spans or ()):
-                    if a > at or not runs:
-                        kept.append(raw[at:a])
-                        runs += 1
-                    at = max(at, b)
-                kept.append(raw[at:])
-                left = b"".join(kept)
-                for c, v in zip(cols, (left, len(raw), len(raw) - len(left), runs)):
+                spans = [(s["a"], s["b"]) for s in found or ()]
+                left, runs = _without(raw, spans)
+                text = _without(raw, [_whole(raw, a, b) for a, b in spans])[0].decode("utf-8") if spans else raw.decode("utf-8")
+                for c, v in zip(cols, (left, text, len(raw), len(raw) - len(left), runs)):
                     c.append(v)
-            types = [pa.binary(), pa.int64(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), *(pa.array(c, t) for c, t in zip(cols, types))], names=["row", "kept", "n_bytes", "n_removed", "n_spans"])
+            types = [pa.binary(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), *(pa.array(c, t) for c, t in zip(cols, types))], names=["row", "kept", "kept_text", "n_bytes", "n_removed", "n_spans"])
 
     return fn
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """``docs`` as a struct ``row`` with ``kept`` (binary: the bytes left),
-    ``n_bytes``, ``n_removed`` and ``n_spans`` (maximal removed runs)."""
+    ``kept_text`` (the text left: a character of which a byte goes, goes
+    whole), ``n_bytes``, ``n_removed`` and ``n_spans`` (maximal removed runs)."""
     scratch = Scratch(spark, "suffix")
     base = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
@@ -296,7 +354,7 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", t
     texts = base.select("id", "mark", "body")
 
     anchors = texts.mapInArrow(_anchor_fn(length), "id long, mark int, anchor long, own long, lo int, n int")
-    twice = anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("anchor")
+    twice = texts.select("body").mapInArrow(_hash_fn(length), "anchor long").groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("anchor")
     shared = scratch.keep(anchors.join(twice, "anchor"), "shared")
     kinds = shared.groupBy("anchor", "own").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("id", "mark", "lo", "n")).alias("at"))
     kinds = scratch.keep(kinds, "kinds")
@@ -331,5 +389,5 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", t
         .agg(F.collect_set("s").alias("spans"))
     )
     joined = base.join(spans, ["id", "mark"], "left").select("row", "body", "spans")
-    schema = T.StructType([base.schema["row"]]).add("kept", "binary").add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long")
+    schema = T.StructType([base.schema["row"]]).add("kept", "binary").add("kept_text", "string").add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long")
     return joined.mapInArrow(_remove_fn(), schema)

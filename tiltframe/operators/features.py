@@ -18,6 +18,12 @@ from ..params import STATE_SCHEMA
 from .assign import CenterView, list_array, nearest, vectors_of
 
 
+def check_ticks(t: np.ndarray, so_far: float = 0.0) -> None:
+    """Raise before a sum of squared ticks could leave 64 bits."""
+    if so_far + float((t.astype(np.float64) ** 2).sum()) >= 2.0**63:
+        raise OverflowError("sums of squared ticks leave 64 bits: count ticks from a later origin or in longer intervals")
+
+
 def cf_aggregate(assigned: DataFrame, dim: int, x: str = "x", tick: str | None = "tick", key: str = "slot") -> DataFrame:
     """Per key: n, cf1x = sum x, cf2x = sum x^2, cf1t = sum t, cf2t = sum t^2.
 
@@ -171,8 +177,10 @@ def assign_and_summarize(points: DataFrame, view: CenterView, t_factor: float |
             inside = np.ones(len(idx), dtype=bool) if t_factor is None else (np.sqrt(d2) <= t_factor * R[idx])
             ii, Xi, ti = idx[inside], X[inside], t[inside]
             n += np.bincount(ii, minlength=q)
-            np.add.at(s1, ii, Xi)
-            np.add.at(s2, ii, Xi * Xi)
+            for j in range(dim):
+                s1[:, j] += np.bincount(ii, weights=Xi[:, j], minlength=q)
+                s2[:, j] += np.bincount(ii, weights=Xi[:, j] * Xi[:, j], minlength=q)
+            check_ticks(t, float(t2.max(initial=0)))
             np.add.at(t1, ii, ti)
             np.add.at(t2, ii, ti * ti)
             out = ~inside

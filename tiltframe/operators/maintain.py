@@ -4,18 +4,14 @@ The rule is order dependent (outliers are handled one by one in arrival
 order). It is split in two Spark stages so that no task ever holds an
 unbounded number of rows:
 
-1. ``leader_pass`` (only when a batch has more raw outliers than
-   ``exact_outlier_limit``): every partition folds its own outliers, in
-   arrival order, into at most ``cap`` candidate CFs with the same rule
-   (absorb within t x radius, else open a candidate, merge the closest two
-   candidates when above ``cap``). CFs are additive, so n, sum x, sum x^2,
-   sum t, sum t^2 are preserved exactly. If the candidates of all
-   partitions still exceed ``reconcile_limit`` the pass is repeated tree-
-   wise over groups of candidates.
+1. ``outlier_candidates``: the first ``max_candidates`` outliers by arrival
+   key are leaders; every later outlier joins its nearest leader's CF (sums
+   with map-side aggregation). CFs are additive, so n, sum x, sum x^2, sum t,
+   sum t^2 are preserved exactly, and the result depends neither on the number
+   of partitions nor on a size switch: up to the limit each outlier is its own
+   candidate and the sequential rule is exact.
 2. ``reconcile``: ONE group holding the q state rows and the (bounded)
-   candidates applies the sequential rule against the state. With the
-   leader pass skipped every candidate is a single point and this is the
-   sequential rule exactly.
+   candidates applies the sequential rule against the state.
 
 The DataFrame forms ``replace_stale``, ``closest_pair`` and ``merge_pair``
 express the individual steps with built-in operators.
@@ -35,20 +31,8 @@ from pyspark.sql import types as T
 from ..functions.probit import probit_py
 from ..functions.vec import sqdist_sql
 from ..params import STATE_SCHEMA, OnlineParams
-from .assign import list_array, vectors_of
-
-CAND_SCHEMA = T.StructType(
-    [
-        T.StructField("seq_tick", T.LongType()),
-        T.StructField("seq_id", T.LongType()),
-        T.StructField("n", T.LongType()),
-        T.StructField("cf1x", T.ArrayType(T.DoubleType())),
-        T.StructField("cf2x", T.ArrayType(T.DoubleType())),
-        T.StructField("cf1t", T.LongType()),
-        T.StructField("cf2t", T.LongType()),
-    ]
-)
-
+from .assign import list_array, nearest, vectors_of
+from .features import cf_merge_partials, check_ticks
 
 def _rmsd(n, c1, c2) -> float:
     v = float(np.sum(c2)) / n - float(np.sum(c1 * c1)) / (n * float(n))
@@ -95,9 +79,19 @@ def reconcile_arrays(state: dict, cands: list, t_factor: float, recursive: bool,
         next_id += 1
         cen[i] = cx1 / cn
         rad[i] = _rmsd(cn, cx1, cx2) if cn > 1 else _nearest_nonzero(cen[i], cen)
+        update_pairs(i)
 
     keep_idx = np.array(keep, dtype=np.int64)
-    upper = np.triu(np.ones((len(keep), len(keep)), dtype=bool), k=1)
+    pairs = None  # squared distances of the merge candidates, kept up to date
+
+    def update_pairs(i):
+        """Slot i has a new centroid: its row and column of ``pairs``."""
+        at = int(np.searchsorted(keep_idx, i))
+        if pairs is None or at >= len(keep_idx) or keep_idx[at] != i:
+            return
+        diff = cen[keep_idx] - cen[i]
+        d2 = np.einsum("ij,ij->i", diff, diff)
+        pairs[at, at + 1 :], pairs[:at, at] = d2[at + 1 :], d2[:at]
 
     for cn, cx1, cx2, ct1, ct2 in cands:
         p = cx1 / cn
@@ -116,6 +110,7 @@ def reconcile_arrays(state: dict, cands: list, t_factor: float, recursive: bool,
             t2[bi] += ct2
             cen[bi] = c1[bi] / n[bi]
             rad[bi] = _rmsd(n[bi], c1[bi], c2[bi])
+            update_pairs(bi)
         elif j < len(safe):
             take(safe[j], cn, cx1, cx2, ct1, ct2)
             new_mc.append(safe[j])
@@ -123,12 +118,13 @@ def reconcile_arrays(state: dict, cands: list, t_factor: float, recursive: bool,
         else:
             a = -1
             if len(keep) >= 2:
-                K = cen[keep_idx]
-                diff = K[:, None, :] - K[None, :, :]
-                D = np.where(upper, np.einsum("ijk,ijk->ij", diff, diff), np.inf)
-                flat = int(np.argmin(D))  # row-major first minimum: lowest (a, b) on ties
+                if pairs is None:
+                    pairs = np.full((len(keep), len(keep)), np.inf)
+                    for i in keep:
+                        update_pairs(i)
+                flat = int(np.argmin(pairs))  # row-major first minimum: lowest (a, b) on ties
                 ia, ib = divmod(flat, len(keep))
-                if np.isfinite(D[ia, ib]):
+                if np.isfinite(pairs[ia, ib]):
                     a, b = int(keep_idx[ia]), int(keep_idx[ib])
             if a < 0:
                 # fewer than two merge candidates: reuse the slot with the oldest stamp
@@ -142,6 +138,7 @@ def reconcile_arrays(state: dict, cands: list, t_factor: float, recursive: bool,
                 ids[a] = list(ids[a]) + list(ids[b])
                 cen[a] = c1[a] / n[a]
                 rad[a] = _rmsd(n[a], c1[a], c2[a])
+                update_pairs(a)
             take(b, cn, cx1, cx2, ct1, ct2)
             new_mc.append(b)
     return state
@@ -184,7 +181,7 @@ RECON_IN = T.StructType(
 
 def reconcile(state_with_stale: DataFrame, candidates: DataFrame, params: OnlineParams, finalize: bool = True) -> DataFrame:
     """State (q rows with ``stale``/``stamp``) + bounded candidates -> new
-    state, in one group of at most q + reconcile_limit rows. ``finalize``
+    state, in one group of at most q + max_candidates rows. ``finalize``
     also runs the end-of-batch refresh in the same group."""
     s = state_with_stale.select(
         F.lit(0).cast("byte").alias("kind"),
@@ -247,124 +244,56 @@ def reconcile(state_with_stale: DataFrame, candidates: DataFrame, params: Online
 
 
 # ---------------------------------------------------------------------------
-# per-partition leader pass (bounded candidates)
+# bounded candidates
 
 
-def _leader_fold(rows, base_centers, t_factor, recursive, cap):
-    """rows: iterable of (seq_tick, seq_id, n, c1, c2, t1, t2) in order ->
-    list of candidate CFs (same tuple layout), at most ``cap`` long."""
-    out: list[list] = []
-    for seq_tick, seq_id, cn, cx1, cx2, ct1, ct2 in rows:
-        p = cx1 / cn
-        bi, best = -1, math.inf
-        if recursive and out:
-            cents = np.stack([o[3] / o[2] for o in out])
-            d2 = np.einsum("ij,ij->i", cents - p, cents - p)
-            bi = int(np.argmin(d2))
-            best = float(d2[bi])
-        absorbed = False
-        if bi >= 0:
-            o = out[bi]
-            if o[2] > 1:
-                r = _rmsd(o[2], o[3], o[4])
-            else:
-                others = np.vstack([base_centers, cents[np.arange(len(out)) != bi]]) if len(out) > 1 else base_centers
-                r = _nearest_nonzero(o[3] / o[2], others)
-            if math.sqrt(best) <= t_factor * r:
-                o[2] += cn
-                o[3] = o[3] + cx1
-                o[4] = o[4] + cx2
-                o[5] += ct1
-                o[6] += ct2
-                absorbed = True
-        if not absorbed:
-            out.append([seq_tick, seq_id, cn, cx1.copy(), cx2.copy(), ct1, ct2])
-            if len(out) > cap:
-                cents = np.stack([o[3] / o[2] for o in out])
-                g = cents @ cents.T
-                sq = np.diag(g)
-                d2 = sq[:, None] + sq[None, :] - 2 * g
-                np.fill_diagonal(d2, np.inf)
-                a, b = np.unravel_index(int(np.argmin(d2)), d2.shape)
-                a, b = min(a, b), max(a, b)
-                oa, ob = out[a], out[b]
-                oa[2] += ob[2]
-                oa[3] = oa[3] + ob[3]
-                oa[4] = oa[4] + ob[4]
-                oa[5] += ob[5]
-                oa[6] += ob[6]
-                del out[b]
-    return out
-
+def outlier_candidates(outliers: DataFrame, dim: int, limit: int) -> DataFrame:
+    """Outliers (``seq_tick, seq_id, x``) folded into at most ``limit``
+    candidate CFs: the first ``limit`` by arrival key lead, the others join
+    their nearest leader (ties go to the earliest)."""
+    first = outliers.orderBy("seq_tick", "seq_id").limit(limit).select("seq_tick", "seq_id", "x").collect()  # bounded: limit x dim
+    first.sort(key=lambda r: (r["seq_tick"], r["seq_id"]))
+    spot = {}
+    for i, r in enumerate(first):
+        spot.setdefault((r["seq_tick"], r["seq_id"]), i)
+    centers = np.array([r["x"] for r in first], dtype=np.float64).reshape(len(first), dim)
+    q = len(first)
 
-def _cands_to_batch(out, dim) -> pa.RecordBatch:
-    k = len(out)
-    c1 = np.stack([o[3] for o in out]) if k else np.zeros((0, dim))
-    c2 = np.stack([o[4] for o in out]) if k else np.zeros((0, dim))
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array([o[0] for o in out], type=pa.int64()),
-            pa.array([o[1] for o in out], type=pa.int64()),
-            pa.array([o[2] for o in out], type=pa.int64()),
-            list_array(c1),
-            list_array(c2),
-            pa.array([o[5] for o in out], type=pa.int64()),
-            pa.array([o[6] for o in out], type=pa.int64()),
-        ],
-        names=CAND_SCHEMA.fieldNames(),
-    )
-
-
-def leader_pass(outliers: DataFrame, base_centers: np.ndarray, params: OnlineParams) -> DataFrame:
-    """Fold each partition's outliers (``seq_tick, seq_id, x``) into at most
-    ``params.cap`` candidate CFs. Narrow: the partition is sorted by arrival
-    key with Spark's (spill-capable) sort, then folded as it streams by."""
-    dim = base_centers.shape[1]
-    t_factor, recursive, cap = params.t_factor, params.recursive_outliers, params.cap
-
-    def rows_of(batches):
+    def kernel(batches):
+        n, t1, t2 = (np.zeros(q, dtype=np.int64) for _ in range(3))
+        s1, s2 = np.zeros((q, dim)), np.zeros((q, dim))
         for b in batches:
             if not b.num_rows:
                 continue
             X = vectors_of(b, "x", dim)
-            tt = b.column(b.schema.get_field_index("seq_tick")).to_numpy(zero_copy_only=False).astype(np.int64)
-            ii = b.column(b.schema.get_field_index("seq_id")).to_numpy(zero_copy_only=False).astype(np.int64)
-            for k in range(b.num_rows):
-                t = int(tt[k])
-                yield (t, int(ii[k]), 1, X[k], X[k] * X[k], t, t * t)
-
-    def kernel(batches):
-        out = _leader_fold(rows_of(batches), base_centers, t_factor, recursive, cap)
-        if out:
-            yield _cands_to_batch(out, dim)
-
-    ordered = outliers.select("seq_tick", "seq_id", "x").sortWithinPartitions("seq_tick", "seq_id")
-    return ordered.mapInArrow(kernel, CAND_SCHEMA)
-
-
-def leader_reduce(cands: DataFrame, base_centers: np.ndarray, params: OnlineParams, fanout: int) -> DataFrame:
-    """One more level of the tree: candidates grouped ``fanout`` partitions'
-    worth at a time (by arrival key), each group folded to ``cap``."""
-    dim = base_centers.shape[1]
-    t_factor, recursive, cap = params.t_factor, params.recursive_outliers, params.cap
-
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["seq_tick", "seq_id"])
-        rows = (
-            (int(r.seq_tick), int(r.seq_id), int(r.n), np.asarray(r.cf1x, float), np.asarray(r.cf2x, float), int(r.cf1t), int(r.cf2t))
-            for r in pdf.itertuples(index=False)
-        )
-        out = _leader_fold(rows, base_centers, t_factor, recursive, cap)
-        return _cands_to_batch(out, dim).to_pandas()
-
-    # groups of ``fanout`` input partitions (each holds at most cap
-    # candidates): no global sort, every group bounded by fanout x cap rows
-    grouped = cands.withColumn("_g", F.floor(F.spark_partition_id() / F.lit(fanout)))
-    return grouped.groupBy("_g").applyInPandas(fn, CAND_SCHEMA)
+            tick, ident = (b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("seq_tick", "seq_id"))
+            own = np.array([spot.get(k, -1) for k in zip(tick.tolist(), ident.tolist())], dtype=np.int64)
+            later = own < 0
+            if later.any():
+                own[later] = nearest(X[later], centers)[0]
+            check_ticks(tick, float(t2.max(initial=0)))
+            n += np.bincount(own, minlength=q)
+            np.add.at(s1, own, X)
+            np.add.at(s2, own, X * X)
+            np.add.at(t1, own, tick)
+            np.add.at(t2, own, tick * tick)
+        k = np.flatnonzero(n)
+        if len(k):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(k), pa.array(n[k]), list_array(s1[k]), list_array(s2[k]), pa.array(t1[k]), pa.array(t2[k])],
+                names=["slot", "n", "cf1x", "cf2x", "cf1t", "cf2t"],
+            )
+
+    part = outliers.select("seq_tick", "seq_id", "x").mapInArrow(
+        kernel, "slot long, n long, cf1x array<double>, cf2x array<double>, cf1t long, cf2t long"
+    )
+    return cf_merge_partials(part, dim).select(
+        F.lit(0).cast("long").alias("seq_tick"), F.col("slot").alias("seq_id"), "n", "cf1x", "cf2x", "cf1t", "cf2t"
+    )
 
 
 def outliers_as_candidates(outliers: DataFrame) -> DataFrame:
-    """Raw outliers as single-point CFs (exact mode)."""
+    """Raw outliers as single-point CFs."""
     return outliers.select(
         "seq_tick", "seq_id",
         F.lit(1).cast("long").alias("n"),
@@ -547,6 +476,8 @@ def update_state(state: DataFrame, sums: DataFrame, candidates: DataFrame | None
             "centroid": np.stack(st_["centroid"].to_numpy()).astype(np.float64),
             "rmsd": st_["rmsd"].to_numpy(np.float64).copy(),
         }
+        if max([float(v) for v in t2], default=0.0) >= 2.0**62:
+            raise OverflowError("sums of squared ticks come near 64 bits: count ticks from a later origin or in longer intervals")
         if len(cd):
             stamp = _stamp_np(n, t1, t2, m)
             state["stamp"] = stamp
@@ -572,4 +503,5 @@ def update_state(state: DataFrame, sums: DataFrame, candidates: DataFrame | None
             }
         )
 
-    return both.coalesce(1).mapInPandas(fn, STATE_SCHEMA)
+    # bounded input; the exchange keeps the batch's tasks apart from this one
+    return both.repartition(1).mapInPandas(fn, STATE_SCHEMA)

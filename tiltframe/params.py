@@ -6,7 +6,7 @@ q-row DataFrame. All vector fields are ARRAY<DOUBLE> of length ``dim``.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import types as T
 
@@ -27,8 +27,6 @@ STATE_SCHEMA = T.StructType(
     ]
 )
 
-CF_COLS = ["slot", "ids", "n", "cf1x", "cf2x", "cf1t", "cf2t"]
-
 
 @dataclass(frozen=True)
 class OnlineParams:
@@ -43,13 +41,10 @@ class OnlineParams:
     recursive_outliers: bool = True
     init: str = "streaming"  # "random" | "kmeans" | "streaming" (ignored when min_init_points == 0)
     seed: int = 42
-    # outlier handling at scale: raw outliers per batch processed exactly in
-    # arrival order when at most this many; else a per-partition leader pass
-    exact_outlier_limit: int = 20000
-    # candidates kept per partition by the leader pass, and the bound on one
-    # reconcile group; above it the candidates are reduced tree-wise
-    leader_cap: int = 0  # 0 -> 2*q
-    reconcile_limit: int = 20000
+    # outliers of a batch become at most this many candidates: the first ones
+    # by arrival lead, each later one joins its nearest leader (one rule at
+    # every batch size; below the limit every outlier is its own candidate)
+    max_candidates: int = 2000
     max_broadcast_bytes: int = 64 << 20
 
     def __post_init__(self):
@@ -57,13 +52,11 @@ class OnlineParams:
             raise ValueError("q and dim must be positive")
         if self.init not in ("random", "kmeans", "streaming"):
             raise ValueError(f"unknown init route {self.init!r}")
+        if self.max_candidates < 1 or self.max_candidates * self.dim * 8 > self.max_broadcast_bytes:
+            raise ValueError("max_candidates x dim exceeds the broadcast bound")
         if self.q * self.dim * 8 * 3 > self.max_broadcast_bytes:
             raise ValueError("state view (q x dim) exceeds the broadcast bound")
 
-    @property
-    def cap(self) -> int:
-        return self.leader_cap or 2 * self.q
-
 
 @dataclass(frozen=True)
 class SnapshotParams:
@@ -75,17 +68,3 @@ class SnapshotParams:
     def __post_init__(self):
         if self.alpha < 2 or self.l < 0:
             raise ValueError("alpha must be >= 2 and l >= 0")
-
-
-@dataclass(frozen=True)
-class MacroParams:
-    k: int = 5
-    num_points: int = 5000
-    max_iter: int = 20
-    seed: int = 42
-    tol: float = 1e-4
-
-
-@dataclass
-class Metrics:
-    ticks: list = field(default_factory=list)

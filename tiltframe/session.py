@@ -36,16 +36,17 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "til
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Read from the session (then from the context's checkpoint folder). Only
-    when neither is set (local tests) a scratch folder is created and
-    registered with ``setCheckpointDir``; ``spark.checkpoint.dir`` itself is
-    a core setting that cannot change at runtime.
+    Read from the session (then from the context's checkpoint folder). Where
+    neither is set a local session gets a scratch folder of its own; on a
+    cluster that is an error, because executors would not see it.
     """
     sc = spark.sparkContext
     d = sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
         d = sc.getCheckpointDir()
     if not d:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir is not set: state and staging tables need a folder that all executors share")
         d = tempfile.mkdtemp(prefix="tiltframe-ckpt-", dir=os.environ.get("TILTFRAME_SCRATCH", "/tmp"))
         sc.setCheckpointDir(d)
     return d.rstrip("/")

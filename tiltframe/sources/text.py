@@ -16,7 +16,8 @@ def parse_vectors(df: DataFrame, col: str = "value", dim: int | None = None, dro
     Returns ``(points, rejects)``: ``points`` keeps the other columns plus
     ``x ARRAY<DOUBLE>`` (and ``label STRING`` when ``drop_label``, the last
     token being the label); ``rejects`` holds lines with a token that is
-    not a number, or whose length differs from ``dim``, with a ``reason``.
+    not a number, or whose length differs from ``dim``, and null lines, with
+    a ``reason``.
     """
     toks = _tokens(col)
     keep = [c for c in df.columns if c != col]
@@ -34,7 +35,7 @@ def parse_vectors(df: DataFrame, col: str = "value", dim: int | None = None, dro
     )
     bad_token = F.exists("x", lambda v: v.isNull() | F.isnan(v))
     bad_size = (F.size("x") != F.lit(dim)) if dim is not None else F.lit(False)
-    reason = F.when(bad_token, F.lit("bad_token")).when(bad_size, F.lit("bad_size"))
+    reason = F.when(F.col(col).isNull(), F.lit("null_line")).when(bad_token, F.lit("bad_token")).when(bad_size, F.lit("bad_size"))
     tagged = parsed.withColumn("_reason", reason)
     points = tagged.where(F.col("_reason").isNull()).drop("_reason", col)
     rejects = tagged.where(F.col("_reason").isNotNull()).select(*keep, F.col(col), F.col("_reason").alias("reason"))

@@ -10,6 +10,12 @@ if configured, a snapshot on the pyramidal time frame.
 Per step, data-sized work is one narrow Arrow pass (assignment + inside /
 outlier split + per-batch partial CF sums) and one small keyed aggregate;
 everything else touches q rows or a bounded candidate set.
+
+No point is dropped without a trace: points without a tick, with a broken
+vector, or older than the clock are kept with a reason (``rejects``). In event
+mode a tick is folded once a newer one (by ``lateness`` ticks) has been seen,
+so a tick that spans triggers is folded whole; until then its points wait in
+the shared folder.
 """
 
 from __future__ import annotations
@@ -22,7 +28,7 @@ from pyspark.sql import functions as F
 from ..operators.assign import CenterView, collect_view
 from ..operators.features import assign_and_summarize, cf_merge_partials, empty_state
 from ..operators.kmeans import batch_kmeans, random_gaussian_model, streaming_kmeans_update
-from ..operators.maintain import leader_pass, leader_reduce, outliers_as_candidates, update_state
+from ..operators.maintain import outlier_candidates, update_state
 from ..operators import snapshots as snaps
 from ..params import STATE_SCHEMA, OnlineParams, SnapshotParams
 from ..session import new_run_dir
@@ -83,7 +89,6 @@ class OnlineClusterer:
         self.progress: list[tuple[int, int, int]] = []
         self._skm_version = None
         self._skm = None  # streaming k-means start model (slots, centers, weights)
-        self._staged = 0
         self._view: CenterView | None = None
         self._prev_prev = -1
         self._state_df = None
@@ -121,6 +126,14 @@ class OnlineClusterer:
                 for r in per:
                     run += int(r["n"])
                     self.progress.append((int(r["version"]), int(r["n"]), run))
+        staging = f"{self.base}/staging"
+        if _path_exists(self.spark, staging):
+            # batch k-means start: one folder of buffered points per batch
+            self.progress, self.total = [], 0
+            for r in self.spark.read.parquet(staging).groupBy("version").count().orderBy("version").collect():
+                self.total += int(r["count"])
+                self.progress.append((int(r["version"]), int(r["count"]), self.total))
+            self.time = self.progress[-1][0] if self.progress else 0
         if not _path_exists(self.spark, self.state_path):
             return
         prog = (
@@ -194,13 +207,18 @@ class OnlineClusterer:
         self._prev_prev = prev
 
     # -- one batch --------------------------------------------------------
-    def step(self, batch: DataFrame, tick: int | None = None) -> None:
+    def step(self, batch: DataFrame, tick: int | None = None, checked: bool = False) -> None:
         """Process one batch; all its points carry time ``tick`` (default:
-        the current clock). Ticks in between with no batch count as empty."""
+        the current clock). Ticks in between with no batch count as empty.
+        ``checked``: the vectors are known to be whole."""
         if tick is not None:
+            if tick == self.time - 1:
+                return  # replay of the last batch: folded already
             if tick < self.time:
-                return  # replay of a batch already folded in: idempotent skip
+                raise ValueError(f"tick {tick} is older than the clock {self.time}: a new stream needs a new base_dir (or mode='event')")
             self.time = int(tick)
+        if not checked:
+            batch = self._keep_broken(batch, self.time)
         now = self.time
         pts = batch.select(F.col(self.x).alias("x"), F.col(self.order).cast("long").alias("id")) if self.order in batch.columns else batch.select(
             F.col(self.x).alias("x"), F.monotonically_increasing_id().alias("id")
@@ -237,28 +255,42 @@ class OnlineClusterer:
             cands = None
             if n_out:
                 outl = fused.where("kind = 1").select("seq_tick", "seq_id", "x")
-                cands = self._candidates(outl, n_out, view)
+                cands = outlier_candidates(outl, p.dim, p.max_candidates)
             self._write_state(update_state(st, sums, cands, p, now), version, n_in + n_out, True)
             return n_in + n_out
         finally:
             fused.unpersist()
 
-    def _candidates(self, outl: DataFrame, n_out: int, view: CenterView) -> DataFrame:
-        p = self.p
-        if n_out <= p.exact_outlier_limit:
-            return outliers_as_candidates(outl)
-        cands = leader_pass(outl, view.centers, p).persist(StorageLevel.MEMORY_AND_DISK)
-        cnt = cands.count()
-        while cnt > p.reconcile_limit:
-            fanout = max(2, p.reconcile_limit // (4 * p.cap))
-            nxt = leader_reduce(cands, view.centers, p, fanout).persist(StorageLevel.MEMORY_AND_DISK)
-            c2 = nxt.count()
-            cands.unpersist()
-            cands = nxt
-            if c2 >= cnt:
-                break
-            cnt = c2
-        return cands
+    # -- points that cannot be folded ----------------------------------------
+    def _reason(self, tick=None):
+        """Why a point cannot be folded now (null: it can)."""
+        x = F.col(self.x)
+        whole = x.isNotNull() & (F.size(x) == self.p.dim) & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+        out = F.when(~F.coalesce(whole, F.lit(False)), F.lit("broken_vector"))
+        if tick is None:
+            return out
+        return F.when(tick.isNull(), F.lit("null_tick")).when(tick < self.time, F.lit("late")).otherwise(out)
+
+    def _keep_broken(self, batch: DataFrame, tick: int) -> DataFrame:
+        tagged = batch.withColumn("_reason", self._reason())
+        bad = tagged.where("_reason IS NOT NULL")
+        if not bad.isEmpty():
+            bad.write.mode("overwrite").parquet(f"{self.base}/rejects/source=step-{tick}")
+        return tagged.where("_reason IS NULL").drop("_reason")
+
+    def rejects(self) -> DataFrame | None:
+        """Every point that was not folded, with its ``reason``; None if there
+        is none (yet)."""
+        parts = []
+        for name in ("rejects", "input", "pending"):
+            path = f"{self.base}/{name}"
+            if _path_exists(self.spark, path):
+                df = self.spark.read.option("mergeSchema", "true").parquet(path).where("_reason IS NOT NULL")
+                parts.append(df.drop("source", "batch").withColumnRenamed("_reason", "reason"))
+        out = None
+        for df in parts:
+            out = df if out is None else out.unionByName(df, allowMissingColumns=True)
+        return out
 
     # -- initialisation routes -------------------------------------------
     def _build_from_centers(self, centers: DataFrame, pts: DataFrame, version: int, n_batch: int, view: CenterView | None = None) -> None:
@@ -284,12 +316,12 @@ class OnlineClusterer:
             self._build_from_centers(centers, pts, version, n_batch)
             return n_batch
         if p.init == "kmeans":
-            staging = f"{self.base}/staging"
-            pts.write.mode("append").parquet(staging)
-            n_batch = pts.count()
-            self._staged += n_batch
-            if self._staged >= p.min_init_points:
-                buf = self.spark.read.parquet(staging).withColumn("tick", F.lit(now).cast("long"))
+            # a replayed batch overwrites its own folder
+            mine = f"{self.base}/staging/version={version}"
+            pts.write.mode("overwrite").parquet(mine)
+            n_batch = self.spark.read.parquet(mine).count()
+            if self.total + n_batch >= p.min_init_points and n_batch:
+                buf = self.spark.read.parquet(f"{self.base}/staging").drop("version").withColumn("tick", F.lit(now).cast("long"))
                 centers, _ = batch_kmeans(buf, p.q, max_iter=10, seed=p.seed)
                 centers = _pad_centers(self.spark, centers, p.q, p.dim)
                 self._build_from_centers(centers, buf, version, n_batch)
@@ -329,54 +361,78 @@ class OnlineClusterer:
 
     # -- drivers ------------------------------------------------------------
     def run_ticks(self, points: DataFrame, tick: str = "tick", last_tick: int | None = None, stage: bool = True) -> "OnlineClusterer":
-        """Batch form of the stream: one step per tick value, in order,
-        empty ticks included (they only advance the clock).
+        """Batch form of the stream: one step per tick value that occurs, in
+        order (ticks in between only advance the clock).
 
         With ``stage`` the input is written once to the shared folder,
         partitioned by tick, so every step reads only its own partition
         (partition pruning) instead of rescanning the whole table per tick.
+        Points that cannot be folded stay there with their reason.
         """
+        tagged = points.withColumn("_reason", self._reason(F.col(tick)))
         if stage:
-            path = f"{self.base}/input-{self.time}"
+            path = f"{self.base}/input/source=run-{self.time}"
             # range partitioning on (tick, arrival key): balanced tasks, a
             # hot tick is split over several tasks, few files per tick
             keys = [tick] + ([self.order] if self.order in points.columns else [])
-            points.repartitionByRange(*keys).write.mode("overwrite").partitionBy(tick).parquet(path)
-            points = self.spark.read.parquet(path)
-        if last_tick is None:
-            last_tick = int(points.agg(F.max(tick)).first()[0])
-        for t in range(self.time, last_tick + 1):
-            self.step(points.where(F.col(tick) == t), t)
+            tagged.repartitionByRange(*keys).write.mode("overwrite").partitionBy(tick).parquet(path)
+            tagged = self.spark.read.parquet(path)
+        good = tagged.where("_reason IS NULL").drop("_reason")
+        there = sorted(int(r[0]) for r in good.select(tick).distinct().collect())
+        for t in there:
+            if last_tick is None or t <= last_tick:
+                self.step(good.where(F.col(tick) == t), t, checked=True)
+        self.time = max(self.time, (last_tick if last_tick is not None else max(there, default=-1)) + 1)
         return self
 
-    def foreach_batch(self, mode: str = "batch", tick: str = "tick", rejects: str | None = None):
+    def foreach_batch(self, mode: str = "batch", tick: str = "tick", lateness: int = 0):
         """Function for ``writeStream.foreachBatch``.
 
-        mode "batch": tick = batch id. mode "event": the batch is split by its
-        event-time tick column and the ticks are processed in order; points
-        older than the clock go to the ``rejects`` table with a reason.
+        mode "batch": tick = batch id. mode "event": points go by their
+        event-time ``tick`` column. A trigger is first written to the shared
+        folder with a reason for each point that cannot be folded (decided
+        once: a replayed trigger finds its folder and changes nothing); then
+        every waiting tick that is more than ``lateness`` ticks older than
+        the newest one is folded. ``flush`` folds the rest.
         """
 
         def fn(df: DataFrame, batch_id: int) -> None:
             if mode == "batch":
                 self.step(df, int(batch_id))
                 return
-            # the trigger may span several ticks: keep it cached while they
-            # are processed in order (one scan of the source per trigger)
-            df = df.persist(StorageLevel.MEMORY_AND_DISK)
-            try:
-                ticks = sorted(int(r[0]) for r in df.select(tick).distinct().collect())
-                late = [t for t in ticks if t < self.time]
-                if late and rejects:
-                    df.where(F.col(tick) < self.time).withColumn("reason", F.lit("late")).write.mode("append").parquet(rejects)
-                for t in ticks:
-                    if t >= self.time:
-                        self.step(df.where(F.col(tick) == t), t)
-            finally:
-                df.unpersist()
+            mine = f"{self.base}/pending/batch={int(batch_id)}"
+            if not _path_exists(self.spark, f"{mine}/_SUCCESS"):
+                df.withColumn("_reason", self._reason(F.col(tick))).write.mode("overwrite").parquet(mine)
+            self._fold_waiting(tick, lateness, int(batch_id))
 
         return fn
 
+    def flush(self, tick: str = "tick") -> "OnlineClusterer":
+        """Fold every point that still waits for its tick to be complete (at
+        the end of a stream)."""
+        if _path_exists(self.spark, f"{self.base}/pending"):
+            self._fold_waiting(tick, None, None)
+        return self
+
+    def _fold_waiting(self, tick: str, lateness: int | None, batch_id: int | None) -> None:
+        waiting = self.spark.read.parquet(f"{self.base}/pending")
+        seen = waiting.groupBy("batch", F.col(tick).alias("t"), F.col("_reason").isNull().alias("good")).count().collect()
+        ticks = sorted({int(r["t"]) for r in seen if r["good"] and r["t"] >= self.time})
+        newest = max(ticks, default=None)
+        good = waiting.where("_reason IS NULL").drop("_reason", "batch")
+        for t in ticks:
+            if lateness is None or t < newest - lateness:
+                self.step(good.where(F.col(tick) == t), t, checked=True)
+        # folders of earlier triggers with nothing left to fold
+        for b in sorted({int(r["batch"]) for r in seen}):
+            mine = [r for r in seen if r["batch"] == b]
+            if batch_id is None or b >= batch_id or any(r["good"] and r["t"] >= self.time for r in mine):
+                continue
+            if not all(r["good"] for r in mine):
+                gone = waiting.where((F.col("batch") == b) & F.col("_reason").isNotNull()).drop("batch")
+                gone.write.mode("overwrite").parquet(f"{self.base}/rejects/source=batch-{b}")
+            _delete_path(self.spark, f"{self.base}/pending/batch={b}")
+
     def start(self, stream: DataFrame, checkpoint: str | None = None, mode: str = "batch", trigger: dict | None = None, **kw):
         """Run on a streaming DataFrame (Structured Streaming, foreachBatch)."""
         w = stream.writeStream.foreachBatch(self.foreach_batch(mode, **kw)).option(
