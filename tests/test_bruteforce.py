@@ -293,18 +293,26 @@ def test_online_run_against_brute_force(spark, sf):
 @pytest.mark.parametrize("sf", [SF_SMALL, "/root/testdata/sf0.01"])
 def test_init_streaming_kmeans_against_brute_force(spark, sf):
     from tiltframe.plans.common import ev_points
-    from tiltframe.plans.queries import MIN_INIT
+    from tiltframe.plans.queries import EV_HALF
 
-    pts = [(r["id"], list(r["x"]), r["tick"]) for r in ev_points(spark, sf).collect() if r["tick"] <= 5]
-    want = brute_online(pts, EV_Q, 2, MIN_INIT, T_FACTOR, M_LAST, DELTA_DAYS, 42)
+    pts = [(r["id"], list(r["x"]), int(r["tick"] >= EV_HALF)) for r in ev_points(spark, sf).collect()]
+    want = brute_online(pts, EV_Q, 2, 100, T_FACTOR, M_LAST, DELTA_DAYS, 42)
     got = {r["slot"]: r for r in E.queries()["init_streaming_kmeans"](spark, sf).collect()}
-    if want is None:  # start threshold not reached by day 5: no state yet
-        assert got == {}
-        return
+    assert len(got) == EV_Q and sum(s["n"] for s in want) == sum(1 for p in pts if p[2])
     for i, s in enumerate(want):
         assert got[i]["ids"] == ",".join(map(str, s["ids"])) and got[i]["n"] == s["n"], i
 
 
+def test_init_kmeans_folds_every_point_into_its_nearest_center(spark):
+    from pyspark.sql import functions as F
+    from tiltframe.plans.common import ev_points
+
+    got = E.queries()["init_kmeans"](spark, SF_SMALL)
+    raw = ev_points(spark, SF_SMALL).agg(F.count(F.lit(1)), F.sum(F.col("x")[0]), F.sum(F.col("x")[1])).first()
+    mine = got.agg(F.sum("n"), F.sum("cf1x0"), F.sum("cf1x1")).first()
+    assert mine[0] == raw[0] and mine[1] == pytest.approx(raw[1], abs=1e-2) and mine[2] == pytest.approx(raw[2], abs=1e-2)
+
+
 def _live(t, now, alpha=2, l=2):
     order = 0
     while t % alpha ** (order + 1) == 0:
@@ -341,9 +349,9 @@ def test_online_horizon_against_brute_force(spark):
     live = sorted(t for t in snaps if _live(t, now))
     want = {}
     for tc, h in REQUESTS:
-        if tc < 10:
-            continue
         le = [t for t in live if t <= tc]
+        if not le:
+            continue  # no snapshot that early
         t1 = le[-1]
         le2 = [t for t in live if t <= t1 - h]
         t2 = le2[-1] if le2 else live[0]

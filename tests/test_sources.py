@@ -8,10 +8,10 @@ from tiltframe.sources.text import parse_vectors, read_text_points, render_vecto
 
 
 def test_parse_with_rejects(spark):
-    lines = spark.createDataFrame([("1 2 3",), ("4 x 6",), ("7 8",), ("  9 10 11 ",), ("1 2 3 lbl",)], "value string")
+    lines = spark.createDataFrame([("1 2 3",), ("4 x 6",), ("7 8",), ("  9 10 11 ",), ("1 2 3 lbl",), (None,)], "value string")
     pts, rej = parse_vectors(lines, "value", dim=3)
     assert sorted(tuple(r["x"]) for r in pts.collect()) == [(1.0, 2.0, 3.0), (9.0, 10.0, 11.0)]
-    assert sorted(r["reason"] for r in rej.collect()) == ["bad_size", "bad_token", "bad_token"]
+    assert sorted(r["reason"] for r in rej.collect()) == ["bad_size", "bad_token", "bad_token", "null_line"]
     lab, _ = parse_vectors(lines.where("value = '1 2 3 lbl'"), "value", dim=3, drop_label=True)
     r = lab.first()
     assert r["x"] == [1.0, 2.0, 3.0] and r["label"] == "lbl"

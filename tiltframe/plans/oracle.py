@@ -482,7 +482,7 @@ sp AS (SELECT slot, c, CAST(draws AS DOUBLE) AS w FROM smp),
 si AS (SELECT CAST(row_number() OVER (ORDER BY slot, r) - 1 AS INTEGER) AS cluster, c AS center
        FROM (SELECT slot, c, unnest(range(draws)) AS r FROM st)),
 {_lloyd_ctes('sp', 'si', 20, 64)}
-SELECT cluster, round(weight, 4) AS weight FROM wfin"""
+{_macro_out()}"""
 
 
 def _centers_csv() -> str:
@@ -510,26 +510,35 @@ def _streaming_kmeans() -> str:
         f"ev AS ({EV_PTS})",
         "k0 AS (SELECT CAST(row_number() OVER (ORDER BY id) - 1 AS INTEGER) AS slot, x AS c, 1.0 AS w FROM (SELECT id, x FROM ev ORDER BY id LIMIT 5))",
     ]
-    for t in range(3):
+    for t in range(30):
         i = t + 1
-        parts.append(f"b{i} AS (SELECT * FROM ev WHERE tick = {t})")
-        parts.append(f"a{i} AS ({_argmin(f'b{i}', f'k{t}', _sqd2('p.x', 'c.c'))})")
-        parts.append(f"g{i} AS (SELECT slot, count(*) AS cnt, sum(x[1]) AS sx0, sum(x[2]) AS sx1 FROM a{i} GROUP BY slot)")
+        parts.append(f"b{i} AS MATERIALIZED (SELECT * FROM ev WHERE tick = {t})")
+        parts.append(f"a{i} AS MATERIALIZED ({_argmin(f'b{i}', f'k{t}', _sqd2('p.x', 'c.c'))})")
+        parts.append(f"g{i} AS MATERIALIZED (SELECT slot, count(*) AS cnt, sum(x[1]) AS sx0, sum(x[2]) AS sx1 FROM a{i} GROUP BY slot)")
         parts.append(f"tot{i} AS (SELECT coalesce(sum(cnt), 0) AS tot FROM g{i})")
         parts.append(
-            f"u{i} AS (SELECT k.slot, k.c, CAST(coalesce(g.cnt, 0) AS DOUBLE) AS cnt, g.sx0, g.sx1, "
+            f"u{i} AS MATERIALIZED (SELECT k.slot, k.c, CAST(coalesce(g.cnt, 0) AS DOUBLE) AS cnt, g.sx0, g.sx1, "
             f"k.w * pow({decay!r}, CAST(tot{i}.tot AS DOUBLE)) + CAST(coalesce(g.cnt, 0) AS DOUBLE) AS w1 "
             f"FROM k{t} k LEFT JOIN g{i} g USING (slot) CROSS JOIN tot{i})"
         )
         parts.append(
-            f"k{i} AS (SELECT slot, CASE WHEN cnt > 0 THEN "
+            f"k{i} AS MATERIALIZED (SELECT slot, CASE WHEN cnt > 0 THEN "
             f"[(1.0 - cnt / greatest(w1, 1e-16)) * c[1] + (cnt / greatest(w1, 1e-16) / cnt) * sx0, "
             f"(1.0 - cnt / greatest(w1, 1e-16)) * c[2] + (cnt / greatest(w1, 1e-16) / cnt) * sx1] ELSE c END AS c, w1 AS w FROM u{i})"
         )
-    return "WITH " + ",\n".join(parts) + "\nSELECT slot, round(w, 6) AS weight, round(c[1], 6) AS c0, round(c[2], 6) AS c1 FROM k3"
+    return "WITH " + ",\n".join(parts) + "\nSELECT slot, round(w, 6) AS weight, round(c[1], 6) AS c0, round(c[2], 6) AS c1 FROM k30"
+
+
+def _online_totals() -> str:
+    return f"""WITH ev AS ({EV_PTS})
+SELECT count(*) AS n, CAST(sum(tick) AS BIGINT) AS cf1t, CAST(sum(tick * tick) AS BIGINT) AS cf2t,
+       round(sum(x[1]), 2) AS cf1x0, round(sum(x[2]), 2) AS cf1x1,
+       round(sum(x[1] * x[1]), 2) AS cf2x0, round(sum(x[2] * x[2]), 2) AS cf2x1
+FROM ev"""
 
 
 ORACLE = {
+    "online_totals": _online_totals,
     "parse_vectors": _parse_vectors,
     "stream_source": _stream_source,
     "tick_counters": _tick_counters,

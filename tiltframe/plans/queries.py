@@ -17,7 +17,7 @@ from ..operators import snapshots as sn
 from ..operators.assign import assign, collect_view
 from ..operators.features import cf_aggregate, empty_state, nearest_other_distance
 from ..operators.kmeans import decay_from_half_life, kmeans_cost, streaming_kmeans_update
-from ..operators.maintain import closest_pair, merge_pair, reconcile, replace_stale, outliers_as_candidates
+from ..operators.maintain import closest_pair, merge_pair, outlier_candidates, reconcile, replace_stale
 from ..operators.recency import with_staleness, relevance_stamp
 from ..params import OnlineParams, SnapshotParams
 from ..session import new_run_dir
@@ -48,6 +48,8 @@ REQUESTS = [(6, 1), (21, 1), (29, 5), (30, 16), (30, 29), (7, 2), (0, 1)]
 MILESTONES = [2500, 5000, 7500]
 MIN_INIT = 200  # points before the online phase starts (reached at every scale)
 MILESTONE_BAND = 100
+EV_HALF = 15  # first day of the second batch of the two-batch start
+EV_DAYS = 30  # days of the events table
 
 
 def _requests(spark):
@@ -254,13 +256,13 @@ def merge_pair_q(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def absorb_outliers_q(spark: SparkSession, sf: str) -> DataFrame:
-    """ON14 (whole rule, exact mode): outliers of the later days absorbed,
-    given stale slots or merged in arrival order. Order dependent: checked
-    by row count here and against a brute-force loop in the tests."""
+    """ON14 (whole rule, through the engine's bounded candidates): outliers of
+    the later days absorbed, given stale slots or merged in arrival order.
+    Order dependent: checked against a brute-force loop in the tests."""
     st, outl = _ev_batch_outliers(spark, sf)
     p = OnlineParams(q=EV_Q, dim=2, m=M_LAST, delta=DELTA_DAYS, t_factor=T_FACTOR)
     sws = with_staleness(st, EV_SPLIT, DELTA_DAYS, M_LAST)
-    return _state_out(reconcile(sws, outliers_as_candidates(outl), p, finalize=True))
+    return _state_out(reconcile(sws, outlier_candidates(outl, 2, p.max_candidates), p, finalize=True))
 
 
 # -- init routes and the full online loop ---------------------------------------
@@ -275,26 +277,46 @@ def _online(spark, sf, init: str, min_init: int, snapshot=None):
 
 
 def init_random_q(spark: SparkSession, sf: str) -> DataFrame:
-    """ON3: random start (seeded uniform centroids) on the first day."""
+    """ON3: random start (seeded uniform centroids) with every event as the
+    first batch."""
     m = _online(spark, sf, "random", 0)
-    m.step(ev_points(spark, sf).where("tick = 0"), 0)
+    m.step(ev_points(spark, sf), 0)
     return _state_out(m.state())
 
 
 def init_kmeans_q(spark: SparkSession, sf: str) -> DataFrame:
-    """ON4: buffer days until 200 points, then batch k-means with q centers."""
+    """ON4: every event buffered (at least 200 points), then batch k-means
+    with q centers."""
     m = _online(spark, sf, "kmeans", MIN_INIT)
-    m.run_ticks(ev_points(spark, sf), last_tick=5)
+    m.step(ev_points(spark, sf), 0)
     return _state_out(m.state())
 
 
 def init_streaming_kmeans_q(spark: SparkSession, sf: str) -> DataFrame:
-    """ON5: streaming k-means until 200 points were seen before the batch."""
-    m = _online(spark, sf, "streaming", MIN_INIT)
-    m.run_ticks(ev_points(spark, sf), last_tick=5)
+    """ON5: streaming k-means over two batches (days before and from
+    ``EV_HALF``): the second starts the state, as 200 points or more came
+    before it."""
+    m = _online(spark, sf, "streaming", min(MIN_INIT, 100))
+    half = (F.col("tick") >= EV_HALF).cast("long")
+    m.run_ticks(ev_points(spark, sf).withColumn("tick", half))
     return _state_out(m.state())
 
 
+def online_totals_q(spark: SparkSession, sf: str) -> DataFrame:
+    """ON1/ON14: every day of events folded by the engine with a staleness
+    threshold beyond the table's span, so that nothing is forgotten: the
+    state's totals are those of the points."""
+    from ..streaming.online import OnlineClusterer
+
+    p = OnlineParams(q=EV_Q, dim=2, m=M_LAST, delta=1000, init="random")
+    m = OnlineClusterer(spark, p).run_ticks(ev_points(spark, sf))
+    st = m.state()
+    return st.agg(
+        F.sum("n").alias("n"), F.sum("cf1t").alias("cf1t"), F.sum("cf2t").alias("cf2t"),
+        *[r(F.sum(F.col(c)[i]), 2).alias(f"{c}{i}") for c in ("cf1x", "cf2x") for i in range(2)],
+    )
+
+
 def online_run_q(spark: SparkSession, sf: str) -> DataFrame:
     """ON1/ON19: every day of events through the online phase (streaming
     k-means start), snapshots on the pyramidal frame; final state."""
@@ -309,7 +331,7 @@ def online_horizon_q(spark: SparkSession, sf: str) -> DataFrame:
     m = _online(spark, sf, "streaming", MIN_INIT, snapshot=SNAP)
     m.run_ticks(ev_points(spark, sf))
     snaps = sn.read_snapshots(spark, m.snapshot_path).select("tick", "slot", "ids", "n", "cf1x", "cf2x", "cf1t", "cf2t")
-    hc = sn.horizon_clusters(snaps, _requests(spark).where("tc >= 10"))
+    hc = sn.horizon_clusters(snaps, _requests(spark))
     cw = mac.centers_and_weights(hc, ["tc", "h"])
     mk = mac.macro_kmeans(cw.withColumn("w", F.col("n").cast("double")), 3, 20, 1e-4, ["tc", "h"], "w")
     return mk.select("tc", "h", "cluster", r("weight", 4).alias("weight"), r(F.col("center")[0], 4).alias("c0"), r(F.col("center")[1], 4).alias("c1"))
@@ -439,7 +461,8 @@ def sampled_kmeans_q(spark: SparkSession, sf: str) -> DataFrame:
     """OFF4: k-means on 5,000 weighted draws (started at 5 draws); the
     draws are deterministic (u = (i + 0.5)/N), so the result is too."""
     mk = mac.sampled_macro_kmeans(_label_mcs(spark, sf), 5, 5000, 20, deterministic=True, tol=0.0)
-    return mk.select("cluster", r("weight", 4).alias("weight"))
+    e = explode_vec(mk.select("cluster", "weight", "center"), "center", "center")
+    return e.select("cluster", r("weight", 4).alias("weight"), "pos", r("center", 6).alias("center"))
 
 
 def centers_csv_q(spark: SparkSession, sf: str) -> DataFrame:
@@ -471,13 +494,19 @@ def kmeans_wssse_q(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def streaming_kmeans_q(spark: SparkSession, sf: str) -> DataFrame:
-    """BL2: three daily updates of streaming k-means (k = 5, half-life 1,000
-    points, start = first 5 events with weight 1)."""
+    """BL2: one update of streaming k-means a day over all days (k = 5,
+    half-life 1,000 points, start = first 5 events with weight 1). The input
+    is staged by day once; the k-row model is written after every batch."""
+    base = new_run_dir(spark, "streaming_kmeans")
     pts = ev_points(spark, sf)
+    pts.repartition("tick").write.partitionBy("tick").parquet(f"{base}/in")
+    days = spark.read.parquet(f"{base}/in")
     model = seeds(pts, 5).withColumn("weight", F.lit(1.0))
     decay = decay_from_half_life(1000)
-    for t in range(3):
-        model = streaming_kmeans_update(model, pts.where(F.col("tick") == t), decay, "points").cache()
+    for t in range(EV_DAYS):
+        new = streaming_kmeans_update(model, days.where(F.col("tick") == t), decay, "points")
+        new.coalesce(1).write.parquet(f"{base}/model/{t}")
+        model = spark.read.schema(new.schema).parquet(f"{base}/model/{t}")
     return model.select(
         "slot", r("weight", 6).alias("weight"), r(F.col("center")[0], 6).alias("c0"), r(F.col("center")[1], 6).alias("c1")
     )
@@ -505,6 +534,7 @@ QUERIES = {
     "init_kmeans": init_kmeans_q,
     "init_streaming_kmeans": init_streaming_kmeans_q,
     "online_run": online_run_q,
+    "online_totals": online_totals_q,
     "online_horizon": online_horizon_q,
     "snapshot_order": snapshot_order_q,
     "snapshot_live": snapshot_live_q,
