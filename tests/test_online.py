@@ -236,6 +236,9 @@ def test_milestone_hook_writes_centers(spark, tmp_path):
     lines = spark.read.text(sink).collect()
     assert len(lines) >= 3 and all(len(r["value"].split(",")) == 2 for r in lines)
     assert m.macro_at(m.time, 8, 3).count() == 3
+    drawn = m.macro_at(m.time, 8, 3, num_points=2000).collect()
+    assert len(drawn) == 3 and sum(r["weight"] for r in drawn) == 2000
+    assert m.macro_now(4).agg(F.sum("weight")).first()[0] == m.state().agg(F.sum("n")).first()[0]
 
 
 def test_merge_preserves_cf_totals(spark):

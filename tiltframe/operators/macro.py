@@ -46,24 +46,28 @@ def weight_intervals(cw: DataFrame, key: list[str] | None = None) -> DataFrame:
 
 def weighted_sample(cw: DataFrame, num_points: int, seed: int | None = 42, key: list[str] | None = None, deterministic: bool = False) -> DataFrame:
     """``num_points`` draws with replacement by weight, as counts per center:
-    rows ``key…, slot, center, draws``. ``deterministic``: u = (i + 0.5)/N
-    instead of a seeded uniform. The draws are a range joined against the
-    small interval table (q rows per key, broadcast)."""
+    rows ``key…, slot, center, draws`` with at least one draw. The draws are
+    never rows: with ``deterministic`` (u = (i + 0.5)/N) the count of an
+    interval has a closed form, else each key's group (its micro-clusters)
+    takes one multinomial draw of its own."""
     key = key or []
     iv = weight_intervals(cw, key)
-    spark = cw.sparkSession
-    u = ((F.col("id") + F.lit(0.5)) / F.lit(float(num_points))) if deterministic else F.rand(seed)
-    draws = spark.range(num_points).select(F.col("id").alias("draw"), u.alias("u"))
-    if key:
-        # one set of draws per request key; the keys are not size-bounded,
-        # so no broadcast hint (AQE picks the join from statistics)
-        draws = draws.crossJoin(cw.select(*key).distinct())
-    cond = [draws[k] == iv[k] for k in key] + [(F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi"))]
-    ivs = iv.drop("weight")
-    hit = draws.join(ivs if key else F.broadcast(ivs), cond)  # without keys: q intervals
-    return hit.groupBy(*[draws[k] for k in key], "slot").agg(F.count(F.lit(1)).alias("draws")).join(
-        iv.select(*key, "slot", "center"), key + ["slot"]
-    )
+    if deterministic:
+        upto = lambda c: F.ceil(F.col(c) * F.lit(float(num_points)) - F.lit(0.5)).cast("long")
+        end = F.when(F.col("hi") >= 1.0, F.lit(num_points).cast("long")).otherwise(upto("hi"))
+        out = iv.select(*key, "slot", "center", (end - F.greatest(upto("lo"), F.lit(0).cast("long"))).alias("draws"))
+        return out.where("draws > 0").select(*key, "slot", "draws", "center")
+    schema = T.StructType([*(iv.schema[k] for k in key), iv.schema["slot"], T.StructField("draws", T.LongType()), iv.schema["center"]])
+
+    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("slot")
+        w = pdf["weight"].to_numpy(np.float64)
+        rng = np.random.default_rng([abs(hash(v)) % 2**32 for v in (seed or 0, *(pdf[k].iloc[0] for k in key))])
+        pdf = pdf.assign(draws=rng.multinomial(num_points, w / w.sum()))
+        return pdf[pdf["draws"] > 0][[f.name for f in schema.fields]]
+
+    grouped = iv.groupBy(*key) if key else iv.groupBy(F.lit(0).alias("_g"))
+    return grouped.applyInPandas(fn, schema)
 
 
 def _nearest(X, C):
@@ -99,6 +103,8 @@ def lloyd(X: np.ndarray, w: np.ndarray, C0: np.ndarray, max_iter: int, tol: floa
     return C, idx, d2
 
 
+#: Rows of one request's group (q micro-clusters and k starts).
+MAX_GROUP_ROWS = 200_000
 MACRO_SCHEMA = "cluster int, center array<double>, weight double, cost double"
 
 
@@ -119,6 +125,8 @@ def macro_kmeans(points: DataFrame, k: int, max_iter: int = 20, tol: float = 1e-
         pts = pts.unionByName(ini)
 
     def fn(pdf: pd.DataFrame) -> pd.DataFrame:
+        if len(pdf) > MAX_GROUP_ROWS:
+            raise ValueError(f"a request holds more than {MAX_GROUP_ROWS} micro-clusters: use kmeans.batch_kmeans")
         p = pdf[pdf["_kind"] == 0].sort_values("slot")
         X = np.stack(p["center"].to_numpy()).astype(np.float64)
         w = p["_w"].to_numpy(np.float64)

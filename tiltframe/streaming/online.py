@@ -52,10 +52,11 @@ def _delete_path(spark: SparkSession, path: str) -> None:
 class Milestones:
     """When the running total falls in (mark - band, mark + band] after a
     batch: macro-cluster the last ``horizon`` ticks into ``k`` clusters and
-    append the centers as CSV lines to ``sink`` (when given)."""
+    append the centers as CSV lines to ``sink`` (when given). ``num_points``:
+    on that many weighted draws."""
 
-    def __init__(self, marks, band: int = 100, horizon: int = 256, k: int = 5, sink: str | None = None):
-        self.marks, self.band, self.horizon, self.k, self.sink = list(marks), band, horizon, k, sink
+    def __init__(self, marks, band: int = 100, horizon: int = 256, k: int = 5, sink: str | None = None, num_points: int | None = None):
+        self.marks, self.band, self.horizon, self.k, self.sink, self.num_points = list(marks), band, horizon, k, sink, num_points
 
 
 class OnlineClusterer:
@@ -235,7 +236,7 @@ class OnlineClusterer:
             self.progress.append((self.time, n_batch, self.total))
             ms = self.milestones
             if ms is not None and self.initialized and any(mk - ms.band < self.total <= mk + ms.band for mk in ms.marks):
-                centers = self.macro_at(self.time, ms.horizon, ms.k)
+                centers = self.macro_at(self.time, ms.horizon, ms.k, num_points=ms.num_points)
                 if ms.sink:
                     from ..operators.macro import append_centers
 
@@ -347,17 +348,26 @@ class OnlineClusterer:
         return n_batch
 
     # -- offline front door ---------------------------------------------------
-    def macro_at(self, tc: int, h: int, k: int, max_iter: int = 20) -> DataFrame:
+    def macro_at(self, tc: int, h: int, k: int, max_iter: int = 20, num_points: int | None = None) -> DataFrame:
         """Macro-clusters of the last ``h`` ticks before ``tc`` (OFF6):
-        snapshot pair, horizon subtraction, weighted k-means over the
-        horizon's micro-clusters (k heaviest start). Needs snapshots."""
-        from ..operators.macro import centers_and_weights, macro_kmeans
-
+        snapshot pair, horizon subtraction, k-means over the horizon's
+        micro-clusters: weighted, from the k heaviest, or with ``num_points``
+        on that many weighted draws, from k further draws. Needs snapshots."""
         snaps_df = snaps.read_snapshots(self.spark, self.snapshot_path).select("tick", *STATE_SCHEMA.fieldNames()[:7])
         req = self.spark.createDataFrame([(int(tc), int(h))], "tc bigint, h bigint")
-        hc = snaps.horizon_clusters(snaps_df, req)
-        cw = centers_and_weights(hc, ["tc", "h"]).withColumn("w", F.col("n").cast("double"))
-        return macro_kmeans(cw, k, max_iter, 1e-4, ["tc", "h"], "w")
+        return self._macro(snaps.horizon_clusters(snaps_df, req), ["tc", "h"], k, max_iter, num_points)
+
+    def macro_now(self, k: int, max_iter: int = 20, num_points: int | None = None) -> DataFrame:
+        """Macro-clusters of the current state (no snapshots needed)."""
+        return self._macro(self.state(), [], k, max_iter, num_points)
+
+    def _macro(self, mcs: DataFrame, key: list[str], k: int, max_iter: int, num_points: int | None) -> DataFrame:
+        from ..operators.macro import centers_and_weights, macro_kmeans, sampled_macro_kmeans
+
+        if num_points:
+            return sampled_macro_kmeans(mcs, k, num_points, max_iter, self.p.seed, key)
+        cw = centers_and_weights(mcs, key).withColumn("w", F.col("n").cast("double"))
+        return macro_kmeans(cw, k, max_iter, 1e-4, key, "w")
 
     # -- drivers ------------------------------------------------------------
     def run_ticks(self, points: DataFrame, tick: str = "tick", last_tick: int | None = None, stage: bool = True) -> "OnlineClusterer":
