@@ -245,8 +245,9 @@ def repeated_windows(strings: list[bytes], times: np.ndarray, length: int = LENG
     full = start + length <= sizes[which]  # an end of a string repeats nothing
     which, start = which[full], start[full]
     by = np.lexsort((start, which))
+    start = start[by]
     parts = np.searchsorted(which[by], np.arange(len(strings) + 1))
-    return [start[by][a:b] for a, b in zip(parts[:-1], parts[1:])]
+    return [start[a:b] for a, b in zip(parts[:-1], parts[1:])]
 
 
 def _runs(v: np.ndarray) -> list[tuple[int, int]]:
