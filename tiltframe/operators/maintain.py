@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.probit import probit_py
-from ..functions.vec import sqdist_sql
+from ..functions.vec import centroid, rmsd_formula, sqdist_sql
 from ..params import STATE_SCHEMA, OnlineParams
 from .assign import list_array, nearest, vectors_of
 from .features import cf_merge_partials, check_ticks
@@ -326,30 +326,39 @@ def closest_pair(state_with_stale: DataFrame) -> DataFrame:
     return best.select("p.slot_a", "p.slot_b", "p.d2").where(F.col("slot_a").isNotNull())
 
 
-def replace_stale(state_with_stale: DataFrame, outliers: DataFrame, next_id_base: int | None = None) -> DataFrame:
+def replace_stale(state_with_stale: DataFrame, outliers: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Without absorption, the j-th outlier (arrival order) takes the j-th
-    stale slot (slot order): fresh CF (x, x^2, t, t^2, 1) and a new id.
+    stale slot (slot order): fresh CF (x, x^2, t, t^2, 1), a new id, and as
+    radius the distance to the nearest other centroid at that moment (slots
+    taken before it count with their new centroid). Returns (state, the
+    outliers for which no stale slot is left).
 
     Only min(#stale, #outliers) outliers are involved, so the outliers are cut
     to the first q by a top-k (never a global sort of the outliers).
     """
     q_bound = state_with_stale.where("stale").count()
     if q_bound == 0:
-        return state_with_stale
+        return state_with_stale, outliers
     first = outliers.orderBy("seq_tick", "seq_id").limit(q_bound)
     wr = Window.orderBy("seq_tick", "seq_id")
     ranked_out = first.withColumn("rank", F.row_number().over(wr))
     ranked_slots = state_with_stale.where("stale").select("slot").withColumn("rank", F.row_number().over(Window.orderBy("slot")))
     max_id = state_with_stale.select(F.max(F.array_max("ids")).alias("m"))
     pairs = ranked_slots.join(ranked_out, "rank").crossJoin(max_id).select(
-        "slot",
+        F.col("slot").alias("_slot"),
+        F.col("rank").alias("_rank"),
         (F.col("m") + F.col("rank")).cast("long").alias("_new_id"),
         F.col("x").alias("_x"),
         F.col("seq_tick").alias("_t"),
+        F.col("seq_id").alias("_i"),
     )
-    j = state_with_stale.join(F.broadcast(pairs), "slot", "left")
+    j = state_with_stale.join(F.broadcast(pairs), F.col("slot") == F.col("_slot"), "left")
+    # one row with every slot's centroid before and after its replacement
+    view = j.agg(F.collect_list(F.struct("slot", "_rank", F.col("_x").alias("new"), F.col("centroid").alias("old"))).alias("_all"))
+    seen = "transform(filter(_all, o -> o.slot <> slot), o -> IF(o._rank < _rank, o.new, o.old))"
+    near = F.expr(f"sqrt(array_min(filter(transform({seen}, c -> {sqdist_sql('_x', 'c')}), d -> d <> 0.0)))")
     hit = F.col("_x").isNotNull()
-    return j.select(
+    state = j.crossJoin(F.broadcast(view)).select(
         "slot",
         F.when(hit, F.array("_new_id")).otherwise(F.col("ids")).alias("ids"),
         F.when(hit, F.lit(1).cast("long")).otherwise(F.col("n")).alias("n"),
@@ -358,15 +367,18 @@ def replace_stale(state_with_stale: DataFrame, outliers: DataFrame, next_id_base
         F.when(hit, F.col("_t")).otherwise(F.col("cf1t")).alias("cf1t"),
         F.when(hit, F.col("_t") * F.col("_t")).otherwise(F.col("cf2t")).alias("cf2t"),
         F.when(hit, F.col("_x")).otherwise(F.col("centroid")).alias("centroid"),
-        "rmsd",
-        "stale",
+        F.when(hit, F.coalesce(near, F.lit(float("inf")))).otherwise(F.col("rmsd")).alias("rmsd"),
+        (F.col("stale") & ~hit).alias("stale"),
     )
+    taken = pairs.select(F.col("_t").alias("seq_tick"), F.col("_i").alias("seq_id"))
+    return state, outliers.join(F.broadcast(taken), ["seq_tick", "seq_id"], "left_anti")
 
 
 def merge_pair(state: DataFrame, pair: DataFrame) -> DataFrame:
     """Merge slot_b into slot_a of ``pair`` (one row): every CF field added,
-    ids concatenated (a's first); slot b is left empty (n = 0, zero CFs,
-    ids []), ready to be reused."""
+    ids concatenated (a's first), centroid and radius of the sum; slot b is
+    left empty (n = 0, zero CFs, ids []), ready to be reused, and keeps its
+    old centroid and radius until then."""
     p = F.broadcast(pair.select("slot_a", "slot_b"))
     j = state.crossJoin(p)
     b_rows = state.select(
@@ -383,7 +395,7 @@ def merge_pair(state: DataFrame, pair: DataFrame) -> DataFrame:
     is_b = F.col("slot") == F.col("slot_b")
     zero = F.transform("cf1x", lambda v: F.lit(0.0))
     add = lambda c, o: F.zip_with(c, o, lambda x, y: x + y)
-    return j.select(
+    out = j.select(
         "slot",
         F.when(is_a, F.concat("ids", "_bids")).when(is_b, F.array().cast("array<bigint>")).otherwise(F.col("ids")).alias("ids"),
         F.when(is_a, F.col("n") + F.col("_bn")).when(is_b, F.lit(0).cast("long")).otherwise(F.col("n")).alias("n"),
@@ -391,6 +403,14 @@ def merge_pair(state: DataFrame, pair: DataFrame) -> DataFrame:
         F.when(is_a, add(F.col("cf2x"), F.col("_b2"))).when(is_b, zero).otherwise(F.col("cf2x")).alias("cf2x"),
         F.when(is_a, F.col("cf1t") + F.col("_bt1")).when(is_b, F.lit(0).cast("long")).otherwise(F.col("cf1t")).alias("cf1t"),
         F.when(is_a, F.col("cf2t") + F.col("_bt2")).when(is_b, F.lit(0).cast("long")).otherwise(F.col("cf2t")).alias("cf2t"),
+        "centroid",
+        "rmsd",
+        (is_a & (F.col("n") + F.col("_bn") > 0)).alias("_a"),
+    )
+    return out.select(
+        *STATE_SCHEMA.fieldNames()[:7],
+        F.when(F.col("_a"), centroid("n", "cf1x")).otherwise(F.col("centroid")).alias("centroid"),
+        F.when(F.col("_a") & (F.col("n") > 1), rmsd_formula("n", "cf1x", "cf2x")).otherwise(F.col("rmsd")).alias("rmsd"),
     )
 
 

@@ -1,6 +1,7 @@
 """Oracle SQL (DuckDB dialect) for the registered queries.
 
-Written independently of the Spark plans, from the rules: the views
+Written from the rules, apart from the inverse normal CDF, whose published
+approximation both sides share: the views
 ``embeddings``, ``events``, ``lineitem`` are the test tables. Doubles are
 rounded to the same digits as the Spark side.
 """
@@ -226,8 +227,14 @@ ns AS (SELECT count(*) AS k FROM esw WHERE stale),
 ro AS (SELECT id, x, tick, row_number() OVER (ORDER BY tick, id) AS rk FROM outl),
 rs AS (SELECT slot, row_number() OVER (ORDER BY slot) AS rk FROM esw WHERE stale),
 mx AS (SELECT max(slot) AS m FROM esw),
-rep AS (SELECT rs.slot, ro.x, ro.tick, mx.m + ro.rk AS new_id FROM rs JOIN ro USING (rk) CROSS JOIN mx)
+rep AS (SELECT rs.slot, rk, ro.x, ro.tick, mx.m + rk AS new_id FROM rs JOIN ro USING (rk) CROSS JOIN mx),
+oth AS (SELECT a.slot, a.x, CASE WHEN o2.rk < a.rk THEN o2.x ELSE o.cen END AS c
+        FROM rep a JOIN esw o ON o.slot <> a.slot LEFT JOIN rep o2 ON o2.slot = o.slot),
+rad AS (SELECT slot, sqrt(min({_sqd2('x', 'c')})) AS r FROM oth WHERE {_sqd2('x', 'c')} <> 0 GROUP BY slot)
 SELECT e.slot,
+  round(CASE WHEN rep.slot IS NULL THEN e.cen[1] ELSE rep.x[1] END, 4) AS c0,
+  round(CASE WHEN rep.slot IS NULL THEN e.cen[2] ELSE rep.x[2] END, 4) AS c1,
+  round(CASE WHEN rep.slot IS NULL THEN e.rmsd ELSE coalesce(rad.r, {INF}) END, 4) AS rmsd,
   CASE WHEN rep.slot IS NULL THEN e.ids ELSE CAST(rep.new_id AS VARCHAR) END AS ids,
   CASE WHEN rep.slot IS NULL THEN e.n ELSE 1 END AS n,
   CASE WHEN rep.slot IS NULL THEN e.t1 ELSE rep.tick END AS cf1t,
@@ -236,7 +243,7 @@ SELECT e.slot,
   round(CASE WHEN rep.slot IS NULL THEN e.s11 ELSE rep.x[2] END, 4) AS cf1x1,
   round(CASE WHEN rep.slot IS NULL THEN e.s20 ELSE rep.x[1] * rep.x[1] END, 4) AS cf2x0,
   round(CASE WHEN rep.slot IS NULL THEN e.s21 ELSE rep.x[2] * rep.x[2] END, 4) AS cf2x1
-FROM esw e LEFT JOIN rep USING (slot)"""
+FROM esw e LEFT JOIN rep USING (slot) LEFT JOIN rad ON rad.slot = e.slot"""
 
 
 def _closest_pair_ctes() -> str:
@@ -254,6 +261,10 @@ def _merge_pair() -> str:
     return f"""WITH {_closest_pair_ctes()},
 b AS (SELECT e.* FROM est e JOIN cp ON e.slot = cp.slot_b)
 SELECT e.slot,
+  round(CASE WHEN e.slot = cp.slot_a THEN (e.s10 + b.s10) / (e.n + b.n) ELSE e.cen[1] END, 4) AS c0,
+  round(CASE WHEN e.slot = cp.slot_a THEN (e.s11 + b.s11) / (e.n + b.n) ELSE e.cen[2] END, 4) AS c1,
+  round(CASE WHEN e.slot = cp.slot_a THEN sqrt(greatest((e.s20 + b.s20 + e.s21 + b.s21) / (e.n + b.n)
+    - ((e.s10 + b.s10) * (e.s10 + b.s10) + (e.s11 + b.s11) * (e.s11 + b.s11)) / ((e.n + b.n) * (e.n + b.n)), 0.0)) ELSE e.rmsd END, 4) AS rmsd,
   CASE WHEN e.slot = cp.slot_a THEN e.ids || ',' || b.ids WHEN e.slot = cp.slot_b THEN '' ELSE e.ids END AS ids,
   CASE WHEN e.slot = cp.slot_a THEN e.n + b.n WHEN e.slot = cp.slot_b THEN 0 ELSE e.n END AS n,
   CASE WHEN e.slot = cp.slot_a THEN e.t1 + b.t1 WHEN e.slot = cp.slot_b THEN 0 ELSE e.t1 END AS cf1t,

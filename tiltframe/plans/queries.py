@@ -222,7 +222,8 @@ def _ev_batch_outliers(spark, sf):
     return st, outl
 
 
-def _state_out(df: DataFrame, extra: tuple = ()) -> DataFrame:
+def _state_out(df: DataFrame, extra: tuple = (), view: bool = False) -> DataFrame:
+    seen = [r(F.col("centroid")[0], 4).alias("c0"), r(F.col("centroid")[1], 4).alias("c1"), r("rmsd", 4).alias("rmsd")] if view else []
     return df.select(
         *extra,
         "slot",
@@ -230,15 +231,17 @@ def _state_out(df: DataFrame, extra: tuple = ()) -> DataFrame:
         "n", "cf1t", "cf2t",
         r(F.col("cf1x")[0], 4).alias("cf1x0"), r(F.col("cf1x")[1], 4).alias("cf1x1"),
         r(F.col("cf2x")[0], 4).alias("cf2x0"), r(F.col("cf2x")[1], 4).alias("cf2x1"),
+        *seen,
     )
 
 
 def replace_stale_q(spark: SparkSession, sf: str) -> DataFrame:
     """ON15/ON18: without absorption the j-th outlier of the later days takes
-    the j-th stale slot (fresh CF, new id = max id + j)."""
+    the j-th stale slot (fresh CF, new id = max id + j, radius to the nearest
+    other centroid)."""
     st, outl = _ev_batch_outliers(spark, sf)
     sws = with_staleness(st, EV_SPLIT, DELTA_DAYS, M_LAST)
-    return _state_out(replace_stale(sws, outl))
+    return _state_out(replace_stale(sws, outl)[0], view=True)
 
 
 def closest_pair_q(spark: SparkSession, sf: str) -> DataFrame:
@@ -252,7 +255,7 @@ def merge_pair_q(spark: SparkSession, sf: str) -> DataFrame:
     """ON17: the closest non-stale pair merged (ids concatenated)."""
     st = ev_state(spark, sf)
     sws = with_staleness(st, EV_SPLIT, DELTA_DAYS, M_LAST)
-    return _state_out(merge_pair(st, closest_pair(sws)))
+    return _state_out(merge_pair(st, closest_pair(sws)), view=True)
 
 
 def absorb_outliers_q(spark: SparkSession, sf: str) -> DataFrame:
