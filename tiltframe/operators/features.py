@@ -62,7 +62,7 @@ def cf_apply(state: DataFrame, sums: DataFrame) -> DataFrame:
         F.col("cf1t").alias("_t1"),
         F.col("cf2t").alias("_t2"),
     )
-    j = state.join(F.broadcast(s), "slot", "left")
+    j = state.join(s, "slot", "left")
     has = F.col("_n").isNotNull()
     return j.select(
         "slot",
@@ -103,7 +103,7 @@ def refresh(state: DataFrame) -> DataFrame:
     )
     nn = nearest_other_distance(s)
     return (
-        s.join(F.broadcast(nn), "slot", "left")
+        s.join(nn, "slot", "left")
         .withColumn(
             "rmsd",
             F.when(F.col("n") == 1, F.coalesce(F.col("nn_dist"), F.lit(float("inf")))).otherwise(F.col("rmsd")),

@@ -79,20 +79,21 @@ def parse_vectors_q(spark: SparkSession, sf: str) -> DataFrame:
 def stream_source_q(spark: SparkSession, sf: str) -> DataFrame:
     """SRC3/SRC4: events written as text files ordered by time (one folder
     of files per day group), then read back as a file stream, one file per
-    trigger, parsed with SRC1; the rows collected by a foreachBatch sink."""
+    trigger, parsed with SRC1; the rows collected by a foreachBatch sink that
+    writes each batch to its own folder (a replayed batch overwrites it)."""
     base = new_run_dir(spark, "stream_source")
     ev = ev_points(spark, sf)
     lines = ev.select(
         F.floor(F.col("tick") / 10).alias("part"),
         F.concat_ws(" ", F.col("id").cast("string"), F.col("x")[0].cast("string"), F.col("x")[1].cast("string")).alias("value"),
     )
-    lines.sortWithinPartitions("part").write.mode("overwrite").partitionBy("part").text(f"{base}/in")
+    lines.repartition("part").write.mode("overwrite").partitionBy("part").text(f"{base}/in")
     stream = spark.readStream.option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").text(f"{base}/in")
     out = f"{base}/out"
 
     def sink(df, batch_id):
         pts, _ = parse_vectors(df, "value", dim=3)
-        pts.select(F.lit(batch_id).alias("batch"), "x").write.mode("append").parquet(out)
+        pts.select("x").write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     q = stream.writeStream.foreachBatch(sink).option("checkpointLocation", f"{base}/ckpt").trigger(availableNow=True).start()
     q.awaitTermination()
@@ -388,15 +389,16 @@ def horizon_subtract_q(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def snapshot_roundtrip_q(spark: SparkSession, sf: str) -> DataFrame:
-    """SN2/SRC6: user snapshots at the live daily ticks written to a
-    tick-partitioned table (with expiry), then the day-28 snapshot read back
-    by partition pruning."""
+    """SN2/SN3/SRC6: user snapshots of every day written to a tick-partitioned
+    table, the ones out of the time frame expired, then the latest kept
+    snapshot up to day 28 read back by partition pruning."""
     path = new_run_dir(spark, "snapshots")
-    live = _daily_live(spark, sf)
-    snaps = user_snapshot_at(spark, sf, None, live)
-    snaps.write.mode("overwrite").partitionBy("tick").parquet(path)
-    back = sn.snapshot_at(sn.read_snapshots(spark, path), 28)
-    return _state_out(back)
+    days = int(ev_points(spark, sf).agg(F.max("tick")).first()[0]) + 1  # the clock: one scalar
+    snaps = user_snapshot_at(spark, sf, None, spark.range(1, days + 1).select(F.col("id").alias("tick")))
+    snaps.repartition("tick").write.mode("overwrite").partitionBy("tick").parquet(path)
+    sn.expire_all(spark, path, days, SNAP)
+    kept = sn.read_snapshots(spark, path)
+    return _state_out(sn.snapshot_at(kept, int(kept.where("tick <= 28").agg(F.max("tick")).first()[0])))
 
 
 def snapshot_text_q(spark: SparkSession, sf: str) -> DataFrame:

@@ -35,8 +35,17 @@ def embedding_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def event_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events that are no points: (event_id, reason)."""
+    ev = table(spark, sf_dir, "events")
+    k = F.get_json_object("props", "$.k").cast("double")
+    reason = F.when(F.col("value").isNull(), "null_value").when(k.isNull(), "null_k")
+    return ev.select("event_id", reason.alias("reason")).where("reason IS NOT NULL")
+
+
 def event_points(spark: SparkSession, sf_dir: str, interval_seconds: int = 86400) -> DataFrame:
-    """2-d points ``[value, props.k]`` with an event-time tick."""
+    """2-d points ``[value, props.k]`` with an event-time tick; events without
+    one of the two numbers are in ``event_rejects``."""
     ev = table(spark, sf_dir, "events")
     k = F.get_json_object("props", "$.k").cast("double")
     return ev.select(
