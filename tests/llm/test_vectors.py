@@ -105,10 +105,12 @@ def test_forest_splits_crowded_prefixes(spark, monkeypatch):
     assert len(out) == 18 * 5
 
 
-def test_common_prefix():
-    a = np.array([0, 1, 1 << 63, 5, 1 << 20], dtype=np.uint64)
-    b = np.array([0, 0, 0, 4, 1 << 20 | 1 << 9], dtype=np.uint64)
-    assert ann._common_prefix(a, b).tolist() == [64, 63, 0, 63, 54]
+def test_prefix_range():
+    q = np.array([0b1011 << 60, 5], dtype=np.uint64)
+    for bits in (0, 1, 3, 64):
+        low, high = ann.prefix_range(q, bits)
+        for x, lo, hi in zip(q.tolist(), low.tolist(), high.tolist()):
+            assert lo == (x >> (64 - bits) << (64 - bits)) and hi - lo == 2 ** (64 - bits) - 1
 
 
 def test_forest_without_rows(spark):

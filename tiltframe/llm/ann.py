@@ -75,28 +75,23 @@ def _hash_fn(trees: int, longest: dict[int, float], seed: int, query: bool):
     return fn
 
 
-def _common_prefix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Leading bits on which pairs of strings agree."""
-    x = a ^ b
-    top = np.floor(np.log2(np.maximum(x >> np.uint64(11), 1).astype(np.float64)))  # exact below 2^53
-    low = np.floor(np.log2(np.maximum(x & np.uint64(2047), 1).astype(np.float64)))
-    high = (x >> np.uint64(11)) != 0
-    return np.where(x == 0, BITS, np.where(high, BITS - 12 - top, BITS - 1 - low)).astype(np.int64)
+def prefix_range(q: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Smallest and largest string that agree with ``q`` on ``bits`` bits."""
+    rest = np.uint64((1 << (BITS - bits)) - 1)
+    return q & ~rest, q | rest
 
 
 def _profile_fn():
     """How many entries of a block share at least each prefix length with a
-    query (0 .. BITS)."""
+    query (0 .. BITS): two binary searches in the sorted array each."""
 
     def fn(index: pa.Table, asked: pa.Table) -> pa.Table:
         h = np.sort(index["h"].to_numpy().view(np.uint64))
         uid, q = asked["uid"].to_numpy(), asked["h"].to_numpy().view(np.uint64)
         out = np.zeros((len(q), BITS + 1), dtype=np.int64)
-        if len(h):
-            for i in range(0, len(q), 256):
-                p = _common_prefix(q[i : i + 256, None], h[None, :])
-                for j, row in enumerate(p):
-                    out[i + j] = np.bincount(row, minlength=BITS + 1)[::-1].cumsum()[::-1]
+        for bits in range(BITS + 1):
+            low, high = prefix_range(q, bits)
+            out[:, bits] = np.searchsorted(h, high, side="right") - np.searchsorted(h, low, side="left")
         return pa.table({"uid": uid, "shared": pa.array(list(out), pa.list_(pa.int64()))})
 
     return fn
@@ -112,11 +107,13 @@ def _score_fn(k: int):
         h, x, uid = h[order], matrix(index["v"])[order], index["uid"].to_numpy()[order]
         q, q_uid, q_h, level = matrix(asked["v"]), asked["uid"].to_numpy(), asked["h"].to_numpy().view(np.uint64), asked["level"].to_numpy()
         out: list[list[np.ndarray]] = [[], [], []]
+        first, end = np.zeros(len(q), dtype=np.int64), np.zeros(len(q), dtype=np.int64)
+        for bits in np.unique(level).tolist():
+            mine = level == bits
+            low, high = prefix_range(q_h[mine], int(bits))
+            first[mine], end[mine] = np.searchsorted(h, low, side="left"), np.searchsorted(h, high, side="right")
         for i in range(len(q)):
-            n = int(level[i])
-            low = int(q_h[i]) >> (BITS - n) << (BITS - n) if n else 0
-            a = int(np.searchsorted(h, np.uint64(low), side="left"))
-            b = int(np.searchsorted(h, np.uint64(low + (1 << (BITS - n)) - 1), side="right"))
+            a, b = int(first[i]), int(end[i])
             if a == b:
                 continue
             near = x[a:b] @ q[i]

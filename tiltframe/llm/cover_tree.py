@@ -194,23 +194,25 @@ def top_k(spark: SparkSession, vectors: DataFrame, queries, k: int, scale: int =
         "d", F.col("cell").alias("q_cell"), F.pmod(F.xxhash64(F.lit("batch"), "uid"), F.col("batches")).cast("int").alias("batch"), "uid", "v"
     )
 
-    def search(pairs: list[tuple[int, int, int, int]], queries_: DataFrame) -> DataFrame:
-        """Blocks against batches for (d, query cell, data cell, block)."""
+    def search(pairs: list[tuple[int, int, int, int, int]], queries_: DataFrame) -> DataFrame:
+        """Blocks against batches for (d, query cell, data cell, first block,
+        end block): at most one row per pair of cells, blocks and batches are
+        told apart in Spark."""
         if not pairs:
             return spark.createDataFrame([], "q long, p long, score long")
-        table = F.broadcast(spark.createDataFrame(pairs, "d int, q_cell int, p_cell int, sub int"))
-        right = queries_.join(table, ["d", "q_cell"])
-        n_batches = spark.createDataFrame([(d, q, p, s, b) for d, q, p, s in pairs for b in range(batches[(d, q)])], "d int, q_cell int, p_cell int, sub int, batch int")
-        left = data.join(F.broadcast(n_batches) if len(pairs) <= 100_000 else n_batches, ["d", "p_cell", "sub"])
+        table = F.broadcast(spark.createDataFrame([(*p, batches[p[:2]]) for p in pairs], "d int, q_cell int, p_cell int, lo int, hi int, batches int"))
+        right = queries_.join(table.drop("batches"), ["d", "q_cell"]).withColumn("sub", F.explode(F.sequence("lo", F.col("hi") - 1)))
+        left = data.join(table, ["d", "p_cell"]).where((F.col("sub") >= F.col("lo")) & (F.col("sub") < F.col("hi")))
+        left = left.withColumn("batch", F.explode(F.sequence(F.lit(0), F.col("batches") - 1)))
         key = ["d", "q_cell", "batch", "p_cell", "sub"]
+        left = left.select(*key, "uid", "v", "low")
         right = right.select(*(F.col(c).alias(c) for c in (*key, "uid", "v", "worst")))  # names of its own: both sides come from one table
         return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(_search_fn(k), "q long, p long, score long")
 
     first = []
     for q in reach:
-        near = sorted((p for p in stats if p[0] == q[0]), key=lambda p: -bound(q, p))
-        near = sorted(near, key=lambda p: -float(centers[q[0]][q[1]] @ centers[p[0]][p[1]]))[:2]
-        first += [(q[0], q[1], p[1], 0) for p in near]
+        near = sorted((p for p in stats if p[0] == q[0]), key=lambda p: -float(centers[q[0]][q[1]] @ centers[p[0]][p[1]]))[:2]
+        first += [(q[0], q[1], p[1], 0, 1) for p in near]
     start = asked.withColumn("worst", F.lit(float("-inf")))
     found = scratch.keep(search(first, start), "first")
     # the kth best of k + 1 points so far: no later point below it is needed
@@ -219,11 +221,11 @@ def top_k(spark: SparkSession, vectors: DataFrame, queries, k: int, scale: int =
     second = asked.join(kth, "uid", "left").select("d", "q_cell", "batch", "uid", "v", F.coalesce("kth", F.lit(float("-inf"))).alias("worst"))
     second = scratch.keep(second, "asked")
     least = {(r["d"], r["q_cell"]): r["w"] for r in second.groupBy("d", "q_cell").agg(F.min("worst").alias("w")).collect()}
-    seen = set(first)
+    seen = {f[:3] for f in first}
     rest = [
-        (q[0], q[1], p[1], s)
+        (q[0], q[1], p[1], int((q[0], q[1], p[1]) in seen), subs[p])
         for q in reach for p in stats if p[0] == q[0] and bound(q, p) >= least[q]
-        for s in range(subs[p]) if (q[0], q[1], p[1], s) not in seen
     ]
+    rest = [r for r in rest if r[3] < r[4]]
     both = found.unionByName(search(rest, second)) if rest else found
     return ranked(both, holders, pts, queries, k)
