@@ -43,6 +43,7 @@ def _int_score(a, b):
 def test_exact(spark, monkeypatch, n, d, block):
     monkeypatch.setattr(ct, "BLOCK_ROWS", block)
     monkeypatch.setattr(ct, "BATCH_QUERIES", max(4, block // 16))
+    monkeypatch.setattr(ct, "LEAF", 8)
     rows = _rows(n, d, 1, copies=60)
     got = sorted(tuple(r) for r in ct.top_k(spark, _frame(spark, rows), lambda i: i % 50 == 0, 5).collect())
     assert got == _brute(rows, 50, 5, _int_score, lambda v: True)
@@ -52,7 +53,7 @@ def test_exact_without_rows(spark):
     assert ct.top_k(spark, _frame(spark, []), lambda i: i % 50 == 0, 5).count() == 0
 
 
-def test_tree_covers():
+def test_tree_covers(monkeypatch):
     x = np.random.default_rng(2).standard_normal((500, 5))
 
     def check(node):
@@ -62,6 +63,7 @@ def test_tree_covers():
             for k in node.kids:
                 check(k)
 
+    monkeypatch.setattr(ct, "LEAF", 16)
     check(ct.cover_tree(x))
 
 

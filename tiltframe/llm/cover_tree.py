@@ -37,7 +37,7 @@ CENTERS = 48
 SAMPLE = 2000  # points the centers are chosen from
 BLOCK_ROWS = 2048
 BATCH_QUERIES = 1024
-LEAF = 24
+LEAF = 192  # rows of a leaf: pairs of leaves are matrix products
 _LIMIT = float(1 << 22)
 
 

@@ -13,14 +13,14 @@ left out: spare segments pay for as many as can be expected, and the few sets
 that have more index their empty segments as well.
 
 Candidates are verified exactly on the full sets. Groups never become all
-their pairs: equal sets are one class first; of each signature's bucket the
-class with the smallest id, its hub, is compared with the others, and links
-are joined into components. The buckets of a hub that still hold several
-components form a group; its classes outside the largest component meet the
-others through an inverted token index, and only links that join components
-leave the task. A group over ``CHUNK_TOKENS`` is cut into parts, and each two
-parts meet in a task of their own. Joins are shuffles that Spark can split on
-a hot bucket or hub; tables in the shared folder cut lineage.
+their pairs: equal sets are one class first; a class is compared with the
+smallest class it shares a signature with, its hub, and links are joined into
+components. The buckets whose hubs are in one component form a group; in
+groups that still hold several components the classes outside the largest one
+meet the others through an inverted token index, and only links that join
+components leave the task. A group over ``CHUNK_TOKENS`` is cut into parts, and
+each two parts meet in a task of their own. Joins are shuffles that Spark can
+split on a hot bucket or hub; tables in the shared folder cut lineage.
 
 Defined cases: a null or empty text, or one without words, has no shingles and
 is linked with nothing; with fewer than k words the whole sequence is one
@@ -36,6 +36,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -149,22 +150,29 @@ def _signature_fn(k: int, num: int, den: int):
     return fn
 
 
-def _set_fn(k: int):
-    def fn(batches):
-        for batch in batches:
-            for i, j, data, off in blocks(batch.column(1), 1 << 18):
-                sets = [s.tobytes() for s in shingle_sets(data, off, k)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(sets, pa.binary())], names=["node", "tokens"])
+def _text_fn(batches):
+    """Texts as they travel to be compared: compressed, a third or less of
+    their token sets' size."""
+    for batch in batches:
+        z = zstandard.ZstdCompressor(level=6)
+        texts = [z.compress(t.as_buffer()) if t.is_valid else z.compress(b"") for t in batch.column(1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary())], names=["node", "body"])
 
-    return fn
+
+def _tokens(body: pa.BinaryScalar, k: int) -> np.ndarray:
+    """The token set of a compressed text."""
+    raw = zstandard.ZstdDecompressor().decompress(body.as_buffer())
+    return next(shingle_sets(np.frombuffer(raw, dtype=np.uint8), np.array([0, len(raw)]), k))
 
 
-def _verify_fn(num: int, den: int):
+def _verify_fn(k: int, num: int, den: int):
     def fn(batches):
         for batch in batches:
-            ok = []
+            ok, last, p = [], None, None
             for x, y in zip(batch.column("x"), batch.column("y")):
-                p, q = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, y))
+                if last is None or not x.equals(last):  # the join brings a hub's pairs together
+                    last, p = x, _tokens(x, k)
+                q = _tokens(y, k)
                 both = np.concatenate((p, q))
                 both.sort(kind="stable")
                 common = int(np.count_nonzero(both[1:] == both[:-1]))
@@ -213,15 +221,15 @@ def _join_group(nodes: list[int], component: list[int], tokens: list[np.ndarray]
     return out
 
 
-def _group_fn(num: int, den: int):
+def _group_fn(k: int, num: int, den: int):
     def fn(table: pa.Table) -> pa.Table:
         out = []
         table = table.sort_by("hub")
         hubs = table["hub"].to_numpy()
         cut = np.flatnonzero(np.concatenate(([True], hubs[1:] != hubs[:-1], [True])))
-        reps, comps, side, raw = table["rep"].to_pylist(), table["component"].to_pylist(), table["chunk"].to_pylist(), table["tokens"]
+        reps, comps, side, body = table["rep"].to_pylist(), table["component"].to_pylist(), table["chunk"].to_pylist(), table["body"]
         for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
-            tokens = [np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in raw.slice(a, b - a)]
+            tokens = [_tokens(v, k) for v in body.slice(a, b - a)]
             out.extend(_join_group(reps[a:b], comps[a:b], tokens, side[a:b], num, den))
         return pa.table({"a": pa.array([o[0] for o in out], pa.int64()), "b": pa.array([o[1] for o in out], pa.int64())})
 
@@ -238,40 +246,43 @@ def near_duplicates(
     src = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     info = scratch.keep(src.mapInArrow(_describe_fn(k), "doc_id long, n long, h1 long, h2 long"), "sets")
     known = info.where("doc_id IS NOT NULL")
-    classes = known.where("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
+    # aggregated sides are written, so that Spark can split the joins on a hot key
+    classes = scratch.keep(known.where("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep")), "reps")
     member = scratch.keep(known.join(classes, ["h1", "h2"]).select("doc_id", "n", "rep").distinct(), "classes")
 
     sigs = src.where("doc_id IS NOT NULL").mapInArrow(_signature_fn(k, num, den), "sig long, doc_id long")
-    shared = sigs.groupBy("sig").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("sig")
-    entries = sigs.join(shared, "sig").join(member, "doc_id").select("sig", "rep", "n").distinct()
-    entries = scratch.keep(entries, "entries")
-    several = entries.groupBy("sig").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("sig")
-    entries = scratch.keep(entries.join(several, "sig"), "buckets")
+    # a bucket's hub is its smallest doc_id, which is its smallest class too
+    shared = sigs.groupBy("sig").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("hi")).where("hub < hi").select("sig", "hub")
+    shared = scratch.keep(shared, "shared", free=True)
+    met = scratch.keep(sigs.join(shared, "sig").select("hub", "doc_id").distinct(), "met", free=True)
+    met = scratch.keep(met.join(member, "doc_id").select("hub", "rep", "n").distinct(), "classes-met")
 
-    nodes = entries.select(F.col("rep").alias("doc_id")).distinct()
-    sets = scratch.keep(src.join(nodes, "doc_id").mapInArrow(_set_fn(k), "node long, tokens binary"), "tokens")
+    nodes = met.select(F.col("rep").alias("doc_id")).distinct()
+    texts = scratch.keep(src.join(nodes, "doc_id").mapInArrow(_text_fn, "node long, body binary"), "texts", free=True)
 
     # rows that repeat a doc_id with several texts are one document
     least = member.groupBy("doc_id").agg(F.min("rep").alias("a"))
     links = member.join(least, "doc_id").where("a <> rep").select("a", F.col("rep").alias("b"))
 
-    # the smallest class of each bucket against the others
-    hub = entries.groupBy("sig").agg(F.min("rep").alias("hub"))
-    met = scratch.keep(entries.join(hub, "sig").select("hub", "rep", "n").distinct(), "met")
-    hub_size = entries.select(F.col("rep").alias("hub"), F.col("n").alias("hub_n")).distinct()
+    # first each class against the smallest hub it meets
+    hub_size = met.where("rep = hub").select("hub", F.col("n").alias("hub_n")).distinct()
     pairs = (
         met.join(hub_size, "hub")
         .where((F.col("hub") != F.col("rep")) & (F.least("n", "hub_n") * den >= F.greatest("n", "hub_n") * num))
-        .select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
+        .groupBy(F.col("rep").alias("b")).agg(F.min("hub").alias("a"))
     )
-    x = sets.select(F.col("node").alias("a"), F.col("tokens").alias("x"))
-    y = sets.select(F.col("node").alias("b"), F.col("tokens").alias("y"))
-    verified = pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(_verify_fn(num, den), "a long, b long")
-    links = scratch.keep(links.unionByName(verified), "verified")
+    x = texts.select(F.col("node").alias("a"), F.col("body").alias("x"))
+    y = texts.select(F.col("node").alias("b"), F.col("body").alias("y"))
+    verified = pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(_verify_fn(k, num, den), "a long, b long")
+    links = scratch.keep(links.unionByName(verified), "verified", free=True)
     found = components(links, scratch)
 
-    # buckets of one hub that still hold several components, in bounded parts
+    # buckets whose hubs are in one component form a group; groups that still
+    # hold several components go on, in bounded parts
+    of_hub = found.select(F.col("node").alias("hub"), F.col("component").alias("joined"))
     part = met.join(found, met["rep"] == found["node"], "left").select("hub", "rep", "n", F.coalesce("component", "rep").alias("component"))
+    part = part.join(of_hub, "hub", "left").select(F.coalesce("joined", "hub").alias("hub"), "rep", "n", "component").distinct()
+    part = scratch.keep(part, "groups")
     group = (
         part.groupBy("hub").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.sum("n").alias("tokens"))
         .where("lo < hi").select("hub", F.ceil(F.col("tokens") / F.lit(CHUNK_TOKENS)).cast("int").alias("chunks"), "tokens")
@@ -288,8 +299,8 @@ def near_duplicates(
             F.when(one, F.pmod(F.xxhash64("hub"), F.lit(lots))).otherwise(F.lit(-1)).alias("lot"),
             F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "hub", "rep", "component",
         )
-        full = rows.join(sets.withColumnRenamed("node", "rep"), "rep")
-        more = full.groupBy("big", "lot", "i", "j").applyInArrow(_group_fn(num, den), "a long, b long")
+        full = rows.join(texts.withColumnRenamed("node", "rep"), "rep")
+        more = full.groupBy("big", "lot", "i", "j").applyInArrow(_group_fn(k, num, den), "a long, b long")
         more = scratch.keep(more, "more")
         found = components(more.unionByName(found.select(F.col("node").alias("a"), F.col("component").alias("b"))), scratch)
     own = member.join(found, member["rep"] == found["node"], "left").select(

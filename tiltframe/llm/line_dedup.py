@@ -21,6 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import Scratch
 from .text import SPACE_CHARS
 
 MIN_CHARS = 40
@@ -63,6 +64,9 @@ def line_dedup(
         .where(F.col("docs") >= min_docs)
         .select("h1", "h2", "keeper")
     )
+    # written: a side that comes straight from a table lets Spark split the
+    # join on a hot line
+    frequent = Scratch(docs.sparkSession, "lines").keep(frequent, "frequent")
     placed = base.select("id", "text_hash", F.posexplode(keys).alias("pos", "k")).where("k IS NOT NULL")
     dropped = (
         placed.select("id", "text_hash", "pos", *_hashes(F.col("k")))

@@ -3,6 +3,8 @@ costs the tasks of one step and not the whole job."""
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import new_run_dir, ship_package
@@ -23,9 +25,16 @@ class Scratch:
             spark.conf.set(rows, str(ARROW_ROWS))
         self.spark, self.base, self._n = spark, new_run_dir(spark, name), 0
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` as Parquet and read it back."""
+    def keep(self, df: DataFrame, name: str, free: bool = False) -> DataFrame:
+        """Write ``df`` as Parquet and read it back. ``free``: let Spark drop the
+        shuffle files of what came before, which no later step reads; it does so
+        once the driver has collected the plans, so that is asked for here."""
         self._n += 1
         path = f"{self.base}/{self._n:02d}-{name}"
         df.write.mode("overwrite").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        if free:
+            del df
+            gc.collect()
+            self.spark.sparkContext._jvm.System.gc()
+        return out

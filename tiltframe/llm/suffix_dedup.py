@@ -33,7 +33,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -356,10 +356,11 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", t
 
     anchors = texts.mapInArrow(_anchor_fn(length), "id long, mark int, anchor long, own long, lo int, n int")
     twice = texts.select("body").mapInArrow(_hash_fn(length), "anchor long").groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("anchor")
-    shared = scratch.keep(anchors.join(twice, "anchor"), "shared")
+    twice = scratch.keep(twice, "twice", free=True)  # a written side: Spark can split the join on a hot anchor
+    shared = scratch.keep(anchors.join(twice, "anchor"), "shared", free=True)
     kinds = shared.groupBy("anchor", "own").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("id", "mark", "lo", "n")).alias("at"))
     kinds = scratch.keep(kinds, "kinds")
-    number = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"))
+    number = scratch.keep(kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")), "numbers")
     kinds = kinds.join(number, "anchor").select("anchor", "own", "times", "kinds", "at.id", "at.mark", "at.lo", "at.n")
 
     # one kind of stretch, several copies: all its windows repeat
@@ -380,14 +381,20 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", t
             hot = cut.where(F.col("kinds") > MAX_GROUP).dropDuplicates(["anchor", "own"])
             windows = hot.mapInArrow(_window_fn(length), "anchor long, own long, a int, times long, w1 long, w2 long")
             again = windows.groupBy("w1", "w2").agg(F.sum("times").alias("s")).where("s > 1").select("w1", "w2")
-            single = windows.join(again, ["w1", "w2"]).select("anchor", "own", "a", (F.col("a") + 1).alias("b"))
-            found = found.unionByName(single)
-    found = scratch.keep(found, "ranges")
+            single = windows.join(again, ["w1", "w2"]).select("anchor", "own", "a").distinct()
+            # neighbouring windows become one range (a stretch has at most
+            # length - GRAM + 1 windows)
+            order = F.row_number().over(Window.partitionBy("anchor", "own").orderBy("a"))
+            runs = single.withColumn("run", F.col("a") - order).groupBy("anchor", "own", "run").agg(F.min("a").alias("a"), (F.max("a") + 1).alias("b"))
+            found = found.unionByName(runs.select("anchor", "own", "a", "b"))
+    # one row per kind of stretch, so one per occurrence after the join
+    found = found.groupBy("anchor", "own").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
+    found = scratch.keep(found, "ranges", free=True)
     spans = (
         shared.join(found, ["anchor", "own"])
-        .select("id", "mark", F.struct((F.col("lo") + F.col("a")).alias("a"), (F.col("lo") + F.col("b") - 1 + length).alias("b")).alias("s"))
+        .select("id", "mark", F.expr(f"transform(ranges, r -> named_struct('a', lo + r.a, 'b', lo + r.b - 1 + {int(length)}))").alias("s"))
         .groupBy("id", "mark")
-        .agg(F.collect_set("s").alias("spans"))
+        .agg(F.array_distinct(F.flatten(F.collect_list("s"))).alias("spans"))
     )
     joined = base.join(spans, ["id", "mark"], "left").select("row", "body", "spans")
     schema = T.StructType([base.schema["row"]]).add("kept", "binary").add("kept_text", "string").add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long")

@@ -171,16 +171,20 @@ def write_archives(spark: SparkSession, pages: DataFrame, path: str, date: str =
         F.col(f"`{id_col}`").cast("long").alias("page_id"), F.col(f"`{url_col}`").cast("string").alias("url"),
         F.coalesce(F.col(f"`{html_col}`").cast("string"), F.lit("")).cast("binary").alias("payload"),
     ).withColumn("sha1", F.sha1("payload"))
-    heads = base.orderBy(F.xxhash64("page_id")).limit(SAMPLE).select(F.substring("payload", 1, SAMPLE_BYTES).alias("head"))
-    dictionary = train_dictionary([bytes(r["head"]) for r in heads.collect()])  # bounded sample
-    size = base.agg(F.sum(F.octet_length("payload") + 512)).first()[0] or 0
-    archives = max(1, -(-int(size) // ARCHIVE_BYTES))
     # page and payload: where equal payloads lie does not depend on the payload
     key = F.concat_ws(" ", F.col("page_id").cast("string"), F.col("sha1"))
-    short = base.where((F.octet_length("payload") >= min_revisit_bytes) & F.col("page_id").isNotNull()).select("page_id", "sha1", key.alias("key"))
+    base = base.withColumn("key", key)
+    # the sample: keys first (short rows), then the heads of these SAMPLE pages
+    chosen = base.select("key").distinct().orderBy(F.xxhash64("key"), "key").limit(SAMPLE).select(F.col("key").alias("sampled"))
+    heads = base.join(F.broadcast(chosen), base["key"] == F.col("sampled"), "left_semi").select(F.substring("payload", 1, SAMPLE_BYTES).alias("head"))
+    dictionary = train_dictionary(sorted({bytes(r["head"]) for r in heads.dropDuplicates().collect()}))  # bounded sample
+    size = base.agg(F.sum(F.octet_length("payload") + 512)).first()[0] or 0
+    # no fewer than Spark's own shuffles have, or the join would deal pages again
+    archives = max(1, -(-int(size) // ARCHIVE_BYTES), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    short = base.where((F.octet_length("payload") >= min_revisit_bytes) & F.col("page_id").isNotNull()).select("page_id", "sha1", "key")
     lowest = short.groupBy("sha1").agg(F.min("page_id").alias("lowest"))
     later = short.join(lowest, "sha1").where("page_id > lowest").select("key", F.col("lowest").alias("refers_to")).distinct()
-    dealt = base.withColumn("key", key).repartition(archives, "key")
+    dealt = base.repartition(archives, "key")
     frames = dealt.join(later, "key", "left").select("page_id", "url", "payload", "sha1", "refers_to").mapInArrow(_frame_fn(dictionary, date), "frame binary")
     frames.select(F.col("frame").cast("string").alias("value")).write.option("lineSep", EMPTY_FRAME.decode("ascii")).text(path)
 
