@@ -359,8 +359,8 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", t
     twice = scratch.keep(twice, "twice", free=True)  # a written side: Spark can split the join on a hot anchor
     shared = scratch.keep(anchors.join(twice, "anchor"), "shared", free=True)
     kinds = shared.groupBy("anchor", "own").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("id", "mark", "lo", "n")).alias("at"))
-    kinds = scratch.keep(kinds, "kinds")
-    number = scratch.keep(kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")), "numbers")
+    kinds = scratch.keep(kinds, "kinds", free=True)
+    number = scratch.keep(kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")), "numbers", free=True)
     kinds = kinds.join(number, "anchor").select("anchor", "own", "times", "kinds", "at.id", "at.mark", "at.lo", "at.n")
 
     # one kind of stretch, several copies: all its windows repeat
