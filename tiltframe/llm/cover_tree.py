@@ -36,7 +36,7 @@ from .vectors import matrix, points, ranked
 CENTERS = 48
 SAMPLE = 2000  # points the centers are chosen from
 BLOCK_ROWS = 2048
-BATCH_QUERIES = 1024
+BATCH_QUERIES = 4096
 LEAF = 192  # rows of a leaf: pairs of leaves are matrix products
 _LIMIT = float(1 << 22)
 
@@ -177,7 +177,7 @@ def top_k(spark: SparkSession, vectors: DataFrame, queries, k: int, scale: int =
     stats = {(r["d"], r["cell"]): (r["n"], r["radius"]) for r in cells.groupBy("d", "cell").agg(F.count(F.lit(1)).alias("n"), F.max("dist").alias("radius")).collect()}
     reach = {(r["d"], r["cell"]): (r["n"], r["radius"]) for r in asked.groupBy("d", "cell").agg(F.count(F.lit(1)).alias("n"), F.max("dist").alias("radius")).collect()}
     subs = {c: max(1, -(-n // BLOCK_ROWS)) for c, (n, _) in stats.items()}
-    batches = {c: max(1, -(-n // BATCH_QUERIES)) for c, (n, _) in reach.items()}
+    batches = max(1, -(-sum(n for n, _ in reach.values()) // BATCH_QUERIES))
 
     def bound(qc, pc):
         a, b = centers[qc[0]][qc[1]], centers[pc[0]][pc[1]]
@@ -189,9 +189,8 @@ def top_k(spark: SparkSession, vectors: DataFrame, queries, k: int, scale: int =
     data = cells.join(F.broadcast(cell_table), ["d", "cell"]).select(
         "d", F.col("cell").alias("p_cell"), F.pmod(F.xxhash64("uid"), F.col("subs")).cast("int").alias("sub"), "uid", "v", "low"
     )
-    batch_table = spark.createDataFrame([(d, c, n) for (d, c), n in batches.items()], "d int, cell int, batches int")
-    asked = asked.join(F.broadcast(batch_table), ["d", "cell"]).select(
-        "d", F.col("cell").alias("q_cell"), F.pmod(F.xxhash64(F.lit("batch"), "uid"), F.col("batches")).cast("int").alias("batch"), "uid", "v"
+    asked = asked.select(
+        "d", F.col("cell").alias("q_cell"), F.pmod(F.xxhash64(F.lit("batch"), "uid"), F.lit(batches)).cast("int").alias("batch"), "uid", "v"
     )
 
     def search(pairs: list[tuple[int, int, int, int, int]], queries_: DataFrame) -> DataFrame:
@@ -200,11 +199,17 @@ def top_k(spark: SparkSession, vectors: DataFrame, queries, k: int, scale: int =
         told apart in Spark."""
         if not pairs:
             return spark.createDataFrame([], "q long, p long, score long")
-        table = F.broadcast(spark.createDataFrame([(*p, batches[p[:2]]) for p in pairs], "d int, q_cell int, p_cell int, lo int, hi int, batches int"))
-        right = queries_.join(table.drop("batches"), ["d", "q_cell"]).withColumn("sub", F.explode(F.sequence("lo", F.col("hi") - 1)))
-        left = data.join(table, ["d", "p_cell"]).where((F.col("sub") >= F.col("lo")) & (F.col("sub") < F.col("hi")))
-        left = left.withColumn("batch", F.explode(F.sequence(F.lit(0), F.col("batches") - 1)))
-        key = ["d", "q_cell", "batch", "p_cell", "sub"]
+        table = F.broadcast(spark.createDataFrame(pairs, "d int, q_cell int, p_cell int, lo int, hi int"))
+        right = queries_.join(table, ["d", "q_cell"]).withColumn("sub", F.explode(F.sequence("lo", F.col("hi") - 1)))
+        spans: dict[tuple[int, int], tuple[int, int]] = {}
+        for d, _, c, lo, hi in pairs:
+            have = spans.get((d, c), (lo, hi))
+            spans[(d, c)] = (min(have[0], lo), max(have[1], hi))
+        used = F.broadcast(spark.createDataFrame([(*c, *v) for c, v in spans.items()], "d int, p_cell int, lo int, hi int"))
+        left = data.join(used, ["d", "p_cell"]).where((F.col("sub") >= F.col("lo")) & (F.col("sub") < F.col("hi")))
+        left = left.withColumn("batch", F.explode(F.sequence(F.lit(0), F.lit(batches - 1))))
+        # a block's tree is built once for all queries of a batch
+        key = ["d", "batch", "p_cell", "sub"]
         left = left.select(*key, "uid", "v", "low")
         right = right.select(*(F.col(c).alias(c) for c in (*key, "uid", "v", "worst")))  # names of its own: both sides come from one table
         return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(_search_fn(k), "q long, p long, score long")
