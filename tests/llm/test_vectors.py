@@ -107,6 +107,43 @@ def test_forest_splits_crowded_prefixes(spark, monkeypatch):
     assert len(out) == 18 * 5
 
 
+def _recall(spark, items, step, k, **kw):
+    """Share of the true ``k`` nearest found; every query must get ``k`` rows."""
+    df = spark.createDataFrame([(0, i, v.tolist(), 0) for i, v in items], SCHEMA)
+    out = {}
+    for t in ann.nearest(spark, df, lambda i: i % step == 0, k, **kw).collect():
+        out.setdefault(t.query_id, []).append(t)
+    hit = asked = 0
+    for q, v in items:
+        if q % step == 0:
+            s = np.sort([w @ v for i, w in items if i != q and len(w) == len(v)])
+            assert sorted(t["rank"] for t in out[q]) == list(range(1, k + 1))
+            hit += sum(t.score >= s[-k] - 1e-9 for t in out[q])
+            asked += k
+    return hit / asked
+
+
+def test_forest_with_one_long_vector(spark):
+    x = np.random.default_rng(8).standard_normal((3000, 16))
+    x[1] *= 100
+    assert _recall(spark, list(enumerate(x)), 20, 20, candidates=500) >= 0.9
+
+
+def test_forest_of_two_vector_lengths(spark):
+    r = np.random.default_rng(9)
+    items = list(enumerate(r.standard_normal((3000, 16)))) + [(5000 + i, v) for i, v in enumerate(r.standard_normal((300, 7)))]
+    assert _recall(spark, items, 20, 20, candidates=400) >= 0.9
+
+
+def test_forest_ascends_to_the_root(spark, monkeypatch):
+    """Queries whose prefix has no block still get their candidates."""
+    monkeypatch.setattr(ann, "BLOCK_ROWS", 20)
+    r = np.random.default_rng(10)
+    near = np.ones(8) + 0.01 * r.standard_normal((1000, 8))
+    x = np.concatenate((near, -np.ones(8) + 0.01 * r.standard_normal((20, 8))))
+    assert _recall(spark, list(enumerate(x)), 10, 5, trees=2, share=0.0, candidates=100) >= 0.3
+
+
 def test_prefix_range():
     q = np.array([0b1011 << 60, 5], dtype=np.uint64)
     for bits in (0, 1, 3, 64):

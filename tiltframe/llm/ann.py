@@ -8,14 +8,22 @@ prefix and then ascends all trees in step, one bit at a time, until the
 prefixes of that length hold the candidates asked for together; these are scored
 exactly on the original vectors.
 
+Vectors of one length and of norms within a factor of 2 (a zone) have a forest
+of their own, with the added coordinate, the candidates and the block sizes
+that follow from its vectors: one long vector does not push the others into
+one prefix. A query searches every zone of its vector length.
+
 The sorted arrays lie in blocks by prefix, short enough that the blocks of a
-query hold its candidates; a crowded prefix is followed further down, and one
-with more than 8 x ``BLOCK_ROWS`` entries is dealt over several blocks that
-queries visit alike. Queries go to their prefix's blocks; the first pass
-brings back how many entries share each prefix length, the second the scored
-candidates. Every row is indexed in every tree, no bucket is cut. Equal
-vectors are one point with its k + 1 smallest ids. With at most
-``CANDIDATES`` vectors there is one prefix and the search is exact.
+query usually hold its candidates; a crowded prefix is followed further down,
+and one with more than 8 x ``BLOCK_ROWS`` entries is dealt over several blocks
+that queries visit alike. The first pass brings back how many entries share
+each prefix length: from the query's own block in each tree, and above that
+block's length from the sizes of the blocks below each prefix. The second
+scores the candidates; where the ascent ends above a query's block (or the
+query has none) it visits all blocks below the prefix, up to the root, which
+one tree holds whole. Every row is indexed, no bucket is cut. Equal vectors
+are one point with its k + 1 smallest ids. A zone with at most ``CANDIDATES``
+vectors is one tree without a prefix, and its search is exact.
 
 Defined cases: vectors that are null, zero or hold null, NaN or infinite
 components take no part; only vectors of equal length are compared; a null id
@@ -38,7 +46,7 @@ from .vectors import matrix, points, ranked
 TREES = 32
 BITS = 64
 BLOCK_ROWS = 2048
-#: Entries gathered per query: a share of all vectors, and at least so many.
+#: Entries gathered per query: a share of a zone's vectors, and at least so many.
 #: The share sets the recall: vectors without any structure need this one for
 #: 0.9 and more at 20 neighbours; clustered ones do with a hundredth.
 SHARE = 0.6
@@ -50,26 +58,38 @@ def _planes(d: int, tree: int, seed: int) -> np.ndarray:
     return np.random.default_rng([seed, d, tree]).standard_normal((d + 1, BITS))
 
 
-def _hash_fn(trees: int, longest: dict[int, float], seed: int, query: bool):
-    """One row per vector and tree: the bit string as a number."""
+def _hash_fn(forests: dict[tuple[int, int], tuple[int, float]], seed: int, query: bool):
+    """One row per vector and tree: the bit string as a number. ``forests``:
+    trees and largest norm of each (length, zone); a query's string is the
+    same in all zones, so that its rows name none."""
     weight = np.uint64(1) << np.arange(BITS - 1, -1, -1, dtype=np.uint64)
 
     def fn(batches):
-        planes = {d: [_planes(d, t, seed) for t in range(trees)] for d in longest}
+        most = {}
+        for (d, _), (trees, _) in forests.items():
+            most[d] = max(most.get(d, 0), trees)
+        planes = {d: [_planes(d, t, seed) for t in range(n)] for d, n in most.items()}
         for batch in batches:
             names = batch.schema.names
-            size = batch.column(names.index("d")).to_numpy(zero_copy_only=False)
-            for d in np.unique(size).tolist():
-                mine = np.flatnonzero(size == d)
+            size, zone = (batch.column(names.index(c)).to_numpy(zero_copy_only=False) for c in ("d", "zone"))
+            if query:
+                zone = np.zeros_like(zone)
+            for d, z in np.unique(np.column_stack((size, zone)), axis=0).tolist():
+                mine = np.flatnonzero((size == d) & (zone == z))
                 x = matrix(batch.column(names.index("v")).take(pa.array(mine)))
-                rest = np.zeros(len(x)) if query else np.sqrt(np.maximum(longest[d] ** 2 - (x**2).sum(axis=1), 0.0))
+                if query:
+                    trees, rest = most[d], np.zeros(len(x))
+                else:
+                    trees, longest = forests[d, z]
+                    x = x / longest
+                    rest = np.sqrt(np.maximum(1.0 - (x**2).sum(axis=1), 0.0))
                 x = np.column_stack((x, rest))
                 uid = batch.column(names.index("uid")).take(pa.array(mine))
                 for t in range(trees):
                     h = ((x @ planes[d][t] > 0) * weight).sum(axis=1, dtype=np.uint64)
                     yield pa.RecordBatch.from_arrays(
-                        [uid, pa.array(np.full(len(mine), d, np.int32)), pa.array(np.full(len(mine), t, np.int32)), pa.array(h.view(np.int64))],
-                        names=["uid", "d", "tree", "h"],
+                        [uid, *(pa.array(np.full(len(mine), c, np.int32)) for c in (d, z, t)), pa.array(h.view(np.int64))],
+                        names=["uid", "d", "zone", "tree", "h"],
                     )
 
     return fn
@@ -83,16 +103,18 @@ def prefix_range(q: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _profile_fn():
     """How many entries of a block share at least each prefix length with a
-    query (0 .. BITS): two binary searches in the sorted array each."""
+    query (from the block's own length to BITS): two binary searches in the
+    sorted array each."""
 
     def fn(index: pa.Table, asked: pa.Table) -> pa.Table:
         h = np.sort(index["h"].to_numpy().view(np.uint64))
         uid, q = asked["uid"].to_numpy(), asked["h"].to_numpy().view(np.uint64)
         out = np.zeros((len(q), BITS + 1), dtype=np.int64)
-        for bits in range(BITS + 1):
+        for bits in range(index["bits"][0].as_py(), BITS + 1):
             low, high = prefix_range(q, bits)
             out[:, bits] = np.searchsorted(h, high, side="right") - np.searchsorted(h, low, side="left")
-        return pa.table({"uid": uid, "shared": pa.array(list(out), pa.list_(pa.int64()))})
+        zone = pa.array(np.full(len(q), index["zone"][0].as_py(), np.int32))
+        return pa.table({"uid": uid, "zone": zone, "shared": pa.array(list(out), pa.list_(pa.int64()))})
 
     return fn
 
@@ -139,56 +161,76 @@ def nearest(
     for every id that ``queries`` accepts."""
     scratch = Scratch(spark, "ann")
     pts, holders = points(vectors, scratch, k + 1, id_col, vec_col, lambda c: c, lambda v: F.exists(v, lambda c: c != 0))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, c: a + c * c))
-    stats = pts.groupBy("d").agg(F.max(norm).alias("m"), F.count(F.lit(1)).alias("n")).collect()  # one row per vector length
-    longest = {r["d"]: r["m"] for r in stats}
-    total = max([r["n"] for r in stats], default=0)
-    candidates = max(candidates, math.ceil(share * total))
-    entry = "uid long, d int, tree int, h long"
-    index = scratch.keep(pts.select("uid", "d", "v").mapInArrow(_hash_fn(trees, longest, seed, False), entry), "index")
+    # by the largest component first: squares of doubles can leave their range
+    big = F.array_max(F.transform("v", F.abs))
+    norm = F.col("big") * F.sqrt(F.aggregate(F.transform("v", lambda c: c / F.col("big")), F.lit(0.0), lambda a, c: a + c * c))
+    pts = pts.withColumn("big", big).withColumn("norm", norm).withColumn("zone", F.floor(F.log2("norm") + 0.5).cast("int")).drop("big")
+    stats = pts.groupBy("d", "zone").agg(F.max("norm").alias("m"), F.count(F.lit(1)).alias("n")).collect()  # one row per vector length and power of 2
+    forests, plan = {}, []
+    for r in stats:
+        n, want = r["n"], max(candidates, math.ceil(share * r["n"]))
+        # blocks no smaller than the ascent usually needs: together they hold
+        # 1.5 times the candidates
+        depth = 0 if n <= want else max(0, math.floor(math.log2(trees * n / (1.5 * want))))
+        forests[r["d"], r["zone"]] = (1 if n <= want else trees, r["m"])
+        plan.append((r["d"], r["zone"], 1 if n <= want else trees, depth, want, max(BLOCK_ROWS, n >> depth)))
+    plan = F.broadcast(spark.createDataFrame(plan, "d int, zone int, trees int, depth int, want long, usual long"))
+    entry = "uid long, d int, zone int, tree int, h long"
+    index = scratch.keep(pts.select("uid", "d", "zone", "v").mapInArrow(_hash_fn(forests, seed, False), entry), "index")
     asked = pts.join(holders.where(queries(F.col("id"))).select("uid").distinct(), "uid", "left_semi")
-    asked = scratch.keep(asked.select("uid", "d", "v").mapInArrow(_hash_fn(trees, longest, seed, True), entry), "asked")
-
-    # blocks no smaller than the ascent needs: together they hold 1.5 times
-    # the candidates
-    depth = 0 if total <= candidates else max(0, math.floor(math.log2(trees * total / (1.5 * candidates))))
+    asked = scratch.keep(asked.select("uid", "d", "zone", "v").mapInArrow(_hash_fn(forests, seed, True), entry), "asked")
+    asked = asked.drop("zone").join(plan.select("d", "zone", "trees"), "d").where("tree < trees").select("uid", "d", "zone", "tree", "h")
 
     def prefix(bits):
         """The leading ``bits`` (a column) of the string, as a number."""
-        return F.when(bits <= 0, F.lit(0).cast("long")).otherwise(F.expr(f"shiftrightunsigned(h, cast({BITS} - bits as int))"))
-
-    def at(df, bits):
-        return df.withColumn("bits", bits).withColumn("pre", prefix(F.col("bits")))
+        return F.when(F.col(bits) <= 0, F.lit(0).cast("long")).otherwise(F.expr(f"shiftrightunsigned(h, cast({BITS} - {bits} as int))"))
 
-    first = at(index, F.lit(depth)).groupBy("d", "tree", "pre").agg(F.count(F.lit(1)).alias("n"))
+    first = index.join(plan, ["d", "zone"]).withColumn("top", prefix("depth"))
+    first = first.groupBy("d", "zone", "tree", "top", "depth", "usual").agg(F.count(F.lit(1)).alias("n"))
     # a crowded prefix is followed further down, by as many bits as its crowd
     # needs; what still shares one string is dealt over several blocks
-    usual = max(BLOCK_ROWS, total >> depth)
-    more = first.where(F.col("n") > 4 * usual) if depth else first.limit(0)
-    more = more.select("d", "tree", F.col("pre").alias("top"), F.least(F.lit(BITS), F.lit(depth) + F.ceil(F.log2(F.col("n") / usual))).cast("int").alias("deep"))
-    more = scratch.keep(more, "crowded")
+    more = first.where((F.col("depth") > 0) & (F.col("n") > 4 * F.col("usual")))
+    deep = F.least(F.lit(BITS), F.col("depth") + F.ceil(F.log2(F.col("n") / F.col("usual")))).cast("int")
+    more = scratch.keep(more.select("d", "zone", "tree", "top", deep.alias("deep")), "crowded")
 
     def placed(df):
-        j = at(df, F.lit(depth)).withColumnRenamed("pre", "top").drop("bits").join(more, ["d", "tree", "top"], "left")
-        return at(j, F.coalesce("deep", F.lit(depth)).cast("int")).drop("top", "deep")
-
-    index, asked = placed(index), placed(asked)
-    parts = index.groupBy("d", "tree", "bits", "pre").agg(F.ceil(F.count(F.lit(1)) / F.lit(8 * BLOCK_ROWS)).cast("int").alias("parts"))
-    parts = scratch.keep(parts, "parts") if depth else parts.withColumn("parts", F.lit(1))
-    place = ["d", "tree", "bits", "pre"]
-    index = index.join(parts, place).withColumn("part", F.pmod(F.xxhash64("uid"), F.col("parts")).cast("int")).select("uid", "h", *place, "part")
-    asked = asked.join(parts, place).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("uid", "h", *place, "part")
-    index, asked = scratch.keep(index, "entries"), scratch.keep(asked, "visits")
-    key = [*place, "part"]
+        j = df.join(plan.select("d", "zone", "depth"), ["d", "zone"]).withColumn("top", prefix("depth")).join(more, ["d", "zone", "tree", "top"], "left")
+        j = j.withColumn("bits", F.coalesce("deep", "depth")).withColumn("pre", prefix("bits"))
+        return j.select("uid", "h", *place)
 
-    counts = index.groupBy(*key).cogroup(asked.groupBy(*key)).applyInArrow(_profile_fn(), "uid long, shared array<bigint>")
-    total_at = (
-        counts.select("uid", F.posexplode("shared").alias("bits", "n")).groupBy("uid", "bits").agg(F.sum("n").alias("n"))
-        .groupBy("uid").agg(F.max(F.when(F.col("n") >= candidates, F.col("bits"))).alias("level"))
-    )
-    level = total_at.select("uid", F.coalesce("level", F.lit(0)).cast("int").alias("level"))
+    place = ["d", "zone", "tree", "bits", "pre"]
+    key = [*place, "part"]
+    index, own = placed(index), scratch.keep(placed(asked), "own")
+    parts = F.ceil(F.col("n") / F.lit(8 * BLOCK_ROWS)).cast("int")
+    sizes = scratch.keep(index.groupBy(*place).agg(F.count(F.lit(1)).alias("n")).withColumn("parts", parts), "blocks")
+    index = index.join(sizes, place).withColumn("part", F.pmod(F.xxhash64("uid"), F.col("parts")).cast("int")).select("uid", "h", *key)
+    index = scratch.keep(index, "entries")
+    # the blocks below each shorter prefix; one tree holds all of the root's
+    above = sizes.withColumn("least", F.when(F.col("tree") == 0, 0).otherwise(1)).where("least < bits")
+    above = above.withColumn("up", F.explode(F.sequence("least", F.col("bits") - 1)))
+    above = above.withColumn("top", F.when(F.col("up") == 0, F.lit(0).cast("long")).otherwise(F.expr("shiftrightunsigned(pre, bits - up)")))
+    above = scratch.keep(above.select("d", "zone", "tree", "up", "top", "bits", "pre", "parts", "n"), "above")
+    shorter = ["d", "zone", "tree", "up", "top"]
+
+    def in_parts(df):
+        return df.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+
+    visits = in_parts(own.join(sizes, place)).select("uid", "h", *key)
+    counts = index.groupBy(*key).cogroup(visits.groupBy(*key)).applyInArrow(_profile_fn(), "uid long, zone int, shared array<bigint>")
+    counts = counts.select("uid", "zone", F.posexplode("shared").alias("bits", "n")).where("n > 0")
+    rising = own.where("bits > 1").withColumn("up", F.explode(F.sequence(F.lit(1), F.col("bits") - 1))).withColumn("top", prefix("up"))
+    rising = rising.drop("bits", "pre").join(above.groupBy(*shorter).agg(F.sum("n").alias("n")), shorter)
+    counts = counts.unionByName(rising.select("uid", "zone", F.col("up").alias("bits"), "n"))
+    level = counts.groupBy("uid", "zone", "bits").agg(F.sum("n").alias("n")).join(own.select("uid", "d").distinct(), "uid")
+    level = level.join(plan.select("d", "zone", "want"), ["d", "zone"]).where("n >= want").groupBy("uid", "zone").agg(F.max("bits").alias("level"))
+    own = own.join(level, ["uid", "zone"], "left").withColumn("level", F.coalesce("level", F.lit(0)))
+    own = scratch.keep(own.where("level > 0 OR tree = 0"), "levels")
+
+    stay = own.where("bits <= level").join(sizes, place)
+    rise = own.where("bits > level").withColumn("up", F.col("level")).withColumn("top", prefix("up")).drop("bits", "pre").join(above, shorter)
+    visits = in_parts(stay.select("uid", "h", "level", *place, "parts").unionByName(rise.select("uid", "h", "level", *place, "parts")))
     vec = pts.select("uid", "v")
     left = index.join(vec, "uid")
-    right = asked.join(level, "uid").join(vec, "uid").select(*(F.col(c).alias(c) for c in (*key, "uid", "h", "level", "v")))
+    right = visits.join(vec, "uid").select(*(F.col(c).alias(c) for c in (*key, "uid", "h", "level", "v")))
     found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(_score_fn(k + 1), "q long, p long, score double")
     return ranked(found.distinct(), holders, pts, queries, k)
