@@ -161,3 +161,18 @@ def test_signatures_of_a_linked_pair_meet():
                     break
                 y = z
             assert len(np.intersect1d(jj.signatures(x, bands), jj.signatures(y, bands)))
+
+
+def test_signatures_of_small_sets_at_the_threshold():
+    """Sizes 8 to 17, exactly at 4/5: sets of one size and neighbours that
+    differ by as much as a linked pair can."""
+    r = np.random.default_rng(6)
+    bands = jj.Bands(4, 5)
+    missed = {}
+    for a, b, common in ((8, 10, 8), (9, 9, 8), (12, 15, 12), (13, 14, 12), (14, 17, 14), (16, 17, 15)):
+        assert 5 * common >= 4 * (a + b - common)
+        for tokens in r.integers(0, 2**63, (6000, a + b - common), dtype=np.uint64):
+            x, y = np.sort(tokens[:a]), np.sort(tokens[a - common :])
+            if not np.isin(jj.signatures(x, bands), jj.signatures(y, bands)).any():
+                missed[a, b] = missed.get((a, b), 0) + 1
+    assert missed == {}

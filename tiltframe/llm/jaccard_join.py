@@ -9,8 +9,11 @@ would differ by sum(t_i + 1) > H; so a linked pair agrees on one signature.
 A segment with allowance 0 is indexed by its subset hash, one with allowance 1
 also by its one-deletion neighbourhood; a cost model (index entries plus
 expected chance matches) allots the allowances per band. Empty segments are
-left out: spare segments pay for as many as can be expected, and the few sets
-that have more index their empty segments as well.
+left out: spare segments pay for as many as can be expected, t_i + 1 for an
+empty segment of allowance t_i, and the few sets that have more than that
+index their empty segments as well. (An empty segment costs its t_i + 1 if both
+sets leave it out and 1 if one does and the other has a single token there, so
+a pair loses no more than the mean of what its sets were spared.)
 
 Candidates are verified exactly on the full sets. Groups never become all
 their pairs: equal sets are one class first; a class is compared with the
@@ -75,7 +78,7 @@ class Bands:
 
 @lru_cache(maxsize=4096)
 def _scheme(num: int, den: int, low: int, top: int) -> tuple[int, int, int]:
-    """(segments, of which with one deletion, empty ones paid for)."""
+    """(segments, of which with one deletion, units paid for empty ones)."""
     differ = (den - num) * (top + top * den // num) // (den + num)  # H
     size = (low + top) / 2
     best = None
@@ -83,8 +86,9 @@ def _scheme(num: int, den: int, low: int, top: int) -> tuple[int, int, int]:
         m = differ + 1 - ones
         if m < max(1, ones):
             continue
-        mean = m * math.exp(-size / m) if m > 1 else 0.0  # empty segments to be expected
-        spare = 0 if mean < 1e-3 else math.ceil(mean + 3 * math.sqrt(mean))
+        chance = math.exp(-size / m) if m > 1 else 0.0
+        mean = (m + ones) * chance  # units of empty segments to be expected
+        spare = 0 if mean < 1e-3 else math.ceil(mean + 3 * math.sqrt((m + 3 * ones) * chance))
         m += spare
         c = size / m
         chance = MATCH_COST * math.exp(-c)
@@ -113,7 +117,8 @@ def signatures(tokens: np.ndarray, bands: Bands) -> np.ndarray:
                 lengths = np.diff(np.append(first, len(seg)))
                 less = np.repeat(total, lengths)[:k] - t[:k]
                 out.append(mix(less ^ (seg[:k] * U64(0xD1342543DE82EF95) + salt)))
-        if m - len(first) > spare:
+        # an empty segment with one deletion counts twice
+        if m - len(first) + ones - int(np.count_nonzero(where < ones)) > spare:
             empty = np.setdiff1d(np.arange(m, dtype=np.uint64), where)
             out.append(mix(empty * U64(0xD1342543DE82EF95) + salt))
     return np.unique(np.concatenate(out))
