@@ -49,6 +49,27 @@ def test_exact(spark, monkeypatch, n, d, block):
     assert got == _brute(rows, 50, 5, _int_score, lambda v: True)
 
 
+def test_exact_on_large_components(spark, monkeypatch):
+    """Scores past 2^53, up to near 2^63, and rows whose squares leave a double."""
+    monkeypatch.setattr(ct, "BLOCK_ROWS", 40)
+    monkeypatch.setattr(ct, "LEAF", 8)
+    rows = [(i, v) for i, v in _rows(200, 4, 5, copies=5) if v is None or len(v) == 4]
+    r = np.random.default_rng(11)
+    rows += [(30_000 + i, (v * 3e6).tolist()) for i, v in enumerate(r.standard_normal((60, 4)))]
+    rows += [(40_000 + i, [20_000.0 + i, 0.25, 1e6, 1.0]) for i in range(12)]  # ties and near ties past 2^53
+    # far below all others for the queries asked, which have positive components
+    rows += [(50_001, [-1e300, 0.0, 0.0, 0.0]), (60_000, [5.0, 1.0, 2.0, 3.0]), (60_050, [9e6, 1.0, 2.0, 4e6])]
+    asked = [40_000, 60_000, 60_050]
+    got = sorted(tuple(t) for t in ct.top_k(spark, _frame(spark, rows), lambda i: i.isin(asked), 5).collect())
+    assert got == [t for t in _brute(rows, 10, 5, _int_score, lambda v: True) if t[0] in asked]
+
+
+def test_exact_refuses_scores_beyond_a_long(spark):
+    rows = [(i, [1e8 * (1 + i), 1.0]) for i in range(4)]
+    with pytest.raises(Exception, match="does not fit a long"):
+        ct.top_k(spark, _frame(spark, rows), lambda i: i == 0, 2).collect()
+
+
 def test_exact_without_rows(spark):
     assert ct.top_k(spark, _frame(spark, []), lambda i: i % 50 == 0, 5).count() == 0
 

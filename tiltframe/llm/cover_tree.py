@@ -16,15 +16,21 @@ yields the kth scores that prune the second. A query batch holds at most
 input; equal vectors are one point that keeps its k + 1 smallest ids, so a
 vector that a third of all rows hold costs no more than one.
 
+Scores are exact at every size: doubles bound and prune, and where the norms
+of a pair allow sums of 2^53 or more, the pairs that can still count are summed
+in integers.
+
 Defined cases: vectors that are null or hold null, NaN or infinite components
-take no part, nor do vectors with a scaled component of 2^22 or more in size
-(scores are exact sums of doubles below 2^53); only vectors of equal length are compared; a
+take no part; an error if a score of the answer does not fit a long or a scaled
+component does not fit a double; only vectors of equal length are compared; a
 null id takes no part; rows with the same id are the same item and are no
 candidates for each other; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -38,7 +44,10 @@ SAMPLE = 2000  # points the centers are chosen from
 BLOCK_ROWS = 2048
 BATCH_QUERIES = 4096
 LEAF = 192  # rows of a leaf: pairs of leaves are matrix products
-_LIMIT = float(1 << 22)
+_EXACT = float(1 << 53)  # doubles below hold every integer
+_HUGE = 2.0**256  # components whose squares may leave a double: never pruned
+#: Scores are clipped to this size, which no score of the answer may have.
+_MOST = (1 << 63) - 1
 
 
 class Node:
@@ -49,10 +58,21 @@ class Node:
         self.radius, self.rows, self.kids = radius, rows, kids
 
 
+def _huge(x: np.ndarray) -> np.ndarray:
+    return (np.abs(x) >= _HUGE).any(axis=1)
+
+
 def cover_tree(x: np.ndarray, rows: np.ndarray | None = None, at: int | None = None) -> Node:
     """Cover tree over the rows of ``x``."""
     if rows is None:
         rows, at = np.arange(len(x)), 0
+        huge = _huge(x)
+        if huge.any():
+            apart = np.array_split(rows[huge], -(-int(huge.sum()) // LEAF))
+            nodes = [Node(np.zeros(x.shape[1]), np.inf, r, []) for r in apart]
+            if not huge.all():
+                nodes.append(cover_tree(x, rows[~huge], int(rows[~huge][0])))
+            return Node(np.zeros(x.shape[1]), np.inf, rows, nodes)
     dist = np.sqrt(((x[rows] - x[at]) ** 2).sum(axis=1))
     radius = float(dist.max())
     if len(rows) <= LEAF or radius == 0.0:
@@ -74,25 +94,56 @@ def cover_tree(x: np.ndarray, rows: np.ndarray | None = None, at: int | None = N
     return Node(x[at], radius, rows, nodes)
 
 
+def _below(score: np.ndarray) -> np.ndarray:
+    """Doubles that are not above the integer scores."""
+    f = score.astype(np.float64)
+    return np.where(np.abs(f) < _EXACT, f, f - np.abs(f) * 2.0**-52)
+
+
+def _sum(a: np.ndarray, b: np.ndarray) -> int:
+    """Inner product of doubles that hold integers."""
+    s = sum(int(u) * int(v) for u, v in zip(a.tolist(), b.tolist()) if u and v)
+    return max(-_MOST, min(_MOST, s))
+
+
 class _Best:
-    """The k best data rows of each query, by score and then smallest id."""
+    """The k best data rows of each query, by score and then smallest id.
+    ``worst``: a bound not above the kth score."""
 
     def __init__(self, k: int, worst: np.ndarray):
         n = len(worst)
         self.k, self.worst = k, worst.copy()
-        self.score, self.low = np.full((n, k), -np.inf), np.full((n, k), np.iinfo(np.int64).max)
+        self.score, self.low = np.full((n, k), -_MOST), np.full((n, k), np.iinfo(np.int64).max)
         self.row = np.full((n, k), -1, dtype=np.int64)
 
-    def add(self, q: np.ndarray, rows: np.ndarray, low: np.ndarray, score: np.ndarray) -> None:
-        hit = np.flatnonzero((score >= self.worst[q, None]).any(axis=1))
-        for i in hit.tolist():
-            j = q[i]
-            s = np.concatenate((self.score[j], score[i]))
-            lo = np.concatenate((self.low[j], low))
-            r = np.concatenate((self.row[j], rows))
-            top = np.lexsort((lo, -s))[: self.k]
-            self.score[j], self.low[j], self.row[j] = s[top], lo[top], r[top]
-            self.worst[j] = max(self.worst[j], self.score[j, -1])
+    def _keep(self, j: int, rows: np.ndarray, low: np.ndarray, score: np.ndarray) -> None:
+        s = np.concatenate((self.score[j], score))
+        lo = np.concatenate((self.low[j], low))
+        r = np.concatenate((self.row[j], rows))
+        top = np.lexsort((lo, -s))[: self.k]
+        self.score[j], self.low[j], self.row[j] = s[top], lo[top], r[top]
+        if self.row[j, -1] >= 0:
+            self.worst[j] = max(self.worst[j], _below(self.score[j, -1:])[0])
+
+    def add(self, q: np.ndarray, rows: np.ndarray, low: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+        """Data rows ``rows`` (vectors ``b``) for queries ``q`` (vectors ``a``)."""
+        with np.errstate(over="ignore", invalid="ignore"):
+            score = a @ b.T
+            p, r = (np.sqrt((v * v).sum(axis=1)) for v in (a, b))
+            if p.max() * r.max() < _EXACT / 2:  # every sum is exact
+                for i in np.flatnonzero((score >= self.worst[q, None]).any(axis=1)).tolist():
+                    self._keep(q[i], rows, low, np.rint(score[i]).astype(np.int64))
+                return
+            off = p[:, None] * r * ((a.shape[1] + 4) * 2.0**-52)  # what rounding may take or give
+            hits = ~(score + off < self.worst[q, None])
+            for i in np.flatnonzero(hits.any(axis=1)).tolist():
+                hit = hits[i]
+                least = np.nan_to_num(score[i] - off[i], nan=-np.inf, posinf=-np.inf, neginf=-np.inf)
+                if len(least) > self.k:  # k rows are at least as good as the kth of these
+                    hit = hit & ~(score[i] + off[i] < np.partition(least, -self.k)[-self.k])
+                at = np.flatnonzero(hit)
+                exact = np.array([_sum(a[i], b[j]) for j in at.tolist()], dtype=np.int64)
+                self._keep(q[i], rows[at], low[at], exact)
 
 
 def dual_search(q: np.ndarray, x: np.ndarray, low: np.ndarray, k: int, worst: np.ndarray) -> _Best:
@@ -102,11 +153,12 @@ def dual_search(q: np.ndarray, x: np.ndarray, low: np.ndarray, k: int, worst: np
     todo = [(cover_tree(q), cover_tree(x))]
     while todo:
         a, b = todo.pop()
-        most = a.center @ b.center + a.norm * b.radius + b.norm * a.radius + a.radius * b.radius
+        with np.errstate(invalid="ignore"):  # not a number: not pruned
+            most = a.center @ b.center + a.norm * b.radius + b.norm * a.radius + a.radius * b.radius
         if most * (1 + 1e-9) + 1e-6 < best.worst[a.rows].min():
             continue
         if not a.kids and not b.kids:
-            best.add(a.rows, b.rows, low[b.rows], q[a.rows] @ x[b.rows].T)
+            best.add(a.rows, b.rows, low[b.rows], q[a.rows], x[b.rows])
         elif not b.kids or (a.kids and a.radius > b.radius):
             todo.extend((c, b) for c in a.kids)
         else:
@@ -117,6 +169,7 @@ def dual_search(q: np.ndarray, x: np.ndarray, low: np.ndarray, k: int, worst: np
 
 def _centers(sample: np.ndarray, most: int) -> np.ndarray:
     """Far-apart points of a sample: each next one is farthest from the rest."""
+    sample = sample[~_huge(sample)] if not _huge(sample).all() else np.zeros((1, sample.shape[1]))
     chosen = [0]
     dist = ((sample - sample[0]) ** 2).sum(axis=1)
     while len(chosen) < most and dist.max() > 0:
@@ -135,9 +188,11 @@ def _cell_fn(centers: dict[int, np.ndarray]):
                 mine = np.flatnonzero(d == size)
                 x, c = matrix(v.take(pa.array(mine))), centers[size]
                 if size:
-                    d2 = (x**2).sum(axis=1)[:, None] + (c**2).sum(axis=1)[None] - 2 * x @ c.T
+                    huge = _huge(x)
+                    near = np.where(huge[:, None], 0.0, x)
+                    d2 = (near**2).sum(axis=1)[:, None] + (c**2).sum(axis=1)[None] - 2 * near @ c.T
                     cell[mine] = d2.argmin(axis=1)
-                    dist[mine] = np.sqrt(((x - c[cell[mine]]) ** 2).sum(axis=1))
+                    dist[mine] = np.where(huge, np.inf, np.sqrt(((near - c[cell[mine]]) ** 2).sum(axis=1)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), pa.array(dist)], names=[*batch.schema.names, "cell", "dist"])
 
     return fn
@@ -151,7 +206,7 @@ def _search_fn(k: int):
             return pa.table({"q": pa.array([], pa.int64()), "p": pa.array([], pa.int64()), "score": pa.array([], pa.int64())})
         best = dual_search(q, x, low, k + 1, asked["worst"].to_numpy().astype(np.float64))
         i, j = np.nonzero(best.row >= 0)
-        return pa.table({"q": q_uid[i], "p": uid[best.row[i, j]], "score": np.rint(best.score[i, j]).astype(np.int64)})
+        return pa.table({"q": q_uid[i], "p": uid[best.row[i, j]], "score": best.score[i, j]})
 
     return fn
 
@@ -160,10 +215,13 @@ def top_k(spark: SparkSession, vectors: DataFrame, queries, k: int, scale: int =
     """(query_id, rank, vec_id, score): the ``k`` highest inner products of
     floor(``scale`` * x) vectors for every id that ``queries`` accepts."""
     scratch = Scratch(spark, "cover-tree")
-    pts, holders = points(
-        vectors, scratch, k + 1, id_col, vec_col, lambda c: F.floor(c * scale).cast("double"),
-        lambda v: F.forall(v, lambda c: F.abs(c) < _LIMIT),
-    )
+
+    def scaled(c):
+        y = c * scale  # doubles of 2^53 and more are integers, and may not fit a long
+        whole = F.when(F.abs(y) < _EXACT, F.floor(y).cast("double")).when(F.abs(y) < float("inf"), y)
+        return whole.otherwise(F.raise_error(F.lit("a scaled component does not fit a double")).cast("double"))
+
+    pts, holders = points(vectors, scratch, k + 1, id_col, vec_col, scaled)
     sample = pts.select("d", "v", F.xxhash64("uid").alias("h")).withColumn("r", F.row_number().over(Window.partitionBy("d").orderBy("h"))).where(F.col("r") <= SAMPLE)
     by_size: dict[int, list] = {}
     for r in sample.orderBy("d", "h").collect():  # bounded: SAMPLE points of each vector length
@@ -182,6 +240,8 @@ def top_k(spark: SparkSession, vectors: DataFrame, queries, k: int, scale: int =
     def bound(qc, pc):
         a, b = centers[qc[0]][qc[1]], centers[pc[0]][pc[1]]
         r, s = reach[qc][1], stats[pc][1]
+        if math.isinf(r) or math.isinf(s):
+            return math.inf
         na, nb = np.sqrt(a @ a), np.sqrt(b @ b)
         return float(a @ b + na * s + nb * r + r * s) * (1 + 1e-9) + 1e-6
 
@@ -222,15 +282,21 @@ def top_k(spark: SparkSession, vectors: DataFrame, queries, k: int, scale: int =
     found = scratch.keep(search(first, start), "first")
     # the kth best of k + 1 points so far: no later point below it is needed
     w = Window.partitionBy("q").orderBy(F.desc("score"))
-    kth = found.withColumn("r", F.row_number().over(w)).where(F.col("r") == k + 1).select(F.col("q").alias("uid"), F.col("score").cast("double").alias("kth"))
+    # (a double rounded down)
+    down = F.col("score").cast("double")
+    down = F.when(F.abs(down) < _EXACT, down).otherwise(down - F.abs(down) * 2.0**-52)
+    kth = found.withColumn("r", F.row_number().over(w)).where(F.col("r") == k + 1).select(F.col("q").alias("uid"), down.alias("kth"))
     second = asked.join(kth, "uid", "left").select("d", "q_cell", "batch", "uid", "v", F.coalesce("kth", F.lit(float("-inf"))).alias("worst"))
     second = scratch.keep(second, "asked")
     least = {(r["d"], r["q_cell"]): r["w"] for r in second.groupBy("d", "q_cell").agg(F.min("worst").alias("w")).collect()}
     seen = {f[:3] for f in first}
     rest = [
         (q[0], q[1], p[1], int((q[0], q[1], p[1]) in seen), subs[p])
-        for q in reach for p in stats if p[0] == q[0] and bound(q, p) >= least[q]
+        for q in reach for p in stats if p[0] == q[0] and not bound(q, p) < least[q]
     ]
     rest = [r for r in rest if r[3] < r[4]]
     both = found.unionByName(search(rest, second)) if rest else found
-    return ranked(both, holders, pts, queries, k)
+    out = ranked(both, holders, pts, queries, k)
+    fits = (F.col("score") < _MOST) & (F.col("score") > -_MOST)
+    score = F.when(fits, F.col("score")).otherwise(F.raise_error(F.lit("a score does not fit a long")).cast("long"))
+    return out.withColumn("score", score)
