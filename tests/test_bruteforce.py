@@ -139,6 +139,34 @@ def test_absorb_outliers_against_brute_force(spark, sf):
         assert g["cf2x1"] == pytest.approx(round(s["s2"][1], 4), abs=1e-3)
 
 
+@pytest.mark.parametrize("sf,limit", [(SF_SMALL, 2), ("/root/testdata/sf0.01", 50)])
+def test_absorb_outliers_in_chunks(spark, monkeypatch, sf, limit):
+    """More outliers than a chunk holds: the same rule, the same slots."""
+    import functools
+
+    import tiltframe.plans.queries as pq
+
+    whole = [tuple(r) for r in E.queries()["absorb_outliers"](spark, sf).orderBy("slot").collect()]
+    monkeypatch.setattr(pq, "OnlineParams", functools.partial(pq.OnlineParams, max_candidates=limit))
+    assert pq._ev_batch_outliers(spark, sf)[1].count() > limit
+    assert [tuple(r) for r in E.queries()["absorb_outliers"](spark, sf).orderBy("slot").collect()] == whole
+    test_absorb_outliers_against_brute_force(spark, sf)
+
+
+def test_online_run_in_chunks(spark):
+    from tiltframe.params import OnlineParams
+    from tiltframe.plans.common import ev_points
+    from tiltframe.streaming.online import OnlineClusterer
+
+    states = []
+    for limit in (2, 2000):
+        m = OnlineClusterer(spark, OnlineParams(q=6, dim=2, m=20, delta=2, max_candidates=limit))
+        for t in range(4):
+            m.step(ev_points(spark, SF_SMALL).where(f"tick = {t}"), t)
+        states.append([tuple(r) for r in m.state().select("slot", "ids", "n", "cf1x", "cf1t", "cf2t").orderBy("slot").collect()])
+    assert states[0] == states[1]
+
+
 def brute_online(points, q, dim, min_init, t, m, delta, seed, snaps=None):
     """Plain-Python run of the online phase, one batch per day; ``snaps``
     (a dict) receives a copy of the state after each non-empty batch once

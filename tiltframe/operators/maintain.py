@@ -1,17 +1,18 @@
 """Outlier handling: absorb, replace stale slots, merge the closest pair.
 
 The rule is order dependent (outliers are handled one by one in arrival
-order). It is split in two Spark stages so that no task ever holds an
-unbounded number of rows:
-
-1. ``outlier_candidates``: the first ``max_candidates`` outliers by arrival
-   key are leaders; every later outlier joins its nearest leader's CF (sums
-   with map-side aggregation). CFs are additive, so n, sum x, sum x^2, sum t,
-   sum t^2 are preserved exactly, and the result depends neither on the number
-   of partitions nor on a size switch: up to the limit each outlier is its own
-   candidate and the sequential rule is exact.
-2. ``reconcile``: ONE group holding the q state rows and the (bounded)
-   candidates applies the sequential rule against the state.
+order). No task ever holds an unbounded number of rows:
+
+1. ``fold_outliers`` sorts the outliers by arrival key into a table of the
+   shared folder and takes them in consecutive chunks of ``max_candidates``.
+2. ``reconcile`` (or ``update_state`` for the first): ONE group holding the q
+   state rows and a chunk applies the sequential rule against the state that
+   the chunk before wrote, with the list of micro-clusters created so far.
+   The rule is exact at every size, and the result does not depend on
+   partitions or on the chunk size.
+
+``outlier_candidates`` folds outliers into few CFs without the rule; the
+engine does not use it.
 
 The DataFrame forms ``replace_stale``, ``closest_pair`` and ``merge_pair``
 express the individual steps with built-in operators.
@@ -59,7 +60,10 @@ def reconcile_arrays(state: dict, cands: list, t_factor: float, recursive: bool,
     (q,d: the view at batch start), rmsd (q), stale (q bool), stamp (q).
     ``cands``: list of (n, cf1x, cf2x, cf1t, cf2t) in arrival order.
     Mutates and returns ``state`` (the view columns are updated the way the
-    batch updates them; the caller runs the end-of-batch refresh).
+    batch updates them; the caller runs the end-of-batch refresh). What the
+    next chunk of a batch needs is kept in ``made`` (slots of the
+    micro-clusters created, in order), ``used`` (stale slots taken) and
+    ``next_id``.
     """
     n = state["n"]
     c1, c2 = state["cf1x"], state["cf2x"]
@@ -69,8 +73,8 @@ def reconcile_arrays(state: dict, cands: list, t_factor: float, recursive: bool,
     q = len(n)
     safe = [i for i in range(q) if state["stale"][i]]
     keep = [i for i in range(q) if not state["stale"][i]]
-    new_mc: list[int] = []
-    j = 0
+    new_mc: list[int] = state.get("made", [])
+    j = state.get("used", 0)
 
     def take(i, cn, cx1, cx2, ct1, ct2):
         nonlocal next_id
@@ -108,6 +112,7 @@ def reconcile_arrays(state: dict, cands: list, t_factor: float, recursive: bool,
             c2[bi] += cx2
             t1[bi] += ct1
             t2[bi] += ct2
+            check_ticks(np.zeros(0), 2.0 * float(t2[bi]))
             cen[bi] = c1[bi] / n[bi]
             rad[bi] = _rmsd(n[bi], c1[bi], c2[bi])
             update_pairs(bi)
@@ -140,7 +145,9 @@ def reconcile_arrays(state: dict, cands: list, t_factor: float, recursive: bool,
                 rad[a] = _rmsd(n[a], c1[a], c2[a])
                 update_pairs(a)
             take(b, cn, cx1, cx2, ct1, ct2)
-            new_mc.append(b)
+            if b not in new_mc:  # a slot taken again: its first place decides ties
+                new_mc.append(b)
+    state["made"], state["used"], state["next_id"] = new_mc, j, next_id
     return state
 
 
@@ -159,6 +166,26 @@ def refresh_arrays(state: dict) -> dict:
     return state
 
 
+#: State between two chunks of a batch's outliers.
+CARRY_SCHEMA = T.StructType(
+    STATE_SCHEMA.fields
+    + [
+        T.StructField("stale", T.BooleanType()),
+        T.StructField("stamp", T.DoubleType()),
+        T.StructField("made", T.ArrayType(T.IntegerType())),
+        T.StructField("used", T.IntegerType()),
+        T.StructField("next_id", T.LongType()),
+    ]
+)
+
+
+def _carried(out: dict, slots) -> dict:
+    """The columns that ``CARRY_SCHEMA`` has besides the state's."""
+    q = len(slots)
+    made = [int(slots[i]) for i in out["made"]]
+    return {"stale": out["stale"], "stamp": out["stamp"], "made": [made] * q, "used": np.full(q, out["used"], np.int32), "next_id": np.full(q, out["next_id"], np.int64)}
+
+
 RECON_IN = T.StructType(
     [
         T.StructField("kind", T.ByteType()),
@@ -179,15 +206,20 @@ RECON_IN = T.StructType(
 )
 
 
-def reconcile(state_with_stale: DataFrame, candidates: DataFrame, params: OnlineParams, finalize: bool = True) -> DataFrame:
+def reconcile(state_with_stale: DataFrame, candidates: DataFrame, params: OnlineParams, finalize: bool = True, carry: bool = False) -> DataFrame:
     """State (q rows with ``stale``/``stamp``) + bounded candidates -> new
     state, in one group of at most q + max_candidates rows. ``finalize``
-    also runs the end-of-batch refresh in the same group."""
+    also runs the end-of-batch refresh in the same group; ``carry`` keeps what
+    the next chunk needs (``CARRY_SCHEMA``)."""
+    known = "made" in state_with_stale.columns
     s = state_with_stale.select(
         F.lit(0).cast("byte").alias("kind"),
         "slot", "ids", "n", "cf1x", "cf2x", "cf1t", "cf2t", "centroid", "rmsd", "stale", "stamp",
         F.lit(None).cast("long").alias("seq_tick"),
         F.lit(None).cast("long").alias("seq_id"),
+        (F.col("made") if known else F.lit(None).cast("array<int>")).alias("made"),
+        (F.col("used") if known else F.lit(0)).alias("used"),
+        (F.col("next_id") if known else F.lit(0).cast("long")).alias("next_id"),
     )
     c = candidates.select(
         F.lit(1).cast("byte").alias("kind"),
@@ -199,6 +231,9 @@ def reconcile(state_with_stale: DataFrame, candidates: DataFrame, params: Online
         F.lit(None).cast("boolean").alias("stale"),
         F.lit(None).cast("double").alias("stamp"),
         "seq_tick", "seq_id",
+        F.lit(None).cast("array<int>").alias("made"),
+        F.lit(0).alias("used"),
+        F.lit(0).cast("long").alias("next_id"),
     )
     t_factor, recursive = params.t_factor, params.recursive_outliers
 
@@ -218,6 +253,9 @@ def reconcile(state_with_stale: DataFrame, candidates: DataFrame, params: Online
             "stamp": st["stamp"].to_numpy(np.float64),
         }
         next_id = max(max(v) for v in state["ids"] if len(v)) + 1
+        if known:
+            at = {int(v): i for i, v in enumerate(st["slot"])}
+            state["made"], state["used"], next_id = [at[int(v)] for v in st["made"][0]], int(st["used"][0]), int(st["next_id"][0])
         cands = [
             (int(r.n), np.asarray(r.cf1x, dtype=np.float64), np.asarray(r.cf2x, dtype=np.float64), int(r.cf1t), int(r.cf2t))
             for r in cd.itertuples(index=False)
@@ -236,11 +274,12 @@ def reconcile(state_with_stale: DataFrame, candidates: DataFrame, params: Online
                 "cf2t": out["cf2t"],
                 "centroid": list(out["centroid"]),
                 "rmsd": out["rmsd"],
+                **(_carried(out, st["slot"].to_numpy()) if carry else {}),
             }
         )
 
     both = s.unionByName(c)
-    return both.groupBy(F.lit(0).alias("_g")).applyInPandas(fn, STATE_SCHEMA)
+    return both.groupBy(F.lit(0).alias("_g")).applyInPandas(fn, CARRY_SCHEMA if carry else STATE_SCHEMA)
 
 
 # ---------------------------------------------------------------------------
@@ -292,6 +331,40 @@ def outlier_candidates(outliers: DataFrame, dim: int, limit: int) -> DataFrame:
     )
 
 
+def fold_outliers(start, outliers: DataFrame, n_out: int, params: OnlineParams, folder: str) -> DataFrame:
+    """New state after ``n_out`` outliers (``seq_tick, seq_id, x``), in chunks
+    of ``max_candidates`` by arrival. ``start(candidates, last)`` applies the
+    first chunk; ``last``: refreshed state, else ``CARRY_SCHEMA``. ``folder``
+    (shared) takes the sorted outliers and the state between chunks."""
+    limit = params.max_candidates
+    if n_out <= limit:
+        return start(outliers_as_candidates(outliers), True)
+    spark = outliers.sparkSession
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        df.write.mode("overwrite").parquet(f"{folder}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+    # ids of rows grow along the sort: partition number, then place in it
+    rows = outliers.select("seq_tick", "seq_id", "x").orderBy("seq_tick", "seq_id", "x").withColumn("row", F.monotonically_increasing_id())
+    rows = keep(rows, "sorted")
+    sizes = rows.groupBy(F.shiftright("row", 33).alias("part")).count().orderBy("part").collect()  # one row per partition
+    edges, before = [], 0
+    for r in sizes:
+        while len(edges) * limit < before + r["count"]:
+            edges.append((r["part"] << 33) + len(edges) * limit - before)
+        before += r["count"]
+    state = None
+    for i, low in enumerate(edges):
+        last = i + 1 == len(edges)
+        chunk = rows.where(F.col("row") >= low)
+        chunk = outliers_as_candidates(chunk if last else chunk.where(F.col("row") < edges[i + 1]))
+        state = start(chunk, last) if i == 0 else reconcile(state, chunk, params, finalize=last, carry=not last)
+        if not last:
+            state = keep(state, f"chunk-{i}")
+    return state
+
+
 def outliers_as_candidates(outliers: DataFrame) -> DataFrame:
     """Raw outliers as single-point CFs."""
     return outliers.select(
@@ -449,14 +522,15 @@ UPDATE_IN = T.StructType(
 )
 
 
-def update_state(state: DataFrame, sums: DataFrame, candidates: DataFrame | None, params: OnlineParams, now: int) -> DataFrame:
+def update_state(state: DataFrame, sums: DataFrame, candidates: DataFrame | None, params: OnlineParams, now: int, finalize: bool = True) -> DataFrame:
     """The whole end of an online step in ONE task: add the batch sums
     (ON9), stamp and split stale/keep (ON12/13), run the outlier rule over
     the candidates in arrival order (ON14-18) and refresh (ON10/11).
 
     Its input is bounded: q state rows, at most q aggregated sum rows (the
-    data-sized aggregate runs distributed before it) and the bounded
-    candidate set. Same rules as ``cf_apply``, ``with_staleness``,
+    data-sized aggregate runs distributed before it) and a bounded
+    chunk of candidates; if more chunks follow (not ``finalize``) the state is
+    not refreshed and keeps what they need (``CARRY_SCHEMA``). Same rules as ``cf_apply``, ``with_staleness``,
     ``reconcile`` and ``refresh`` (which the tests compare it with).
     """
     def row(kind: int, present: set) -> list:
@@ -508,7 +582,8 @@ def update_state(state: DataFrame, sums: DataFrame, candidates: DataFrame | None
                 for r_ in cd.itertuples(index=False)
             ]
             state = reconcile_arrays(state, cands, t_factor, recursive, next_id)
-        state = refresh_arrays(state)
+        if finalize:
+            state = refresh_arrays(state)
         yield pd.DataFrame(
             {
                 "slot": st_["slot"].astype(np.int32),
@@ -520,8 +595,9 @@ def update_state(state: DataFrame, sums: DataFrame, candidates: DataFrame | None
                 "cf2t": state["cf2t"],
                 "centroid": list(state["centroid"]),
                 "rmsd": state["rmsd"],
+                **({} if finalize else _carried(state, st_["slot"].to_numpy())),
             }
         )
 
     # bounded input; the exchange keeps the batch's tasks apart from this one
-    return both.repartition(1).mapInPandas(fn, STATE_SCHEMA)
+    return both.repartition(1).mapInPandas(fn, STATE_SCHEMA if finalize else CARRY_SCHEMA)

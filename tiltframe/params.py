@@ -41,9 +41,8 @@ class OnlineParams:
     recursive_outliers: bool = True
     init: str = "streaming"  # "random" | "kmeans" | "streaming" (ignored when min_init_points == 0)
     seed: int = 42
-    # outliers of a batch become at most this many candidates: the first ones
-    # by arrival lead, each later one joins its nearest leader (one rule at
-    # every batch size; below the limit every outlier is its own candidate)
+    # the outliers of a batch are handled in chunks of at most this many, by
+    # arrival (the result does not depend on it)
     max_candidates: int = 2000
     max_broadcast_bytes: int = 64 << 20
 

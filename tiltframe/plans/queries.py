@@ -17,7 +17,7 @@ from ..operators import snapshots as sn
 from ..operators.assign import assign, collect_view
 from ..operators.features import cf_aggregate, empty_state, nearest_other_distance
 from ..operators.kmeans import decay_from_half_life, kmeans_cost, streaming_kmeans_update
-from ..operators.maintain import closest_pair, merge_pair, outlier_candidates, reconcile, replace_stale
+from ..operators.maintain import closest_pair, fold_outliers, merge_pair, reconcile, replace_stale
 from ..operators.recency import with_staleness, relevance_stamp
 from ..params import OnlineParams, SnapshotParams
 from ..session import new_run_dir
@@ -260,13 +260,16 @@ def merge_pair_q(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def absorb_outliers_q(spark: SparkSession, sf: str) -> DataFrame:
-    """ON14 (whole rule, through the engine's bounded candidates): outliers of
+    """ON14 (whole rule, through the engine's bounded chunks): outliers of
     the later days absorbed, given stale slots or merged in arrival order.
     Order dependent: checked against a brute-force loop in the tests."""
     st, outl = _ev_batch_outliers(spark, sf)
     p = OnlineParams(q=EV_Q, dim=2, m=M_LAST, delta=DELTA_DAYS, t_factor=T_FACTOR)
     sws = with_staleness(st, EV_SPLIT, DELTA_DAYS, M_LAST)
-    return _state_out(reconcile(sws, outlier_candidates(outl, 2, p.max_candidates), p, finalize=True))
+    folder = new_run_dir(spark, "absorb")
+    outl.write.parquet(f"{folder}/outliers")
+    outl = spark.read.schema(outl.schema).parquet(f"{folder}/outliers")
+    return _state_out(fold_outliers(lambda c, last: reconcile(sws, c, p, last, not last), outl, outl.count(), p, folder))
 
 
 # -- init routes and the full online loop ---------------------------------------

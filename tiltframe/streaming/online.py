@@ -9,7 +9,7 @@ if configured, a snapshot on the pyramidal time frame.
 
 Per step, data-sized work is one narrow Arrow pass (assignment + inside /
 outlier split + per-batch partial CF sums) and one small keyed aggregate;
-everything else touches q rows or a bounded candidate set.
+everything else touches q rows, and the outliers in bounded chunks.
 
 No point is dropped without a trace: points without a tick, with a broken
 vector, or older than the clock are kept with a reason (``rejects``). In event
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from ..operators.assign import CenterView, collect_view
 from ..operators.features import assign_and_summarize, cf_merge_partials, empty_state
 from ..operators.kmeans import batch_kmeans, random_gaussian_model, streaming_kmeans_update
-from ..operators.maintain import outlier_candidates, update_state
+from ..operators.maintain import fold_outliers, update_state
 from ..operators import snapshots as snaps
 from ..params import STATE_SCHEMA, OnlineParams, SnapshotParams
 from ..session import new_run_dir
@@ -253,11 +253,14 @@ class OnlineClusterer:
             if n_in + n_out == 0:
                 return 0
             sums = cf_merge_partials(fused.where("kind = 0").select("slot", "n", "cf1x", "cf2x", "cf1t", "cf2t"), p.dim)
-            cands = None
             if n_out:
                 outl = fused.where("kind = 1").select("seq_tick", "seq_id", "x")
-                cands = outlier_candidates(outl, p.dim, p.max_candidates)
-            self._write_state(update_state(st, sums, cands, p, now), version, n_in + n_out, True)
+                new = fold_outliers(lambda c, last: update_state(st, sums, c, p, now, last), outl, n_out, p, f"{self.base}/fold")
+            else:
+                new = update_state(st, sums, None, p, now)
+            self._write_state(new, version, n_in + n_out, True)
+            if n_out > p.max_candidates:
+                _delete_path(self.spark, f"{self.base}/fold")
             return n_in + n_out
         finally:
             fused.unpersist()
