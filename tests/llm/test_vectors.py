@@ -70,6 +70,20 @@ def test_exact_refuses_scores_beyond_a_long(spark):
         ct.top_k(spark, _frame(spark, rows), lambda i: i == 0, 2).collect()
 
 
+@pytest.mark.parametrize("size", [1e4, 1e6])
+def test_negative_ties_are_not_pruned(monkeypatch, size):
+    monkeypatch.setattr(ct, "LEAF", 1)
+    q = np.array([[size, 0.0]])
+    x = np.column_stack((np.full(40, -size), np.arange(40.0)))  # one score, smallest ids last
+    best = ct.dual_search(q, x, np.arange(40)[::-1].copy(), 3, np.array([-np.inf]))
+    assert best.low[0].tolist() == [0, 1, 2] and (best.score[0] == -size * size).all()
+    # the threshold of a first round: ties with it count, and so does one better by 1
+    best = ct.dual_search(q, x[:1], np.array([7]), 1, np.array([-size * size]))
+    assert best.row[0].tolist() == [0]
+    best = ct.dual_search(np.array([[1.0, size]]), np.array([[-1.0, -size]]), np.array([7]), 1, np.array([-size * size - 2]))
+    assert best.row[0].tolist() == [0]
+
+
 def test_exact_without_rows(spark):
     assert ct.top_k(spark, _frame(spark, []), lambda i: i % 50 == 0, 5).count() == 0
 

@@ -146,6 +146,12 @@ class _Best:
                 self._keep(q[i], rows[at], low[at], exact)
 
 
+def _bound(product: float, a: float, r: float, b: float, s: float) -> float:
+    """No pair scores more, rounding included: centers of norms ``a`` and ``b``
+    and their inner product, radii ``r`` and ``s``."""
+    return product + a * s + b * r + r * s + 1e-9 * (a + r) * (b + s) + 1e-6
+
+
 def dual_search(q: np.ndarray, x: np.ndarray, low: np.ndarray, k: int, worst: np.ndarray) -> _Best:
     """Best ``k`` rows of ``x`` for each row of ``q`` that can still beat or
     tie the query's ``worst`` score."""
@@ -154,8 +160,8 @@ def dual_search(q: np.ndarray, x: np.ndarray, low: np.ndarray, k: int, worst: np
     while todo:
         a, b = todo.pop()
         with np.errstate(invalid="ignore"):  # not a number: not pruned
-            most = a.center @ b.center + a.norm * b.radius + b.norm * a.radius + a.radius * b.radius
-        if most * (1 + 1e-9) + 1e-6 < best.worst[a.rows].min():
+            most = _bound(a.center @ b.center, a.norm, a.radius, b.norm, b.radius)
+        if most < best.worst[a.rows].min():
             continue
         if not a.kids and not b.kids:
             best.add(a.rows, b.rows, low[b.rows], q[a.rows], x[b.rows])
@@ -243,7 +249,7 @@ def top_k(spark: SparkSession, vectors: DataFrame, queries, k: int, scale: int =
         if math.isinf(r) or math.isinf(s):
             return math.inf
         na, nb = np.sqrt(a @ a), np.sqrt(b @ b)
-        return float(a @ b + na * s + nb * r + r * s) * (1 + 1e-9) + 1e-6
+        return float(_bound(a @ b, na, r, nb, s))
 
     cell_table = spark.createDataFrame([(d, c, n) for (d, c), n in subs.items()], "d int, cell int, subs int")
     data = cells.join(F.broadcast(cell_table), ["d", "cell"]).select(
