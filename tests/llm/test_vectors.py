@@ -179,6 +179,16 @@ def test_forest_ascends_to_the_root(spark, monkeypatch):
     assert _recall(spark, list(enumerate(x)), 10, 5, trees=2, share=0.0, candidates=100) >= 0.3
 
 
+def test_forest_keeps_the_smallest_ids_of_a_tie():
+    import pyarrow as pa
+
+    n = 60
+    index = pa.table({"h": pa.array([0] * n, pa.int64()), "uid": list(range(n)), "low": list(range(n, 0, -1)), "v": [[1.0, float(i)] for i in range(n)]})
+    asked = pa.table({"h": pa.array([0], pa.int64()), "uid": [0], "level": pa.array([0], pa.int32()), "v": [[1.0, 0.0]]})
+    got = ann._score_fn(3)(index, asked)
+    assert {n - 1, n - 2, n - 3} <= set(got["p"].to_pylist())
+
+
 def test_prefix_range():
     q = np.array([0b1011 << 60, 5], dtype=np.uint64)
     for bits in (0, 1, 3, 64):

@@ -126,8 +126,10 @@ def _score_fn(k: int):
             return pa.table(empty)
         h = index["h"].to_numpy().view(np.uint64)
         order = np.argsort(h)
-        h, x, uid = h[order], matrix(index["v"])[order], index["uid"].to_numpy()[order]
+        h, x, uid, low_id = h[order], matrix(index["v"])[order], index["uid"].to_numpy()[order], index["low"].to_numpy()[order]
         q, q_uid, q_h, level = matrix(asked["v"]), asked["uid"].to_numpy(), asked["h"].to_numpy().view(np.uint64), asked["level"].to_numpy()
+        # how far a product may be from the plain loop's, in norms of the query
+        off = (x.shape[1] + 4) * 2.0**-51 * float(np.sqrt((x**2).sum(axis=1)).max())
         out: list[list[np.ndarray]] = [[], [], []]
         first, end = np.zeros(len(q), dtype=np.int64), np.zeros(len(q), dtype=np.int64)
         for bits in np.unique(level).tolist():
@@ -139,12 +141,14 @@ def _score_fn(k: int):
             if a == b:
                 continue
             near = x[a:b] @ q[i]
-            most = min(len(near), k + 8)
-            top = a + np.argpartition(-near, most - 1)[:most]
-            score = np.zeros(most)  # component after component, as a plain loop adds
+            most = min(len(near), k)
+            least = np.partition(near, -most)[-most] - off * float(np.sqrt(q[i] @ q[i]))
+            top = a + np.flatnonzero(~(near < least))
+            score = np.zeros(len(top))  # component after component, as a plain loop adds
             for j in range(q.shape[1]):
                 score += x[top, j] * q[i, j]
-            for c, v in zip(out, (np.full(most, q_uid[i]), uid[top], score)):
+            best = np.lexsort((low_id[top], -score))[:most]
+            for c, v in zip(out, (np.full(most, q_uid[i]), uid[top[best]], score[best])):
                 c.append(v)
         if not out[0]:
             return pa.table(empty)
@@ -230,7 +234,7 @@ def nearest(
     rise = own.where("bits > level").withColumn("up", F.col("level")).withColumn("top", prefix("up")).drop("bits", "pre").join(above, shorter)
     visits = in_parts(stay.select("uid", "h", "level", *place, "parts").unionByName(rise.select("uid", "h", "level", *place, "parts")))
     vec = pts.select("uid", "v")
-    left = index.join(vec, "uid")
+    left = index.join(pts.select("uid", "v", "low"), "uid")
     right = visits.join(vec, "uid").select(*(F.col(c).alias(c) for c in (*key, "uid", "h", "level", "v")))
     found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(_score_fn(k + 1), "q long, p long, score double")
     return ranked(found.distinct(), holders, pts, queries, k)
