@@ -14,10 +14,13 @@ from .cover_tree import top_k
 from .jaccard_join import near_duplicates
 from .line_dedup import line_dedup
 from .packing import pack
+from .phrase_dedup import phrase_dedup
 from .quality import resample
+from .spelling import variants, word_counts
 from .suffix_dedup import suffix_dedup
 from .url_filter import filter_urls, host_of
 from .warc import roundtrip
+from .whitening import whiten
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -101,11 +104,25 @@ def op10_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicates(spark, _table(spark, sf, "documents"))
 
 
+def op11_phrase_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    out = phrase_dedup(spark, _table(spark, sf, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf: str) -> DataFrame:
+    return variants(spark, word_counts(_table(spark, sf, "documents"), drop_every=97))
+
+
+def op13_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    return whiten(spark, _table(spark, sf, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_quality, op2_line_dedup, op3_suffix_dedup, op4_url_filter, op5_bpe_encoding,
         op6_packing, op7_nearest_neighbours, op8_warc, op9_exact_topk, op10_jaccard_join,
+        op11_phrase_dedup, op12_spelling_variants, op13_whitening,
     )
 }
 
@@ -189,4 +206,69 @@ SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score FRO
 WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 5
 """
 
-SQL = {"op2_line_dedup": OP2_SQL, "op4_url_filter": OP4_SQL, "op8_warc": OP8_SQL, "op9_exact_topk": OP9_SQL}
+OP11_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(doc_id, -9223372036854775808) AS id,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+windows AS (
+  SELECT rid, id, s, array_to_string(w[s + 1 : s + 20], ' ') AS phrase
+  FROM (SELECT rid, id, w, unnest(range(0, len(w) - 19)) AS s FROM docs WHERE len(w) >= 20)),
+first AS (SELECT phrase, min({'id': id, 's': s}) AS f FROM windows GROUP BY phrase HAVING count(*) > 1),
+late AS (SELECT DISTINCT rid, s FROM windows JOIN first USING (phrase) WHERE id <> f.id OR s <> f.s),
+each AS (SELECT rid, unnest(w) AS word, unnest(range(0, len(w))) AS i FROM docs),
+marked AS (
+  SELECT e.rid, e.word, e.i,
+         coalesce(max(l.s) OVER (PARTITION BY e.rid ORDER BY e.i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) > e.i - 20, false) AS gone
+  FROM each e LEFT JOIN late l ON l.rid = e.rid AND l.s = e.i),
+kept AS (
+  SELECT rid, count(*) AS n_words, count(*) FILTER (WHERE gone) AS n_removed,
+         string_agg(word, ' ' ORDER BY i) FILTER (WHERE NOT gone) AS t
+  FROM marked GROUP BY rid)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM docs LEFT JOIN kept USING (rid)
+"""
+
+# crc32 by half bytes. Its table for the 16 half bytes.
+_CRC16 = (
+    "[0, 498536548, 997073096, 651767980, 1994146192, 1802195444, 1303535960, 1342533948, "
+    "3988292384, 4027552580, 3604390888, 3412177804, 2607071920, 2262029012, 2685067896, 3183342108]"
+)
+_HALF = f"xor(c >> 4, ({_CRC16})[1 + (xor(c, %s) & 15)])"
+
+OP12_SQL = f"""
+WITH RECURSIVE runs AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id,
+         unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\u00C0-\u00FF]+')) AS run
+  FROM documents),
+held AS (SELECT id, run, count(*) AS n, hex(id || ':' || run) AS x FROM runs WHERE length(run) >= 5 GROUP BY id, run),
+nibbles AS (
+  SELECT id, run, n, list_transform(range(0, len(x)), lambda i: CAST('0x' || substr(x, CAST(i + 2 - 2 * (i % 2) AS INTEGER), 1) AS BIGINT)) AS b FROM held),
+hashed AS (
+  SELECT run, n, xor(list_reduce(list_prepend(4294967295, b), lambda c, v: {_HALF % 'v'}), 4294967295) AS h FROM nibbles),
+typed AS (
+  SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, CAST(h % length(run) AS INTEGER)) || substr(run, CAST(h % length(run) AS INTEGER) + 2) ELSE run END AS word, n
+  FROM hashed),
+vocabulary AS (SELECT word, CAST(sum(n) AS BIGINT) AS n, length(word) AS k FROM typed WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+spots AS (SELECT word, n, k, unnest(range(1, k + 1)) AS i FROM vocabulary),
+cuts AS (SELECT word, n, k, i, substr(word, 1, CAST(i - 1 AS INTEGER)) AS a, substr(word, CAST(i + 1 AS INTEGER)) AS z FROM spots),
+pairs AS (
+  SELECT DISTINCT c.word, v.word AS near, v.n AS near_n, c.n FROM cuts c JOIN vocabulary v ON v.word = c.a || c.z
+  UNION
+  SELECT DISTINCT c.word, d.word, d.n, c.n FROM cuts c JOIN cuts d ON c.a = d.a AND c.z = d.z WHERE c.word <> d.word),
+both_ways AS (SELECT word, near, near_n FROM pairs UNION SELECT near, word, n FROM pairs),
+best AS (
+  SELECT word, count(*) AS n_near, max(near_n) AS top FROM both_ways GROUP BY word),
+formed AS (
+  SELECT v.word, v.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN b.top >= 2 * v.n THEN b.top END AS form_n,
+         CASE WHEN b.top >= 2 * v.n THEN (SELECT min(near) FROM both_ways w WHERE w.word = v.word AND w.near_n = b.top) END AS form
+  FROM vocabulary v LEFT JOIN best b USING (word)),
+chain AS (
+  SELECT word, word AS root FROM formed
+  UNION ALL
+  SELECT c.word, f.form FROM chain c JOIN formed f ON f.word = c.root WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, c.root, f.n, f.n_near, f.form_n
+FROM formed f JOIN chain c USING (word) JOIN formed r ON r.word = c.root AND r.form IS NULL
+"""
+
+SQL = {"op11_phrase_dedup": OP11_SQL, "op12_spelling_variants": OP12_SQL, "op2_line_dedup": OP2_SQL, "op4_url_filter": OP4_SQL, "op8_warc": OP8_SQL, "op9_exact_topk": OP9_SQL}
