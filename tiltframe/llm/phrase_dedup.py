@@ -40,6 +40,7 @@ word.
 from __future__ import annotations
 
 from collections import Counter
+from itertools import compress
 
 import ahocorasick
 import numpy as np
@@ -49,7 +50,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .storage import Scratch
-from .text import _IS_SPACE, U64, _power_table, as_signed, blocks, mix, ngrams, release, words
+from .text import _IS_SPACE, SPACE_BYTES, U64, _power_table, as_signed, blocks, mix, ngrams, release, words
 
 LENGTH = 20
 GRAM = 6
@@ -164,11 +165,12 @@ def _cut_fn(length: int):
             for ident, body, items in zip(batch.column("id").to_pylist(), batch.column("body"), batch.column("items")):
                 raw = body.as_buffer().to_pybytes()
                 starts, ends = word_bounds(np.frombuffer(raw, dtype=np.uint8))
-                items = items.as_py()
-                spell = [b" ".join(raw[a:b] for a, b in zip(starts[r["lo"] : r["lo"] + r["n"] + length - 1].tolist(), ends[r["lo"] : r["lo"] + r["n"] + length - 1].tolist())) for r in items]
-                cols = [pa.array([r[c] for r in items], pa.int64()) for c in names[:4]]
+                item = items.values
+                col = {f: item.field(f) for f in ("anchor", "own", "times", "kinds", "lo", "n")}
+                lo, n = (col[f].to_numpy(zero_copy_only=False).astype(np.int64) for f in ("lo", "n"))
+                spell = [raw[a:b] for a, b in zip(starts[lo].tolist(), ends[lo + n + length - 2].tolist())]
                 yield pa.RecordBatch.from_arrays(
-                    [*cols, pa.array([ident] * len(items), pa.int64()), pa.array([r["lo"] for r in items], pa.int64()), pa.array([r["n"] for r in items], pa.int32()), pa.array(spell, pa.binary())],
+                    [*(col[c] for c in names[:4]), pa.array(np.full(len(lo), ident, dtype=np.int64)), pa.array(lo), pa.array(n.astype(np.int32)), pa.array(spell, pa.binary())],
                     names=names,
                 )
 
@@ -181,7 +183,7 @@ def _window_fn(length: int):
     def fn(batches):
         for batch in batches:
             for r in batch.to_pylist():
-                parts = r["words"].split(b" ")
+                parts = r["words"].split()  # at ASCII white space
                 spell = [b" ".join(parts[a : a + length]) for a in range(r["n"])]
                 data = np.frombuffer(r["words"], dtype=np.uint8)
                 h, _ = words(data, np.array([0, len(data)]), lower=False)
@@ -200,17 +202,23 @@ def _window_fn(length: int):
 # -- automata -----------------------------------------------------------------
 
 
-def locate(stream: list[list[bytes]], times, places, length: int = LENGTH) -> list[tuple[list[int], list[int]]]:
+def locate(stream: list[list[bytes]], times, kinds, places, length: int = LENGTH) -> list[tuple[list[int], list[int]]]:
     """Phrases of a shard located in its word lists. ``times``: how often each
-    list occurs, ``places``: its first (doc_id, word). Per list: the windows
-    that hold a phrase, and those of them that its first copy does not hold
-    first."""
+    list occurs, ``kinds``: how many different lists share its anchor,
+    ``places``: its first (doc_id, word). Per list: the windows that hold a
+    phrase, and those of them that its first copy does not hold first.
+
+    The windows of a list that is alone with its anchor recur together: the
+    list is one phrase. Else every window met twice or more is one."""
     letter: dict[bytes, int] = {}
-    spelled = [tuple(letter.setdefault(w, len(letter)) for w in ws) for ws in stream]
+    spelled = [tuple([letter.setdefault(w, len(letter)) for w in ws]) for ws in stream]
     count: Counter = Counter()
-    for ws, t in zip(spelled, times):
-        for a in range(len(ws) - length + 1):
-            count[ws[a : a + length]] += t
+    for ws, t, k in zip(spelled, times, kinds):
+        if k == 1:
+            count[ws] += t
+        else:
+            for a in range(len(ws) - length + 1):
+                count[ws[a : a + length]] += t
     phrases = [p for p, c in count.items() if c > 1]
     if not phrases:
         return [([], [])] * len(stream)
@@ -218,24 +226,29 @@ def locate(stream: list[list[bytes]], times, places, length: int = LENGTH) -> li
     for i, p in enumerate(phrases):
         automaton.add_word(p, i)
     automaton.make_automaton()
+    size = [len(p) for p in phrases]
     hits, first = [], [None] * len(phrases)
     for ws, (ident, lo) in zip(spelled, places):
-        mine = [(end - length + 1, p) for end, p in automaton.iter(ws)]
+        mine = [(end - size[p] + 1, p) for end, p in automaton.iter(ws)]
         hits.append(mine)
         for a, p in mine:
             here = (ident, lo + a)
             if first[p] is None or here < first[p]:
                 first[p] = here
-    return [([a for a, _ in mine], [a for a, p in mine if first[p] != (ident, lo + a)]) for mine, (ident, lo) in zip(hits, places)]
+
+    def windows(found):
+        return [b for a, p in found for b in range(a, a + size[p] - length + 1)]
+
+    return [(windows(mine), windows([(a, p) for a, p in mine if first[p] != (ident, lo + a)])) for mine, (ident, lo) in zip(hits, places)]
 
 
 def _shard_fn(length: int):
     """(anchor, own, offsets of located windows, those not first) per stretch."""
 
     def fn(table: pa.Table) -> pa.Table:
-        stream = [w.split(b" ") for w in table.column("words").to_pylist()]
+        stream = [w.split() for w in table.column("words").to_pylist()]
         places = list(zip(table.column("id").to_pylist(), table.column("lo").to_pylist()))
-        found = locate(stream, table.column("times").to_pylist(), places, length)
+        found = locate(stream, *(table.column(c).to_pylist() for c in ("times", "kinds")), places, length)
         keep = [i for i, (every, _) in enumerate(found) if every]
         ints = pa.list_(pa.int32())
         return pa.table({
@@ -251,23 +264,28 @@ def _shard_fn(length: int):
 # -- the words that stay ---------------------------------------------------------
 
 
-def without(raw: bytes, windows: list[int], length: int) -> tuple[bytes, int, int]:
+def without(raw: bytes, windows, length: int) -> tuple[bytes, int, int]:
     """(kept words joined by one space, words, words removed)."""
-    starts, ends = word_bounds(np.frombuffer(raw, dtype=np.uint8))
-    n = len(starts)
-    gone = 0
-    if windows:
-        step = np.zeros(n + 1, dtype=np.int64)
-        at = np.unique(np.array(windows, dtype=np.int64))
+    stay = None
+    if len(windows):
+        at = np.unique(np.asarray(windows, dtype=np.int64))
+        step = np.zeros(int(at[-1]) + length + 1, dtype=np.int64)
         step[at] += 1
         step[at + length] -= 1
-        keep = np.cumsum(step[:n]) == 0
-        gone = n - int(keep.sum())
-        starts, ends = starts[keep], ends[keep]
-    pieces = []
-    for a in range(0, len(starts), 65536):
-        pieces.append(b" ".join([raw[x:y] for x, y in zip(starts[a : a + 65536].tolist(), ends[a : a + 65536].tolist())]))
-    return b" ".join(pieces), n, gone
+        stay = (np.cumsum(step) == 0).tolist()
+    n, kept, pieces, at = 0, 0, [], 0
+    while at < len(raw):
+        end = min(len(raw), at + PIECE_BYTES)
+        while end < len(raw) and raw[end] not in SPACE_BYTES:  # to the end of a word
+            end += 1
+        ws = raw[at:end].split()
+        left = ws
+        if stay is not None and n < len(stay):
+            left = [*compress(ws, stay[n : n + len(ws)]), *ws[max(0, len(stay) - n) :]]
+        if left:
+            pieces.append(b" ".join(left))
+        n, kept, at = n + len(ws), kept + len(left), end
+    return b" ".join(pieces), n, n - kept
 
 
 def _remove_fn(text_col: str, length: int):
@@ -276,9 +294,9 @@ def _remove_fn(text_col: str, length: int):
             row = batch.column("row")
             texts = row.field(text_col).cast(pa.large_binary())
             out: list[list] = [[], [], []]
-            for body, windows in zip(texts, batch.column("windows").to_pylist()):
+            for body, windows in zip(texts, batch.column("windows")):
                 raw = body.as_buffer().to_pybytes() if body.is_valid else b""
-                kept, n, gone = without(raw, windows or [], length)
+                kept, n, gone = without(raw, windows.values.to_numpy() if windows.is_valid else (), length)
                 for c, v in zip(out, (kept.decode("utf-8"), n, gone)):
                     c.append(v)
             yield pa.RecordBatch.from_arrays([row, pa.array(out[0], pa.string()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64())], names=["row", "kept", "n_words", "n_removed"])
@@ -340,7 +358,7 @@ def _by_window(hot: DataFrame, length: int, shards: int, scratch: Scratch) -> Da
     spread = hot.mapInArrow(_window_fn(length), "anchor long, own long, a int, times long, id long, lo long, w1 long, w2 long, words binary")
     spread = scratch.keep(spread, "windows")
     alone = spread.groupBy("w1", "w2").agg(F.sum("times").alias("times"), F.min(F.struct("id", "lo")).alias("at"), F.min("words").alias("words")).where("times > 1")
-    alone = alone.select(F.col("w1").alias("anchor"), F.col("w2").alias("own"), "times", "at.id", "at.lo", "words").withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
+    alone = alone.select(F.col("w1").alias("anchor"), F.col("w2").alias("own"), "times", F.lit(2).cast("long").alias("kinds"), "at.id", "at.lo", "words").withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
     alone = scratch.keep(alone, "alone", free=True)
     met = alone.groupBy("shard").applyInArrow(_shard_fn(length), "anchor long, own long, every array<int>, later array<int>")
     first = alone.select("anchor", "own", F.col("id").alias("id0"), F.col("lo").alias("lo0"))
