@@ -68,7 +68,8 @@ def brute(points, q, split, t, m, delta):
 
     stale = [i for i, s in enumerate(slots) if stamp(s) < split - delta or s["n"] == 0]
     keep = [i for i in range(q) if i not in stale]
-    stamps = [stamp(s) for s in slots]
+    if len(keep) < 2:
+        keep = list(range(q))
     next_id = q
     new = []
     used = 0
@@ -98,20 +99,17 @@ def brute(points, q, split, t, m, delta):
                     d = _d2(slots[keep[ia]]["c"], slots[keep[ib]]["c"])
                     if d < best:
                         best, pa = d, (keep[ia], keep[ib])
-            if pa is None:
-                target = min(range(q), key=lambda k: (stamps[k], k))
-            else:
-                a, b = pa
-                A, B = slots[a], slots[b]
-                A["n"] += B["n"]
-                A["s1"] = [u + v for u, v in zip(A["s1"], B["s1"])]
-                A["s2"] = [u + v for u, v in zip(A["s2"], B["s2"])]
-                A["t1"] += B["t1"]
-                A["t2"] += B["t2"]
-                A["ids"] = A["ids"] + B["ids"]
-                A["c"] = [v / A["n"] for v in A["s1"]]
-                A["r"] = _rmsd(A["n"], A["s1"], A["s2"])
-                target = b
+            a, b = pa
+            A, B = slots[a], slots[b]
+            A["n"] += B["n"]
+            A["s1"] = [u + v for u, v in zip(A["s1"], B["s1"])]
+            A["s2"] = [u + v for u, v in zip(A["s2"], B["s2"])]
+            A["t1"] += B["t1"]
+            A["t2"] += B["t2"]
+            A["ids"] = A["ids"] + B["ids"]
+            A["c"] = [v / A["n"] for v in A["s1"]]
+            A["r"] = _rmsd(A["n"], A["s1"], A["s2"])
+            target = b
         s = slots[target]
         s.update(ids=[next_id], n=1, s1=list(x), s2=[v * v for v in x], t1=day, t2=day * day, c=list(x))
         next_id += 1
@@ -171,10 +169,9 @@ def brute_online(points, q, dim, min_init, t, m, delta, seed, snaps=None):
     """Plain-Python run of the online phase, one batch per day; ``snaps``
     (a dict) receives a copy of the state after each non-empty batch once
     started, keyed by the clock after the batch."""
-    import numpy as np
+    from tiltframe.operators.kmeans import random_gaussian_model
 
-    rng = np.random.default_rng(seed)
-    C = [list(map(float, row)) for row in rng.standard_normal((q, dim))]
+    C = [list(map(float, row)) for row in random_gaussian_model(q, dim, seed)[1]]
     W = [0.0] * q
     days = sorted({d for _, _, d in points})
     by_day = {d: sorted((pid, x) for pid, x, dd in points if dd == d) for d in days}
@@ -251,9 +248,10 @@ def brute_online(points, q, dim, min_init, t, m, delta, seed, snaps=None):
             else:
                 outl.append((pid, x))
         if outl:
-            stamps = [stamp(s) for s in slots]
-            stale = [i for i, s in enumerate(slots) if stamps[i] < day - delta or s["n"] == 0]
+            stale = [i for i, s in enumerate(slots) if stamp(s) < day - delta or s["n"] == 0]
             keep = [i for i in range(q) if i not in stale]
+            if len(keep) < 2:
+                keep = list(range(q))
             new, used = [], 0
             for pid, x in outl:
                 best, bi = math.inf, None
@@ -277,19 +275,16 @@ def brute_online(points, q, dim, min_init, t, m, delta, seed, snaps=None):
                             d = _d2(slots[keep[ia]]["c"], slots[keep[ib]]["c"])
                             if d < best:
                                 best, pa = d, (keep[ia], keep[ib])
-                    if pa is None:
-                        target = min(range(q), key=lambda k: (stamps[k], k))
-                    else:
-                        a, b = pa
-                        A, B = slots[a], slots[b]
-                        for key in ("n", "t1", "t2"):
-                            A[key] += B[key]
-                        A["s1"] = [u + v for u, v in zip(A["s1"], B["s1"])]
-                        A["s2"] = [u + v for u, v in zip(A["s2"], B["s2"])]
-                        A["ids"] = A["ids"] + B["ids"]
-                        A["c"] = [v / A["n"] for v in A["s1"]]
-                        A["r"] = _rmsd(A["n"], A["s1"], A["s2"])
-                        target = b
+                    a, b = pa
+                    A, B = slots[a], slots[b]
+                    for key in ("n", "t1", "t2"):
+                        A[key] += B[key]
+                    A["s1"] = [u + v for u, v in zip(A["s1"], B["s1"])]
+                    A["s2"] = [u + v for u, v in zip(A["s2"], B["s2"])]
+                    A["ids"] = A["ids"] + B["ids"]
+                    A["c"] = [v / A["n"] for v in A["s1"]]
+                    A["r"] = _rmsd(A["n"], A["s1"], A["s2"])
+                    target = b
                 s = slots[target]
                 s.update(ids=[next_id], n=1, s1=list(x), s2=[v * v for v in x], t1=day, t2=day * day, c=list(x))
                 next_id += 1
@@ -366,6 +361,40 @@ def _lloyd(X, w, C, iters, tol):
     return C, [sum(w[i] for i in range(len(X)) if idx[i] == j) for j in range(len(C))]
 
 
+def _macro(snaps, now, tc, h, k=3):
+    """Macro-clusters (weight, center) of a request against the snapshots that
+    are live at ``now`` (None: all given); None without a snapshot that early."""
+    live = sorted(t for t in snaps if now is None or _live(t, now))
+    le = [t for t in live if t <= tc]
+    if not le:
+        return None
+    t1 = le[-1]
+    le2 = [t for t in live if t <= t1 - h]
+    t2 = le2[-1] if le2 else live[0]
+    mcs = []
+    for s in snaps[t1]:
+        rel = [o for o in snaps[t2] if set(o["ids"]) & set(s["ids"])]
+        n, s1 = s["n"], list(s["s1"])
+        if rel and t1 - h >= t2:
+            n -= sum(o["n"] for o in rel)
+            s1 = [a - sum(o["s1"][d] for o in rel) for d, a in enumerate(s1)]
+        if n > 0:
+            mcs.append((n, [v / n for v in s1]))
+    w = [float(n) for n, _ in mcs]
+    order = sorted(range(len(mcs)), key=lambda i: (-w[i], i))[:k]
+    C, wt = _lloyd([c for _, c in mcs], w, [mcs[i][1] for i in order], 20, 1e-4)
+    return sorted((round(x, 4), *c) for x, c in zip(wt, C))
+
+
+def _same_macro(got, want):
+    assert sorted(got) == sorted(want)
+    for k, rows in got.items():
+        rows = sorted(rows)
+        assert [r[0] for r in rows] == [w[0] for w in want[k]], k
+        for a, b in zip(rows, want[k]):
+            assert a[1] == pytest.approx(b[1], abs=1e-3) and a[2] == pytest.approx(b[2], abs=1e-3), k
+
+
 def test_online_horizon_against_brute_force(spark):
     from tiltframe.plans.common import ev_points
     from tiltframe.plans.queries import MIN_INIT, REQUESTS
@@ -373,35 +402,32 @@ def test_online_horizon_against_brute_force(spark):
     pts = [(r["id"], list(r["x"]), r["tick"]) for r in ev_points(spark, SF_SMALL).collect()]
     snaps = {}
     brute_online(pts, EV_Q, 2, MIN_INIT, T_FACTOR, M_LAST, DELTA_DAYS, 42, snaps)
-    now = max(snaps)
-    live = sorted(t for t in snaps if _live(t, now))
-    want = {}
-    for tc, h in REQUESTS:
-        le = [t for t in live if t <= tc]
-        if not le:
-            continue  # no snapshot that early
-        t1 = le[-1]
-        le2 = [t for t in live if t <= t1 - h]
-        t2 = le2[-1] if le2 else live[0]
-        mcs = []
-        for s in snaps[t1]:
-            rel = [o for o in snaps[t2] if set(o["ids"]) & set(s["ids"])]
-            n, s1 = s["n"], list(s["s1"])
-            if rel and t1 - h >= t2:
-                n -= sum(o["n"] for o in rel)
-                s1 = [a - sum(o["s1"][d] for o in rel) for d, a in enumerate(s1)]
-            if n > 0:
-                mcs.append((len(mcs), n, [v / n for v in s1]))
-        w = [float(n) for _, n, _ in mcs]
-        order = sorted(range(len(mcs)), key=lambda i: (-w[i], i))[:3]
-        C, wt = _lloyd([c for _, _, c in mcs], w, [mcs[i][2] for i in order], 20, 1e-4)
-        want[(tc, h)] = sorted((round(wt[j], 4), C[j][0], C[j][1]) for j in range(3))
+    want = {(tc, h): _macro(snaps, max(snaps), tc, h) for tc, h in REQUESTS}
     got = {}
     for r in E.queries()["online_horizon"](spark, SF_SMALL).collect():
         got.setdefault((r["tc"], r["h"]), []).append((r["weight"], r["c0"], r["c1"]))
-    assert sorted(got) == sorted(want)
-    for k, rows in got.items():
-        rows = sorted(rows)
-        assert [r[0] for r in rows] == [w[0] for w in want[k]], k
-        for a, b in zip(rows, want[k]):
-            assert a[1] == pytest.approx(b[1], abs=1e-3) and a[2] == pytest.approx(b[2], abs=1e-3), k
+    _same_macro(got, {k: v for k, v in want.items() if v is not None})
+
+
+def test_milestone_centers_against_brute_force(spark):
+    from tiltframe.plans.common import ev_points
+    from tiltframe.plans.queries import MARK_BAND, MARK_HORIZON, MIN_INIT
+
+    pts = [(r["id"], list(r["x"]), r["tick"]) for r in ev_points(spark, SF_SMALL).collect()]
+    total = len(pts)
+    start = min(MIN_INIT, total // 10)
+    snaps = {}
+    brute_online(pts, EV_Q, 2, start, T_FACTOR, M_LAST, DELTA_DAYS, 42, snaps)
+    band, want, run = total // MARK_BAND + 1, {}, 0
+    for day in range(max(d for *_, d in pts) + 1):
+        run += sum(1 for *_, d in pts if d == day)
+        for mark in (total // 4, total * 2 // 4, total * 3 // 4):
+            if mark - band < run <= mark + band and day + 1 in snaps:
+                # at that moment no later snapshot is there, and those that leave with this one still are
+                kept = {t: s for t, s in snaps.items() if t == day + 1 or _live(t, day)}
+                want[mark, day + 1, run] = _macro(kept, None, day + 1, MARK_HORIZON)
+    got = {}
+    for r in E.queries()["milestone_centers"](spark, SF_SMALL).collect():
+        got.setdefault((r["mark"], r["tc"], r["n_total"]), []).append((r["weight"], r["c0"], r["c1"]))
+    assert len({m for m, *_ in want}) == 3
+    _same_macro(got, want)

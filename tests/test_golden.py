@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tiltframe.functions.probit import probit_py
 from tiltframe.operators import snapshots as sn
 from tiltframe.operators.features import cf_aggregate, refresh
-from tiltframe.operators.maintain import reconcile_arrays, refresh_arrays
+from tiltframe.operators.maintain import ClosestPair, OutlierRule, refresh_arrays
 from tiltframe.operators.recency import relevance_stamp
 from tiltframe.params import SnapshotParams
 
@@ -120,17 +120,21 @@ def _outlier_state():
     }
 
 
-def _pt(v, t=100):
-    x = np.array([float(v)])
-    return (1, x, x * x, t, t * t)
+def _run(state, values, recursive=True, t=100):
+    rule = OutlierRule(state, 2.0, recursive, 3)
+    for v in values:
+        rule.add(np.array([float(v)]), t)
+    return rule
 
 
 def test_outlier_rule_recursive():
-    st = reconcile_arrays(_outlier_state(), [_pt(50), _pt(60), _pt(500)], 2.0, True, 3)
+    st = _outlier_state()
+    rule = _run(st, [50, 60, 500])
     assert st["n"].tolist() == [2, 4, 1]
     assert st["cf1x"][0][0] == 110 and st["cf2x"][0][0] == 6100
     assert st["rmsd"][0] == pytest.approx(5.0)
     assert st["ids"][1] == [1, 2] and st["ids"][0] == [3] and st["ids"][2] == [4]
+    assert rule.merged == [(2, 1, 1)] and rule.next_id == 5
     assert st["rmsd"][2] == pytest.approx(445.0)
     st = refresh_arrays(st)
     assert st["centroid"][0][0] == 55 and st["centroid"][1][0] == 10.5 and st["centroid"][2][0] == 500
@@ -139,12 +143,59 @@ def test_outlier_rule_recursive():
 
 
 def test_outlier_rule_not_recursive():
-    st = reconcile_arrays(_outlier_state(), [_pt(50), _pt(60), _pt(500)], 2.0, False, 3)
+    st = _outlier_state()
+    rule = _run(st, [50, 60, 500], recursive=False)
     # 60 merges slots 1 and 2 and takes slot 2; 500 merges 1 and 2 again and takes slot 2
     assert st["n"].tolist() == [1, 5, 1]
     assert st["cf1x"][1][0] == 20 + 22 + 60
     assert st["cf1x"][2][0] == 500
-    assert st["ids"][1] == [1, 2, 4]
+    # the list of slot 1 is 1, 2, 4: its ends, and the log
+    assert st["ids"][1] == [1, 4] and rule.merged == [(2, 1, 1), (4, 1, 2)]
+
+
+@pytest.mark.parametrize("candidates", [0, 1, 2])
+@pytest.mark.parametrize("recursive", [True, False])
+def test_no_outlier_is_lost(candidates, recursive):
+    """Any number of merge candidates: all points are in the state."""
+    r = np.random.default_rng(candidates)
+    q, d = 6, 2
+    c = r.random((q, d)) * 10
+    n = np.array([0, 0, 3, 4, 5, 6])
+    stale = np.array([i < q - candidates for i in range(q)])
+    st = {"ids": [[i] for i in range(q)], "n": n.copy(), "cf1x": c * n[:, None], "cf2x": c * c * n[:, None], "cf1t": n * 7, "cf2t": n * 49,
+          "centroid": c.copy(), "rmsd": np.full(q, 0.5), "stale": stale}
+    lost = n[stale].sum()  # what was stale makes room
+    rule = OutlierRule(st, 0.3, recursive, q)
+    x = r.random((400, d)) * 100
+    for i, v in enumerate(x):
+        rule.add(v, i % 5)
+    assert st["n"].sum() == n.sum() - lost + 400
+    assert st["cf1x"].sum(axis=0) == pytest.approx((c * n[:, None])[~stale].sum(axis=0) + x.sum(axis=0))
+    assert (st["n"] > 0).all() and max(len(v) for v in st["ids"]) <= 2
+    assert len(rule.merged) >= 300 and len({m[0] for m in rule.merged}) == len(rule.merged)
+
+
+def test_one_slot_takes_every_outlier():
+    st = {"ids": [[0]], "n": np.array([2]), "cf1x": np.array([[2.0]]), "cf2x": np.array([[2.0]]), "cf1t": np.array([0]), "cf2t": np.array([0]),
+          "centroid": np.array([[1.0]]), "rmsd": np.array([0.0]), "stale": np.array([False])}
+    _run(st, range(50, 90))
+    assert st["n"].tolist() == [42]
+
+
+def test_closest_pair_kept_up_to_date():
+    r = np.random.default_rng(1)
+    for _ in range(60):
+        q, d = int(r.integers(2, 30)), int(r.integers(1, 4))
+        c = r.integers(0, 6, (q, d)).astype(float)  # many ties
+        slots = np.sort(r.choice(q, size=int(r.integers(2, q + 1)), replace=False))
+        pairs = ClosestPair(slots, c)
+        for _ in range(12):
+            want = min((float(((c[a] - c[b]) ** 2).sum()), int(a), int(b)) for i, a in enumerate(slots) for b in slots[i + 1 :])
+            assert pairs.best() == want[1:]
+            for _ in range(int(r.integers(0, 4))):
+                i = int(r.integers(0, q))
+                c[i] = r.integers(0, 6, d)
+                pairs.moved(i)
 
 
 def test_expire_all_after_gaps(spark, tmp_path):

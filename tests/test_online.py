@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from conftest import SF_SMALL
 from tiltframe.operators.assign import assign, assign_sql, collect_view
 from tiltframe.operators.features import cf_aggregate, cf_apply, refresh
-from tiltframe.operators.maintain import outlier_candidates, outliers_as_candidates, reconcile, update_state
+from tiltframe.operators.maintain import absorb_outliers, merge_rows, state_rows, update_state
 from tiltframe.operators.recency import with_staleness
 from tiltframe.params import OnlineParams, SnapshotParams
 from tiltframe.plans.common import ev_points, ev_state
@@ -161,32 +161,22 @@ def test_fused_update_equals_operator_composition(spark):
     a = assign(batch, view, t_factor=p.t_factor)
     sums = cf_aggregate(a.where("inside"), 2, "x", "tick")
     outl = a.where(~F.col("inside")).select(F.col("tick").alias("seq_tick"), F.col("id").alias("seq_id"), "x")
-    cands = outliers_as_candidates(outl)
     assert outl.count() > 0
-    fused = update_state(st, sums, cands, p, 20)
-    composed = reconcile(with_staleness(cf_apply(st, sums), 20, p.delta, p.m), cands, p, finalize=True)
-    assert _rows(fused) == _rows(composed)
+    fused = update_state(st, sums, outl, p, 20)
+    applied = cf_apply(st, sums)
+    composed = absorb_outliers(applied, outl, p, 20)
+    assert _rows(state_rows(fused)) == _rows(state_rows(composed))
+    assert sorted(merge_rows(fused).collect()) == sorted(merge_rows(composed).collect())
+    # the stamps are those of the DataFrame form
+    stale = {r["slot"] for r in with_staleness(applied, 20, p.delta, p.m).where("stale").collect()}
+    taken = {r["slot"] for r in state_rows(fused).where("ids[0] >= 12").collect()}
+    assert min(len(stale), len(taken)) == len(stale & taken)
     # without outliers the fused update is the plain apply + refresh
-    assert _rows(update_state(st, sums, None, p, 20)) == _rows(refresh(cf_apply(st, sums)))
-
-
-def test_candidates_preserve_cf_totals(spark):
-    pts = ev_points(spark, SF_SMALL)
-    outl = pts.select(F.col("tick").alias("seq_tick"), F.col("id").alias("seq_id"), "x")
-    raw = pts.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("x")[0]).alias("s0"), F.sum("tick").alias("t"), F.sum(F.col("tick") * F.col("tick")).alias("t2")).first()
-    seen = []
-    for parts in (1, 3, 8):
-        c = outlier_candidates(outl.repartition(parts), 2, 25).collect()
-        assert len(c) == 25
-        assert sum(r["n"] for r in c) == raw["n"]
-        assert sum(r["cf1x"][0] for r in c) == pytest.approx(raw["s0"])
-        assert (sum(r["cf1t"] for r in c), sum(r["cf2t"] for r in c)) == (raw["t"], raw["t2"])
-        seen.append(sorted((r["seq_id"], r["n"], round(r["cf1x"][0], 6), r["cf2t"]) for r in c))
-    assert seen[0] == seen[1] == seen[2]
-    # up to the limit every outlier is its own candidate, in arrival order
-    whole = sorted(outlier_candidates(outl, 2, 100_000).collect(), key=lambda r: r["seq_id"])
-    plain = sorted(outliers_as_candidates(outl).collect(), key=lambda r: (r["seq_tick"], r["seq_id"]))
-    assert [(r["n"], r["cf1x"], r["cf1t"]) for r in whole] == [(r["n"], r["cf1x"], r["cf1t"]) for r in plain]
+    assert _rows(state_rows(update_state(st, sums, None, p, 20))) == _rows(refresh(applied))
+    # nothing in, nothing out; broken rows alone are counted
+    assert update_state(st, sums.limit(0), outl.limit(0), p, 20).count() == 0
+    broken = sums.limit(0).unionByName(sums.limit(1).select(F.lit(None).cast("int").alias("slot"), F.lit(4).cast("long").alias("n"), *[c for c in sums.columns if c not in ("slot", "n")]), allowMissingColumns=True)
+    assert {(r["n_batch"], r["n_broken"]) for r in update_state(st, broken, None, p, 20).collect()} == {(0, 4)}
 
 
 def test_state_does_not_depend_on_partitions(spark):

@@ -150,14 +150,15 @@ FUSED_SCHEMA = T.StructType(
 )
 
 
-def assign_and_summarize(points: DataFrame, view: CenterView, t_factor: float | None, x="x", tick="tick", order="id") -> DataFrame:
+def assign_and_summarize(points: DataFrame, view: CenterView, t_factor: float | None, x="x", tick="tick", order="id", bad: str | None = None) -> DataFrame:
     """One narrow pass over the batch.
 
     Inside points are summed per slot across all Arrow batches of a task
     (map-side pre-aggregation: at most q rows leave a partition, whatever
     the skew of the slots); outliers stream out as single rows with their
     arrival key (``seq_tick``, ``seq_id``). ``t_factor=None``: every point
-    is inside (first batch after an initialisation).
+    is inside (first batch after an initialisation). Rows whose flag ``bad``
+    holds are only counted, in one row of kind 2 a task.
     """
     C, slots, R, dim = view.centers, view.slots, view.rmsd, view.dim
     q = len(slots)
@@ -168,7 +169,12 @@ def assign_and_summarize(points: DataFrame, view: CenterView, t_factor: float |
         s2 = np.zeros((q, dim))
         t1 = np.zeros(q, dtype=np.int64)
         t2 = np.zeros(q, dtype=np.int64)
+        broken = 0
         for b in batches:
+            if bad is not None:
+                whole = ~b.column(b.schema.get_field_index(bad)).to_numpy(zero_copy_only=False).astype(bool)
+                broken += int((~whole).sum())
+                b = b.filter(pa.array(whole))
             if b.num_rows == 0:
                 continue
             X = vectors_of(b, x, dim)
@@ -204,6 +210,10 @@ def assign_and_summarize(points: DataFrame, view: CenterView, t_factor: float |
                 )
         present = np.nonzero(n)[0]
         k = present.size
+        if broken:
+            none = [pa.nulls(1, f.type) for f in _FUSED_ARROW]
+            none[0], none[2] = pa.array([2], pa.int8()), pa.array([broken], pa.int64())
+            yield pa.RecordBatch.from_arrays(none, schema=_FUSED_ARROW)
         if k:
             yield pa.RecordBatch.from_arrays(
                 [
@@ -221,7 +231,7 @@ def assign_and_summarize(points: DataFrame, view: CenterView, t_factor: float |
                 schema=_FUSED_ARROW,
             )
 
-    return points.select(x, tick, order).mapInArrow(kernel, FUSED_SCHEMA)
+    return points.select(x, tick, order, *([bad] if bad else [])).mapInArrow(kernel, FUSED_SCHEMA)
 
 
 _FUSED_ARROW = pa.schema(

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.uniform import uniform
 from ..functions.vec import centroid
 
 
@@ -44,12 +45,21 @@ def weight_intervals(cw: DataFrame, key: list[str] | None = None) -> DataFrame:
     return out.withColumn("hi", F.when(F.col("slot") == F.max("slot").over(mx), F.lit(float("inf"))).otherwise(F.col("hi")))
 
 
+def stream_of(key: list) -> int:
+    """Stream number of a key's draws (0 without a key)."""
+    out = 0
+    for v in key:
+        out = (out * 1_000_003 + int(v) + 1) % (1 << 31)
+    return out
+
+
 def weighted_sample(cw: DataFrame, num_points: int, seed: int | None = 42, key: list[str] | None = None, deterministic: bool = False) -> DataFrame:
     """``num_points`` draws with replacement by weight, as counts per center:
     rows ``key…, slot, center, draws`` with at least one draw. The draws are
     never rows: with ``deterministic`` (u = (i + 0.5)/N) the count of an
-    interval has a closed form, else each key's group (its micro-clusters)
-    takes one multinomial draw of its own."""
+    interval has a closed form, else draw i is the counter-based number of
+    index i (``functions.uniform``; every key has a stream of its own), met
+    with the cumulative intervals of the key's group (its micro-clusters)."""
     key = key or []
     iv = weight_intervals(cw, key)
     if deterministic:
@@ -61,9 +71,9 @@ def weighted_sample(cw: DataFrame, num_points: int, seed: int | None = 42, key:
 
     def fn(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("slot")
-        w = pdf["weight"].to_numpy(np.float64)
-        rng = np.random.default_rng([abs(hash(v)) % 2**32 for v in (seed or 0, *(pdf[k].iloc[0] for k in key))])
-        pdf = pdf.assign(draws=rng.multinomial(num_points, w / w.sum()))
+        u = uniform(seed or 0, stream_of([pdf[k].iloc[0] for k in key]), np.arange(num_points))
+        at = np.searchsorted(pdf["lo"].to_numpy(np.float64), u, side="right") - 1
+        pdf = pdf.assign(draws=np.bincount(np.maximum(at, 0), minlength=len(pdf)))
         return pdf[pdf["draws"] > 0][[f.name for f in schema.fields]]
 
     grouped = iv.groupBy(*key) if key else iv.groupBy(F.lit(0).alias("_g"))
@@ -176,6 +186,12 @@ def centers_csv(centers: DataFrame, center: str = "center", fmt: str | None = No
     return centers.select(*[c for c in centers.columns if c != center], F.array_join(F.transform(center, el), ",").alias("line"))
 
 
-def append_centers(centers: DataFrame, path: str, center: str = "center", fmt: str | None = None) -> None:
-    """Sink: append the CSV lines of the centers to a text folder."""
-    centers_csv(centers, center, fmt).select("line").write.mode("append").text(path)
+def append_centers(centers: DataFrame, path: str, center: str = "center", fmt: str | None = None, batch: int | None = None) -> None:
+    """Sink: add the CSV lines of the centers to a text folder. With ``batch``
+    they are that batch's folder, which a replay overwrites; without it every
+    call adds lines."""
+    lines = centers_csv(centers, center, fmt).select("line").coalesce(1)
+    if batch is None:
+        lines.write.mode("append").text(path)
+    else:
+        lines.write.mode("overwrite").text(f"{path.rstrip('/')}/batch={int(batch)}")

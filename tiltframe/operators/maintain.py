@@ -1,18 +1,19 @@
 """Outlier handling: absorb, replace stale slots, merge the closest pair.
 
-The rule is order dependent (outliers are handled one by one in arrival
-order). No task ever holds an unbounded number of rows:
+The rule is order dependent (outliers are handled one by one in arrival order),
+so ``update_state`` runs it in ONE task that reads the state rows, the batch's
+sums and then the outliers as a sorted stream: Spark's sort spills, the task
+holds q micro-clusters and one Arrow batch of outliers, however many there are.
+The result depends neither on partitions nor on batch sizes.
 
-1. ``fold_outliers`` sorts the outliers by arrival key into a table of the
-   shared folder and takes them in consecutive chunks of ``max_candidates``.
-2. ``reconcile`` (or ``update_state`` for the first): ONE group holding the q
-   state rows and a chunk applies the sequential rule against the state that
-   the chunk before wrote, with the list of micro-clusters created so far.
-   The rule is exact at every size, and the result does not depend on
-   partitions or on the chunk size.
+No point is lost: an outlier is absorbed by a micro-cluster made in this batch,
+takes a stale slot, or the closest pair of the merge candidates makes room for
+it (with fewer than two candidates the closest pair of all slots, those made in
+this batch included; a single slot takes the outlier in).
 
-``outlier_candidates`` folds outliers into few CFs without the rule; the
-engine does not use it.
+Lineage: a slot keeps its primary id and the last id of its list; each merge
+is one row (id, into, after) of a log (``operators.lineage``), so the state has
+the same size after any number of merges.
 
 The DataFrame forms ``replace_stale``, ``closest_pair`` and ``merge_pair``
 express the individual steps with built-in operators.
@@ -23,7 +24,6 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,123 +32,169 @@ from pyspark.sql import types as T
 from ..functions.probit import probit_py
 from ..functions.vec import centroid, rmsd_formula, sqdist_sql
 from ..params import STATE_SCHEMA, OnlineParams
-from .assign import list_array, nearest, vectors_of
-from .features import cf_merge_partials, check_ticks
+from .assign import list_array, vectors_of
+from .lineage import MERGE_FIELDS
+
 
 def _rmsd(n, c1, c2) -> float:
-    v = float(np.sum(c2)) / n - float(np.sum(c1 * c1)) / (n * float(n))
-    return math.sqrt(max(v, 0.0))
+    v = float(np.add.reduce(c2)) / n - float(np.add.reduce(c1 * c1)) / (n * float(n))
+    return math.sqrt(v) if v > 0.0 else 0.0
 
 
 def _nearest_nonzero(p, centers) -> float:
     if len(centers) == 0:
         return math.inf
-    d = np.einsum("ij,ij->i", centers - p, centers - p)
-    d = d[d != 0.0]
-    return math.sqrt(float(d.min())) if d.size else math.inf
+    diff = centers - p
+    d = np.einsum("ij,ij->i", diff, diff)
+    d[d == 0.0] = np.inf
+    return math.sqrt(d.min())
 
 
 # ---------------------------------------------------------------------------
 # sequential rule against the state
 
 
-def reconcile_arrays(state: dict, cands: list, t_factor: float, recursive: bool, next_id: int):
-    """Apply the outlier rule, in order, to ``cands`` against ``state``.
-
-    ``state``: dict of numpy arrays over q slots sorted by slot:
-    ids (list of lists), n, cf1x (q,d), cf2x (q,d), cf1t, cf2t, centroid
-    (q,d: the view at batch start), rmsd (q), stale (q bool), stamp (q).
-    ``cands``: list of (n, cf1x, cf2x, cf1t, cf2t) in arrival order.
-    Mutates and returns ``state`` (the view columns are updated the way the
-    batch updates them; the caller runs the end-of-batch refresh). What the
-    next chunk of a batch needs is kept in ``made`` (slots of the
-    micro-clusters created, in order), ``used`` (stale slots taken) and
-    ``next_id``.
-    """
-    n = state["n"]
-    c1, c2 = state["cf1x"], state["cf2x"]
-    t1, t2 = state["cf1t"], state["cf2t"]
-    cen, rad = state["centroid"], state["rmsd"]
-    ids = state["ids"]
-    q = len(n)
-    safe = [i for i in range(q) if state["stale"][i]]
-    keep = [i for i in range(q) if not state["stale"][i]]
-    new_mc: list[int] = state.get("made", [])
-    j = state.get("used", 0)
-
-    def take(i, cn, cx1, cx2, ct1, ct2):
-        nonlocal next_id
-        n[i], c1[i], c2[i], t1[i], t2[i] = cn, cx1.copy(), cx2.copy(), ct1, ct2
-        ids[i] = [next_id]
-        next_id += 1
-        cen[i] = cx1 / cn
-        rad[i] = _rmsd(cn, cx1, cx2) if cn > 1 else _nearest_nonzero(cen[i], cen)
-        update_pairs(i)
-
-    keep_idx = np.array(keep, dtype=np.int64)
-    pairs = None  # squared distances of the merge candidates, kept up to date
-
-    def update_pairs(i):
-        """Slot i has a new centroid: its row and column of ``pairs``."""
-        at = int(np.searchsorted(keep_idx, i))
-        if pairs is None or at >= len(keep_idx) or keep_idx[at] != i:
-            return
-        diff = cen[keep_idx] - cen[i]
-        d2 = np.einsum("ij,ij->i", diff, diff)
-        pairs[at, at + 1 :], pairs[:at, at] = d2[at + 1 :], d2[:at]
-
-    for cn, cx1, cx2, ct1, ct2 in cands:
-        p = cx1 / cn
-        bi = -1
-        if recursive and new_mc:
-            idx = np.array(new_mc, dtype=np.int64)
-            diff = c1[idx] / n[idx][:, None] - p
+class ClosestPair:
+    """Closest pair of some slots, kept up to date: each slot knows its nearest
+    later slot. A moved center costs its own row and the rows that pointed at
+    it; the others only look at the moved one. Ties go to the lowest (a, b)."""
+
+    def __init__(self, slots: np.ndarray, centers: np.ndarray):
+        self.slots, self.all = slots, centers
+        self.own = centers[slots]
+        k = len(slots)
+        self.at = {int(s): i for i, s in enumerate(slots)}
+        self.places = np.arange(k)
+        self.near, self.mate = np.full(k, np.inf), np.full(k, -1, dtype=np.int64)
+        self.changed: set[int] = set()
+        for a in range(0, k, 64):
+            self._rows(self.places[a : a + 64])
+
+    def _rows(self, rows: np.ndarray) -> None:
+        diff = self.own[None] - self.own[rows][:, None]
+        d2 = np.einsum("ijk,ijk->ij", diff, diff)
+        d2[self.places[None] <= rows[:, None]] = np.inf
+        j = d2.argmin(axis=1)
+        self.near[rows], self.mate[rows] = d2[self.places[: len(rows)], j], j
+
+    def moved(self, slot: int) -> None:
+        i = self.at.get(slot)
+        if i is not None:
+            self.changed.add(i)
+
+    def best(self) -> tuple[int, int]:
+        if self.changed:
+            changed = np.array(sorted(self.changed))
+            self.changed.clear()
+            own, places = self.own, self.places
+            own[changed] = self.all[self.slots[changed]]
+            pointed = (self.mate[:, None] == changed).any(axis=1)
+            pointed[changed] = False
+            diff = own[None] - own[changed][:, None]
+            d2 = np.einsum("ijk,ijk->ij", diff, diff)
+            later = places > changed[:, None]
+            # the moved ones as partners of earlier slots: the lowest of the nearest
+            seen = np.where(places < changed[:, None], d2, np.inf)
+            j = seen.argmin(axis=0)
+            low, who = seen[j, places], changed[j]
+            closer = (low < self.near) | ((low == self.near) & (who < self.mate))
+            self.near[closer], self.mate[closer] = low[closer], who[closer]
+            # their own partners, and those of the slots that pointed at them
+            d2[~later] = np.inf
+            j = d2.argmin(axis=1)
+            self.near[changed], self.mate[changed] = d2[places[: len(changed)], j], j
+            rows = pointed.nonzero()[0]
+            for a in range(0, len(rows), 64):
+                self._rows(rows[a : a + 64])
+        a = int(self.near.argmin())
+        return int(self.slots[a]), int(self.slots[self.mate[a]])
+
+
+class OutlierRule:
+    """The rule over the arrays of q slots, one outlier after the other.
+
+    ``state``: numpy arrays sorted by slot: ids (list of lists: primary id, and
+    the last of its list if there are more), n, cf1x (q, d), cf2x (q, d), cf1t,
+    cf2t, centroid (q, d: the view at batch start), rmsd, stale. They are
+    changed in place, the view as the batch goes on; the end-of-batch refresh
+    is the caller's. ``merged`` holds the merges in order as (id, into, after):
+    ``after`` is the last id of ``into``'s list before the merge."""
+
+    def __init__(self, state: dict, t_factor: float, recursive: bool, next_id: int):
+        self.s, self.t_factor, self.recursive, self.next_id = state, t_factor, recursive, next_id
+        self.safe = [i for i in range(len(state["n"])) if state["stale"][i]]
+        keep = [i for i in range(len(state["n"])) if not state["stale"][i]]
+        self.keep = np.array(keep if len(keep) > 1 else range(len(state["n"])), dtype=np.int64)
+        self.used = 0
+        self.pairs: ClosestPair | None = None
+        self.made: list[int] = []  # slots of the micro-clusters of this batch, in order
+        self.place: dict[int, int] = {}
+        self.centers = np.zeros_like(state["cf1x"])  # those of ``made``
+        self.merged: list[tuple[int, int, int]] = []
+
+    def _moved(self, i: int) -> None:
+        s = self.s
+        s["centroid"][i] = s["cf1x"][i] / s["n"][i]
+        if i in self.place:
+            self.centers[self.place[i]] = s["centroid"][i]
+        if self.pairs is not None:
+            self.pairs.moved(i)
+
+    def _join(self, i: int, x, t: int) -> None:
+        s = self.s
+        s["n"][i] += 1
+        s["cf1x"][i] += x
+        s["cf2x"][i] += x * x
+        s["cf1t"][i] += t
+        s["cf2t"][i] += t * t
+        if 2 * int(s["cf2t"][i]) >= 1 << 63:
+            raise OverflowError("sums of squared ticks leave 64 bits: count ticks from a later origin or in longer intervals")
+        self._moved(i)
+        s["rmsd"][i] = _rmsd(int(s["n"][i]), s["cf1x"][i], s["cf2x"][i])
+
+    def _take(self, i: int, x, t: int) -> None:
+        s = self.s
+        s["n"][i], s["cf1x"][i], s["cf2x"][i], s["cf1t"][i], s["cf2t"][i] = 1, x, x * x, t, t * t
+        s["ids"][i] = [self.next_id]
+        self.next_id += 1
+        if i not in self.place:  # a slot taken again: its first place decides ties
+            self.place[i] = len(self.made)
+            self.made.append(i)
+        self._moved(i)
+        s["rmsd"][i] = _nearest_nonzero(s["centroid"][i], s["centroid"])
+
+    def _merge(self) -> int:
+        """Merge the closest pair; the slot that is free then."""
+        s = self.s
+        if self.pairs is None:
+            self.pairs = ClosestPair(self.keep, s["centroid"])
+        a, b = self.pairs.best()
+        for f in ("n", "cf1x", "cf2x", "cf1t", "cf2t"):
+            s[f][a] += s[f][b]
+        ia, ib = s["ids"][a], s["ids"][b]
+        self.merged.append((ib[0], ia[0], ia[-1]))
+        s["ids"][a] = [ia[0], ib[-1]]
+        self._moved(a)
+        s["rmsd"][a] = _rmsd(int(s["n"][a]), s["cf1x"][a], s["cf2x"][a])
+        return b
+
+    def add(self, x: np.ndarray, t: int) -> None:
+        m = len(self.made)
+        if self.recursive and m:
+            diff = self.centers[:m] - x
             d2 = np.einsum("ij,ij->i", diff, diff)
             k = int(np.argmin(d2))  # first minimum: order of creation, as a strict < scan
-            bi, best = int(idx[k]), float(d2[k])
-        if bi >= 0 and math.sqrt(best) <= t_factor * rad[bi]:
-            n[bi] += cn
-            c1[bi] += cx1
-            c2[bi] += cx2
-            t1[bi] += ct1
-            t2[bi] += ct2
-            check_ticks(np.zeros(0), 2.0 * float(t2[bi]))
-            cen[bi] = c1[bi] / n[bi]
-            rad[bi] = _rmsd(n[bi], c1[bi], c2[bi])
-            update_pairs(bi)
-        elif j < len(safe):
-            take(safe[j], cn, cx1, cx2, ct1, ct2)
-            new_mc.append(safe[j])
-            j += 1
+            i = self.made[k]
+            if math.sqrt(d2[k]) <= self.t_factor * self.s["rmsd"][i]:
+                self._join(i, x, t)
+                return
+        if self.used < len(self.safe):
+            self.used += 1
+            self._take(self.safe[self.used - 1], x, t)
+        elif len(self.s["n"]) == 1:
+            self._join(0, x, t)
         else:
-            a = -1
-            if len(keep) >= 2:
-                if pairs is None:
-                    pairs = np.full((len(keep), len(keep)), np.inf)
-                    for i in keep:
-                        update_pairs(i)
-                flat = int(np.argmin(pairs))  # row-major first minimum: lowest (a, b) on ties
-                ia, ib = divmod(flat, len(keep))
-                if np.isfinite(pairs[ia, ib]):
-                    a, b = int(keep_idx[ia]), int(keep_idx[ib])
-            if a < 0:
-                # fewer than two merge candidates: reuse the slot with the oldest stamp
-                b = int(np.argmin(state["stamp"]))
-            else:
-                n[a] += n[b]
-                c1[a] += c1[b]
-                c2[a] += c2[b]
-                t1[a] += t1[b]
-                t2[a] += t2[b]
-                ids[a] = list(ids[a]) + list(ids[b])
-                cen[a] = c1[a] / n[a]
-                rad[a] = _rmsd(n[a], c1[a], c2[a])
-                update_pairs(a)
-            take(b, cn, cx1, cx2, ct1, ct2)
-            if b not in new_mc:  # a slot taken again: its first place decides ties
-                new_mc.append(b)
-    state["made"], state["used"], state["next_id"] = new_mc, j, next_id
-    return state
+            self._take(self._merge(), x, t)
 
 
 def refresh_arrays(state: dict) -> dict:
@@ -166,215 +212,169 @@ def refresh_arrays(state: dict) -> dict:
     return state
 
 
-#: State between two chunks of a batch's outliers.
-CARRY_SCHEMA = T.StructType(
-    STATE_SCHEMA.fields
-    + [
-        T.StructField("stale", T.BooleanType()),
-        T.StructField("stamp", T.DoubleType()),
-        T.StructField("made", T.ArrayType(T.IntegerType())),
-        T.StructField("used", T.IntegerType()),
-        T.StructField("next_id", T.LongType()),
-    ]
-)
+# ---------------------------------------------------------------------------
+# one-task state update of the online step
 
+#: What a step's state rows carry besides the state: the first unused id, the
+#: points folded and the broken rows met.
+COUNT_FIELDS = [T.StructField(c, T.LongType()) for c in ("next_id", "n_batch", "n_broken")]
 
-def _carried(out: dict, slots) -> dict:
-    """The columns that ``CARRY_SCHEMA`` has besides the state's."""
-    q = len(slots)
-    made = [int(slots[i]) for i in out["made"]]
-    return {"stale": out["stale"], "stamp": out["stamp"], "made": [made] * q, "used": np.full(q, out["used"], np.int32), "next_id": np.full(q, out["next_id"], np.int64)}
-
-
-RECON_IN = T.StructType(
-    [
-        T.StructField("kind", T.ByteType()),
-        T.StructField("slot", T.IntegerType()),
-        T.StructField("ids", T.ArrayType(T.LongType())),
-        T.StructField("n", T.LongType()),
-        T.StructField("cf1x", T.ArrayType(T.DoubleType())),
-        T.StructField("cf2x", T.ArrayType(T.DoubleType())),
-        T.StructField("cf1t", T.LongType()),
-        T.StructField("cf2t", T.LongType()),
-        T.StructField("centroid", T.ArrayType(T.DoubleType())),
-        T.StructField("rmsd", T.DoubleType()),
-        T.StructField("stale", T.BooleanType()),
-        T.StructField("stamp", T.DoubleType()),
-        T.StructField("seq_tick", T.LongType()),
-        T.StructField("seq_id", T.LongType()),
-    ]
+#: Rows of a step: the new state (kind "state") and its merges (kind "merge").
+STEP_SCHEMA = T.StructType(
+    [T.StructField("kind", T.StringType())]
+    + [T.StructField(f.name, f.dataType) for f in STATE_SCHEMA.fields]
+    + COUNT_FIELDS
+    + MERGE_FIELDS
 )
 
 
-def reconcile(state_with_stale: DataFrame, candidates: DataFrame, params: OnlineParams, finalize: bool = True, carry: bool = False) -> DataFrame:
-    """State (q rows with ``stale``/``stamp``) + bounded candidates -> new
-    state, in one group of at most q + max_candidates rows. ``finalize``
-    also runs the end-of-batch refresh in the same group; ``carry`` keeps what
-    the next chunk needs (``CARRY_SCHEMA``)."""
-    known = "made" in state_with_stale.columns
-    s = state_with_stale.select(
-        F.lit(0).cast("byte").alias("kind"),
-        "slot", "ids", "n", "cf1x", "cf2x", "cf1t", "cf2t", "centroid", "rmsd", "stale", "stamp",
-        F.lit(None).cast("long").alias("seq_tick"),
-        F.lit(None).cast("long").alias("seq_id"),
-        (F.col("made") if known else F.lit(None).cast("array<int>")).alias("made"),
-        (F.col("used") if known else F.lit(0)).alias("used"),
-        (F.col("next_id") if known else F.lit(0).cast("long")).alias("next_id"),
-    )
-    c = candidates.select(
-        F.lit(1).cast("byte").alias("kind"),
-        F.lit(None).cast("int").alias("slot"),
-        F.lit(None).cast("array<bigint>").alias("ids"),
-        "n", "cf1x", "cf2x", "cf1t", "cf2t",
-        F.lit(None).cast("array<double>").alias("centroid"),
-        F.lit(None).cast("double").alias("rmsd"),
-        F.lit(None).cast("boolean").alias("stale"),
-        F.lit(None).cast("double").alias("stamp"),
-        "seq_tick", "seq_id",
-        F.lit(None).cast("array<int>").alias("made"),
-        F.lit(0).alias("used"),
-        F.lit(0).cast("long").alias("next_id"),
-    )
-    t_factor, recursive = params.t_factor, params.recursive_outliers
-
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        st = pdf[pdf["kind"] == 0].sort_values("slot").reset_index(drop=True)
-        cd = pdf[pdf["kind"] == 1].sort_values(["seq_tick", "seq_id"])
-        state = {
-            "ids": [list(map(int, v)) for v in st["ids"]],
-            "n": st["n"].to_numpy(np.int64).copy(),
-            "cf1x": np.stack(st["cf1x"].to_numpy()).astype(np.float64),
-            "cf2x": np.stack(st["cf2x"].to_numpy()).astype(np.float64),
-            "cf1t": st["cf1t"].to_numpy(np.int64).copy(),
-            "cf2t": st["cf2t"].to_numpy(np.int64).copy(),
-            "centroid": np.stack(st["centroid"].to_numpy()).astype(np.float64),
-            "rmsd": st["rmsd"].to_numpy(np.float64).copy(),
-            "stale": st["stale"].to_numpy(bool),
-            "stamp": st["stamp"].to_numpy(np.float64),
-        }
-        next_id = max(max(v) for v in state["ids"] if len(v)) + 1
-        if known:
-            at = {int(v): i for i, v in enumerate(st["slot"])}
-            state["made"], state["used"], next_id = [at[int(v)] for v in st["made"][0]], int(st["used"][0]), int(st["next_id"][0])
-        cands = [
-            (int(r.n), np.asarray(r.cf1x, dtype=np.float64), np.asarray(r.cf2x, dtype=np.float64), int(r.cf1t), int(r.cf2t))
-            for r in cd.itertuples(index=False)
-        ]
-        out = reconcile_arrays(state, cands, t_factor, recursive, next_id)
-        if finalize:
-            out = refresh_arrays(out)
-        return pd.DataFrame(
-            {
-                "slot": st["slot"].astype(np.int32),
-                "ids": out["ids"],
-                "n": out["n"],
-                "cf1x": list(out["cf1x"]),
-                "cf2x": list(out["cf2x"]),
-                "cf1t": out["cf1t"],
-                "cf2t": out["cf2t"],
-                "centroid": list(out["centroid"]),
-                "rmsd": out["rmsd"],
-                **(_carried(out, st["slot"].to_numpy()) if carry else {}),
-            }
-        )
-
-    both = s.unionByName(c)
-    return both.groupBy(F.lit(0).alias("_g")).applyInPandas(fn, CARRY_SCHEMA if carry else STATE_SCHEMA)
-
+def state_rows(step: DataFrame) -> DataFrame:
+    """The state of a step as a table of ``STATE_SCHEMA``."""
+    return step.where("kind = 'state'").select(*STATE_SCHEMA.fieldNames())
 
-# ---------------------------------------------------------------------------
-# bounded candidates
 
+def merge_rows(step: DataFrame) -> DataFrame:
+    """The merges of a step (id, into, after, seq)."""
+    return step.where("kind = 'merge'").select(*(f.name for f in MERGE_FIELDS))
 
-def outlier_candidates(outliers: DataFrame, dim: int, limit: int) -> DataFrame:
-    """Outliers (``seq_tick, seq_id, x``) folded into at most ``limit``
-    candidate CFs: the first ``limit`` by arrival key lead, the others join
-    their nearest leader (ties go to the earliest)."""
-    first = outliers.orderBy("seq_tick", "seq_id").limit(limit).select("seq_tick", "seq_id", "x").collect()  # bounded: limit x dim
-    first.sort(key=lambda r: (r["seq_tick"], r["seq_id"]))
-    spot = {}
-    for i, r in enumerate(first):
-        spot.setdefault((r["seq_tick"], r["seq_id"]), i)
-    centers = np.array([r["x"] for r in first], dtype=np.float64).reshape(len(first), dim)
-    q = len(first)
 
-    def kernel(batches):
-        n, t1, t2 = (np.zeros(q, dtype=np.int64) for _ in range(3))
-        s1, s2 = np.zeros((q, dim)), np.zeros((q, dim))
-        for b in batches:
-            if not b.num_rows:
-                continue
-            X = vectors_of(b, "x", dim)
-            tick, ident = (b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("seq_tick", "seq_id"))
-            own = np.array([spot.get(k, -1) for k in zip(tick.tolist(), ident.tolist())], dtype=np.int64)
-            later = own < 0
-            if later.any():
-                own[later] = nearest(X[later], centers)[0]
-            check_ticks(tick, float(t2.max(initial=0)))
-            n += np.bincount(own, minlength=q)
-            np.add.at(s1, own, X)
-            np.add.at(s2, own, X * X)
-            np.add.at(t1, own, tick)
-            np.add.at(t2, own, tick * tick)
-        k = np.flatnonzero(n)
-        if len(k):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(k), pa.array(n[k]), list_array(s1[k]), list_array(s2[k]), pa.array(t1[k]), pa.array(t2[k])],
-                names=["slot", "n", "cf1x", "cf2x", "cf1t", "cf2t"],
-            )
-
-    part = outliers.select("seq_tick", "seq_id", "x").mapInArrow(
-        kernel, "slot long, n long, cf1x array<double>, cf2x array<double>, cf1t long, cf2t long"
-    )
-    return cf_merge_partials(part, dim).select(
-        F.lit(0).cast("long").alias("seq_tick"), F.col("slot").alias("seq_id"), "n", "cf1x", "cf2x", "cf1t", "cf2t"
-    )
+def _stamp_np(n, t1, t2, m):
+    out = np.zeros(len(n))
+    for i in range(len(n)):
+        nd = float(n[i])
+        mu = t1[i] / nd if nd > 0 else 0.0
+        if nd < 2.0 * m:
+            out[i] = mu
+        else:
+            sigma = math.sqrt(max(t2[i] / nd - mu * mu, 0.0))
+            out[i] = mu + sigma * probit_py(1.0 - m / (2.0 * nd))
+    return out
 
 
-def fold_outliers(start, outliers: DataFrame, n_out: int, params: OnlineParams, folder: str) -> DataFrame:
-    """New state after ``n_out`` outliers (``seq_tick, seq_id, x``), in chunks
-    of ``max_candidates`` by arrival. ``start(candidates, last)`` applies the
-    first chunk; ``last``: refreshed state, else ``CARRY_SCHEMA``. ``folder``
-    (shared) takes the sorted outliers and the state between chunks."""
-    limit = params.max_candidates
-    if n_out <= limit:
-        return start(outliers_as_candidates(outliers), True)
-    spark = outliers.sparkSession
-
-    def keep(df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(f"{folder}/{name}")
-        return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
-
-    # ids of rows grow along the sort: partition number, then place in it
-    rows = outliers.select("seq_tick", "seq_id", "x").orderBy("seq_tick", "seq_id", "x").withColumn("row", F.monotonically_increasing_id())
-    rows = keep(rows, "sorted")
-    sizes = rows.groupBy(F.shiftright("row", 33).alias("part")).count().orderBy("part").collect()  # one row per partition
-    edges, before = [], 0
-    for r in sizes:
-        while len(edges) * limit < before + r["count"]:
-            edges.append((r["part"] << 33) + len(edges) * limit - before)
-        before += r["count"]
-    state = None
-    for i, low in enumerate(edges):
-        last = i + 1 == len(edges)
-        chunk = rows.where(F.col("row") >= low)
-        chunk = outliers_as_candidates(chunk if last else chunk.where(F.col("row") < edges[i + 1]))
-        state = start(chunk, last) if i == 0 else reconcile(state, chunk, params, finalize=last, carry=not last)
-        if not last:
-            state = keep(state, f"chunk-{i}")
+def _arrays(rows: list[dict], sums: list[dict]) -> dict:
+    """The state rows (sorted by slot) with the batch's sums added."""
+    rows = sorted(rows, key=lambda r: r["slot"])
+    state = {
+        "slot": np.array([r["slot"] for r in rows], dtype=np.int32),
+        "ids": [list(r["ids"]) for r in rows],
+        "n": np.array([r["n"] for r in rows], dtype=np.int64),
+        "cf1x": np.array([r["cf1x"] for r in rows], dtype=np.float64),
+        "cf2x": np.array([r["cf2x"] for r in rows], dtype=np.float64),
+        "cf1t": np.array([r["cf1t"] for r in rows], dtype=np.int64),
+        "cf2t": np.array([r["cf2t"] for r in rows], dtype=np.int64),
+        "centroid": np.array([r["centroid"] for r in rows], dtype=np.float64),
+        "rmsd": np.array([r["rmsd"] for r in rows], dtype=np.float64),
+    }
+    known = [r["next_id"] for r in rows if r["next_id"] is not None]
+    state["next_id"] = known[0] if known else max((i for v in state["ids"] for i in v), default=-1) + 1
+    state["n_broken"] = sum(r["n"] for r in sums if r["slot"] is None)
+    sums = [r for r in sums if r["slot"] is not None]
+    state["n_batch"] = sum(r["n"] for r in sums)
+    at = {int(s): i for i, s in enumerate(state["slot"])}
+    for r in sums:
+        i = at[r["slot"]]
+        state["n"][i] += r["n"]
+        state["cf1x"][i] += np.array(r["cf1x"])
+        state["cf2x"][i] += np.array(r["cf2x"])
+        state["cf1t"][i] += r["cf1t"]
+        state["cf2t"][i] += r["cf2t"]
+    if max([float(v) for v in state["cf2t"]], default=0.0) >= 2.0**62:
+        raise OverflowError("sums of squared ticks come near 64 bits: count ticks from a later origin or in longer intervals")
     return state
 
 
-def outliers_as_candidates(outliers: DataFrame) -> DataFrame:
-    """Raw outliers as single-point CFs."""
-    return outliers.select(
-        "seq_tick", "seq_id",
-        F.lit(1).cast("long").alias("n"),
-        F.col("x").alias("cf1x"),
-        F.transform("x", lambda v: v * v).alias("cf2x"),
-        F.col("seq_tick").alias("cf1t"),
-        (F.col("seq_tick") * F.col("seq_tick")).alias("cf2t"),
-    )
+def _step_batch(state: dict, merged: list) -> pa.RecordBatch:
+    q, k = len(state["n"]), len(merged)
+    none = lambda t: pa.nulls(k, t)
+    vec = pa.list_(pa.float64())
+    both = lambda a, t: pa.concat_arrays([a.cast(t), none(t)])
+    log = lambda v: pa.concat_arrays([pa.nulls(q, pa.int64()), pa.array(v, pa.int64())])
+    columns = [
+        pa.array(["state"] * q + ["merge"] * k),
+        both(pa.array(state["slot"]), pa.int32()),
+        both(pa.array(state["ids"], pa.list_(pa.int64())), pa.list_(pa.int64())),
+        both(pa.array(state["n"]), pa.int64()),
+        both(list_array(state["cf1x"]), vec),
+        both(list_array(state["cf2x"]), vec),
+        both(pa.array(state["cf1t"]), pa.int64()),
+        both(pa.array(state["cf2t"]), pa.int64()),
+        both(list_array(state["centroid"]), vec),
+        both(pa.array(state["rmsd"]), pa.float64()),
+        *(both(pa.array([state[f.name]] * q, pa.int64()), pa.int64()) for f in COUNT_FIELDS),
+        log([m[0] for m in merged]), log([m[1] for m in merged]), log([m[2] for m in merged]), log(range(k)),
+    ]
+    return pa.RecordBatch.from_arrays(columns, names=STEP_SCHEMA.fieldNames())
+
+
+def update_state(state: DataFrame, sums: DataFrame | None, outliers: DataFrame | None, params: OnlineParams, now: int) -> DataFrame:
+    """The whole end of an online step in ONE task: add the batch sums (ON9),
+    stamp and split stale/keep (ON12/13), run the outlier rule over the
+    ``outliers`` (seq_tick, seq_id, x) in arrival order (ON14-18) and refresh
+    (ON10/11). Returns ``STEP_SCHEMA`` rows.
+
+    ``state`` may carry ``next_id`` (the first unused id; without it the ids
+    are taken to be whole lists). A row of ``sums`` without a slot counts broken
+    rows of the batch. Without any points or broken rows there is no result.
+    The data-sized work, the sums, runs distributed before it. Same rules as ``cf_apply``, ``with_staleness`` and
+    ``refresh`` (which the tests compare it with).
+    """
+    fields = ["slot int", "ids array<bigint>", "n bigint", "cf1x array<double>", "cf2x array<double>", "cf1t bigint", "cf2t bigint",
+              "centroid array<double>", "rmsd double", "next_id bigint", "seq_tick bigint", "seq_id bigint"]
+
+    def branch(df: DataFrame, kind: int, **named) -> DataFrame:
+        # one SQL string per column: a single JVM call builds each branch
+        return df.selectExpr(f"CAST({kind} AS TINYINT) AS kind", *(
+            f"CAST({named.get(c.split()[0], c.split()[0] if c.split()[0] in df.columns else 'NULL')} AS {c.split()[1]}) AS {c.split()[0]}" for c in fields
+        ))
+
+    rows = branch(state, 0)
+    if sums is not None:
+        rows = rows.union(branch(sums, 1))
+    if outliers is not None:
+        rows = rows.union(branch(outliers.select("seq_tick", "seq_id", "x"), 2, cf1x="x"))
+    t_factor, recursive, m, delta, dim, step_rows = params.t_factor, params.recursive_outliers, params.m, params.delta, params.dim, params.max_candidates
+
+    def kernel(batches):
+        head: list[dict] = []
+        rule = st = None
+
+        def start():
+            out = _arrays([r for r in head if r["kind"] == 0], [r for r in head if r["kind"] == 1])
+            stamp = _stamp_np(out["n"], out["cf1t"], out["cf2t"], m)
+            out["stale"] = (stamp < float(now - delta)) | (out["n"] == 0)
+            return out
+
+        for batch in batches:
+            cut = int(np.searchsorted(batch.column("kind").to_numpy(zero_copy_only=False), 2))
+            if cut:
+                head.extend(batch.slice(0, cut).to_pylist())
+            if cut == batch.num_rows:
+                continue
+            if rule is None:
+                st = start()
+                rule = OutlierRule(st, t_factor, recursive, st["next_id"])
+            for a in range(cut, batch.num_rows, step_rows):
+                part = batch.slice(a, min(step_rows, batch.num_rows - a))
+                ticks = part.column("seq_tick").to_pylist()
+                for x, t in zip(vectors_of(part, "cf1x", dim), ticks):
+                    rule.add(x, t)
+                st["n_batch"] += len(ticks)
+        if st is None:
+            st = start()
+        if rule is not None:
+            st["next_id"] = rule.next_id
+        if st["n_batch"] or st["n_broken"]:
+            yield _step_batch(refresh_arrays(st), rule.merged if rule else [])
+
+    # the exchange keeps the batch's tasks apart from this one; equal rows of
+    # equal keys are alike, so the order is total where it matters
+    one = rows.repartition(1).sortWithinPartitions("kind", "seq_tick", "seq_id", "cf1x")
+    return one.mapInArrow(kernel, STEP_SCHEMA)
+
+
+def absorb_outliers(state: DataFrame, outliers: DataFrame, params: OnlineParams, now: int) -> DataFrame:
+    """The outlier rule alone: ``outliers`` of a batch against a state."""
+    return update_state(state, None, outliers, params, now)
 
 
 # ---------------------------------------------------------------------------
@@ -412,8 +412,10 @@ def replace_stale(state_with_stale: DataFrame, outliers: DataFrame) -> tuple[Dat
     q_bound = state_with_stale.where("stale").count()
     if q_bound == 0:
         return state_with_stale, outliers
-    first = outliers.orderBy("seq_tick", "seq_id").limit(q_bound)
-    wr = Window.orderBy("seq_tick", "seq_id")
+    # outliers of one arrival key are told apart by their rank in it
+    outliers = outliers.withColumn("_same", F.row_number().over(Window.partitionBy("seq_tick", "seq_id").orderBy("x")))
+    first = outliers.orderBy("seq_tick", "seq_id", "_same").limit(q_bound)
+    wr = Window.orderBy("seq_tick", "seq_id", "_same")
     ranked_out = first.withColumn("rank", F.row_number().over(wr))
     ranked_slots = state_with_stale.where("stale").select("slot").withColumn("rank", F.row_number().over(Window.orderBy("slot")))
     max_id = state_with_stale.select(F.max(F.array_max("ids")).alias("m"))
@@ -424,6 +426,7 @@ def replace_stale(state_with_stale: DataFrame, outliers: DataFrame) -> tuple[Dat
         F.col("x").alias("_x"),
         F.col("seq_tick").alias("_t"),
         F.col("seq_id").alias("_i"),
+        "_same",
     )
     j = state_with_stale.join(F.broadcast(pairs), F.col("slot") == F.col("_slot"), "left")
     # one row with every slot's centroid before and after its replacement
@@ -443,8 +446,8 @@ def replace_stale(state_with_stale: DataFrame, outliers: DataFrame) -> tuple[Dat
         F.when(hit, F.coalesce(near, F.lit(float("inf")))).otherwise(F.col("rmsd")).alias("rmsd"),
         (F.col("stale") & ~hit).alias("stale"),
     )
-    taken = pairs.select(F.col("_t").alias("seq_tick"), F.col("_i").alias("seq_id"))
-    return state, outliers.join(F.broadcast(taken), ["seq_tick", "seq_id"], "left_anti")
+    taken = pairs.select(F.col("_t").alias("seq_tick"), F.col("_i").alias("seq_id"), "_same")
+    return state, outliers.join(F.broadcast(taken), ["seq_tick", "seq_id", "_same"], "left_anti").drop("_same")
 
 
 def merge_pair(state: DataFrame, pair: DataFrame) -> DataFrame:
@@ -485,119 +488,3 @@ def merge_pair(state: DataFrame, pair: DataFrame) -> DataFrame:
         F.when(F.col("_a"), centroid("n", "cf1x")).otherwise(F.col("centroid")).alias("centroid"),
         F.when(F.col("_a") & (F.col("n") > 1), rmsd_formula("n", "cf1x", "cf2x")).otherwise(F.col("rmsd")).alias("rmsd"),
     )
-
-
-# ---------------------------------------------------------------------------
-# one-task state update of the online step
-
-
-def _stamp_np(n, t1, t2, m):
-    out = np.zeros(len(n))
-    for i in range(len(n)):
-        nd = float(n[i])
-        mu = t1[i] / nd if nd > 0 else 0.0
-        if nd < 2.0 * m:
-            out[i] = mu
-        else:
-            sigma = math.sqrt(max(t2[i] / nd - mu * mu, 0.0))
-            out[i] = mu + sigma * probit_py(1.0 - m / (2.0 * nd))
-    return out
-
-
-UPDATE_IN = T.StructType(
-    [
-        T.StructField("kind", T.ByteType()),  # 0 state, 1 candidate, 2 batch sums
-        T.StructField("slot", T.IntegerType()),
-        T.StructField("ids", T.ArrayType(T.LongType())),
-        T.StructField("n", T.LongType()),
-        T.StructField("cf1x", T.ArrayType(T.DoubleType())),
-        T.StructField("cf2x", T.ArrayType(T.DoubleType())),
-        T.StructField("cf1t", T.LongType()),
-        T.StructField("cf2t", T.LongType()),
-        T.StructField("centroid", T.ArrayType(T.DoubleType())),
-        T.StructField("rmsd", T.DoubleType()),
-        T.StructField("seq_tick", T.LongType()),
-        T.StructField("seq_id", T.LongType()),
-    ]
-)
-
-
-def update_state(state: DataFrame, sums: DataFrame, candidates: DataFrame | None, params: OnlineParams, now: int, finalize: bool = True) -> DataFrame:
-    """The whole end of an online step in ONE task: add the batch sums
-    (ON9), stamp and split stale/keep (ON12/13), run the outlier rule over
-    the candidates in arrival order (ON14-18) and refresh (ON10/11).
-
-    Its input is bounded: q state rows, at most q aggregated sum rows (the
-    data-sized aggregate runs distributed before it) and a bounded
-    chunk of candidates; if more chunks follow (not ``finalize``) the state is
-    not refreshed and keeps what they need (``CARRY_SCHEMA``). Same rules as ``cf_apply``, ``with_staleness``,
-    ``reconcile`` and ``refresh`` (which the tests compare it with).
-    """
-    def row(kind: int, present: set) -> list:
-        # one SQL string per column: a single JVM call builds each branch
-        return [f"CAST({kind} AS TINYINT) AS kind"] + [
-            f.name if f.name in present else f"CAST(NULL AS {f.dataType.simpleString()}) AS {f.name}"
-            for f in UPDATE_IN.fields[1:]
-        ]
-
-    cf = {"n", "cf1x", "cf2x", "cf1t", "cf2t"}
-    both = state.selectExpr(*row(0, cf | {"slot", "ids", "centroid", "rmsd"})).union(sums.selectExpr(*row(2, cf | {"slot"})))
-    if candidates is not None:
-        both = both.union(candidates.selectExpr(*row(1, cf | {"seq_tick", "seq_id"})))
-    t_factor, recursive, m, delta = params.t_factor, params.recursive_outliers, params.m, params.delta
-
-    def fn(batches):
-        pdf = pd.concat(list(batches), ignore_index=True)
-        st_ = pdf[pdf["kind"] == 0].sort_values("slot").reset_index(drop=True)
-        sm_ = pdf[pdf["kind"] == 2]
-        cd = pdf[pdf["kind"] == 1].sort_values(["seq_tick", "seq_id"])
-        pos = {int(s): i for i, s in enumerate(st_["slot"])}
-        n = st_["n"].to_numpy(np.int64).copy()
-        c1 = np.stack(st_["cf1x"].to_numpy()).astype(np.float64)
-        c2 = np.stack(st_["cf2x"].to_numpy()).astype(np.float64)
-        t1 = st_["cf1t"].to_numpy(np.int64).copy()
-        t2 = st_["cf2t"].to_numpy(np.int64).copy()
-        for r_ in sm_.itertuples(index=False):
-            i = pos[int(r_.slot)]
-            n[i] += int(r_.n)
-            c1[i] += np.asarray(r_.cf1x, dtype=np.float64)
-            c2[i] += np.asarray(r_.cf2x, dtype=np.float64)
-            t1[i] += int(r_.cf1t)
-            t2[i] += int(r_.cf2t)
-        state = {
-            "ids": [list(map(int, v)) for v in st_["ids"]],
-            "n": n, "cf1x": c1, "cf2x": c2, "cf1t": t1, "cf2t": t2,
-            "centroid": np.stack(st_["centroid"].to_numpy()).astype(np.float64),
-            "rmsd": st_["rmsd"].to_numpy(np.float64).copy(),
-        }
-        if max([float(v) for v in t2], default=0.0) >= 2.0**62:
-            raise OverflowError("sums of squared ticks come near 64 bits: count ticks from a later origin or in longer intervals")
-        if len(cd):
-            stamp = _stamp_np(n, t1, t2, m)
-            state["stamp"] = stamp
-            state["stale"] = (stamp < float(now - delta)) | (n == 0)
-            next_id = max(max(v) for v in state["ids"] if len(v)) + 1
-            cands = [
-                (int(r_.n), np.asarray(r_.cf1x, dtype=np.float64), np.asarray(r_.cf2x, dtype=np.float64), int(r_.cf1t), int(r_.cf2t))
-                for r_ in cd.itertuples(index=False)
-            ]
-            state = reconcile_arrays(state, cands, t_factor, recursive, next_id)
-        if finalize:
-            state = refresh_arrays(state)
-        yield pd.DataFrame(
-            {
-                "slot": st_["slot"].astype(np.int32),
-                "ids": state["ids"],
-                "n": state["n"],
-                "cf1x": list(state["cf1x"]),
-                "cf2x": list(state["cf2x"]),
-                "cf1t": state["cf1t"],
-                "cf2t": state["cf2t"],
-                "centroid": list(state["centroid"]),
-                "rmsd": state["rmsd"],
-                **({} if finalize else _carried(state, st_["slot"].to_numpy())),
-            }
-        )
-
-    # bounded input; the exchange keeps the batch's tasks apart from this one
-    return both.repartition(1).mapInPandas(fn, STATE_SCHEMA if finalize else CARRY_SCHEMA)

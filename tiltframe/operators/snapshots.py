@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vec import vsub
 from ..params import STATE_SCHEMA, SnapshotParams
+from .lineage import members, related
 
 # The text layout of an exported micro-cluster block.
 BLOCK_RULE = "=========================================================== "
@@ -182,42 +183,56 @@ def lineage_match(s1: DataFrame, s2: DataFrame, key: list[str] | None = None) ->
     return a.join(b, key + ["_id"]).select(*key, "slot1", "slot2").distinct()
 
 
-def horizon_subtract(s1: DataFrame, s2: DataFrame, h, t1, t2, key: list[str] | None = None) -> DataFrame:
+def _sums_of_related(rel: DataFrame, s2: DataFrame, key: list[str]) -> DataFrame:
+    """Per slot1 the element-wise sums of the related micro-clusters' CFs (one
+    row per vector entry and micro-cluster; no list of vectors)."""
+    b = s2.select(*key, F.col("slot").alias("slot2"), "ids", "n", "cf1t", "cf2t", F.posexplode(F.arrays_zip("cf1x", "cf2x")).alias("pos", "v"))
+    each = rel.join(b, key + ["slot2"]).groupBy(*key, "slot1", "pos").agg(
+        F.sum("n").alias("_n2"), F.sum("cf1t").alias("_t12"), F.sum("cf2t").alias("_t22"),
+        F.sum("v.cf1x").alias("_a"), F.sum("v.cf2x").alias("_b"),
+    )
+    per = each.groupBy(*key, "slot1").agg(
+        F.max("_n2").alias("_n2"), F.max("_t12").alias("_t12"), F.max("_t22").alias("_t22"),
+        F.sort_array(F.collect_list(F.struct("pos", "_a", "_b"))).alias("_v"),  # one entry a dimension
+    )
+    return per.select(*key, "slot1", "_n2", "_t12", "_t22", F.col("_v._a").alias("_c12"), F.col("_v._b").alias("_c22"))
+
+
+def horizon_subtract(s1: DataFrame, s2: DataFrame, h, t1, t2, key: list[str] | None = None, log: DataFrame | None = None) -> DataFrame:
     """Micro-clusters of the horizon: each t1 micro-cluster minus all t2
-    micro-clusters related to it by lineage (ids of those removed); kept
-    whole when nothing is related, or when t1 - h < t2 (the horizon reaches
-    before the older snapshot; flagged ``horizon_exact = false``).
+    micro-clusters related to it by lineage; kept whole when nothing is
+    related, or when t1 - h < t2 (the horizon reaches before the older
+    snapshot; flagged ``horizon_exact = false``).
 
     ``h``, ``t1``, ``t2`` are column names of ``s1`` (per request) or ints.
+    With a merge ``log`` (see ``lineage``) the relation comes from it, the
+    snapshots hold each micro-cluster's primary id and ``ids`` stays that of
+    the newer snapshot (``horizon_members`` lists the ids gained). Without one
+    the snapshots hold whole ids lists, and the older ids are taken out.
     """
     key = key or []
     # fresh attribute ids: both sides may derive from the same request plan
     s1 = s1.select(*[F.col(c).alias(c) for c in s1.columns])
     s2 = s2.select(*[F.col(c).alias(c) for c in s2.columns])
     lit = lambda v: s1[v] if isinstance(v, str) else F.lit(v)
-    rel = lineage_match(s1, s2, key)
-    b = s2.select(
-        *key, F.col("slot").alias("slot2"), F.col("ids").alias("_ids2"), F.col("n").alias("_n2"),
-        F.col("cf1x").alias("_c12"), F.col("cf2x").alias("_c22"), F.col("cf1t").alias("_t12"), F.col("cf2t").alias("_t22"),
-    )
-    zero = lambda c: F.transform(F.first(c), lambda v: F.lit(0.0))
-    vsum_list = lambda c: F.aggregate(F.collect_list(c), zero(c), lambda acc, v: F.zip_with(acc, v, lambda x, y: x + y))
-    sub = rel.join(b, key + ["slot2"]).groupBy(*key, "slot1").agg(
-        F.sum("_n2").alias("_n2"),
-        vsum_list("_c12").alias("_c12"),
-        vsum_list("_c22").alias("_c22"),
-        F.sum("_t12").alias("_t12"),
-        F.sum("_t22").alias("_t22"),
-        F.flatten(F.collect_list("_ids2")).alias("_ids2"),
-    )
+    if log is None:
+        rel = lineage_match(s1, s2, key)
+    else:
+        at = lambda v: F.col(v) if isinstance(v, str) else F.lit(v).cast("long")
+        rel = related(s1, s2.withColumn("_at1", at(t1)).withColumn("_at2", at(t2)), log, "_at1", "_at2", key)
+    sub = _sums_of_related(rel, s2, key)
+    if log is None:
+        gone = rel.join(s2.select(*key, F.col("slot").alias("slot2"), F.explode("ids").alias("_id")), key + ["slot2"])
+        sub = sub.join(gone.groupBy(*key, "slot1").agg(F.collect_set("_id").alias("_ids2")), key + ["slot1"], "left")
     sub = sub.select(*[F.col(k).alias(f"_key_{k}") for k in key], *[c for c in sub.columns if c not in key])
     cond = [s1[k] == F.col(f"_key_{k}") for k in key] + [s1["slot"] == sub["slot1"]]
     j = s1.join(sub, cond, "left")
     exact = (lit(t1) - lit(h)) >= lit(t2)
     do = F.col("_n2").isNotNull() & exact
+    ids = s1["ids"] if log is not None else F.when(do & F.col("_ids2").isNotNull(), F.array_except(s1["ids"], F.col("_ids2"))).otherwise(s1["ids"])
     cols = [s1[k] for k in key] + [
         s1["slot"],
-        F.when(do, F.array_except(s1["ids"], F.col("_ids2"))).otherwise(s1["ids"]).alias("ids"),
+        ids.alias("ids"),
         F.when(do, s1["n"] - F.col("_n2")).otherwise(s1["n"]).alias("n"),
         F.when(do, vsub("cf1x", "_c12")).otherwise(s1["cf1x"]).alias("cf1x"),
         F.when(do, vsub("cf2x", "_c22")).otherwise(s1["cf2x"]).alias("cf2x"),
@@ -228,16 +243,24 @@ def horizon_subtract(s1: DataFrame, s2: DataFrame, h, t1, t2, key: list[str] | N
     return j.select(*cols)
 
 
-def horizon_clusters(snapshots: DataFrame, requests: DataFrame, ticks: DataFrame | None = None) -> DataFrame:
+def horizon_members(s1: DataFrame, s2: DataFrame, log: DataFrame, t1: int, t2: int) -> DataFrame:
+    """(slot, pos, id): the ids that the micro-clusters of snapshot ``s1`` (tick
+    t1) gained since snapshot ``s2`` (tick t2), as rows."""
+    upto = lambda t: log.where(F.col("tick") <= F.lit(int(t)))
+    old = members(s2, upto(t2)).select("id")
+    return members(s1, upto(t1)).join(old, "id", "left_anti").select("slot", "pos", "id")
+
+
+def horizon_clusters(snapshots: DataFrame, requests: DataFrame, ticks: DataFrame | None = None, log: DataFrame | None = None) -> DataFrame:
     """For every request (tc, h): its pair (t1, t2) and the horizon's
     micro-clusters, all requests in one plan (keys tc, h). ``ticks``: the
     snapshot ticks when the caller has them (default: listed from the
-    table's partitions)."""
+    table's partitions). ``log``: the merge log of the snapshots' model."""
     # the request list is not size-bounded: no broadcast hint, AQE decides
     pairs = snapshot_pairs(requests, live_ticks(snapshots) if ticks is None else ticks).where(F.col("t1") >= 0)
     s1 = snapshots.join(pairs, snapshots["tick"] == pairs["t1"]).drop("tick")
-    s2 = snapshots.join(pairs.select("tc", "h", "t2"), snapshots["tick"] == F.col("t2")).drop("tick", "t2")
-    return horizon_subtract(s1, s2, "h", "t1", "t2", key=["tc", "h"]).join(pairs, ["tc", "h"])
+    s2 = snapshots.join(pairs.select("tc", "h", "t1", "t2"), snapshots["tick"] == F.col("t2")).drop("tick")
+    return horizon_subtract(s1, s2, "h", "t1", "t2", ["tc", "h"], log).join(pairs, ["tc", "h"])
 
 
 def _fmt_vec(c, fmt: str | None) -> Column:

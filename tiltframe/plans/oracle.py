@@ -11,8 +11,10 @@ from __future__ import annotations
 import math
 
 from ..functions.probit import probit_sql
+from ..functions.uniform import gaussian_sql, uniform, uniform_sql
+from ..params import OnlineParams
 from .common import DELTA_DAYS, DELTA_HOURS, EMB_Q, EV_Q, EV_SPLIT, M_LAST, T_FACTOR
-from .queries import MILESTONE_BAND, MILESTONES, REQUESTS, SNAP
+from .queries import DRAW_SEED, EV_HALF, MILESTONE_BAND, MILESTONES, REQUESTS, SNAP
 
 INF = "CAST('inf' AS DOUBLE)"
 DAY_US = 86400000000.0
@@ -432,11 +434,11 @@ def _macro_weights() -> str:
     return f"WITH {_label_ctes()} SELECT slot, n, round(weight, 9) AS weight FROM lpts"
 
 
-def _interval_ctes(k_draws: int, name: str) -> str:
+def _interval_ctes(k_draws: int, name: str, u: str | None = None) -> str:
     return f"""{name}_iv AS (SELECT slot, c, sum(weight) OVER (ORDER BY slot ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS hi, weight,
                        max(slot) OVER () AS mxs FROM lpts),
 {name}_iv2 AS (SELECT slot, c, hi - weight AS lo, CASE WHEN slot = mxs THEN {INF} ELSE hi END AS hi FROM {name}_iv),
-{name}_u AS (SELECT i, (i + 0.5) / {float(k_draws)!r} AS u FROM range(0, {k_draws}) r(i)),
+{name}_u AS (SELECT i, {u or f"(i + 0.5) / {float(k_draws)!r}"} AS u FROM range(0, {k_draws}) r(i)),
 {name} AS (SELECT iv.slot, iv.c, count(*) AS draws FROM {name}_u u JOIN {name}_iv2 iv ON u.u >= iv.lo AND u.u < iv.hi GROUP BY iv.slot, iv.c)"""
 
 
@@ -481,6 +483,20 @@ def _heaviest_init(k: int, pts: str) -> str:
     return f"(SELECT CAST(row_number() OVER (ORDER BY w DESC, slot) - 1 AS INTEGER) AS cluster, c AS center FROM (SELECT * FROM {pts} ORDER BY w DESC, slot LIMIT {k}))"
 
 
+def _weighted_draws() -> str:
+    return f"WITH {_label_ctes()}, {_interval_ctes(5000, 'smp', uniform_sql(DRAW_SEED, 0, 'i'))} SELECT slot, draws FROM smp"
+
+
+def _drawn_kmeans() -> str:
+    smp, st = (_interval_ctes(n, name, uniform_sql(DRAW_SEED + k, 0, "i")) for k, (n, name) in enumerate([(5000, "smp"), (5, "st")]))
+    return f"""WITH {_label_ctes()}, {smp}, {st},
+sp AS (SELECT slot, c, CAST(draws AS DOUBLE) AS w FROM smp),
+si AS (SELECT CAST(row_number() OVER (ORDER BY slot, r) - 1 AS INTEGER) AS cluster, c AS center
+       FROM (SELECT slot, c, unnest(range(draws)) AS r FROM st)),
+{_lloyd_ctes('sp', 'si', 20, 64)}
+{_macro_out()}"""
+
+
 def _macro_kmeans() -> str:
     return f"""WITH {_label_ctes()},
 {_lloyd_ctes('lpts', _heaviest_init(5, 'lpts'), 20, 64)}
@@ -515,33 +531,153 @@ a AS ({_argmin('emb_pts', 'seeds', _sqd('p.x', 'c.c'))})
 SELECT round(sum(d2), 6) AS wssse, count(*) AS n FROM a"""
 
 
+def _skm_split(w: str, c: str) -> str:
+    """The end of a streaming k-means update over rows ``u(slot, c, w)``: where
+    the lightest weight is below 1e-8 of the heaviest, the heaviest center is
+    split in two that share the weights."""
+    pert = "1e-14 * greatest(abs(v), 1.0)"
+    return f"""SELECT u.slot,
+  CASE WHEN NOT dying THEN {c} WHEN u.slot = big THEN list_transform(big_c, lambda v: v + {pert})
+       WHEN u.slot = small THEN list_transform(big_c, lambda v: v - {pert}) ELSE {c} END AS c,
+  CASE WHEN dying AND u.slot IN (big, small) THEN (big_w + small_w) / 2.0 ELSE {w} END AS w"""
+
+
+_SKM_ENDS = """(SELECT *, small_w < 1e-8 * big_w AS dying FROM (
+    SELECT arg_min(slot, {'w': -w, 's': slot}) AS big, max(w) AS big_w, arg_min(c, {'w': -w, 's': slot}) AS big_c,
+           arg_min(slot, {'w': w, 's': slot}) AS small, min(w) AS small_w FROM u))"""
+
+
+def _skm_moved(decay: str) -> str:
+    """New center and weight from ``k(c, w)``, ``cnt``, ``sx0``, ``sx1``, ``tot``."""
+    w1 = f"(k.w * {decay} + CAST(coalesce(g.cnt, 0) AS DOUBLE))"
+    n = "CAST(g.cnt AS DOUBLE)"
+    move = lambda i: f"(1.0 - {n} / greatest({w1}, 1e-16)) * k.c[{i + 1}] + ({n} / greatest({w1}, 1e-16) / {n}) * g.sx{i}"
+    return f"CASE WHEN g.cnt > 0 THEN [{move(0)}, {move(1)}] ELSE k.c END AS c, {w1} AS w"
+
+
+def _skm_update(i: int, prev: str, batch: str) -> str:
+    """CTEs of one update with decay 1: ``prev(slot, c, w)`` and the points of
+    ``batch(id, x)`` -> ``k{i}``."""
+    return f"""
+a{i} AS MATERIALIZED ({_argmin(batch, prev, _sqd2('p.x', 'c.c'))}),
+g{i} AS (SELECT slot, count(*) AS cnt, sum(x[1]) AS sx0, sum(x[2]) AS sx1 FROM a{i} GROUP BY slot),
+u{i} AS MATERIALIZED (SELECT k.slot, {_skm_moved('1.0')} FROM {prev} k LEFT JOIN g{i} g USING (slot)),
+k{i} AS MATERIALIZED ({_skm_split('u.w', 'u.c')} FROM u{i} u CROSS JOIN {_SKM_ENDS.replace('FROM u)', f'FROM u{i})')})"""
+
+
 def _streaming_kmeans() -> str:
+    """One update a day, over the days there are (a day without points changes
+    nothing)."""
     decay = math.exp(math.log(0.5) / 1000)
+    disc = f"pow({decay!r}, CAST((SELECT coalesce(sum(cnt), 0) FROM g) AS DOUBLE))"
+    return f"""WITH RECURSIVE ev AS ({EV_PTS}),
+k0 AS (SELECT CAST(row_number() OVER (ORDER BY id) - 1 AS INTEGER) AS slot, x AS c, CAST(1.0 AS DOUBLE) AS w FROM (SELECT id, x FROM ev ORDER BY id LIMIT 5)),
+model AS (
+  SELECT CAST(0 AS BIGINT) AS day, slot, c, w FROM k0
+  UNION ALL
+  (WITH k AS (SELECT * FROM model),
+  near AS (SELECT * FROM (
+    SELECT p.id, p.x, k.slot, row_number() OVER (PARTITION BY p.id ORDER BY {_sqd2('p.x', 'k.c')}, k.slot) AS rn
+    FROM k JOIN ev p ON p.tick = k.day) WHERE rn = 1),
+  g AS (SELECT slot, count(*) AS cnt, sum(x[1]) AS sx0, sum(x[2]) AS sx1 FROM near GROUP BY slot),
+  u AS (SELECT k.day, k.slot, {_skm_moved(disc)} FROM k LEFT JOIN g USING (slot))
+  SELECT u.day + 1 AS day, z.slot, z.c, z.w FROM u JOIN ({_skm_split('u.w', 'u.c')} FROM u CROSS JOIN {_SKM_ENDS}) z ON z.slot = u.slot
+  WHERE u.day <= (SELECT max(tick) FROM ev)))
+SELECT slot, round(w, 6) AS weight, round(c[1], 6) AS c0, round(c[2], 6) AS c1 FROM model
+WHERE day = (SELECT max(tick) + 1 FROM ev)"""
+
+
+# -- starts of the online phase ----------------------------------------------------
+
+SEED = OnlineParams(q=1, dim=1).seed
+EV_ALL = f"SELECT event_id AS id, [value, CAST(json_extract(props, '$.k') AS DOUBLE)] AS x, {_tick(DAY_US)} AS tick FROM events WHERE value IS NOT NULL AND json_extract(props, '$.k') IS NOT NULL"
+
+
+def _built(batch: str, centers: str, now: int) -> str:
+    """CTEs and result of a state built from ``centers(slot, c)`` and the points
+    of ``batch`` at tick ``now``."""
+    return f"""
+fin AS MATERIALIZED ({_argmin(batch, centers, _sqd2('p.x', 'c.c'))}),
+sums AS (SELECT slot, count(*) AS n, sum(x[1]) AS s10, sum(x[2]) AS s11, sum(x[1] * x[1]) AS s20, sum(x[2] * x[2]) AS s21 FROM fin GROUP BY slot),
+built AS (
+  SELECT s.slot, CAST(s.slot AS VARCHAR) AS ids, coalesce(g.n, 0) AS n, coalesce(g.n, 0) * {now} AS t1, coalesce(g.n, 0) * {now * now} AS t2,
+         coalesce(g.s10, 0.0) AS s10, coalesce(g.s11, 0.0) AS s11, coalesce(g.s20, 0.0) AS s20, coalesce(g.s21, 0.0) AS s21
+  FROM {centers} s LEFT JOIN sums g USING (slot))
+SELECT {STATE_OUT} FROM built"""
+
+
+def _slots(q: int) -> str:
+    return f"(SELECT CAST(unnest(range(0, {q})) AS INTEGER) AS slot)"
+
+
+def _init_random() -> str:
+    c = ", ".join(uniform_sql(SEED, j, "slot") for j in range(2))
+    return f"""WITH ev AS ({EV_ALL}),
+c0 AS MATERIALIZED (SELECT slot, [{c}] AS c FROM {_slots(EV_Q)}),{_built('ev', 'c0', 0)}"""
+
+
+def _init_streaming_kmeans() -> str:
+    c = ", ".join(gaussian_sql(SEED, j, "slot") for j in range(2))
+    return f"""WITH ev AS ({EV_ALL}),
+early AS (SELECT * FROM ev WHERE tick < {EV_HALF}),
+late AS (SELECT * FROM ev WHERE tick >= {EV_HALF}),
+k0 AS MATERIALIZED (SELECT slot, [{c}] AS c, CAST(0.0 AS DOUBLE) AS w FROM {_slots(EV_Q)}),{_skm_update(1, 'k0', 'early')},{_skm_update(2, 'k1', 'late')},{_built('late', 'k2', 1)}"""
+
+
+def _init_kmeans() -> str:
+    """The start by oversampled rounds and ten rounds from it, draw by draw."""
+    q, ell, rounds = EV_Q, 2 * EV_Q, 2
     parts = [
-        f"ev AS ({EV_PTS})",
-        "k0 AS (SELECT CAST(row_number() OVER (ORDER BY id) - 1 AS INTEGER) AS slot, x AS c, 1.0 AS w FROM (SELECT id, x FROM ev ORDER BY id LIMIT 5))",
+        f"ev AS ({EV_ALL})",
+        f"cand0 AS MATERIALIZED (SELECT 0 AS i, x FROM ev ORDER BY {uniform_sql(SEED, 0, 'id')}, id LIMIT 1)",
     ]
-    for t in range(30):
-        i = t + 1
-        parts.append(f"b{i} AS MATERIALIZED (SELECT * FROM ev WHERE tick = {t})")
-        parts.append(f"a{i} AS MATERIALIZED ({_argmin(f'b{i}', f'k{t}', _sqd2('p.x', 'c.c'))})")
-        parts.append(f"g{i} AS MATERIALIZED (SELECT slot, count(*) AS cnt, sum(x[1]) AS sx0, sum(x[2]) AS sx1 FROM a{i} GROUP BY slot)")
-        parts.append(f"tot{i} AS (SELECT coalesce(sum(cnt), 0) AS tot FROM g{i})")
-        parts.append(
-            f"u{i} AS MATERIALIZED (SELECT k.slot, k.c, CAST(coalesce(g.cnt, 0) AS DOUBLE) AS cnt, g.sx0, g.sx1, "
-            f"k.w * pow({decay!r}, CAST(tot{i}.tot AS DOUBLE)) + CAST(coalesce(g.cnt, 0) AS DOUBLE) AS w1 "
-            f"FROM k{t} k LEFT JOIN g{i} g USING (slot) CROSS JOIN tot{i})"
-        )
+    for r in range(1, rounds + 1):
+        parts += [
+            f"far{r} AS MATERIALIZED (SELECT p.id, p.x, min({_sqd2('p.x', 'c.x')}) AS d2 FROM ev p CROSS JOIN cand{r - 1} c GROUP BY p.id, p.x)",
+            f"hit{r} AS (SELECT id, x FROM far{r} WHERE {uniform_sql(SEED, r, 'id')} < {float(ell)!r} / (SELECT sum(d2) FROM far{r}) * d2)",
+            f"cand{r} AS MATERIALIZED (SELECT i, x FROM cand{r - 1} UNION ALL SELECT (SELECT max(i) FROM cand{r - 1}) + row_number() OVER (ORDER BY id) AS i, x FROM hit{r})",
+        ]
+    c = f"cand{rounds}"
+    owned = _argmin("ev", f"(SELECT i AS slot, x AS c FROM {c})", _sqd2("p.x", "c.c"))
+    parts += [
+        f"held AS (SELECT slot AS i, count(*) AS n FROM ({owned}) GROUP BY slot)",
+        f"p0 AS MATERIALIZED (SELECT i, x, CAST(coalesce(n, 0) AS DOUBLE) AS w, CAST(1.0 AS DOUBLE) AS d2 FROM {c} LEFT JOIN held USING (i))",
+    ]
+    for j in range(q):
+        u = float(uniform(SEED, 1000 + j, 0))
         parts.append(
-            f"k{i} AS MATERIALIZED (SELECT slot, CASE WHEN cnt > 0 THEN "
-            f"[(1.0 - cnt / greatest(w1, 1e-16)) * c[1] + (cnt / greatest(w1, 1e-16) / cnt) * sx0, "
-            f"(1.0 - cnt / greatest(w1, 1e-16)) * c[2] + (cnt / greatest(w1, 1e-16) / cnt) * sx1] ELSE c END AS c, w1 AS w FROM u{i})"
+            f"s{j} AS MATERIALIZED (SELECT i, x FROM (SELECT *, max(cum) OVER () AS whole FROM (SELECT *, sum(w * d2) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum FROM p{j})) "
+            f"WHERE cum > {u!r} * whole ORDER BY i LIMIT 1)"
         )
-    return "WITH " + ",\n".join(parts) + "\nSELECT slot, round(w, 6) AS weight, round(c[1], 6) AS c0, round(c[2], 6) AS c1 FROM k30"
-
-
-def _online_totals() -> str:
-    return f"""WITH ev AS ({EV_PTS})
+        new = _sqd2("p.x", "s.x")
+        parts.append(f"p{j + 1} AS MATERIALIZED (SELECT p.i, p.x, p.w, {new if j == 0 else f'least(p.d2, {new})'} AS d2 FROM p{j} p CROSS JOIN s{j} s)")
+    parts.append("r0 AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT CAST({j} AS INTEGER) AS slot, x AS c FROM s{j}" for j in range(q)) + ")")
+    for i in range(1, 11):
+        parts += [
+            f"a{i} AS MATERIALIZED ({_argmin('ev', f'r{i - 1}', _sqd2('p.x', 'c.c'))})",
+            f"r{i} AS MATERIALIZED (SELECT k.slot, CASE WHEN g.n > 0 THEN [g.s0 / g.n, g.s1 / g.n] ELSE k.c END AS c FROM r{i - 1} k "
+            f"LEFT JOIN (SELECT slot, count(*) AS n, sum(x[1]) AS s0, sum(x[2]) AS s1 FROM a{i} GROUP BY slot) g USING (slot))",
+        ]
+    return "WITH " + ",\n".join(parts) + "," + _built("ev", "r10", 0)
+
+
+def _kmeans_train() -> str:
+    return f"""WITH lp AS MATERIALIZED (SELECT row_number() OVER () AS slot, l_orderkey * 8 + l_linenumber AS id, [CAST(l_quantity AS DOUBLE), CAST(l_extendedprice AS DOUBLE), CAST(l_discount AS DOUBLE), CAST(l_tax AS DOUBLE)] AS c, CAST(1.0 AS DOUBLE) AS w FROM lineitem),
+li0 AS (SELECT CAST(row_number() OVER (ORDER BY id, c) - 1 AS INTEGER) AS cluster, c AS center FROM (SELECT id, c FROM lp ORDER BY id, c LIMIT 2)),
+{_lloyd_ctes('lp', 'li0', 20, 4)},
+cost AS (SELECT sum(d) AS wssse FROM (SELECT p.slot, min({_sqd('p.c', 'k.center')}) AS d FROM lp p CROSS JOIN cfin k GROUP BY p.slot))
+SELECT cluster AS slot, CAST(weight AS BIGINT) AS n, {", ".join(f"round(center[{i + 1}], 4) AS c{i}" for i in range(4))}, round(wssse / 1e9, 6) AS wssse_1e9
+FROM cfin JOIN wfin USING (cluster) CROSS JOIN cost"""
+
+
+def _lineage_members() -> str:
+    return f"""WITH ev AS ({EV_PTS}),
+u AS (SELECT DISTINCT CAST(user_id AS BIGINT) AS id FROM ev WHERE tick < 20)
+SELECT CAST(floor(id / 10) AS INTEGER) AS slot, CAST(row_number() OVER (PARTITION BY floor(id / 10) ORDER BY id) - 1 AS BIGINT) AS pos, id FROM u"""
+
+
+def _online_totals(days: int = 1) -> str:
+    return f"""WITH ev AS (SELECT x, tick // {days} AS tick FROM ({EV_PTS}))
 SELECT count(*) AS n, CAST(sum(tick) AS BIGINT) AS cf1t, CAST(sum(tick * tick) AS BIGINT) AS cf2t,
        round(sum(x[1]), 2) AS cf1x0, round(sum(x[2]), 2) AS cf1x1,
        round(sum(x[1] * x[1]), 2) AS cf2x0, round(sum(x[2] * x[2]), 2) AS cf2x1
@@ -550,6 +686,10 @@ FROM ev"""
 
 ORACLE = {
     "online_totals": _online_totals,
+    "stream_totals": lambda: _online_totals(6),
+    "text_scan": _stream_source,
+    "weighted_draws": _weighted_draws,
+    "drawn_kmeans": _drawn_kmeans,
     "parse_vectors": _parse_vectors,
     "stream_source": _stream_source,
     "tick_counters": _tick_counters,
@@ -582,6 +722,11 @@ ORACLE = {
     "centers_csv": _centers_csv,
     "micro_macro": _micro_macro,
     "kmeans_wssse": _kmeans_wssse,
+    "kmeans_train": _kmeans_train,
+    "lineage_members": _lineage_members,
+    "init_random": _init_random,
+    "init_kmeans": _init_kmeans,
+    "init_streaming_kmeans": _init_streaming_kmeans,
     "streaming_kmeans": _streaming_kmeans,
 }
 

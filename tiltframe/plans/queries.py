@@ -16,13 +16,14 @@ from ..operators import macro as mac
 from ..operators import snapshots as sn
 from ..operators.assign import assign, collect_view
 from ..operators.features import cf_aggregate, empty_state, nearest_other_distance
-from ..operators.kmeans import decay_from_half_life, kmeans_cost, streaming_kmeans_update
-from ..operators.maintain import closest_pair, fold_outliers, merge_pair, reconcile, replace_stale
+from ..operators.kmeans import decay_from_half_life, kmeans_cost, lloyd, streaming_kmeans_update
+from ..operators.maintain import absorb_outliers, closest_pair, merge_pair, merge_rows, replace_stale, state_rows
+from ..operators.lineage import members, related, with_members
 from ..operators.recency import with_staleness, relevance_stamp
 from ..params import OnlineParams, SnapshotParams
 from ..session import new_run_dir
-from ..sources.tables import embedding_points, event_tick, table
-from ..sources.text import parse_vectors
+from ..sources.tables import embedding_points, event_tick, lineitem_points, table
+from ..sources.text import parse_vectors, read_text_points, render_vectors
 from .common import (
     DELTA_DAYS,
     DELTA_HOURS,
@@ -48,8 +49,9 @@ REQUESTS = [(6, 1), (21, 1), (29, 5), (30, 16), (30, 29), (7, 2), (0, 1)]
 MILESTONES = [2500, 5000, 7500]
 MIN_INIT = 200  # points before the online phase starts (reached at every scale)
 MILESTONE_BAND = 100
+DRAW_SEED = 7
+MARK_BAND, MARK_HORIZON = 60, 8
 EV_HALF = 15  # first day of the second batch of the two-batch start
-EV_DAYS = 30  # days of the events table
 
 
 def _requests(spark):
@@ -260,16 +262,16 @@ def merge_pair_q(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def absorb_outliers_q(spark: SparkSession, sf: str) -> DataFrame:
-    """ON14 (whole rule, through the engine's bounded chunks): outliers of
-    the later days absorbed, given stale slots or merged in arrival order.
-    Order dependent: checked against a brute-force loop in the tests."""
+    """ON14 (whole rule, as the engine runs it): outliers of the later days
+    absorbed, given stale slots or merged in arrival order; ids listed whole
+    from the merges. Order dependent: checked against a brute-force loop in
+    the tests."""
     st, outl = _ev_batch_outliers(spark, sf)
     p = OnlineParams(q=EV_Q, dim=2, m=M_LAST, delta=DELTA_DAYS, t_factor=T_FACTOR)
-    sws = with_staleness(st, EV_SPLIT, DELTA_DAYS, M_LAST)
     folder = new_run_dir(spark, "absorb")
-    outl.write.parquet(f"{folder}/outliers")
-    outl = spark.read.schema(outl.schema).parquet(f"{folder}/outliers")
-    return _state_out(fold_outliers(lambda c, last: reconcile(sws, c, p, last, not last), outl, outl.count(), p, folder))
+    absorb_outliers(st, outl, p, EV_SPLIT).write.parquet(folder)
+    step = spark.read.parquet(folder)
+    return _state_out(with_members(state_rows(step), merge_rows(step)))
 
 
 # -- init routes and the full online loop ---------------------------------------
@@ -306,7 +308,7 @@ def init_streaming_kmeans_q(spark: SparkSession, sf: str) -> DataFrame:
     m = _online(spark, sf, "streaming", min(MIN_INIT, 100))
     half = (F.col("tick") >= EV_HALF).cast("long")
     m.run_ticks(ev_points(spark, sf).withColumn("tick", half))
-    return _state_out(m.state())
+    return _state_out(m.state(whole_ids=True))
 
 
 def online_totals_q(spark: SparkSession, sf: str) -> DataFrame:
@@ -317,7 +319,10 @@ def online_totals_q(spark: SparkSession, sf: str) -> DataFrame:
 
     p = OnlineParams(q=EV_Q, dim=2, m=M_LAST, delta=1000, init="random")
     m = OnlineClusterer(spark, p).run_ticks(ev_points(spark, sf))
-    st = m.state()
+    return _totals(m.state())
+
+
+def _totals(st: DataFrame) -> DataFrame:
     return st.agg(
         F.sum("n").alias("n"), F.sum("cf1t").alias("cf1t"), F.sum("cf2t").alias("cf2t"),
         *[r(F.sum(F.col(c)[i]), 2).alias(f"{c}{i}") for c in ("cf1x", "cf2x") for i in range(2)],
@@ -329,7 +334,7 @@ def online_run_q(spark: SparkSession, sf: str) -> DataFrame:
     k-means start), snapshots on the pyramidal frame; final state."""
     m = _online(spark, sf, "streaming", MIN_INIT, snapshot=SNAP)
     m.run_ticks(ev_points(spark, sf))
-    return _state_out(m.state())
+    return _state_out(m.state(whole_ids=True))
 
 
 def online_horizon_q(spark: SparkSession, sf: str) -> DataFrame:
@@ -338,12 +343,61 @@ def online_horizon_q(spark: SparkSession, sf: str) -> DataFrame:
     m = _online(spark, sf, "streaming", MIN_INIT, snapshot=SNAP)
     m.run_ticks(ev_points(spark, sf))
     snaps = sn.read_snapshots(spark, m.snapshot_path).select("tick", "slot", "ids", "n", "cf1x", "cf2x", "cf1t", "cf2t")
-    hc = sn.horizon_clusters(snaps, _requests(spark))
+    hc = sn.horizon_clusters(snaps, _requests(spark), log=m.merges())
     cw = mac.centers_and_weights(hc, ["tc", "h"])
     mk = mac.macro_kmeans(cw.withColumn("w", F.col("n").cast("double")), 3, 20, 1e-4, ["tc", "h"], "w")
     return mk.select("tc", "h", "cluster", r("weight", 4).alias("weight"), r(F.col("center")[0], 4).alias("c0"), r(F.col("center")[1], 4).alias("c1"))
 
 
+def milestone_centers_q(spark: SparkSession, sf: str) -> DataFrame:
+    """OFF7: every day of events through the online phase; each time the
+    running total falls in the band of a quarter of all points, the last
+    ``MARK_HORIZON`` days are clustered (k = 3). Mark, clock, total, centers."""
+    from ..streaming.online import Milestones, OnlineClusterer
+
+    pts = ev_points(spark, sf)
+    total = pts.count()
+    marks = Milestones([total * i // 4 for i in (1, 2, 3)], band=total // MARK_BAND + 1, horizon=MARK_HORIZON, k=3)
+    p = OnlineParams(q=EV_Q, dim=2, min_init_points=min(MIN_INIT, total // 10), m=M_LAST, delta=DELTA_DAYS, init="streaming")
+    m = OnlineClusterer(spark, p, snapshot=SNAP, milestones=marks).run_ticks(pts)
+    out = m.milestone_centers()
+    return out.select("mark", F.col("tick").alias("tc"), "n_total", "cluster", r("weight", 4).alias("weight"), r(F.col("center")[0], 4).alias("c0"), r(F.col("center")[1], 4).alias("c1"))
+
+
+def stream_totals_q(spark: SparkSession, sf: str) -> DataFrame:
+    """ON1/SRC4: events as text files, six days each, read as a file stream
+    (one file a trigger), parsed and folded by the engine in event mode
+    (ticks of six days), nothing forgotten: the totals are those of the
+    points."""
+    from ..sources.stream import text_file_stream
+    from ..streaming.online import OnlineClusterer
+
+    base = new_run_dir(spark, "stream_totals")
+    ev = ev_points(spark, sf)
+    lines = ev.select(
+        F.floor(F.col("tick") / 6).alias("part"),
+        F.concat_ws(" ", F.col("x")[0].cast("string"), F.col("x")[1].cast("string"), F.col("id").cast("string"), F.floor(F.col("tick") / 6).cast("string")).alias("value"),
+    )
+    # files in the order of their names, so triggers go through time
+    lines.repartitionByRange("part").sortWithinPartitions("part").write.partitionBy("part").text(f"{base}/in")
+    points, _ = text_file_stream(spark, f"{base}/in/*", dim=4)
+    points = points.select(F.slice("x", 1, 2).alias("x"), F.col("x")[2].cast("long").alias("id"), F.col("x")[3].cast("long").alias("tick"))
+    p = OnlineParams(q=EV_Q, dim=2, m=M_LAST, delta=1000, init="random")
+    m = OnlineClusterer(spark, p, base_dir=f"{base}/model")
+    m.start(points, mode="event", lateness=10, trigger={"availableNow": True}).awaitTermination()
+    return _totals(m.flush().state())
+
+
+def text_scan_q(spark: SparkSession, sf: str) -> DataFrame:
+    """SRC3: events written as a folder of text files, read back by the batch
+    scan of point lines."""
+    path = new_run_dir(spark, "text_scan")
+    ev = ev_points(spark, sf).select(F.concat(F.array(F.col("id").cast("double")), "x").alias("x"))
+    render_vectors(ev, "x").write.text(path)
+    pts, _ = read_text_points(spark, path, dim=3)
+    return pts.select(F.col("x")[0].cast("long").alias("id"), F.col("x")[1].alias("x0"), F.col("x")[2].alias("x1"))
+
+
 # -- snapshots --------------------------------------------------------------------
 
 
@@ -375,33 +429,62 @@ def snapshot_pair_q(spark: SparkSession, sf: str) -> DataFrame:
     return sn.snapshot_pairs(_requests(spark), _daily_live(spark, sf))
 
 
+def _pair_log(spark, sf, tc: int, tick: int) -> tuple[DataFrame, DataFrame]:
+    """The user pairs of a snapshot as primary ids, and the log of the merges
+    that made them at ``tick``."""
+    pairs = pair_snapshot_at(spark, sf, tc)
+    log = pairs.where(F.size("ids") > 1).select(
+        F.col("ids")[1].alias("id"), F.col("ids")[0].alias("into"), F.col("ids")[0].alias("after"), F.col("slot").cast("long").alias("seq"), F.lit(tick).cast("long").alias("tick")
+    )
+    return pairs.withColumn("ids", F.slice("ids", 1, 1)), log
+
+
 def lineage_match_q(spark: SparkSession, sf: str) -> DataFrame:
-    """SN5: micro-clusters of the day-20 snapshot (user pairs) related by ids
-    to those of the day-10 snapshot (single users)."""
-    s1 = pair_snapshot_at(spark, sf, 20)
-    s2 = user_snapshot_at(spark, sf, 10).drop("tick")
-    return sn.lineage_match(s1, s2)
+    """SN5: micro-clusters of the day-20 snapshot (user pairs, merged on day
+    15) related through the merge log to those of the day-10 snapshot (single
+    users)."""
+    s1, log = _pair_log(spark, sf, 20, 15)
+    s2 = user_snapshot_at(spark, sf, 10).withColumn("t1", F.lit(20).cast("long")).withColumnRenamed("tick", "t2")
+    return related(s1, s2, log, "t1", "t2")
 
 
 def horizon_subtract_q(spark: SparkSession, sf: str) -> DataFrame:
-    """SN6: day-20 snapshot minus the related day-10 micro-clusters (h = 10)."""
-    s1 = pair_snapshot_at(spark, sf, 20)
+    """SN6: day-20 snapshot minus the related day-10 micro-clusters (h = 10),
+    relation and remaining ids from the merge log."""
+    s1, log = _pair_log(spark, sf, 20, 15)
     s2 = user_snapshot_at(spark, sf, 10).drop("tick")
-    out = sn.horizon_subtract(s1, s2, 10, 20, 10)
+    out = sn.horizon_subtract(s1, s2, 10, 20, 10, log=log)
+    gained = sn.horizon_members(s1, s2, log, 20, 10).groupBy("slot").agg(F.sort_array(F.collect_list(F.struct("pos", "id"))).alias("_l"))
+    out = out.join(gained, "slot", "left").withColumn("ids", F.coalesce(F.col("_l.id"), F.array().cast("array<bigint>"))).drop("_l")
     return _state_out(out, ("horizon_exact",))
 
 
+def lineage_members_q(spark: SparkSession, sf: str) -> DataFrame:
+    """ON18: users chained into one micro-cluster per ten (each merge follows
+    the last one's list), the lists read back from the merge log by pointer
+    doubling: slot, place in the list, id."""
+    users = user_snapshot_at(spark, sf, 20).select(F.col("slot").cast("long").alias("id"))
+    group = users.withColumn("g", F.floor(F.col("id") / 10))
+    before = F.lag("id").over(Window.partitionBy("g").orderBy("id"))
+    first = F.min("id").over(Window.partitionBy("g"))
+    chained = group.select("id", first.alias("into"), before.alias("after"), F.col("id").alias("seq"), F.lit(5).cast("long").alias("tick"))
+    log = chained.where("after IS NOT NULL")
+    state = chained.where("after IS NULL").select(F.floor(F.col("id") / 10).cast("int").alias("slot"), F.array("id").alias("ids"))
+    return members(state, log)
+
+
 def snapshot_roundtrip_q(spark: SparkSession, sf: str) -> DataFrame:
     """SN2/SN3/SRC6: user snapshots of every day written to a tick-partitioned
     table, the ones out of the time frame expired, then the latest kept
     snapshot up to day 28 read back by partition pruning."""
     path = new_run_dir(spark, "snapshots")
-    days = int(ev_points(spark, sf).agg(F.max("tick")).first()[0]) + 1  # the clock: one scalar
+    days = int(ev_points(spark, sf).agg(F.coalesce(F.max("tick"), F.lit(-1))).first()[0]) + 1  # the clock: one scalar
     snaps = user_snapshot_at(spark, sf, None, spark.range(1, days + 1).select(F.col("id").alias("tick")))
     snaps.repartition("tick").write.mode("overwrite").partitionBy("tick").parquet(path)
     sn.expire_all(spark, path, days, SNAP)
-    kept = sn.read_snapshots(spark, path)
-    return _state_out(sn.snapshot_at(kept, int(kept.where("tick <= 28").agg(F.max("tick")).first()[0])))
+    kept = snaps.limit(0) if days < 1 else sn.read_snapshots(spark, path)
+    latest = kept.where("tick <= 28").agg(F.coalesce(F.max("tick"), F.lit(-1))).first()[0]
+    return _state_out(sn.snapshot_at(kept, int(latest)))
 
 
 def snapshot_text_q(spark: SparkSession, sf: str) -> DataFrame:
@@ -456,6 +539,20 @@ def weighted_sample_q(spark: SparkSession, sf: str) -> DataFrame:
     return s.select("slot", "draws")
 
 
+def weighted_draws_q(spark: SparkSession, sf: str) -> DataFrame:
+    """OFF3: 5,000 random draws by weight, from the counter-based generator."""
+    cw = mac.centers_and_weights(_label_mcs(spark, sf))
+    return mac.weighted_sample(cw, 5000, seed=DRAW_SEED).select("slot", "draws")
+
+
+def drawn_kmeans_q(spark: SparkSession, sf: str) -> DataFrame:
+    """OFF4: k-means (k = 5, 20 iterations) on 5,000 random draws, started at 5
+    further draws."""
+    mk = mac.sampled_macro_kmeans(_label_mcs(spark, sf), 5, 5000, 20, seed=DRAW_SEED, tol=0.0)
+    e = explode_vec(mk.select("cluster", "weight", "center"), "center", "center")
+    return e.select("cluster", r("weight", 4).alias("weight"), "pos", r("center", 6).alias("center"))
+
+
 def macro_kmeans_q(spark: SparkSession, sf: str) -> DataFrame:
     """OFF5: weighted k-means (k = 5, weights n, start at the 5 heaviest,
     20 iterations, stop only at a fixed point)."""
@@ -501,6 +598,19 @@ def kmeans_wssse_q(spark: SparkSession, sf: str) -> DataFrame:
     return c.select(r("wssse", 6).alias("wssse"), "n")
 
 
+def kmeans_train_q(spark: SparkSession, sf: str) -> DataFrame:
+    """BL1: k-means with k = 2 over lineitem from its first two points, at most
+    20 rounds (to a fixed point): centers, their sizes and the cost."""
+    pts = lineitem_points(spark, sf)
+    first = pts.orderBy("id", "x").limit(2)  # ids come again in this table
+    start = first.select((F.row_number().over(Window.orderBy("id", "x")) - 1).cast("int").alias("slot"), F.col("x").alias("center"))
+    centers = lloyd(pts, start, 20, 0.0)
+    sizes = assign(pts, collect_view(centers, "slot", "center", None)).groupBy("slot").agg(F.count(F.lit(1)).alias("n"))
+    cost = kmeans_cost(pts, centers).select("wssse")
+    out = centers.join(sizes, "slot", "left").crossJoin(F.broadcast(cost))  # one row
+    return out.select("slot", F.coalesce("n", F.lit(0)).cast("long").alias("n"), *[r(F.col("center")[i], 4).alias(f"c{i}") for i in range(4)], r(F.col("wssse") / 1e9, 6).alias("wssse_1e9"))
+
+
 def streaming_kmeans_q(spark: SparkSession, sf: str) -> DataFrame:
     """BL2: one update of streaming k-means a day over all days (k = 5,
     half-life 1,000 points, start = first 5 events with weight 1). The input
@@ -511,7 +621,7 @@ def streaming_kmeans_q(spark: SparkSession, sf: str) -> DataFrame:
     days = spark.read.parquet(f"{base}/in")
     model = seeds(pts, 5).withColumn("weight", F.lit(1.0))
     decay = decay_from_half_life(1000)
-    for t in range(EV_DAYS):
+    for t in sorted(r["tick"] for r in days.select("tick").distinct().collect()):  # the clock: one row a day
         new = streaming_kmeans_update(model, days.where(F.col("tick") == t), decay, "points")
         new.coalesce(1).write.parquet(f"{base}/model/{t}")
         model = spark.read.schema(new.schema).parquet(f"{base}/model/{t}")
@@ -523,6 +633,7 @@ def streaming_kmeans_q(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     "parse_vectors": parse_vectors_q,
     "stream_source": stream_source_q,
+    "text_scan": text_scan_q,
     "tick_counters": tick_counters_q,
     "progress": progress_q,
     "milestones": milestones_q,
@@ -543,6 +654,8 @@ QUERIES = {
     "init_streaming_kmeans": init_streaming_kmeans_q,
     "online_run": online_run_q,
     "online_totals": online_totals_q,
+    "stream_totals": stream_totals_q,
+    "milestone_centers": milestone_centers_q,
     "online_horizon": online_horizon_q,
     "snapshot_order": snapshot_order_q,
     "snapshot_live": snapshot_live_q,
@@ -555,10 +668,14 @@ QUERIES = {
     "macro_centers": macro_centers_q,
     "macro_weights": macro_weights_q,
     "weighted_sample": weighted_sample_q,
+    "weighted_draws": weighted_draws_q,
+    "drawn_kmeans": drawn_kmeans_q,
     "macro_kmeans": macro_kmeans_q,
     "sampled_kmeans": sampled_kmeans_q,
     "centers_csv": centers_csv_q,
     "micro_macro": micro_macro_q,
     "kmeans_wssse": kmeans_wssse_q,
+    "kmeans_train": kmeans_train_q,
+    "lineage_members": lineage_members_q,
     "streaming_kmeans": streaming_kmeans_q,
 }

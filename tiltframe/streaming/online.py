@@ -3,13 +3,19 @@
 ``OnlineClusterer.step(batch, tick)`` runs one batch; it is what
 ``foreachBatch`` calls for a stream, and it can be called in a loop over a
 batch table. Every step writes the new state as a versioned Parquet table in
-the shared folder (lineage is cut there, and a restarted job resumes from
-the last version; a replayed batch whose version exists is skipped), and,
-if configured, a snapshot on the pyramidal time frame.
+the shared folder (lineage is cut there) and its merges to the merge log.
+
+A batch is committed by its manifest, one small file that is renamed into
+place after everything the batch writes is there: state, merges and the
+milestone's centers in the sink. What has no manifest did not happen: a
+restarted driver resumes from the last manifest, and a replayed batch either
+has one (skipped) or is done again, each of its parts overwriting its own
+folder. Snapshots leave the time frame only after that.
 
 Per step, data-sized work is one narrow Arrow pass (assignment + inside /
-outlier split + per-batch partial CF sums) and one small keyed aggregate;
-everything else touches q rows, and the outliers in bounded chunks.
+outlier split + per-batch partial CF sums; broken rows are counted in it) and
+one small keyed aggregate; everything else touches q rows, and the outliers as
+one sorted stream (``operators.maintain``).
 
 No point is dropped without a trace: points without a tick, with a broken
 vector, or older than the clock are kept with a reason (``rejects``). In event
@@ -20,25 +26,23 @@ the shared folder.
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.assign import CenterView, collect_view
 from ..operators.features import assign_and_summarize, cf_merge_partials, empty_state
-from ..operators.kmeans import batch_kmeans, random_gaussian_model, streaming_kmeans_update
-from ..operators.maintain import fold_outliers, update_state
+from ..operators.kmeans import kmeans_parallel, lloyd, random_gaussian_model, random_uniform_centers, streaming_kmeans_update
+from ..operators.lineage import LOG_SCHEMA, empty_log, with_members
+from ..operators.macro import append_centers, centers_and_weights, macro_kmeans, sampled_macro_kmeans
+from ..operators.maintain import COUNT_FIELDS, update_state
 from ..operators import snapshots as snaps
 from ..params import STATE_SCHEMA, OnlineParams, SnapshotParams
-from ..session import new_run_dir
-
-
-def _path_exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return fs.exists(p)
+from ..session import new_run_dir, path_exists
 
 
 def _delete_path(spark: SparkSession, path: str) -> None:
@@ -49,22 +53,52 @@ def _delete_path(spark: SparkSession, path: str) -> None:
         fs.delete(p, True)
 
 
+def _write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file and rename it into place."""
+    jvm = spark.sparkContext._jvm
+    final, part = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(path + ".part")
+    fs = final.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = fs.create(part, True)
+    try:
+        out.write(bytearray(text.encode("utf-8")))
+    finally:
+        out.close()
+    if not fs.rename(part, final):
+        raise OSError(f"cannot commit {path}")
+
+
+MANIFEST_SCHEMA = T.StructType(
+    [
+        T.StructField("tick", T.LongType()),  # clock after the batch
+        T.StructField("n_batch", T.LongType()),
+        T.StructField("n_total", T.LongType()),
+        T.StructField("initialized", T.BooleanType()),
+        T.StructField("marks", T.ArrayType(T.LongType())),  # milestones reached by it
+    ]
+)
+_STORED = T.StructType([*STATE_SCHEMA.fields, *COUNT_FIELDS])
+
+
 class Milestones:
     """When the running total falls in (mark - band, mark + band] after a
-    batch: macro-cluster the last ``horizon`` ticks into ``k`` clusters and
-    append the centers as CSV lines to ``sink`` (when given). ``num_points``:
-    on that many weighted draws."""
+    batch: macro-cluster the last ``horizon`` ticks into ``k`` clusters. The
+    centers are kept with the model (``milestone_centers``) and, when ``sink`` is
+    given, written there as CSV lines, one folder a batch, before the batch is
+    committed: each milestone is there exactly once, whatever fails.
+    ``num_points``: on that many weighted draws."""
 
     def __init__(self, marks, band: int = 100, horizon: int = 256, k: int = 5, sink: str | None = None, num_points: int | None = None):
         self.marks, self.band, self.horizon, self.k, self.sink, self.num_points = list(marks), band, horizon, k, sink, num_points
 
 
 class OnlineClusterer:
-    """State table: ``<base>/states/tick=<clock>``, one partition per
-    non-empty batch (q rows + progress columns). With a snapshot schedule the
-    state table IS the snapshot table: partitions that leave the pyramidal
-    time frame are dropped after each write; without one only the last two
-    versions are kept. One Parquet write per step."""
+    """State table: ``<base>/table/kind=state/tick=<clock>``, one partition per
+    non-empty batch (q rows); merge log: ``<base>/table/kind=merge``, appended
+    to by the same write; manifests: ``<base>/manifest``. With a snapshot
+    schedule the state table IS the snapshot table: partitions that leave the
+    pyramidal time frame are dropped after each commit; without one only the
+    last two versions are kept. ``seeds`` (slot, center): centers of the random
+    start."""
 
     def __init__(
         self,
@@ -75,6 +109,7 @@ class OnlineClusterer:
         x: str = "x",
         order: str = "id",
         milestones: "Milestones | None" = None,
+        seeds: DataFrame | None = None,
     ):
         self.spark = spark
         self.milestones = milestones
@@ -83,22 +118,23 @@ class OnlineClusterer:
         self.snapshot = snapshot
         self.x = x
         self.order = order
+        self.seeds = seeds
         self.time = 0  # clock: ticks seen, empty ones included
         self.total = 0  # points seen
         self.initialized = False
-        self.version = -1  # clock value of the last written state
+        self.version = -1  # clock value of the last committed state
         self.progress: list[tuple[int, int, int]] = []
-        self._skm_version = None
         self._skm = None  # streaming k-means start model (slots, centers, weights)
-        self._view: CenterView | None = None
-        self._prev_prev = -1
-        self._state_df = None
+        self._new_skm = None  # that of the batch at work
+        self._view: CenterView | None = None  # centers and radii of the last committed state
+        self._new_view: CenterView | None = None
+        self._before = -1  # version before the last one
         self._resume()
 
     # -- storage ----------------------------------------------------------
     @property
     def state_path(self) -> str:
-        return f"{self.base}/states"
+        return f"{self.base}/table/kind=state"
 
     @property
     def snapshot_path(self) -> str:
@@ -107,105 +143,105 @@ class OnlineClusterer:
     def _state_version_path(self, v: int) -> str:
         return f"{self.state_path}/tick={v}"
 
+    def manifests(self) -> DataFrame:
+        """One row per committed batch."""
+        path = f"{self.base}/manifest"
+        if not path_exists(self.spark, path):
+            return self.spark.createDataFrame([], MANIFEST_SCHEMA)
+        return self.spark.read.schema(MANIFEST_SCHEMA).option("pathGlobFilter", "*.json").json(path)
+
     def _resume(self) -> None:
-        """Pick up the last written version (restart after a failure)."""
-        skm = f"{self.base}/skm"
-        if _path_exists(self.spark, skm):
-            # start phase: one model version per batch, each with its size
-            per = (
-                self.spark.read.parquet(skm).groupBy("version").agg(F.first("batch_points").alias("n")).orderBy("version").collect()
-            )
-            if per:
-                v = int(per[-1]["version"])
-                self._skm_version = v
-                rows = sorted(self.spark.read.parquet(f"{skm}/version={v}").collect(), key=lambda r: r["slot"])
-                self._skm = _rows_to_model(rows)
-                self.time = v
-                self.total = sum(int(r["n"]) for r in per)
-                self.progress = []
-                run = 0
-                for r in per:
-                    run += int(r["n"])
-                    self.progress.append((int(r["version"]), int(r["n"]), run))
-        staging = f"{self.base}/staging"
-        if _path_exists(self.spark, staging):
-            # batch k-means start: one folder of buffered points per batch
-            self.progress, self.total = [], 0
-            for r in self.spark.read.parquet(staging).groupBy("version").count().orderBy("version").collect():
-                self.total += int(r["count"])
-                self.progress.append((int(r["version"]), int(r["count"]), self.total))
-            self.time = self.progress[-1][0] if self.progress else 0
-        if not _path_exists(self.spark, self.state_path):
+        """Pick up after the last committed batch (restart after a failure)."""
+        done = self.manifests().orderBy("tick").collect()  # one row a batch
+        if not done:
             return
-        prog = (
-            self.spark.read.parquet(self.state_path)
-            .groupBy("tick")
-            .agg(F.first("n_batch").alias("n_batch"), F.first("n_total").alias("n_total"), F.first("initialized").alias("initialized"))
-            .orderBy("tick")
-            .collect()
-        )
-        if not prog:
-            return
-        last = prog[-1]
-        self.time = int(last["tick"])
-        self.total = int(last["n_total"])
-        self.initialized = bool(last["initialized"])
-        self.version = self.time
-        earlier = [t for t in self.progress if t[0] < int(prog[0]["tick"])]
-        self.progress = earlier + [(int(r["tick"]), int(r["n_batch"]), int(r["n_total"])) for r in prog]
-
-    def state(self) -> DataFrame:
-        """Current micro-clusters (ON19)."""
+        last = done[-1]
+        self.time, self.total, self.initialized = int(last["tick"]), int(last["n_total"]), bool(last["initialized"])
+        self.progress = [(int(r["tick"]), int(r["n_batch"]), int(r["n_total"])) for r in done]
+        if self.initialized:
+            self.version = self.time
+            with_state = [r["tick"] for r in done if r["initialized"]]
+            self._before = int(with_state[-2]) if len(with_state) > 1 else -1
+        elif path_exists(self.spark, f"{self.base}/skm/version={self.time}"):
+            rows = self.spark.read.parquet(f"{self.base}/skm/version={self.time}").collect()  # k rows
+            self._skm = _rows_to_model(sorted(rows, key=lambda r: r["slot"]))
+
+    def _stored(self) -> DataFrame:
+        return self.spark.read.schema(_STORED).parquet(self._state_version_path(self.version))
+
+    def state(self, whole_ids: bool = False) -> DataFrame:
+        """Current micro-clusters (ON19). ``ids`` holds the primary id and the
+        last one of the list; with ``whole_ids`` the whole list, from the merge
+        log (for reports: ``lineage.members`` gives it as rows)."""
         if not self.initialized:
             return self.spark.createDataFrame([], STATE_SCHEMA)
-        if self._state_df is None or self._state_df[0] != self.version:
-            df = self.spark.read.schema(self._stored_schema()).parquet(self._state_version_path(self.version))
-            self._state_df = (self.version, df.select(*STATE_SCHEMA.fieldNames()))
-        return self._state_df[1]
-
-    @staticmethod
-    def _stored_schema():
-        from pyspark.sql import types as T
-
-        return T.StructType(
-            list(STATE_SCHEMA.fields)
-            + [
-                T.StructField("n_batch", T.LongType()),
-                T.StructField("n_total", T.LongType()),
-                T.StructField("initialized", T.BooleanType()),
-            ]
-        )
+        st = self._stored().select(*STATE_SCHEMA.fieldNames())
+        return with_members(st, self.merges()) if whole_ids else st
 
     def states(self) -> DataFrame:
-        """Every kept version (``tick`` + state + progress columns)."""
-        return self.spark.read.parquet(self.state_path)
+        """Every kept version (``tick`` + state columns)."""
+        return self.spark.read.schema(_with_tick(_STORED)).parquet(self.state_path)
+
+    def merges(self, upto: int | None = None) -> DataFrame:
+        """The merge log (id, into, after, seq, tick) up to a clock value (that
+        of the last committed batch)."""
+        path = f"{self.base}/table/kind=merge"
+        if not path_exists(self.spark, path):
+            return empty_log(self.spark)
+        log = self.spark.read.schema(LOG_SCHEMA).parquet(path)
+        return log.where(F.col("tick") <= F.lit(int(self.version if upto is None else upto)))
 
     def progress_table(self) -> DataFrame:
         """One row per non-empty batch: clock after it, its size, total so far."""
-        return self.states().groupBy("tick").agg(
-            F.first("n_batch").alias("n_batch"), F.first("n_total").alias("n_total")
-        )
-
-    def _write_state(self, st: DataFrame, version: int, n_batch: int, initialized: bool) -> None:
-        out = st.select(
-            *STATE_SCHEMA.fieldNames(),
-            F.lit(n_batch).cast("long").alias("n_batch"),
-            F.lit(self.total + n_batch).cast("long").alias("n_total"),
-            F.lit(initialized).alias("initialized"),
-        )
-        out.coalesce(1).write.mode("overwrite").parquet(self._state_version_path(version))
-        prev = self.version
-        self.version = version
-        self._view = collect_view(self.state()) if initialized else None
+        return self.manifests().select("tick", "n_batch", "n_total")
+
+    def milestone_centers(self) -> DataFrame | None:
+        """Centers of every milestone reached (mark, tick, n_total, cluster,
+        weight, center); None before the first."""
+        if not path_exists(self.spark, f"{self.base}/milestones"):
+            return None
+        reached = self.manifests().select("tick", "n_total", F.explode("marks").alias("mark"))
+        return reached.join(self.spark.read.parquet(f"{self.base}/milestones"), "tick").select("mark", "tick", "n_total", "cluster", "weight", "center")
+
+    def _write_state(self, step: DataFrame, version: int) -> None:
+        # parts of an attempt that was not committed
+        _delete_path(self.spark, f"{self.base}/table/kind=merge/tick={version}")
+        _delete_path(self.spark, self._state_version_path(version))
+        out = step.withColumn("tick", F.lit(version).cast("long"))
+        out.write.mode("append").partitionBy("kind", "tick").parquet(f"{self.base}/table")
+
+    def _write_milestone(self, version: int, total: int) -> list[int]:
+        """Centers of the milestones that ``total`` reaches."""
+        ms = self.milestones
+        marks = [] if ms is None else [int(mk) for mk in ms.marks if mk - ms.band < total <= mk + ms.band]
+        if marks:
+            path = f"{self.base}/milestones/tick={version}"
+            self.macro_at(version, ms.horizon, ms.k, num_points=ms.num_points).select("cluster", "weight", "center").coalesce(1).write.mode("overwrite").parquet(path)
+            if ms.sink:
+                append_centers(self.spark.read.parquet(path), ms.sink, batch=version)
+        return marks
+
+    def _commit(self, version: int, n_batch: int, initialized: bool) -> None:
+        """End of a non-empty batch: milestone output, then the manifest."""
+        total = self.total + n_batch
+        marks = self._write_milestone(version, total) if initialized else []
+        row = {"tick": version, "n_batch": n_batch, "n_total": total, "initialized": initialized, "marks": marks}
+        _write_text(self.spark, f"{self.base}/manifest/{version:020d}.json", json.dumps(row))
+        self.total, self.initialized = total, initialized
+        self.progress.append((version, n_batch, total))
+        if not initialized:
+            self._skm = self._new_skm
+            return
+        old, self._before, self.version = self._before, self.version, version
+        self._view, self._new_view = self._new_view, None
         if self.snapshot is not None:
-            if prev >= 0 and version - prev > 1:
+            if self._before >= 0 and version - self._before > 1:
                 # empty ticks since the last write: their expiries had no write
                 snaps.expire_all(self.spark, self.state_path, version, self.snapshot)
             else:
                 snaps.expire(self.spark, self.state_path, version, self.snapshot)
-        elif prev >= 0 and self._prev_prev >= 0:
-            _delete_path(self.spark, self._state_version_path(self._prev_prev))
-        self._prev_prev = prev
+        elif old >= 0:
+            _delete_path(self.spark, self._state_version_path(old))
 
     # -- one batch --------------------------------------------------------
     def step(self, batch: DataFrame, tick: int | None = None, checked: bool = False) -> None:
@@ -218,52 +254,51 @@ class OnlineClusterer:
             if tick < self.time:
                 raise ValueError(f"tick {tick} is older than the clock {self.time}: a new stream needs a new base_dir (or mode='event')")
             self.time = int(tick)
+        now, version = self.time, self.time + 1
         if not checked:
-            batch = self._keep_broken(batch, self.time)
-        now = self.time
-        pts = batch.select(F.col(self.x).alias("x"), F.col(self.order).cast("long").alias("id")) if self.order in batch.columns else batch.select(
-            F.col(self.x).alias("x"), F.monotonically_increasing_id().alias("id")
-        )
-        pts = pts.withColumn("tick", F.lit(now).cast("long"))
-        clock_after = now + 1
+            batch = batch.withColumn("_reason", self._reason())
+            if not self.initialized:
+                self._keep_broken(batch, now, None)
+                batch = batch.where("_reason IS NULL")
+        ident = F.col(self.order).cast("long") if self.order in batch.columns else F.monotonically_increasing_id()
+        bad = [] if checked or not self.initialized else [F.col("_reason").isNotNull().alias("bad")]
+        pts = batch.select(F.col(self.x).alias("x"), ident.alias("id"), F.lit(now).cast("long").alias("tick"), *bad)
         if self.initialized:
-            n_batch = self._maintain(pts, now, clock_after)
+            n_batch = self._maintain(pts, now, version, batch)
+            started = True
         else:
-            n_batch = self._init(pts, now, clock_after)
-        self.time = clock_after
-        self.total += n_batch
+            n_batch, started = self._init(pts, now, version)
         if n_batch:
-            self.progress.append((self.time, n_batch, self.total))
-            ms = self.milestones
-            if ms is not None and self.initialized and any(mk - ms.band < self.total <= mk + ms.band for mk in ms.marks):
-                centers = self.macro_at(self.time, ms.horizon, ms.k, num_points=ms.num_points)
-                if ms.sink:
-                    from ..operators.macro import append_centers
-
-                    append_centers(centers, ms.sink)
+            self._commit(version, n_batch, started)
+        self.time = version
 
-    def _maintain(self, pts: DataFrame, now: int, version: int) -> int:
+    def _maintain(self, pts: DataFrame, now: int, version: int, batch: DataFrame) -> int:
         p = self.p
-        st = self.state()
-        view = self._view if self._view is not None else collect_view(st)
-        fused = assign_and_summarize(pts, view, p.t_factor).persist(StorageLevel.MEMORY_AND_DISK)
+        st = self._stored()
+        if self._view is None:
+            self._view = collect_view(st)
+        flagged = "bad" in pts.columns
+        fused = assign_and_summarize(pts, self._view, p.t_factor, bad="bad" if flagged else None).persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            kinds = {int(r["kind"]): int(r["n"]) for r in fused.groupBy("kind").agg(F.sum("n").alias("n")).collect()}
-            n_in, n_out = kinds.get(0, 0), kinds.get(1, 0)
-            if n_in + n_out == 0:
-                return 0
+            # one job: the pass, the sums, the outlier rule, the state
             sums = cf_merge_partials(fused.where("kind = 0").select("slot", "n", "cf1x", "cf2x", "cf1t", "cf2t"), p.dim)
-            if n_out:
-                outl = fused.where("kind = 1").select("seq_tick", "seq_id", "x")
-                new = fold_outliers(lambda c, last: update_state(st, sums, c, p, now, last), outl, n_out, p, f"{self.base}/fold")
-            else:
-                new = update_state(st, sums, None, p, now)
-            self._write_state(new, version, n_in + n_out, True)
-            if n_out > p.max_candidates:
-                _delete_path(self.spark, f"{self.base}/fold")
-            return n_in + n_out
+            if flagged:
+                sums = sums.unionByName(fused.where("kind = 2").select("slot", "n", "cf1x", "cf2x", "cf1t", "cf2t"))
+            outliers = fused.where("kind = 1").select("seq_tick", "seq_id", "x")
+            self._write_state(update_state(st, sums, outliers, p, now), version)
         finally:
             fused.unpersist()
+        if not path_exists(self.spark, self._state_version_path(version)):
+            return 0  # an empty batch
+        done = self.spark.read.schema(_STORED).parquet(self._state_version_path(version)).select("slot", "centroid", "rmsd", "n_batch", "n_broken").collect()  # q rows
+        if done[0]["n_broken"]:
+            self._keep_broken(batch, now, done[0]["n_broken"])
+        if not done[0]["n_batch"]:
+            _delete_path(self.spark, self._state_version_path(version))
+            return 0
+        done.sort(key=lambda r: r["slot"])
+        self._new_view = CenterView([r["slot"] for r in done], [r["centroid"] for r in done], [r["rmsd"] for r in done])
+        return int(done[0]["n_batch"])
 
     # -- points that cannot be folded ----------------------------------------
     def _reason(self, tick=None):
@@ -275,12 +310,12 @@ class OnlineClusterer:
             return out
         return F.when(tick.isNull(), F.lit("null_tick")).when(tick < self.time, F.lit("late")).otherwise(out)
 
-    def _keep_broken(self, batch: DataFrame, tick: int) -> DataFrame:
-        tagged = batch.withColumn("_reason", self._reason())
+    def _keep_broken(self, tagged: DataFrame, tick: int, known: int | None) -> None:
+        """Write a batch's rows that have a reason; ``known``: how many there
+        are (None: not counted yet)."""
         bad = tagged.where("_reason IS NOT NULL")
-        if not bad.isEmpty():
+        if known or (known is None and not bad.isEmpty()):
             bad.write.mode("overwrite").parquet(f"{self.base}/rejects/source=step-{tick}")
-        return tagged.where("_reason IS NULL").drop("_reason")
 
     def rejects(self) -> DataFrame | None:
         """Every point that was not folded, with its ``reason``; None if there
@@ -288,7 +323,7 @@ class OnlineClusterer:
         parts = []
         for name in ("rejects", "input", "pending"):
             path = f"{self.base}/{name}"
-            if _path_exists(self.spark, path):
+            if path_exists(self.spark, path):
                 df = self.spark.read.option("mergeSchema", "true").parquet(path).where("_reason IS NOT NULL")
                 parts.append(df.drop("source", "batch").withColumnRenamed("_reason", "reason"))
         out = None
@@ -297,58 +332,57 @@ class OnlineClusterer:
         return out
 
     # -- initialisation routes -------------------------------------------
-    def _build_from_centers(self, centers: DataFrame, pts: DataFrame, version: int, n_batch: int, view: CenterView | None = None) -> None:
+    def _build_from_centers(self, centers: DataFrame, pts: DataFrame, version: int, view: CenterView | None = None) -> None:
         """Seed q empty slots with the init centers, fold the batch in (every
         point inside) and refresh: the data pass + one bounded task."""
         st0 = empty_state(self.spark, centers, self.p.dim, "center")
         view = view if view is not None else collect_view(st0)
         fused = assign_and_summarize(pts, view, None)
         sums = cf_merge_partials(fused.where("kind = 0").select("slot", "n", "cf1x", "cf2x", "cf1t", "cf2t"), self.p.dim)
-        self.initialized = True
-        self._write_state(update_state(st0, sums, None, self.p, version - 1), version, n_batch, True)
+        self._write_state(update_state(st0, sums, None, self.p, version - 1), version)
 
-    def _init(self, pts: DataFrame, now: int, version: int) -> int:
+    def _init(self, pts: DataFrame, now: int, version: int) -> tuple[int, bool]:
+        """(points of the batch, whether the state is there now)."""
         p = self.p
         if p.min_init_points == 0 or p.init == "random":
             n_batch = pts.count()
             if n_batch == 0:
-                return 0
-            centers = self.spark.range(p.q).select(
-                F.col("id").cast("int").alias("slot"),
-                F.array(*[F.rand(p.seed * 7919 + i) for i in range(p.dim)]).alias("center"),
-            )
-            self._build_from_centers(centers, pts, version, n_batch)
-            return n_batch
+                return 0, False
+            centers = self.seeds if self.seeds is not None else random_uniform_centers(self.spark, p.q, p.dim, p.seed)
+            self._build_from_centers(centers.select("slot", "center"), pts, version)
+            return n_batch, True
         if p.init == "kmeans":
             # a replayed batch overwrites its own folder
             mine = f"{self.base}/staging/version={version}"
             pts.write.mode("overwrite").parquet(mine)
             n_batch = self.spark.read.parquet(mine).count()
-            if self.total + n_batch >= p.min_init_points and n_batch:
-                buf = self.spark.read.parquet(f"{self.base}/staging").drop("version").withColumn("tick", F.lit(now).cast("long"))
-                centers, _ = batch_kmeans(buf, p.q, max_iter=10, seed=p.seed)
+            start = n_batch > 0 and self.total + n_batch >= p.min_init_points
+            if start:
+                buf = self.spark.read.parquet(f"{self.base}/staging").where(F.col("version") <= version).drop("version")
+                buf = buf.withColumn("tick", F.lit(now).cast("long"))
+                run = f"{self.base}/start-{version}"
+                centers = lloyd(buf, kmeans_parallel(buf, p.q, p.seed, folder=run), 10, 0.0, folder=run)
                 centers = _pad_centers(self.spark, centers, p.q, p.dim)
-                self._build_from_centers(centers, buf, version, n_batch)
-            return n_batch
+                self._build_from_centers(centers, buf, version)
+            return n_batch, start
         # streaming k-means route (default): the k-row model lives on the
         # driver between batches (bounded by q) and is persisted per version
-        skm_dir = f"{self.base}/skm"
         model = self._skm if self._skm is not None else random_gaussian_model(p.q, p.dim, p.seed, 0.0)
-        out_path = f"{skm_dir}/version={version}"
+        out_path = f"{self.base}/skm/version={version}"
         streaming_kmeans_update(model, pts, 1.0, "batches", with_total=True).write.mode("overwrite").parquet(out_path)
         rows = sorted(self.spark.read.parquet(out_path).collect(), key=lambda r: r["slot"])
         n_batch = int(rows[0]["batch_points"]) if rows else 0
         if n_batch == 0:
-            return 0
-        self._skm = _rows_to_model(rows)
-        self._skm_version = version
-        if self.total >= p.min_init_points:
-            slots, C, _ = self._skm
-            centers = self.spark.createDataFrame(
-                [(int(sl), [float(v) for v in c]) for sl, c in zip(slots, C)], "slot int, center array<double>"
-            )
-            self._build_from_centers(centers, pts, version, n_batch, CenterView(slots, C, np.zeros(len(slots))))
-        return n_batch
+            return 0, False
+        self._new_skm = _rows_to_model(rows)
+        if self.total < p.min_init_points:
+            return n_batch, False
+        slots, C, _ = self._new_skm
+        centers = self.spark.createDataFrame(
+            [(int(sl), [float(v) for v in c]) for sl, c in zip(slots, C)], "slot int, center array<double>"
+        )
+        self._build_from_centers(centers, pts, version, CenterView(slots, C, np.zeros(len(slots))))
+        return n_batch, True
 
     # -- offline front door ---------------------------------------------------
     def macro_at(self, tc: int, h: int, k: int, max_iter: int = 20, num_points: int | None = None) -> DataFrame:
@@ -358,15 +392,14 @@ class OnlineClusterer:
         on that many weighted draws, from k further draws. Needs snapshots."""
         snaps_df = snaps.read_snapshots(self.spark, self.snapshot_path).select("tick", *STATE_SCHEMA.fieldNames()[:7])
         req = self.spark.createDataFrame([(int(tc), int(h))], "tc bigint, h bigint")
-        return self._macro(snaps.horizon_clusters(snaps_df, req), ["tc", "h"], k, max_iter, num_points)
+        # the merges of a batch at work are there, though not committed yet
+        return self._macro(snaps.horizon_clusters(snaps_df, req, log=self.merges(max(int(tc), self.version))), ["tc", "h"], k, max_iter, num_points)
 
     def macro_now(self, k: int, max_iter: int = 20, num_points: int | None = None) -> DataFrame:
         """Macro-clusters of the current state (no snapshots needed)."""
         return self._macro(self.state(), [], k, max_iter, num_points)
 
     def _macro(self, mcs: DataFrame, key: list[str], k: int, max_iter: int, num_points: int | None) -> DataFrame:
-        from ..operators.macro import centers_and_weights, macro_kmeans, sampled_macro_kmeans
-
         if num_points:
             return sampled_macro_kmeans(mcs, k, num_points, max_iter, self.p.seed, key)
         cw = centers_and_weights(mcs, key).withColumn("w", F.col("n").cast("double"))
@@ -414,7 +447,7 @@ class OnlineClusterer:
                 self.step(df, int(batch_id))
                 return
             mine = f"{self.base}/pending/batch={int(batch_id)}"
-            if not _path_exists(self.spark, f"{mine}/_SUCCESS"):
+            if not path_exists(self.spark, f"{mine}/_SUCCESS"):
                 df.withColumn("_reason", self._reason(F.col(tick))).write.mode("overwrite").parquet(mine)
             self._fold_waiting(tick, lateness, int(batch_id))
 
@@ -423,7 +456,7 @@ class OnlineClusterer:
     def flush(self, tick: str = "tick") -> "OnlineClusterer":
         """Fold every point that still waits for its tick to be complete (at
         the end of a stream)."""
-        if _path_exists(self.spark, f"{self.base}/pending"):
+        if path_exists(self.spark, f"{self.base}/pending"):
             self._fold_waiting(tick, None, None)
         return self
 
@@ -456,6 +489,10 @@ class OnlineClusterer:
         return w.start()
 
 
+def _with_tick(schema: T.StructType) -> T.StructType:
+    return T.StructType([*schema.fields, T.StructField("tick", T.LongType())])
+
+
 def _rows_to_model(rows) -> tuple:
     return (
         np.array([r["slot"] for r in rows], dtype=np.int32),
