@@ -11,6 +11,7 @@ from conftest import SF_SMALL
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 SQL = E.oracle_sql()
+TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
 
 
 @pytest.fixture(scope="module")
@@ -39,6 +40,8 @@ def test_query_matches_oracle(spark, con, name):
     rel = con.sql(SQL[name])
     orows = rel.fetchall()
     assert sorted(df.columns) == sorted(rel.columns)
+    duck = dict(zip(rel.columns, [str(t) for t in rel.types]))
+    assert {f.name: TO_DUCK[f.dataType.simpleString()] for f in df.schema.fields} == duck
     assert len(rows) == len(orows)
     assert _norm(rows, df.columns) == _norm(orows, rel.columns)
 
@@ -56,11 +59,25 @@ def test_entry(spark):
     assert set(df.columns) == {"cluster", "weight", "pos", "center"}
 
 
-def test_oracle_column_types(spark, con):
-    to_duck = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
-    for name, sql in SQL.items():
-        df = E.queries()[name](spark, SF_SMALL)
-        rel = con.sql(sql)
-        duck = dict(zip(rel.columns, [str(t) for t in rel.types]))
-        for f in df.schema.fields:
-            assert to_duck[f.dataType.simpleString()] == duck[f.name], (name, f.name)
+@pytest.mark.parametrize("missing", ["tiltframe.llm", "tiltframe.llm.queries", "zstandard", "corpus_pipeline"])
+def test_entry_without_the_training_data_operators(monkeypatch, missing):
+    import sys
+
+    for name in [m for m in sys.modules if m.startswith("tiltframe.llm") or m == "corpus_pipeline"]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, missing, None)  # importing it is an error now
+    names = set(E.queries())
+    assert {"micro_macro", "online_run"} <= names and set(E.oracle_sql()) <= names
+    assert "pipeline" not in names and (missing == "corpus_pipeline" or not any(n.startswith("op") and n[2].isdigit() for n in names))
+
+
+def test_row_numbers_without_one_task(spark):
+    from pyspark.sql import functions as F
+
+    from tiltframe.operators.rank import numbered
+
+    df = spark.range(0, 5000, 1, 7).select((F.col("id") * 7919 % 5000).alias("id"), F.lit("x").alias("rank"))
+    got = numbered(df, ["id"], "n")
+    assert sorted((r["id"], r["n"]) for r in got.collect()) == [(i, i + 1) for i in range(5000)]
+    assert "Window" not in got._jdf.queryExecution().toString()
+    assert numbered(df.limit(0), ["id"], "n").count() == 0

@@ -19,6 +19,7 @@ from ..operators.features import cf_aggregate, empty_state, nearest_other_distan
 from ..operators.kmeans import decay_from_half_life, kmeans_cost, lloyd, streaming_kmeans_update
 from ..operators.maintain import absorb_outliers, closest_pair, merge_pair, merge_rows, replace_stale, state_rows
 from ..operators.lineage import members, related, with_members
+from ..operators.rank import numbered
 from ..operators.recency import with_staleness, relevance_stamp
 from ..params import OnlineParams, SnapshotParams
 from ..session import new_run_dir
@@ -50,7 +51,7 @@ MILESTONES = [2500, 5000, 7500]
 MIN_INIT = 200  # points before the online phase starts (reached at every scale)
 MILESTONE_BAND = 100
 DRAW_SEED = 7
-MARK_BAND, MARK_HORIZON = 60, 8
+MARK_BAND, MARK_HORIZON = 40, 8
 EV_HALF = 15  # first day of the second batch of the two-batch start
 
 
@@ -211,10 +212,8 @@ def stale_slots_q(spark: SparkSession, sf: str) -> DataFrame:
     """ON13: stale users (stamp < now - delta) in replacement order."""
     cf, now = _user_hourly(spark, sf)
     st = with_staleness(cf.crossJoin(F.broadcast(now)), F.col("now"), DELTA_HOURS, M_LAST)
-    stale = st.where("stale")
-    return stale.select(
-        "user_id", r("stamp", 4).alias("stamp"), F.row_number().over(Window.orderBy("user_id")).alias("stale_rank")
-    )
+    stale = st.where("stale").select("user_id", r("stamp", 4).alias("stamp"))
+    return numbered(stale, ["user_id"], "stale_rank").withColumn("stale_rank", F.col("stale_rank").cast("int"))
 
 
 def _ev_batch_outliers(spark, sf):
