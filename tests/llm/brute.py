@@ -67,10 +67,10 @@ def line_dedup(docs, min_chars=40, min_docs=5):
         return line.strip("\x20\x09\x0a\x0b\x0c\x0d").translate(LOWER)
 
     holders = {}
-    for row, (d, t) in enumerate(docs):
+    for d, t in docs:
         for k in {key(x) for x in (t or "").split("\n")}:
-            holders.setdefault(k, []).append((-(1 << 63) if d is None else d, row))
-    hot = {k: max(h)[0] for k, h in holders.items() if len(k) >= min_chars and len(h) >= min_docs}
+            holders.setdefault(k, set()).add(-(1 << 63) if d is None else d)
+    hot = {k: max(h) for k, h in holders.items() if len(k) >= min_chars and len(h) >= min_docs}
     out = []
     for d, t in docs:
         lines = (t or "").split("\n")

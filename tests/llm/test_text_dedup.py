@@ -42,6 +42,26 @@ def test_lines(spark):
     assert got == brute.line_dedup(docs)
 
 
+def test_repeated_rows_are_one_document(spark):
+    """Lines count by doc_id, in the operator, by brute force and in SQL."""
+    import duckdb
+
+    from tiltframe.llm.queries import OP2_SQL
+
+    line = "one line of more than forty characters, held by many rows"
+    docs = [(1, line), (1, line + "\nown"), (1, line), (1, "x\n" + line), (2, line), (None, None), (None, None)]
+    more = docs + [(3, line), (4, line), (None, line)]
+    for rows, dropped in ((docs, 0), (more, 7)):
+        df = spark.createDataFrame(rows, SCHEMA)
+        got = sorted(((r.doc_id, r.n_lines, r.n_dropped, r.text) for r in line_dedup(df).collect()), key=str)
+        assert got == brute.line_dedup(rows) and sum(g[2] for g in got) == dropped
+        con = duckdb.connect()
+        con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+        con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+        sql = sorted(((*r[:3], r[3]) for r in con.sql(f"SELECT doc_id, n_lines, n_dropped, kept_sha256 FROM ({OP2_SQL})").fetchall()), key=str)
+        assert sql == sorted(((d, n, k, brute.sha(t.encode())) for d, n, k, t in got), key=str)
+
+
 def test_lines_of_no_documents(spark):
     assert line_dedup(spark.createDataFrame([], SCHEMA)).count() == 0
 

@@ -2,7 +2,7 @@
 
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -104,6 +104,17 @@ def test_solver_covers_the_histogram(seed):
     assert at == h
 
 
+def test_columns_are_priced(monkeypatch):
+    """Lengths of many documents: the program runs, and ends near its bound."""
+    r = random.Random(1)
+    h = Counter(min(512, int(r.lognormvariate(5, 1)) + 1) for _ in range(20000))
+    calls, plain = [], packing._Prices.patterns
+    monkeypatch.setattr(packing._Prices, "patterns", lambda *a: calls.append(1) or plain(*a))
+    solved = packing.solve(dict(h))
+    tokens = sum(n * c for n, c in h.items())
+    assert calls and sum(packing.padded_size(sum(n * c for n, c in p.items())) * t for p, t in solved) <= 1.001 * tokens
+
+
 def test_cuts():
     for n in (1, 511, 512, 513, 1023, 1024, 1025, 1536, 1537, 5000):
         c = packing.cuts(n)

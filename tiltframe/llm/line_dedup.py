@@ -6,14 +6,14 @@ holding them, and the text is put together again by position.
 
 Shuffles: one aggregate of line hashes (map-side combined, so a line that a
 third of all documents hold sends one row per task), one join of line
-positions with the few frequent hashes (Spark splits a skewed hash), and one
-join of the documents with their dropped positions. Lines travel as 128-bit
-hashes; texts move once.
+positions with the few hashes that enough rows hold (Spark splits a skewed
+hash), an exact count of the documents of those, and one join of the documents
+with their dropped positions. Lines travel as 128-bit hashes; texts move once.
 
-Defined cases: a null or empty text is one empty line; a null doc_id ranks
-below every other one; each row counts as one document, so rows that repeat a
-doc_id count separately, and all rows with the largest doc_id keep the line;
-no line, however long, is cut.
+Defined cases: a null or empty text is one empty line; a null doc_id is one
+document and ranks below every other; rows that repeat a doc_id are one
+document, so they count once, and all rows with the largest doc_id keep the
+line; no line, however long, is cut; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -57,24 +57,20 @@ def line_dedup(
     # one entry per line, in order: the key, or null if it is too short to count
     keys = F.transform(lines(F.col("body")), lambda x: F.when(F.char_length(line_key(x)) >= min_chars, line_key(x)))
     per_doc = base.select("id", F.explode(F.array_distinct(keys)).alias("k")).where("k IS NOT NULL")
+    scratch = Scratch(docs.sparkSession, "lines")
+    # rows first: no fewer than documents. Written: a side that comes straight
+    # from a table lets Spark split the join on a hot line
+    many = per_doc.select(*_hashes(F.col("k"))).groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") >= min_docs)
+    many = scratch.keep(many.select("h1", "h2"), "many")
+    placed = base.select("id", "text_hash", F.posexplode(keys).alias("pos", "k")).where("k IS NOT NULL")
+    placed = scratch.keep(placed.select("id", "text_hash", "pos", *_hashes(F.col("k"))).join(many, ["h1", "h2"]), "placed")
     frequent = (
-        per_doc.select("id", *_hashes(F.col("k")))
-        .groupBy("h1", "h2")
-        .agg(F.count(F.lit(1)).alias("docs"), F.max("id").alias("keeper"))
+        placed.groupBy("h1", "h2", "id").agg(F.lit(1).alias("one"))
+        .groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("docs"), F.max("id").alias("keeper"))
         .where(F.col("docs") >= min_docs)
-        .select("h1", "h2", "keeper")
-    )
-    # written: a side that comes straight from a table lets Spark split the
-    # join on a hot line
-    frequent = Scratch(docs.sparkSession, "lines").keep(frequent, "frequent")
-    placed = base.select("id", "text_hash", F.posexplode(keys).alias("pos", "k")).where("k IS NOT NULL")
-    dropped = (
-        placed.select("id", "text_hash", "pos", *_hashes(F.col("k")))
-        .join(frequent, ["h1", "h2"])
-        .where(F.col("id") != F.col("keeper"))
-        .groupBy("id", "text_hash")
-        .agg(F.collect_set("pos").alias("gone"))
     )
+    frequent = scratch.keep(frequent.select("h1", "h2", "keeper"), "frequent")
+    dropped = placed.join(frequent, ["h1", "h2"]).where(F.col("id") != F.col("keeper")).groupBy("id", "text_hash").agg(F.collect_set("pos").alias("gone"))
     joined = base.join(dropped, ["id", "text_hash"], "left")
     all_lines = lines(F.col("body"))
     kept_pos = F.array_except(F.sequence(F.lit(0), F.size(all_lines) - 1), F.col("gone"))

@@ -37,9 +37,8 @@ SEQ_LEN = 1024
 END_ID = 0
 #: Pieces in one rank bucket of one length.
 BUCKET_PIECES = 50_000
-#: The program stops when padding is below this share of all tokens.
-MAX_PADDING = 0.002
-MAX_PIVOTS = 400
+#: The program is solved when it is this close to a lower bound (share of it).
+GAP = 1e-4
 #: Weight of the lengths against the duals when new patterns are priced.
 TRUST = 0.9
 
@@ -100,6 +99,7 @@ class _Prices:
                 last[t] = k = int(np.argmax(v))
                 worth[t] = v[k]
         gain = worth - self.cost
+        dearest = float((worth[1:] / self.cost[1:]).max(initial=0.0))
         out = []
         for t in np.argsort(-gain)[:most].tolist():
             if gain[t] <= 1e-7 * self.seq_len:
@@ -109,10 +109,10 @@ class _Prices:
                 a[last[t]] += 1
                 t -= int(self.lengths[last[t]])
             out.append(a)
-        return out
+        return out, dearest
 
 
-def solve(histogram: dict[int, int], seq_len: int = SEQ_LEN, max_padding: float = MAX_PADDING, max_pivots: int = MAX_PIVOTS) -> list[tuple[dict[int, int], int]]:
+def solve(histogram: dict[int, int], seq_len: int = SEQ_LEN, gap: float = GAP) -> list[tuple[dict[int, int], int]]:
     """[(pattern {length: count}, times used)] covering the histogram exactly."""
     left = {n: c for n, c in histogram.items() if c > 0}
     out: list[tuple[dict[int, int], int]] = []
@@ -121,7 +121,7 @@ def solve(histogram: dict[int, int], seq_len: int = SEQ_LEN, max_padding: float
     if left:
         lengths = np.array(sorted(left), dtype=np.int64)
         need = np.array([left[n] for n in lengths.tolist()], dtype=float)
-        for pattern, used in _column_generation(lengths, need, seq_len, max_padding, max_pivots):
+        for pattern, used in _column_generation(lengths, need, seq_len, gap):
             fits = min([int(used + 1e-9)] + [left[n] // c for n, c in pattern.items()])
             if fits > 0:
                 out.append((pattern, fits))
@@ -162,20 +162,26 @@ def _first_basis(lengths, need, seq_len):
     return basis, inverse, times
 
 
-def _column_generation(lengths, need, seq_len, max_padding, max_pivots):
+def _column_generation(lengths, need, seq_len, gap):
     """Revised simplex on min cost x, A x = need, from greedy patterns.
     Lengths themselves are feasible duals (no pattern costs less than its
     tokens), so pricing looks between them and the current duals, nearer to
-    the latter when that finds no pattern."""
-    tokens = float(lengths @ need)
+    the latter when that finds no pattern. It ends when no pattern has a
+    negative reduced cost, or when the cost is within ``gap`` of a lower bound
+    (or a quarter of a sequence: rounding to whole sequences costs more): the
+    tokens, or the duals scaled down until every pattern pays for them."""
+    bound = float(lengths @ need)
     prices = _Prices(lengths, seq_len)
     basis, inverse, x = _first_basis(lengths, need, seq_len)
     cost = np.array([padded_size(int(t), seq_len) for t in lengths @ basis], dtype=float)
-    pivots, trust = 0, TRUST
-    while pivots < max_pivots and cost @ x > (1 + max_padding) * tokens:
+    trust = TRUST
+    while cost @ x > bound + max(gap * bound, seq_len / 4):
         duals = np.einsum("j,jk->k", cost, inverse)
         moved = 0
-        for a in prices.patterns(trust * lengths + (1 - trust) * duals, 48):
+        mixed = trust * lengths + (1 - trust) * duals
+        found, dearest = prices.patterns(mixed, 48)
+        bound = max(bound, float(mixed @ need) / max(1.0, dearest))
+        for a in found:
             c = float(padded_size(int(a @ lengths), seq_len))
             if c - duals @ a > -1e-7 * seq_len:
                 continue
@@ -192,7 +198,7 @@ def _column_generation(lengths, need, seq_len, max_padding, max_pivots):
             inverse -= np.outer(d, row)
             inverse[r] = row
             basis[:, r], cost[r] = a, c
-            pivots, moved = pivots + 1, moved + 1
+            moved += 1
         if not moved:
             if trust == 0.0:
                 break

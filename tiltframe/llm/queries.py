@@ -132,20 +132,18 @@ _LINE_KEY = (
 )
 
 OP2_SQL = f"""
-WITH split AS (
-  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS l,
-         generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
-  FROM documents),
-keyed AS (SELECT doc_id, pos, l, {_LINE_KEY} AS k FROM split),
+WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(doc_id, -9223372036854775808) AS id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+split AS (SELECT rid, doc_id, id, unnest(ls) AS l, generate_subscripts(ls, 1) AS pos FROM docs),
+keyed AS (SELECT rid, doc_id, id, pos, l, {_LINE_KEY} AS k FROM split),
 hot AS (
-  SELECT k, max(doc_id) AS keeper FROM keyed WHERE length(k) >= 40
-  GROUP BY k HAVING count(DISTINCT doc_id) >= 5),
+  SELECT k, max(id) AS keeper FROM keyed WHERE length(k) >= 40
+  GROUP BY k HAVING count(DISTINCT id) >= 5),
 marked AS (
-  SELECT doc_id, pos, l, hot.k IS NOT NULL AND doc_id <> keeper AS gone
+  SELECT rid, doc_id, pos, l, hot.k IS NOT NULL AND id <> keeper AS gone
   FROM keyed LEFT JOIN hot USING (k))
-SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
        sha256(coalesce(string_agg(l, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
-FROM marked GROUP BY doc_id
+FROM marked GROUP BY rid
 """
 
 OP4_SQL = r"""
