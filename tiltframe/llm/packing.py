@@ -39,6 +39,8 @@ END_ID = 0
 BUCKET_PIECES = 50_000
 #: The program is solved when it is this close to a lower bound (share of it).
 GAP = 1e-4
+#: It also ends when this many pricings together gain less than that.
+PATIENCE = 64
 #: Weight of the lengths against the duals when new patterns are priced.
 TRUST = 0.9
 
@@ -167,15 +169,21 @@ def _column_generation(lengths, need, seq_len, gap):
     Lengths themselves are feasible duals (no pattern costs less than its
     tokens), so pricing looks between them and the current duals, nearer to
     the latter when that finds no pattern. It ends when no pattern has a
-    negative reduced cost, or when the cost is within ``gap`` of a lower bound
+    negative reduced cost, when ``PATIENCE`` pricings gain next to nothing (a
+    degenerate program turns on the spot), or when the cost is within ``gap`` of a lower bound
     (or a quarter of a sequence: rounding to whole sequences costs more): the
     tokens, or the duals scaled down until every pattern pays for them."""
     bound = float(lengths @ need)
     prices = _Prices(lengths, seq_len)
     basis, inverse, x = _first_basis(lengths, need, seq_len)
     cost = np.array([padded_size(int(t), seq_len) for t in lengths @ basis], dtype=float)
-    trust = TRUST
+    trust, priced, before = TRUST, 0, np.inf
     while cost @ x > bound + max(gap * bound, seq_len / 4):
+        if priced % PATIENCE == 0:
+            if before - cost @ x < gap * bound:
+                break
+            before = cost @ x
+        priced += 1
         duals = np.einsum("j,jk->k", cost, inverse)
         moved = 0
         mixed = trust * lengths + (1 - trust) * duals
