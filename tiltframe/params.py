@@ -41,8 +41,8 @@ class OnlineParams:
     recursive_outliers: bool = True
     init: str = "streaming"  # "random" | "kmeans" | "streaming" (ignored when min_init_points == 0)
     seed: int = 42
-    # the outliers of a batch are handled in chunks of at most this many, by
-    # arrival (the result does not depend on it)
+    # outliers taken from a batch's stream at a time (the result does not
+    # depend on it)
     max_candidates: int = 2000
     max_broadcast_bytes: int = 64 << 20
 
