@@ -1,9 +1,13 @@
 """Plain Python versions of the operators, for small inputs."""
 
 import hashlib
+import math
 import re
+import struct
 from collections import Counter
 
+import xxhash
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -77,3 +81,49 @@ def line_dedup(docs, min_chars=40, min_docs=5):
         kept = [x for x in lines if key(x) not in hot or hot[key(x)] == (-(1 << 63) if d is None else d)]
         out.append((d, len(lines), len(lines) - len(kept), "\n".join(kept)))
     return sorted(out, key=str)
+
+
+M64 = (1 << 64) - 1
+
+
+def mix64(x):
+    x ^= x >> 32
+    x = x * 0xD6E8FEB86659FD93 & M64
+    x ^= x >> 29
+    x = x * 0xC2B2AE3D27D4EB4F & M64
+    return x ^ (x >> 32)
+
+
+def quality_buckets(text, values, base, run, buckets):
+    """Buckets of a text's words and word pairs; ``values`` holds a number per byte."""
+    words = []
+    for w in WORD.findall((text or "").translate(LOWER)):
+        raw = w.encode()
+        total = sum(values[b] * pow(base, i, 1 << 64) for i, b in enumerate(raw))
+        words.append(mix64((total + len(raw)) & M64))
+    pairs = [run if a == b else mix64((a * base + b + 2) & M64) for a, b in zip(words, words[1:])]
+    return [mix64(h) % buckets for h in words + pairs]
+
+
+def resample(docs, labels, share, seed, values, base, run, buckets, smoothing):
+    """[(doc_id, text, log weight, key)] of every row, and the rows drawn."""
+    marks = {}
+    for d, y in labels:
+        if d is not None and y is not None:
+            marks.setdefault(d, set()).add(y)
+    good = {d for d, ys in marks.items() if len(ys) == 1 and max(ys) > 0}
+    raw, target, found = Counter(), Counter(), [quality_buckets(t, values, base, run, buckets) for _, t in docs]
+    for (d, _), f in zip(docs, found):
+        raw.update(f)
+        if d in good:
+            target.update(f)
+    r, t = sum(raw.values()), sum(target.values())
+    scored = []
+    for (d, text), f in zip(docs, found):
+        weight = sum(math.log((target[b] + smoothing) / (raw[b] * t / max(r, 1) + smoothing)) for b in f) if t else 0.0
+        draw = 42 if d is None else xxhash.xxh64_intdigest(struct.pack("<q", d), seed=42)
+        u = ((mix64(draw ^ seed) >> 11) + 0.5) / 2.0**53
+        scored.append((d, text, weight, weight - math.log(-math.log(u))))
+    k = math.ceil(share * len(docs) - 1e-9)
+    cut = sorted((s[3] for s in scored), reverse=True)[k - 1] if k else math.inf
+    return scored, [s for s in scored if s[3] >= cut]

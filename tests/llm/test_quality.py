@@ -3,7 +3,9 @@
 import numpy as np
 import pytest
 
-from tiltframe.llm.quality import kth_largest, resample
+import brute
+from tiltframe.llm import quality, text
+from tiltframe.llm.quality import features, kth_largest, resample
 
 SF = "/root/testdata/sf0.01"
 
@@ -42,3 +44,51 @@ def test_odd_rows(spark):
     assert resample(spark, docs, labels.limit(0)).count() == 6
     assert resample(spark, docs.limit(0), labels).count() == 0
     assert resample(spark, docs, labels, keep=0.0).count() == 0
+
+
+def _plain(docs, labels, share):
+    values = [int(v) for v in text._BYTE_VALUE]
+    return brute.resample(docs, labels, share, quality.SEED, values, text._BASE, int(quality._RUN), quality.BUCKETS, quality.SMOOTHING)
+
+
+def _same(got, want):
+    key = lambda r: (str(r[0]), r[1] or "", r[3])
+    got, want = sorted(got, key=key), sorted(want, key=key)
+    assert [r[:2] for r in got] == [r[:2] for r in want]
+    assert np.allclose([r[2:] for r in got], [r[2:] for r in want], rtol=1e-9, atol=1e-9)
+
+
+def _rows(df):
+    return [(r.row.doc_id, r.row.text, r.log_weight, r.key) for r in df.collect()]
+
+
+@pytest.mark.parametrize("share", [0.05, 0.4, 1.0])
+def test_weights_keys_and_draw_are_brute_force(spark, share):
+    """Real texts with repeated rows (they tie), one-word, null, empty and long ones."""
+    docs = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").limit(400).collect()]
+    docs += docs[:30] + [docs[0]] * 40 + [(docs[0][0], "another text"), (None, "Same same SAME"), (None, None), (9001, ""), (9002, "word"), (9003, "é 日本 é é"), (9004, "x y " * 20000)]
+    labels = [tuple(r) for r in spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", "quality").collect()] + [(9002, 1), (9004, 0), (None, 1), (9003, None)]
+    every, drawn = _plain(docs, labels, share)
+    a, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int")
+    _same(_rows(resample(spark, a.repartition(5), b, keep=share)), drawn)
+    if share == 1.0:
+        assert len(drawn) == len(every) == len(docs)
+
+
+def test_default_share_is_that_of_good_labels(spark):
+    docs = [(i, f"good words {i}" if i % 4 == 0 else f"bad noise {i}") for i in range(200)]
+    labels = [(i, int(i % 4 == 0)) for i in range(100)]
+    drawn = _plain(docs, labels, 0.25 + quality.MARGIN)[1]
+    a, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int")
+    _same(_rows(resample(spark, a, b)), drawn)
+
+
+def test_one_word_has_one_bucket_however_dealt():
+    """A block that holds a single word gives the bucket any block gives."""
+    alone = np.frombuffer(b"word", dtype=np.uint8)
+    both = np.frombuffer(b"wordother", dtype=np.uint8)
+    one, _ = features(alone, np.array([0, 4]), 1 << 16)
+    two, doc = features(both, np.array([0, 4, 9]), 1 << 16)
+    assert one.tolist() == two[doc == 0].tolist()
+    none, _ = features(alone[:0], np.array([0, 0]), 1 << 16)
+    assert len(none) == 0

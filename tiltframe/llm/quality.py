@@ -49,8 +49,6 @@ def features(data: np.ndarray, off: np.ndarray, buckets: int) -> tuple[np.ndarra
     that repeats its predecessor gives one common bigram, whatever the word."""
     h, wo = words(data, off)
     doc = np.repeat(np.arange(len(off) - 1), np.diff(wo))
-    if len(h) < 2:
-        return (h % U64(buckets)).astype(np.int64), doc
     two = ngrams(h, 2)
     two = np.where(h[1:] == h[:-1], _RUN, two)
     same = doc[1:] == doc[:-1]
