@@ -8,9 +8,9 @@ level fixes the common prefixes of its length; expansion stops at ``length``
 and what is not fixed by then is a longer common prefix, i.e. a repeat.
 
 No transform covers the corpus. A window of ``length`` bytes belongs to its
-anchor, the k-gram of least hash in it; equal windows have equal anchors at
-equal offsets, so repeats are found among the stretches (all windows of one
-anchor) that share an anchor. Anchors that occur once are gone after one
+anchor, the k-gram in it whose first 8 bytes have the least hash; equal windows
+have equal anchors at equal offsets, so repeats are found among the stretches
+(all windows of one anchor) that share an anchor, i.e. all bytes of its k-gram. Anchors that occur once are gone after one
 count; equal stretches are one row with their number; stretches that differ
 are dealt by anchor into blocks of about ``BLOCK_BYTES``, each of which gets
 its transform. An anchor with more than ``MAX_GROUP`` different stretches
@@ -69,30 +69,34 @@ def _sliding_min(v: np.ndarray, width: int) -> np.ndarray:
 
 
 def _owners(data: np.ndarray, off: np.ndarray, length: int):
-    """(8-byte hashes, k-gram hashes, window starts, anchor of each window)."""
-    sizes = np.diff(off)
-    starts = [np.arange(o, o + s - length + 1) for o, s in zip(off[:-1].tolist(), sizes.tolist()) if s >= length]
-    if not starts:
+    """(8-byte hashes, first window, number of windows, anchor position, k-gram
+    hash) of the anchors of a block of documents; the last four have one entry
+    per anchor. None if no document has a window."""
+    long = np.diff(off) >= length
+    if not long.any():
         return None
-    window = np.concatenate(starts)
+    start, stop = off[:-1][long], off[1:][long] - length + 1  # windows of each document
     g = _grams(data)
-    n = len(g) - (GRAM - 8)
-    h = g[:n].copy()
-    for j in range(8, GRAM, 8):
-        h = h * U64(0x9E3779B97F4A7C15) + g[j : j + n]
-    h = mix(h)
-    key = (h & ~_POSITION) | np.arange(n, dtype=np.uint64)
-    owner = (_sliding_min(key, length - GRAM + 1)[window] & _POSITION).astype(np.int64)
-    return g, h, window, owner
+    n = len(data) - GRAM + 1
+    key = (g[:n] & ~_POSITION) | np.arange(n, dtype=np.uint64)
+    owner = _sliding_min(key, length - GRAM + 1) & _POSITION
+    # windows that reach into the next document lie between a stop and a start
+    edge = np.unique(np.concatenate((np.flatnonzero(owner[1:] != owner[:-1]) + 1, start, stop)))
+    first, end = edge[:-1], edge[1:]
+    inside = first < stop[np.searchsorted(start, first, side="right") - 1]
+    inside &= first >= start[0]
+    first, end = first[inside], end[inside]
+    at = owner[first].astype(np.int64)
+    h = np.zeros(len(at), dtype=np.uint64)
+    for j in range(0, GRAM, 8):
+        h = h * U64(0x9E3779B97F4A7C15) + g[at + j]
+    return g, first, end - first, at, mix(h)
 
 
 def anchors_of(data: np.ndarray, off: np.ndarray, length: int = LENGTH) -> np.ndarray:
     """The anchor hashes of a block of documents, one per anchor."""
     found = _owners(data, off, length)
-    if found is None:
-        return np.zeros(0, dtype=np.int64)
-    _, h, _, owner = found
-    return as_signed(h[owner[np.concatenate(([True], owner[1:] != owner[:-1]))]])
+    return np.zeros(0, dtype=np.int64) if found is None else as_signed(found[4])
 
 
 def stretches(data: np.ndarray, off: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
@@ -102,17 +106,14 @@ def stretches(data: np.ndarray, off: np.ndarray, length: int = LENGTH) -> tuple[
     if found is None:
         z = np.zeros(0, dtype=np.int64)
         return z, z, z, z, z
-    g, h, window, owner = found
-    first = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))  # an anchor lies in one document
-    count = np.diff(np.append(first, len(owner)))
-    lo, at = window[first], owner[first]
+    g, lo, count, at, h = found
     end = lo + count - 1 + length - 7  # grams inside the stretch
     pw, inv = _power_table(len(g) + 1)
     acc = np.zeros(len(g) + 1, dtype=np.uint64)
     np.cumsum(g * pw[: len(g)], out=acc[1:])
     own = mix((acc[end] - acc[lo]) * inv[lo] + mix(((at - lo) * 65536 + count).astype(np.uint64)))
     doc = np.searchsorted(off, lo, side="right") - 1
-    return doc, as_signed(h[at]), as_signed(own), lo - off[doc], count
+    return doc, as_signed(h), as_signed(own), lo - off[doc], count
 
 
 def _parts(data: np.ndarray, off: np.ndarray, length: int):
