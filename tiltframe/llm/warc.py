@@ -167,6 +167,7 @@ def _frame_fn(dictionary: bytes, date: str):
 
 def write_archives(spark: SparkSession, pages: DataFrame, path: str, date: str = "1970-01-01T00:00:00Z", min_revisit_bytes: int = MIN_REVISIT_BYTES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
     """Write one record per row of ``pages`` into archives under ``path``."""
+    scratch = Scratch(spark, "warc")
     base = pages.select(
         F.col(f"`{id_col}`").cast("long").alias("page_id"), F.col(f"`{url_col}`").cast("string").alias("url"),
         F.coalesce(F.col(f"`{html_col}`").cast("string"), F.lit("")).cast("binary").alias("payload"),
@@ -182,7 +183,8 @@ def write_archives(spark: SparkSession, pages: DataFrame, path: str, date: str =
     # no fewer than Spark's own shuffles have, or the join would deal pages again
     archives = max(1, -(-int(size) // ARCHIVE_BYTES), int(spark.conf.get("spark.sql.shuffle.partitions")))
     short = base.where((F.octet_length("payload") >= min_revisit_bytes) & F.col("page_id").isNotNull()).select("page_id", "sha1", "key")
-    lowest = short.groupBy("sha1").agg(F.min("page_id").alias("lowest"))
+    # written, so that Spark can split the join on a digest that many pages share
+    lowest = scratch.keep(short.groupBy("sha1").agg(F.min("page_id").alias("lowest")), "lowest")
     later = short.join(lowest, "sha1").where("page_id > lowest").select("key", F.col("lowest").alias("refers_to")).distinct()
     dealt = base.repartition(archives, "key")
     frames = dealt.join(later, "key", "left").select("page_id", "url", "payload", "sha1", "refers_to").mapInArrow(_frame_fn(dictionary, date), "frame binary")
