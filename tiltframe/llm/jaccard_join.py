@@ -23,7 +23,9 @@ groups that still hold several components the classes outside the largest one
 meet the others through an inverted token index, and only links that join
 components leave the task. A group over ``CHUNK_TOKENS`` is cut into parts, and
 each two parts meet in a task of their own. Joins are shuffles that Spark can
-split on a hot bucket or hub; tables in the shared folder cut lineage.
+split on a hot bucket or hub; tables in the shared folder cut lineage. Joins
+of tables that grow with the corpus are merge joins at every size: none of
+their sides has a bound to broadcast it by. Texts are compressed before they move.
 
 Defined cases: a null or empty text, or one without words, has no shingles and
 is linked with nothing; with fewer than k words the whole sequence is one
@@ -259,11 +261,12 @@ def near_duplicates(
     # a bucket's hub is its smallest doc_id, which is its smallest class too
     shared = sigs.groupBy("sig").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("hi")).where("hub < hi").select("sig", "hub")
     shared = scratch.keep(shared, "shared", free=True)
-    met = scratch.keep(sigs.join(shared, "sig").select("hub", "doc_id").distinct(), "met", free=True)
-    met = scratch.keep(met.join(member, "doc_id").select("hub", "rep", "n").distinct(), "classes-met")
+    met = scratch.keep(sigs.join(shared.hint("merge"), "sig").select("hub", "doc_id").distinct(), "met", free=True)
+    met = scratch.keep(met.join(member.hint("merge"), "doc_id").select("hub", "rep", "n").distinct(), "classes-met")
 
-    nodes = met.select(F.col("rep").alias("doc_id")).distinct()
-    texts = scratch.keep(src.join(nodes, "doc_id").mapInArrow(_text_fn, "node long, body binary"), "texts", free=True)
+    nodes = met.select(F.col("rep").alias("node")).distinct()
+    packed = src.where("doc_id IS NOT NULL").mapInArrow(_text_fn, "node long, body binary")  # before it moves
+    texts = scratch.keep(packed.join(nodes.hint("merge"), "node"), "texts", free=True)
 
     # rows that repeat a doc_id with several texts are one document
     least = member.groupBy("doc_id").agg(F.min("rep").alias("a"))
@@ -278,7 +281,7 @@ def near_duplicates(
     )
     x = texts.select(F.col("node").alias("a"), F.col("body").alias("x"))
     y = texts.select(F.col("node").alias("b"), F.col("body").alias("y"))
-    verified = pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(_verify_fn(k, num, den), "a long, b long")
+    verified = pairs.join(y.hint("merge"), "b").join(x.hint("merge"), "a").select("a", "b", "x", "y").mapInArrow(_verify_fn(k, num, den), "a long, b long")
     links = scratch.keep(links.unionByName(verified), "verified", free=True)
     found = components(links, scratch)
 
