@@ -8,7 +8,7 @@ level fixes the common prefixes of its length; expansion stops at ``length``
 and what is not fixed by then is a longer common prefix, i.e. a repeat.
 
 No transform covers the corpus. A window of ``length`` bytes belongs to its
-anchor, the k-gram in it whose first 8 bytes have the least hash; equal windows
+anchor, the k-gram in it whose first ``CHOICE`` bytes have the least hash; equal windows
 have equal anchors at equal offsets, so repeats are found among the stretches
 (all windows of one anchor) that share an anchor, i.e. all bytes of its k-gram. Anchors that occur once are gone after one
 count; equal stretches are one row with their number; stretches that differ
@@ -18,7 +18,7 @@ does not fit a block: its windows are counted one by one by 128-bit hash, an
 exact way that Spark spreads over all tasks.
 
 What moves: one short row per anchor (about one in 70 bytes), the different
-stretches, and the texts twice (to cut out stretches, to cut out repeats).
+stretches, and the texts twice, compressed (to cut out stretches, to cut out repeats).
 
 Defined cases: a null text is empty; texts shorter than ``length`` bytes
 cannot repeat; overlapping occurrences in one document count; rows that repeat
@@ -33,6 +33,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,6 +43,7 @@ from .text import U64, _power_table, as_signed, blocks, mix, release
 
 LENGTH = 200
 GRAM = 64
+CHOICE = 24  # fewer bytes tie more often, and each tie is one more anchor
 BLOCK_BYTES = 512 << 10
 MAX_GROUP = 500
 PIECE_BYTES = 4 << 20  # longer documents are winnowed piece by piece
@@ -78,7 +80,10 @@ def _owners(data: np.ndarray, off: np.ndarray, length: int):
     start, stop = off[:-1][long], off[1:][long] - length + 1  # windows of each document
     g = _grams(data)
     n = len(data) - GRAM + 1
-    key = (g[:n] & ~_POSITION) | np.arange(n, dtype=np.uint64)
+    key = g[:n].copy()
+    for j in range(8, CHOICE, 8):
+        key = key * U64(0x9E3779B97F4A7C15) + g[j : j + n]
+    key = (mix(key) & ~_POSITION) | np.arange(n, dtype=np.uint64)
     owner = _sliding_min(key, length - GRAM + 1) & _POSITION
     # windows that reach into the next document lie between a stop and a start
     edge = np.unique(np.concatenate((np.flatnonzero(owner[1:] != owner[:-1]) + 1, start, stop)))
@@ -270,6 +275,19 @@ def _block_fn(length: int):
     return fn
 
 
+def _pack_fn(batches):
+    """Texts as they travel: compressed, a null stays null."""
+    for batch in batches:
+        z = zstandard.ZstdCompressor(level=3)
+        at = batch.schema.get_field_index("body")
+        body = pa.array([z.compress(t.as_buffer()) if t.is_valid else None for t in batch.column(at)], pa.binary())
+        yield pa.RecordBatch.from_arrays([body if i == at else c for i, c in enumerate(batch.columns)], names=batch.schema.names)
+
+
+def _unpacked(body: pa.BinaryScalar) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(body.as_buffer()) if body.is_valid else b""
+
+
 def _cut_stretch_fn(length: int):
     """The bytes of the stretches that stand for their kind in a document."""
 
@@ -277,9 +295,9 @@ def _cut_stretch_fn(length: int):
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
             for text, items in zip(batch.column("body"), batch.column("items").to_pylist()):
-                raw = memoryview(text.as_buffer())
+                raw = _unpacked(text)
                 for s in items:
-                    cut = raw[s["lo"] : s["lo"] + s["n"] - 1 + length].tobytes()
+                    cut = raw[s["lo"] : s["lo"] + s["n"] - 1 + length]
                     for c, v in zip(out, (s["anchor"], s["own"], s["times"], s["kinds"], cut)):
                         c.append(v)
             types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
@@ -329,16 +347,16 @@ def _without(raw: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int]:
 def _remove_fn():
     def fn(batches):
         for batch in batches:
-            cols: list[list] = [[], [], [], [], []]
+            cols: list[list] = [[], [], [], [], [], []]
             for body, found in zip(batch.column("body"), batch.column("spans").to_pylist()):
-                raw = body.as_buffer().to_pybytes()
+                raw = _unpacked(body)
                 spans = [(s["a"], s["b"]) for s in found or ()]
                 left, runs = _without(raw, spans)
                 text = _without(raw, [_whole(raw, a, b) for a, b in spans])[0].decode("utf-8") if spans else raw.decode("utf-8")
-                for c, v in zip(cols, (left, text, len(raw), len(raw) - len(left), runs)):
+                for c, v in zip(cols, (raw.decode("utf-8") if body.is_valid else None, left, text, len(raw), len(raw) - len(left), runs)):
                     c.append(v)
-            types = [pa.binary(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), *(pa.array(c, t) for c, t in zip(cols, types))], names=["row", "kept", "kept_text", "n_bytes", "n_removed", "n_spans"])
+            types = [pa.string(), pa.binary(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([batch.column("rest"), *(pa.array(c, t) for c, t in zip(cols, types))], names=["rest", "text", "kept", "kept_text", "n_bytes", "n_removed", "n_spans"])
 
     return fn
 
@@ -348,11 +366,13 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", t
     ``kept_text`` (the text left: a character of which a byte goes, goes
     whole), ``n_bytes``, ``n_removed`` and ``n_spans`` (maximal removed runs)."""
     scratch = Scratch(spark, "suffix")
+    rest = [c for c in docs.columns if c != text_col]
     base = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        F.struct(*[F.col(f"`{c}`") for c in rest]).alias("rest"),
         F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_NO_ID)).alias("id"),
-        F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary").alias("body"),
-    ).withColumn("mark", F.hash("body"))
+        F.col(f"`{text_col}`").cast("string").cast("binary").alias("body"),
+    ).withColumn("mark", F.hash(F.coalesce("body", F.lit(b""))))
+    packed = base.mapInArrow(_pack_fn, base.schema)
     texts = base.select("id", "mark", "body")
 
     anchors = texts.mapInArrow(_anchor_fn(length), "id long, mark int, anchor long, own long, lo int, n int")
@@ -371,7 +391,8 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", t
     found = alike
     if total:
         items = differ.groupBy("id", "mark").agg(F.collect_list(F.struct("anchor", "own", "times", "kinds", "lo", "n")).alias("items"))
-        cut = texts.join(items, ["id", "mark"]).select("body", "items").mapInArrow(
+        small = texts.mapInArrow(_pack_fn, texts.schema)
+        cut = small.join(items, ["id", "mark"]).select("body", "items").mapInArrow(
             _cut_stretch_fn(length), "anchor long, own long, times long, kinds long, bytes binary"
         )
         blocks_ = max(1, -(-int(total) // BLOCK_BYTES))
@@ -382,7 +403,7 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", t
             hot = cut.where(F.col("kinds") > MAX_GROUP).dropDuplicates(["anchor", "own"])
             windows = hot.mapInArrow(_window_fn(length), "anchor long, own long, a int, times long, w1 long, w2 long")
             again = windows.groupBy("w1", "w2").agg(F.sum("times").alias("s")).where("s > 1").select("w1", "w2")
-            single = windows.join(again, ["w1", "w2"]).select("anchor", "own", "a").distinct()
+            single = windows.join(again, ["w1", "w2"], "left_semi").select("anchor", "own", "a").distinct()
             # neighbouring windows become one range (a stretch has at most
             # length - GRAM + 1 windows)
             order = F.row_number().over(Window.partitionBy("anchor", "own").orderBy("a"))
@@ -397,6 +418,8 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", t
         .groupBy("id", "mark")
         .agg(F.array_distinct(F.flatten(F.collect_list("s"))).alias("spans"))
     )
-    joined = base.join(spans, ["id", "mark"], "left").select("row", "body", "spans")
-    schema = T.StructType([base.schema["row"]]).add("kept", "binary").add("kept_text", "string").add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long")
-    return joined.mapInArrow(_remove_fn(), schema)
+    joined = packed.join(spans, ["id", "mark"], "left").select("rest", "body", "spans")
+    schema = T.StructType([base.schema["rest"]]).add("text", "string").add("kept", "binary").add("kept_text", "string").add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long")
+    out = joined.mapInArrow(_remove_fn(), schema)
+    row = F.struct(*[F.col("text").alias(c) if c == text_col else F.col(f"rest.`{c}`").alias(c) for c in docs.columns])
+    return out.select(row.alias("row"), "kept", "kept_text", "n_bytes", "n_removed", "n_spans")
