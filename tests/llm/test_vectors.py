@@ -158,6 +158,35 @@ def _recall(spark, items, step, k, **kw):
     return hit / asked
 
 
+@pytest.mark.parametrize("n", [500, 2000, 10_000])
+def test_forest_recall_with_production_parameters(spark, n):
+    """Unstructured unit vectors, the hardest case: no setting is lowered."""
+    x = np.random.default_rng(n).standard_normal((n, 64))
+    x /= np.sqrt((x**2).sum(axis=1, keepdims=True))
+    df = spark.createDataFrame([(0, i, v.tolist(), 0) for i, v in enumerate(x)], SCHEMA)
+    out = {}
+    for t in ann.nearest(spark, df, lambda i: i % 20 == 0, 20).collect():
+        out.setdefault(t.query_id, []).append(t.vec_id)
+    hit = 0
+    for q in range(0, n, 20):
+        s = x @ x[q]
+        s[q] = -np.inf
+        assert len(out[q]) == 20
+        hit += len(set(out[q]) & set(np.argpartition(s, -20)[-20:].tolist()))
+    print(f"recall of {n}: {hit / n:.4f}")
+    assert hit / n >= 0.9
+
+
+def test_forest_queries_in_batches(spark, monkeypatch):
+    """Blocks visited by many batches of queries give what one batch gives."""
+    x = np.random.default_rng(12).standard_normal((400, 8))
+    df = spark.createDataFrame([(0, i, v.tolist(), 0) for i, v in enumerate(x)], SCHEMA)
+    search = lambda: sorted(tuple(r) for r in ann.nearest(spark, df, lambda i: i % 2 == 0, 5, trees=8, candidates=200).collect())
+    whole = search()
+    monkeypatch.setattr(ann, "BATCH_QUERIES", 7)
+    assert search() == whole and len(whole) == 200 * 5
+
+
 def test_forest_with_one_long_vector(spark):
     x = np.random.default_rng(8).standard_normal((3000, 16))
     x[1] *= 100

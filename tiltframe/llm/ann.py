@@ -22,8 +22,13 @@ block's length from the sizes of the blocks below each prefix. The second
 scores the candidates; where the ascent ends above a query's block (or the
 query has none) it visits all blocks below the prefix, up to the root, which
 one tree holds whole. Every row is indexed, no bucket is cut. Equal vectors
-are one point with its k + 1 smallest ids. A zone with at most ``CANDIDATES``
-vectors is one tree without a prefix, and its search is exact.
+are one point with its k + 1 smallest ids. Zones of every size take this one
+way; where all trees together hold fewer entries than the candidates asked for,
+the ascent ends at the root, and the search is exact.
+
+The queries that visit a block are dealt into batches of ``BATCH_QUERIES`` at
+most on average, each with a copy of the block: a prefix that most queries
+share stays in no single task, and a task holds one block and one batch.
 
 Defined cases: vectors that are null, zero or hold null, NaN or infinite
 components take no part; only vectors of equal length are compared; a null id
@@ -46,11 +51,13 @@ from .vectors import matrix, points, ranked
 TREES = 32
 BITS = 64
 BLOCK_ROWS = 2048
-#: Entries gathered per query: a share of a zone's vectors, and at least so many.
-#: The share sets the recall: vectors without any structure need this one for
-#: 0.9 and more at 20 neighbours; clustered ones do with a hundredth.
+BATCH_QUERIES = 4096
+#: Entries gathered per query over all trees (a vector found in two trees is two):
+#: a share of a zone's vectors, and at least so many. The share sets the recall:
+#: vectors without any structure need this one for 0.9 and more at 20 neighbours;
+#: clustered ones do with a hundredth.
 SHARE = 0.6
-CANDIDATES = 6000
+CANDIDATES = 2000
 SEED = 7
 
 
@@ -175,9 +182,9 @@ def nearest(
         n, want = r["n"], max(candidates, math.ceil(share * r["n"]))
         # blocks no smaller than the ascent usually needs: together they hold
         # 1.5 times the candidates
-        depth = 0 if n <= want else max(0, math.floor(math.log2(trees * n / (1.5 * want))))
-        forests[r["d"], r["zone"]] = (1 if n <= want else trees, r["m"])
-        plan.append((r["d"], r["zone"], 1 if n <= want else trees, depth, want, max(BLOCK_ROWS, n >> depth)))
+        depth = max(0, math.floor(math.log2(trees * n / (1.5 * want))))
+        forests[r["d"], r["zone"]] = (trees, r["m"])
+        plan.append((r["d"], r["zone"], trees, depth, want, max(BLOCK_ROWS, n >> depth)))
     plan = F.broadcast(spark.createDataFrame(plan, "d int, zone int, trees int, depth int, want long, usual long"))
     entry = "uid long, d int, zone int, tree int, h long"
     index = scratch.keep(pts.select("uid", "d", "zone", "v").mapInArrow(_hash_fn(forests, seed, False), entry), "index")
@@ -219,8 +226,17 @@ def nearest(
     def in_parts(df):
         return df.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
 
-    visits = in_parts(own.join(sizes, place)).select("uid", "h", *key)
-    counts = index.groupBy(*key).cogroup(visits.groupBy(*key)).applyInArrow(_profile_fn(), "uid long, zone int, shared array<bigint>")
+    def dealt(visits, name):
+        """Blocks and their visits, both by batch of queries; the counts are a
+        table of their own, so that Spark can split a block's visits."""
+        visits = scratch.keep(visits, name)
+        load = visits.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / F.lit(BATCH_QUERIES)).cast("int").alias("batches"))
+        load = scratch.keep(load, name + "-load")
+        blocks = index.join(load, key).withColumn("batch", F.explode(F.sequence(F.lit(0), F.col("batches") - 1))).drop("batches")
+        return blocks, visits.join(load, key).withColumn("batch", F.pmod(F.xxhash64("uid", F.lit(1)), F.col("batches")).cast("int")).drop("batches")
+
+    blocks, visits = dealt(in_parts(own.join(sizes, place)).select("uid", "h", *key), "visits")
+    counts = blocks.groupBy(*key, "batch").cogroup(visits.groupBy(*key, "batch")).applyInArrow(_profile_fn(), "uid long, zone int, shared array<bigint>")
     counts = counts.select("uid", "zone", F.posexplode("shared").alias("bits", "n")).where("n > 0")
     rising = own.where("bits > 1").withColumn("up", F.explode(F.sequence(F.lit(1), F.col("bits") - 1))).withColumn("top", prefix("up"))
     rising = rising.drop("bits", "pre").join(above.groupBy(*shorter).agg(F.sum("n").alias("n")), shorter)
@@ -233,8 +249,9 @@ def nearest(
     stay = own.where("bits <= level").join(sizes, place)
     rise = own.where("bits > level").withColumn("up", F.col("level")).withColumn("top", prefix("up")).drop("bits", "pre").join(above, shorter)
     visits = in_parts(stay.select("uid", "h", "level", *place, "parts").unionByName(rise.select("uid", "h", "level", *place, "parts")))
+    blocks, visits = dealt(visits.select("uid", "h", "level", *key), "rounds")
     vec = pts.select("uid", "v")
-    left = index.join(pts.select("uid", "v", "low"), "uid")
-    right = visits.join(vec, "uid").select(*(F.col(c).alias(c) for c in (*key, "uid", "h", "level", "v")))
-    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(_score_fn(k + 1), "q long, p long, score double")
+    left = blocks.join(pts.select("uid", "v", "low"), "uid")
+    right = visits.join(vec, "uid").select(*(F.col(c).alias(c) for c in (*key, "batch", "uid", "h", "level", "v")))
+    found = left.groupBy(*key, "batch").cogroup(right.groupBy(*key, "batch")).applyInArrow(_score_fn(k + 1), "q long, p long, score double")
     return ranked(found.distinct(), holders, pts, queries, k)
