@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.vec import sqdist_sql
+from .centers import CenterSearch
 
 MAX_VIEW_BYTES = 64 << 20
 
@@ -64,45 +65,6 @@ def collect_view(centers_df: DataFrame, slot="slot", center="centroid", rmsd: st
     return CenterView([r["s"] for r in rows], C, R)
 
 
-def _nearest_scan(X: np.ndarray, C: np.ndarray):
-    """Exact scan: centers in slot order with a strict minimum (ties go to
-    the lowest slot). O(rows x dim) memory per center."""
-    n = X.shape[0]
-    best = np.full(n, np.inf)
-    idx = np.zeros(n, dtype=np.int64)
-    for j in range(C.shape[0]):
-        diff = X - C[j]
-        d2 = np.einsum("ij,ij->i", diff, diff)
-        better = d2 < best
-        best[better] = d2[better]
-        idx[better] = j
-    return idx, best
-
-
-def nearest(X: np.ndarray, C: np.ndarray):
-    """Index of the nearest center per row and the exact squared distance.
-
-    Candidates come from one matrix product (|x|^2 - 2 x.c + |c|^2, BLAS);
-    a row whose runner-up lies within the rounding bound of that form is
-    re-scanned exactly, so the result equals the exact strict-minimum scan
-    (ties to the lowest slot) at matrix-product speed.
-    """
-    n, d = X.shape
-    if n == 0:
-        return np.zeros(0, dtype=np.int64), np.zeros(0)
-    xx = np.einsum("ij,ij->i", X, X)
-    cc = np.einsum("ij,ij->i", C, C)
-    A = xx[:, None] - 2.0 * (X @ C.T) + cc[None, :]
-    idx = np.argmin(A, axis=1)
-    amin = A[np.arange(n), idx]
-    tol = 16.0 * (d + 2) * np.finfo(np.float64).eps * (xx + cc.max())
-    close = (A <= (amin + 2.0 * tol)[:, None]).sum(axis=1) > 1
-    if close.any():
-        idx[close], _ = _nearest_scan(X[close], C)
-    diff = X - C[idx]
-    return idx, np.einsum("ij,ij->i", diff, diff)
-
-
 def vectors_of(batch: pa.RecordBatch, name: str, dim: int) -> np.ndarray:
     arr = batch.column(batch.schema.get_field_index(name))
     vals = arr.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
@@ -126,9 +88,10 @@ def assign(points: DataFrame, view: CenterView, x: str = "x", t_factor: float |
         raise ValueError("inside test needs the radii of the view")
 
     def kernel(batches):
+        search = CenterSearch(C)
         for b in batches:
             X = vectors_of(b, x, dim)
-            idx, d2 = nearest(X, C)
+            idx, d2 = search(X)
             cols = list(b.columns) + [pa.array(slots[idx], type=pa.int32()), pa.array(d2, type=pa.float64())]
             names = list(b.schema.names) + ["slot", "d2"]
             if with_inside:

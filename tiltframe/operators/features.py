@@ -15,7 +15,8 @@ from pyspark.sql import types as T
 
 from ..functions.vec import array_sum_agg, centroid, rmsd_formula, sqdist_sql, vadd, vsquare
 from ..params import STATE_SCHEMA
-from .assign import CenterView, list_array, nearest, vectors_of
+from .assign import CenterView, list_array, vectors_of
+from .centers import CenterSearch
 
 
 def check_ticks(t: np.ndarray, so_far: float = 0.0) -> None:
@@ -170,6 +171,7 @@ def assign_and_summarize(points: DataFrame, view: CenterView, t_factor: float |
         t1 = np.zeros(q, dtype=np.int64)
         t2 = np.zeros(q, dtype=np.int64)
         broken = 0
+        search = CenterSearch(C)
         for b in batches:
             if bad is not None:
                 whole = ~b.column(b.schema.get_field_index(bad)).to_numpy(zero_copy_only=False).astype(bool)
@@ -179,7 +181,7 @@ def assign_and_summarize(points: DataFrame, view: CenterView, t_factor: float |
                 continue
             X = vectors_of(b, x, dim)
             t = b.column(b.schema.get_field_index(tick)).to_numpy(zero_copy_only=False).astype(np.int64)
-            idx, d2 = nearest(X, C)
+            idx, d2 = search(X)
             inside = np.ones(len(idx), dtype=bool) if t_factor is None else (np.sqrt(d2) <= t_factor * R[idx])
             ii, Xi, ti = idx[inside], X[inside], t[inside]
             n += np.bincount(ii, minlength=q)

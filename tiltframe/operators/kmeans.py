@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 from ..functions.uniform import gaussian, uniform, uniform_col
 from ..functions.vec import array_sum_agg
 from ..session import new_run_dir, path_exists
-from .assign import CenterView, assign, collect_view, list_array, nearest, vectors_of
+from .assign import CenterView, assign, collect_view, list_array, vectors_of
+from .centers import nearest
 from .features import assign_and_summarize, cf_merge_partials
 
 

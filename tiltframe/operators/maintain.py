@@ -33,6 +33,7 @@ from ..functions.probit import probit_py
 from ..functions.vec import centroid, rmsd_formula, sqdist_sql
 from ..params import STATE_SCHEMA, OnlineParams
 from .assign import list_array, vectors_of
+from .centers import CenterSearch
 from .lineage import MERGE_FIELDS
 
 
@@ -206,9 +207,11 @@ def refresh_arrays(state: dict) -> dict:
             cen[i] = c1[i] / n[i]
         if n[i] > 1:
             rad[i] = _rmsd(n[i], c1[i], c2[i])
-    for i in range(len(n)):
-        if n[i] == 1:
-            rad[i] = _nearest_nonzero(cen[i], cen)
+    alone = np.flatnonzero(n == 1).tolist()
+    if alone:
+        search = CenterSearch(cen)
+        for i in alone:
+            rad[i] = search.nearest_other(i)
     return state
 
 

@@ -15,6 +15,7 @@ from ..sources.tables import embedding_points, event_points
 
 # Fixed parameters of the registered queries.
 EMB_Q = 10  # micro-clusters seeded from the first 10 embeddings
+MANY_Q = 1000  # micro-clusters seeded from the first 1,000 events, for the center index
 EV_Q = 12  # micro-clusters seeded from the first 12 events
 EV_SPLIT = 20  # events before day 20 build the state, later days are the batch
 T_FACTOR = 2.0

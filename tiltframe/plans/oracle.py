@@ -13,7 +13,7 @@ import math
 from ..functions.probit import probit_sql
 from ..functions.uniform import gaussian_sql, uniform, uniform_sql
 from ..params import OnlineParams
-from .common import DELTA_DAYS, DELTA_HOURS, EMB_Q, EV_Q, EV_SPLIT, M_LAST, T_FACTOR
+from .common import DELTA_DAYS, DELTA_HOURS, EMB_Q, EV_Q, EV_SPLIT, M_LAST, MANY_Q, T_FACTOR
 from .queries import DRAW_SEED, EV_HALF, MILESTONE_BAND, MILESTONES, REQUESTS, SNAP
 
 INF = "CAST('inf' AS DOUBLE)"
@@ -171,6 +171,12 @@ a AS ({_argmin('emb_pts', 'seeds', _sqd('p.x', 'c.c'))})
 SELECT id, slot, round(d2, 6) AS d2 FROM a"""
 
 
+def _assign_many() -> str:
+    return f"""WITH ev AS MATERIALIZED ({EV_PTS}), seeds AS MATERIALIZED ({_emb_seeds(MANY_Q, 'ev')}),
+a AS (SELECT p.id, min({{'d2': {_sqd2('p.x', 'c.c')}, 'slot': c.slot}}) AS b FROM ev p CROSS JOIN seeds c GROUP BY p.id)
+SELECT id, b.slot AS slot, round(b.d2, 6) AS d2 FROM a"""
+
+
 def _split_outliers() -> str:
     return f"""WITH {_emb_state_ctes()},
 a1 AS ({_argmin('emb_pts', '(SELECT slot, cen AS c FROM st)', _sqd('p.x', 'c.c'))})
@@ -696,6 +702,7 @@ ORACLE = {
     "progress": _progress,
     "milestones": _milestones,
     "assign_nearest": _assign_nearest,
+    "assign_many": _assign_many,
     "split_outliers": _split_outliers,
     "cf_aggregate": _cf_aggregate,
     "cf_apply": _cf_apply,

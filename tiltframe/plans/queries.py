@@ -32,6 +32,7 @@ from .common import (
     EV_Q,
     EV_SPLIT,
     M_LAST,
+    MANY_Q,
     T_FACTOR,
     emb_state,
     ev_points,
@@ -144,6 +145,15 @@ def assign_nearest_q(spark: SparkSession, sf: str) -> DataFrame:
     return a.select("id", "slot", r("d2", 6).alias("d2"))
 
 
+def assign_many_q(spark: SparkSession, sf: str) -> DataFrame:
+    """ON6: nearest of 1,000 seeded micro-clusters for every event (found
+    through the index over the centers)."""
+    pts = ev_points(spark, sf)
+    st0 = empty_state(spark, seeds(pts, MANY_Q), 2, "center")
+    a = assign(pts, collect_view(st0))
+    return a.select("id", "slot", r("d2", 6).alias("d2"))
+
+
 def split_outliers_q(spark: SparkSession, sf: str) -> DataFrame:
     """ON7: after one batch, the inside/outlier split against the refreshed
     micro-clusters (inside iff distance <= t * rmsd)."""
@@ -637,6 +647,7 @@ QUERIES = {
     "progress": progress_q,
     "milestones": milestones_q,
     "assign_nearest": assign_nearest_q,
+    "assign_many": assign_many_q,
     "split_outliers": split_outliers_q,
     "cf_aggregate": cf_aggregate_q,
     "cf_apply": cf_apply_q,
