@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from tiltframe.operators.centers import MIN_INDEXED, CenterSearch, _nearest_scan
-from tiltframe.operators.maintain import _nearest_nonzero
+from tiltframe.operators.maintain import _nearest_nonzero, refresh_arrays
 
 R = np.random.default_rng(5)
 CASES = {
@@ -56,3 +56,15 @@ def test_balls_are_left_out():
     search = CenterSearch(X[:q])
     search(X)
     assert search.scanned < 0.25 * len(X) * q
+
+
+@pytest.mark.parametrize("q", [1, 50, 900])
+def test_refresh_of_lone_slots(q):
+    r = np.random.default_rng(q)
+    n = r.integers(0, 3, q)
+    c1 = r.integers(0, 30, (q, 2)).astype(float)
+    state = {"n": n, "cf1x": c1, "cf2x": c1 * c1 + 1.0, "centroid": c1.copy(), "rmsd": np.full(q, 7.0)}
+    out = refresh_arrays(state)
+    for i in np.flatnonzero(n == 1):
+        assert out["rmsd"][i] == _nearest_nonzero(out["centroid"][i], out["centroid"])
+    assert (out["rmsd"][n == 0] == 7.0).all()
