@@ -197,6 +197,14 @@ def test_start_of_few_and_equal_points(spark):
     assert weighted_seeds(np.zeros((3, 2)), np.zeros(3), 2, 1) == []
 
 
+def test_start_over_tasks_without_rows(spark):
+    rows = [(i, [float(i % 3), float(i % 2)]) for i in range(6)]
+    sparse = spark.createDataFrame(spark.sparkContext.parallelize(rows, 20), "id long, x array<double>")
+    one = spark.createDataFrame(spark.sparkContext.parallelize(rows, 1), "id long, x array<double>")
+    got = kmeans_parallel(sparse, 3, 9).orderBy("slot").collect()
+    assert got and got == kmeans_parallel(one, 3, 9).orderBy("slot").collect()
+
+
 def test_rounds_go_on_after_a_failure(spark, monkeypatch):
     import tiltframe.operators.kmeans as km
 

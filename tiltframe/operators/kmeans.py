@@ -179,7 +179,8 @@ def _first_fn(seed: int, dim: int):
 def _cost_fn(centers: np.ndarray):
     def fn(batches):
         total = sum(float(nearest(vectors_of(b, "x", centers.shape[1]), centers)[1].sum()) for b in batches if b.num_rows)
-        yield pa.RecordBatch.from_arrays([pa.array([total])], names=["cost"])
+        # a task without rows has the integer 0, which is no double to Spark
+        yield pa.RecordBatch.from_arrays([pa.array([total], pa.float64())], names=["cost"])
 
     return fn
 
