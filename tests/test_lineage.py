@@ -205,6 +205,25 @@ def test_start_over_tasks_without_rows(spark):
     assert got and got == kmeans_parallel(one, 3, 9).orderBy("slot").collect()
 
 
+def test_rounds_read_the_points_once(spark, monkeypatch):
+    import tiltframe.operators.assign as a
+
+    _, x, df = _blobs(spark, 500)
+    reads = spark.sparkContext.accumulator(0)
+    counted = df.rdd.map(lambda r: (reads.add(1), r)[1]).toDF(df.schema)
+    start = df.orderBy("id").limit(6).select(F.col("id").cast("int").alias("slot"), F.col("x").alias("center"))
+    monkeypatch.setattr(a, "PACKED_BYTES", 100)  # four points a row, the last rows fewer
+    folder = new_run_dir(spark, "rounds")
+    got = {r["slot"]: r["center"] for r in lloyd(counted.repartition(3), start, 5, 0.0, folder=folder).collect()}
+    assert reads.value == 500
+    assert 125 <= spark.read.parquet(f"{folder}/points").count() <= 128
+    cur = x[:6].copy()
+    for _ in range(5):
+        own = ((x[:, None] - cur[None]) ** 2).sum(axis=2).argmin(axis=1)
+        cur = np.array([x[own == j].mean(axis=0) if (own == j).any() else cur[j] for j in range(6)])
+    assert np.array([got[j] for j in range(6)]) == pytest.approx(cur, abs=1e-9)
+
+
 def test_rounds_go_on_after_a_failure(spark, monkeypatch):
     import tiltframe.operators.kmeans as km
 

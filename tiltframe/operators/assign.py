@@ -26,6 +26,7 @@ from ..functions.vec import sqdist_sql
 from .centers import CenterSearch
 
 MAX_VIEW_BYTES = 64 << 20
+PACKED_BYTES = 1024
 
 
 class CenterView:
@@ -67,6 +68,13 @@ def collect_view(centers_df: DataFrame, slot="slot", center="centroid", rmsd: st
 
 def vectors_of(batch: pa.RecordBatch, name: str, dim: int) -> np.ndarray:
     arr = batch.column(batch.schema.get_field_index(name))
+    if pa.types.is_binary(arr.type) or pa.types.is_large_binary(arr.type):  # blocks of ``packed_points``
+        arr = arr.cast(pa.large_binary())
+        _, at, data = arr.buffers()
+        if not len(arr):
+            return np.zeros((0, dim))
+        ends = np.frombuffer(at, np.int64, len(arr) + 1, 8 * arr.offset)
+        return np.frombuffer(data, np.float64, int(ends[-1] - ends[0]) // 8, int(ends[0])).reshape(-1, dim)
     vals = arr.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
     if vals.size != len(arr) * dim:
         raise ValueError(f"column {name} holds vectors whose length is not {dim}")
@@ -79,6 +87,22 @@ def list_array(mat: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(offsets, pa.array(mat.reshape(-1), type=pa.float64()))
 
 
+def packed_points(points: DataFrame, dim: int, x: str = "x") -> DataFrame:
+    """The vectors alone, as ``x BINARY``: doubles one after the other, about
+    ``PACKED_BYTES`` of whole vectors a row (so that a batch of such rows stays
+    small). For passes that come again: a batch is a matrix as it arrives,
+    where arrays go through the JVM number by number. ``vectors_of`` reads it."""
+    per = max(1, PACKED_BYTES // (8 * dim))
+
+    def kernel(batches):
+        for b in batches:
+            X = vectors_of(b, x, dim)
+            rows = [X[a : a + per].tobytes() for a in range(0, len(X), per)]
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], names=["x"])
+
+    return points.select(x).mapInArrow(kernel, "x binary")
+
+
 def assign(points: DataFrame, view: CenterView, x: str = "x", t_factor: float | None = None) -> DataFrame:
     """Add ``slot INT`` and ``d2 DOUBLE`` (and ``inside BOOLEAN`` when
     ``t_factor`` is given: ``sqrt(d2) <= t_factor * rmsd(slot)``)."""

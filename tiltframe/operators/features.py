@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from ..functions.vec import array_sum_agg, centroid, rmsd_formula, sqdist_sql, vadd, vsquare
 from ..params import STATE_SCHEMA
 from .assign import CenterView, list_array, vectors_of
-from .centers import CenterSearch
+from .centers import MAX_ROWS, CenterSearch
 
 
 def check_ticks(t: np.ndarray, so_far: float = 0.0) -> None:
@@ -151,7 +151,7 @@ FUSED_SCHEMA = T.StructType(
 )
 
 
-def assign_and_summarize(points: DataFrame, view: CenterView, t_factor: float | None, x="x", tick="tick", order="id", bad: str | None = None) -> DataFrame:
+def assign_and_summarize(points: DataFrame, view: CenterView, t_factor: float | None, x="x", tick: str | None = "tick", order: str | None = "id", bad: str | None = None) -> DataFrame:
     """One narrow pass over the batch.
 
     Inside points are summed per slot across all Arrow batches of a task
@@ -159,10 +159,14 @@ def assign_and_summarize(points: DataFrame, view: CenterView, t_factor: float |
     the skew of the slots); outliers stream out as single rows with their
     arrival key (``seq_tick``, ``seq_id``). ``t_factor=None``: every point
     is inside (first batch after an initialisation). Rows whose flag ``bad``
-    holds are only counted, in one row of kind 2 a task.
+    holds are only counted, in one row of kind 2 a task. Without ``tick`` the
+    points have no time (its sums are 0) and ``x`` may come packed
+    (``packed_points``); ``order`` is for outliers.
     """
     C, slots, R, dim = view.centers, view.slots, view.rmsd, view.dim
     q = len(slots)
+    if tick is None and t_factor is not None:
+        raise ValueError("outliers need their tick")
 
     def kernel(batches):
         n = np.zeros(q, dtype=np.int64)
@@ -172,6 +176,13 @@ def assign_and_summarize(points: DataFrame, view: CenterView, t_factor: float |
         t2 = np.zeros(q, dtype=np.int64)
         broken = 0
         search = CenterSearch(C)
+
+        def add(ii: np.ndarray, Xi: np.ndarray) -> None:
+            n[:] += np.bincount(ii, minlength=q)
+            for j in range(dim):
+                s1[:, j] += np.bincount(ii, weights=Xi[:, j], minlength=q)
+                s2[:, j] += np.bincount(ii, weights=Xi[:, j] * Xi[:, j], minlength=q)
+
         for b in batches:
             if bad is not None:
                 whole = ~b.column(b.schema.get_field_index(bad)).to_numpy(zero_copy_only=False).astype(bool)
@@ -180,14 +191,16 @@ def assign_and_summarize(points: DataFrame, view: CenterView, t_factor: float |
             if b.num_rows == 0:
                 continue
             X = vectors_of(b, x, dim)
+            if tick is None:
+                for a in range(0, len(X), MAX_ROWS):  # a packed batch has many points
+                    Xi = X[a : a + MAX_ROWS]
+                    add(search(Xi)[0], Xi)
+                continue
             t = b.column(b.schema.get_field_index(tick)).to_numpy(zero_copy_only=False).astype(np.int64)
             idx, d2 = search(X)
             inside = np.ones(len(idx), dtype=bool) if t_factor is None else (np.sqrt(d2) <= t_factor * R[idx])
             ii, Xi, ti = idx[inside], X[inside], t[inside]
-            n += np.bincount(ii, minlength=q)
-            for j in range(dim):
-                s1[:, j] += np.bincount(ii, weights=Xi[:, j], minlength=q)
-                s2[:, j] += np.bincount(ii, weights=Xi[:, j] * Xi[:, j], minlength=q)
+            add(ii, Xi)
             check_ticks(t, float(t2.max(initial=0)))
             np.add.at(t1, ii, ti)
             np.add.at(t2, ii, ti * ti)
@@ -233,7 +246,7 @@ def assign_and_summarize(points: DataFrame, view: CenterView, t_factor: float |
                 schema=_FUSED_ARROW,
             )
 
-    return points.select(x, tick, order, *([bad] if bad else [])).mapInArrow(kernel, FUSED_SCHEMA)
+    return points.select(*[c for c in (x, tick, order, bad) if c]).mapInArrow(kernel, FUSED_SCHEMA)
 
 
 _FUSED_ARROW = pa.schema(

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from ..functions.uniform import gaussian, uniform, uniform_col
 from ..functions.vec import array_sum_agg
 from ..session import new_run_dir, path_exists
-from .assign import CenterView, assign, collect_view, list_array, vectors_of
+from .assign import CenterView, assign, collect_view, list_array, packed_points, vectors_of
 from .centers import nearest
 from .features import assign_and_summarize, cf_merge_partials
 
@@ -276,17 +276,20 @@ def lloyd(points: DataFrame, centers: DataFrame, max_iter: int = 20, tol: float
     """``slot, center`` after at most ``max_iter`` rounds of k-means from given
     centers; it stops once no center moves farther than ``tol`` (0: at a fixed
     point). A center that no point is nearest to stays. Each round's model is
-    a table ``round-<i>`` of ``folder``; a run that finds some goes on there."""
+    a table ``round-<i>`` of ``folder``; a run that finds some goes on there.
+    ``points`` is read once: the rounds read the vectors alone, packed, from
+    the table ``points`` of ``folder``."""
     spark = points.sparkSession
     folder = folder or new_run_dir(spark, "kmeans")
-    zero = F.lit(0).cast("long")
-    pts = points.select(F.col(x).alias("x"), zero.alias("tick"), zero.alias("id"))
     view = collect_view(centers, "slot", "center", None)
     out = centers.select("slot", "center")
     for i in range(max_iter):
         path = f"{folder}/round-{i}"
         if not path_exists(spark, f"{path}/_SUCCESS"):
-            fused = assign_and_summarize(pts, view, None)
+            packed = f"{folder}/points"
+            if not path_exists(spark, f"{packed}/_SUCCESS"):
+                packed_points(points, view.dim, x).write.mode("overwrite").option("compression", "zstd").parquet(packed)
+            fused = assign_and_summarize(spark.read.schema("x binary").parquet(packed), view, None, tick=None, order=None)
             sums = cf_merge_partials(fused.where("kind = 0").select("slot", "n", "cf1x", "cf2x", "cf1t", "cf2t"), view.dim).collect()  # k rows
             new = view.centers.copy()
             at = {int(s): j for j, s in enumerate(view.slots)}

@@ -614,7 +614,7 @@ def kmeans_train_q(spark: SparkSession, sf: str) -> DataFrame:
     first = pts.orderBy("id", "x").limit(2)  # ids come again in this table
     start = first.select((F.row_number().over(Window.orderBy("id", "x")) - 1).cast("int").alias("slot"), F.col("x").alias("center"))
     centers = lloyd(pts, start, 20, 0.0)
-    sizes = assign(pts, collect_view(centers, "slot", "center", None)).groupBy("slot").agg(F.count(F.lit(1)).alias("n"))
+    sizes = assign(pts.select("x"), collect_view(centers, "slot", "center", None)).groupBy("slot").agg(F.count(F.lit(1)).alias("n"))
     cost = kmeans_cost(pts, centers).select("wssse")
     out = centers.join(sizes, "slot", "left").crossJoin(F.broadcast(cost))  # one row
     return out.select("slot", F.coalesce("n", F.lit(0)).cast("long").alias("n"), *[r(F.col("center")[i], 4).alias(f"c{i}") for i in range(4)], r(F.col("wssse") / 1e9, 6).alias("wssse_1e9"))
