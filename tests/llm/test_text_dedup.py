@@ -122,6 +122,34 @@ def test_interval_expansion():
     assert lone[0].tolist() == [0, 1, 2, 3]
 
 
+def test_blocks_are_cut_down_before_the_transform(monkeypatch):
+    r = random.Random(5)
+    given, plain = [], sd.repeated_windows
+
+    def watched(strings, times, length):
+        given.extend(strings)
+        return plain(strings, times, length)
+
+    monkeypatch.setattr(sd, "repeated_windows", watched)
+    length = 12
+    shared = bytes(r.choice(b"cd") for _ in range(40))  # equal windows have equal anchors
+    strings = [bytes(r.choice(b"ab") for _ in range(r.randrange(12, 60))) for _ in range(60)]
+    strings += [bytes([i]) * 9 + shared + bytes([i + 100]) * 3 for i in range(3, 90)] + [bytes(range(196, 256))]
+    keys = [(0 if i < 60 else 7, i) for i in range(len(strings))]
+    times = np.array([1 + (i % 11 == 0) for i in range(len(strings) - 1)] + [1])
+    seen = {}
+    for s, t in zip(strings, times.tolist()):
+        for i in range(len(s) - length + 1):
+            seen[s[i : i + length]] = seen.get(s[i : i + length], 0) + t
+    got = {(o, j) for _, o, a, b in sd._block_ranges(keys, strings, times, length) for j in range(a, b)}
+    assert got == {(o, i) for (_, o), s in zip(keys, strings) for i in range(len(s) - length + 1) if seen[s[i : i + length]] > 1}
+    assert 0 < len(given) < len(strings) and strings[-1] not in given
+    # what is left of a passage in different surroundings is one string
+    given.clear()
+    got = sd._block_ranges([(1, i) for i in range(80)], [bytes([i + 100]) * 9 + shared + bytes([i + 1]) * 3 for i in range(80)], np.ones(80, dtype=np.int64), 40)
+    assert sorted(got) == [(1, i, 9, 10) for i in range(80)] and not given
+
+
 # -- near duplicates
 
 

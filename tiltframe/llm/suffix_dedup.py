@@ -13,7 +13,8 @@ have equal anchors at equal offsets, so repeats are found among the stretches
 (all windows of one anchor) that share an anchor, i.e. all bytes of its k-gram. Anchors that occur once are gone after one
 count; equal stretches are one row with their number; stretches that differ
 are dealt by anchor into blocks of about ``BLOCK_BYTES``, each of which gets
-its transform. An anchor with more than ``MAX_GROUP`` different stretches
+its transform: of the windows whose hash comes again there, where cutting the
+stretches down to those leaves strings that differ. An anchor with more than ``MAX_GROUP`` different stretches
 does not fit a block: its windows are counted one by one by 128-bit hash, an
 exact way that Spark spreads over all tasks.
 
@@ -45,7 +46,7 @@ LENGTH = 200
 GRAM = 64
 CHOICE = 24  # fewer bytes tie more often, and each tie is one more anchor
 BLOCK_BYTES = 512 << 10
-MAX_GROUP = 500
+MAX_GROUP = 8000  # of at most 336 bytes
 PIECE_BYTES = 4 << 20  # longer documents are winnowed piece by piece
 _POSITION = U64((1 << 28) - 1)
 _NO_ID = -(1 << 63)
@@ -261,14 +262,64 @@ def _runs(v: np.ndarray) -> list[tuple[int, int]]:
     return [(int(p[0]), int(p[-1]) + 1) for p in np.split(v, cut) if len(p)]
 
 
+def _candidates(strings: list[bytes], times: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(string, first window, end) of the runs of windows whose 64-bit hash
+    comes again. Equal windows have equal hashes, so no repeat lies outside."""
+    sizes = np.array([len(s) for s in strings], dtype=np.int64)
+    g = _grams(np.frombuffer(b"".join(strings), dtype=np.uint8))
+    pw, inv = _power_table(len(g) + 1)
+    acc = np.zeros(len(g) + 1, dtype=np.uint64)
+    np.cumsum(g * pw[: len(g)], out=acc[1:])
+    count = sizes - length + 1
+    string = np.repeat(np.arange(len(strings)), count)
+    start = np.arange(len(string)) - np.repeat(np.cumsum(count) - count, count)
+    at = (np.cumsum(sizes) - sizes)[string] + start
+    h = (acc[at + length - 7] - acc[at]) * inv[at]
+    order = np.argsort(h, kind="stable")
+    head = np.flatnonzero(np.concatenate(([True], np.diff(h[order]) != 0)))
+    total = np.add.reduceat(times[string[order]], head)
+    again = np.zeros(len(h), dtype=bool)
+    again[order] = np.repeat(total >= 2, np.diff(np.append(head, len(h))))
+    turn = (again[1:] != again[:-1]) | (string[1:] != string[:-1])
+    first = np.flatnonzero(again & np.concatenate(([True], turn)))
+    last = np.flatnonzero(again & np.concatenate((turn, [True])))
+    return string[first], start[first], start[last] + 1
+
+
+def _block_ranges(keys: list[tuple[int, int]], strings: list[bytes], times: np.ndarray, length: int) -> list[tuple[int, int, int, int]]:
+    """(anchor, own, first window, end) of the repeats of a block. Stretches
+    are cut down to their candidates; what is then equal is one string, whose
+    windows all repeat. An anchor goes to the transform if one of its strings
+    is still alone."""
+    index: dict[tuple[int, bytes], int] = {}
+    sums: list[int] = []
+    uses = []
+    for s, x, y in zip(*(v.tolist() for v in _candidates(strings, times, length))):
+        i = index.setdefault((keys[s][0], strings[s][x : y - 1 + length]), len(index))
+        if i == len(sums):
+            sums.append(0)
+        sums[i] += int(times[s])
+        uses.append((s, x, y, i))
+    open_ = {anchor for (anchor, _), i in index.items() if sums[i] < 2}
+    asked = [(i, piece) for (anchor, piece), i in index.items() if anchor in open_]
+    found = {}
+    if asked:
+        windows = repeated_windows([piece for _, piece in asked], np.array([sums[i] for i, _ in asked], dtype=np.int64), length)
+        found = {i: _runs(v) for (i, _), v in zip(asked, windows)}
+    out = []
+    for s, x, y, i in uses:
+        runs = [(0, y - x)] if sums[i] >= 2 else found[i]
+        out += [(*keys[s], x + a, x + b) for a, b in runs]
+    return out
+
+
 def _block_fn(length: int):
     def fn(table: pa.Table) -> pa.Table:
         seen: dict[tuple[int, int], tuple[bytes, int]] = {}
         for a, o, t, b in zip(*(table[c].to_pylist() for c in ("anchor", "own", "times", "bytes"))):
             seen[(a, o)] = (b, t)  # rows that repeat a document bring a stretch twice
-        found = repeated_windows([b for b, _ in seen.values()], np.array([t for _, t in seen.values()], dtype=np.int64), length)
+        rows = _block_ranges(list(seen), [b for b, _ in seen.values()], np.array([t for _, t in seen.values()], dtype=np.int64), length)
         release()
-        rows = [(a, o, x, y) for (a, o), v in zip(seen, found) for x, y in _runs(v)]
         cols = list(zip(*rows)) or [(), (), (), ()]
         return pa.table({"anchor": pa.array(cols[0], pa.int64()), "own": pa.array(cols[1], pa.int64()), "a": pa.array(cols[2], pa.int32()), "b": pa.array(cols[3], pa.int32())})
 
@@ -395,6 +446,8 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", t
         cut = small.join(items, ["id", "mark"]).select("body", "items").mapInArrow(
             _cut_stretch_fn(length), "anchor long, own long, times long, kinds long, bytes binary"
         )
+        if hottest > MAX_GROUP:  # read twice
+            cut = scratch.keep(cut, "cut", free=True)
         blocks_ = max(1, -(-int(total) // BLOCK_BYTES))
         fits = cut.where(F.col("kinds") <= MAX_GROUP).withColumn("block", F.pmod(F.xxhash64("anchor"), F.lit(blocks_)))
         ranges = fits.groupBy("block").applyInArrow(_block_fn(length), "anchor long, own long, a int, b int")
@@ -402,6 +455,7 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", t
         if hottest > MAX_GROUP:
             hot = cut.where(F.col("kinds") > MAX_GROUP).dropDuplicates(["anchor", "own"])
             windows = hot.mapInArrow(_window_fn(length), "anchor long, own long, a int, times long, w1 long, w2 long")
+            windows = scratch.keep(windows, "windows", free=True)
             again = windows.groupBy("w1", "w2").agg(F.sum("times").alias("s")).where("s > 1").select("w1", "w2")
             single = windows.join(again, ["w1", "w2"], "left_semi").select("anchor", "own", "a").distinct()
             # neighbouring windows become one range (a stretch has at most
